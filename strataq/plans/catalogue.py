@@ -2,4 +2,6 @@
 
 from __future__ import annotations
 
+from strataq.plans import ledgers  # noqa: F401
+
 FLAGSHIP = "fold_lifo_ledger"
