@@ -113,7 +113,7 @@ PRELUDES = {
 
 
 def with_prelude(sql: str, *sources: str) -> str:
-    """``sql`` behind the common table expressions of ``sources``; it may begin with a comma and further ones."""
-    parts = list(dict.fromkeys(p for s in sources for p in PRELUDES[s]))
+    """``sql`` behind the common table expressions of ``sources``, names or texts; it may begin with a comma and further ones."""
+    parts = list(dict.fromkeys(p for s in sources for p in PRELUDES.get(s, [s])))
     sql = sql.strip()
     return f"WITH {', '.join(parts)}" + (sql if sql.startswith(",") else f" {sql}")
