@@ -149,13 +149,13 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars",
 
     Rows without secrets are unchanged, a null text included.
     """
-    at = docs.columns.index(text_col)
+    names, at = docs.columns, docs.columns.index(text_col)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         texts = b.column(at).to_pylist()
         out = [t if not s else redact_text(t, s, mark) for t, s in zip(texts, scan_batch(utf8(b.column(at))))]
         cols = [pa.array(out, pa.string()) if k == at else c for k, c in enumerate(b.columns)]
-        return pa.RecordBatch.from_arrays(cols, docs.columns)
+        return pa.RecordBatch.from_arrays(cols, names)
 
     clean = arrow_map(docs, run, docs.schema)
     if length_col in docs.columns:

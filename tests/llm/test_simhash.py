@@ -86,3 +86,39 @@ def test_chain_of_links_is_one_component(spark):
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     c = simhash.components(simhash.links(df, 3))
     assert c.agg(F.countDistinct("root")).first()[0] == 1 and c.count() == len(fps) - 1
+
+
+@pytest.mark.parametrize("max_node", [50_000, 40])
+def test_similar_documents(docs_of, max_node):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(5000)]
+    rows, want = [], {}
+    for g in range(40):
+        base = [rnd.choice(words) for _ in range(300)]
+        for c in range(3):
+            w = list(base)
+            for _ in range(c * 2):  # at most 4 * 5 of 296 shingles differ: similarity 0.87
+                w[rnd.randrange(len(w))] = rnd.choice(words)
+            want[len(rows)] = g
+            rows.append((len(rows), " ".join(w), "s"))
+        half = base[:150] + [rnd.choice(words) for _ in range(150)]  # similarity of about a third
+        want[1000 + g] = 1000 + g
+        rows.append((1000 + g, " ".join(half), "s"))
+    order = {d: i for i, (d, _, _) in enumerate(rows)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs_of(rows), max_node=max_node).select("doc_id", "component_id").collect()}
+    first = {}
+    for d, _, _ in rows:
+        first.setdefault(want[d] if d >= 1000 else ("g", order[d] // 4), d)
+    assert got == {d: first[want[d] if d >= 1000 else ("g", order[d] // 4)] for d, _, _ in rows}
+
+
+def test_signature_tells_similarity():
+    rnd = random.Random(2)
+    w = [str(rnd.random()).encode() for _ in range(400)]
+    sig = simhash.signature_of(w)
+    edited = list(w)
+    for i in range(0, 400, 50):  # 8 edits: 40 of 396 shingles, similarity 0.82
+        edited[i + 20] = b"x%d" % i
+    differ = int(np.bitwise_count(sig ^ simhash.signature_of(edited)).sum())
+    assert abs(differ - simhash.most_differing(356 / 436)) < 25
+    assert simhash.signature_of([]).sum() == 0 and simhash.signature_of([b"one"]).any()
