@@ -6,7 +6,8 @@ after, so ends are at least ``reach`` + 1 apart, depend on the bytes nearby alon
 insertion. Runs without such an end (one byte repeated) are cut at ``most`` bytes. Ends are moved to the next
 character boundary.
 
-Chunks are told apart by a 128-bit digest. A digest found at two places or more marks repeated text; a run of repeated
+Chunks are told apart by a 64-bit digest. Texts are chunked once to count digests and once more to
+look up the repeated ones, which costs less than to keep all chunks on disk. A digest found at two places or more marks repeated text; a run of repeated
 chunks of at least ``least_words`` words or ``least_chars`` characters is a repeated passage. The first place of a digest, by doc_id and
 offset, is the original and stays; the other places are removed.
 """
@@ -19,9 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import arrow_map, cut, row_key, utf8
+from strataq.llm.common import arrow_map, row_key, utf8
 
-REACH, MOST = 20, 1024
+REACH, MOST = 24, 1024
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -70,35 +71,35 @@ def ends(data: bytes, reach: int = REACH, most: int = MOST) -> list[int]:
     return np.unique(inner).tolist() if len(wide) else out.tolist()
 
 
-def chunk_rows(text: bytes) -> tuple[list[int], list[int], list[int], list[int], list[int]]:
-    """(start, end in code points, words begun, digest high, digest low) of each chunk, as columns."""
+def chunk_rows(text: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
+    """(start, end in code points, words begun, digest) of each chunk, as columns."""
     e = ends(text)
     if not e:
-        return [], [], [], [], []
+        return [], [], [], []
     b = np.frombuffer(text, np.uint8)
     lead = np.concatenate(([0], np.cumsum((b & 0xC0) != 0x80)))
     space = (b == 32) | ((b >= 9) & (b <= 13))
     words = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
     at = np.array(e)
     s = np.concatenate(([0], at[:-1]))
-    d = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[x:y]) for x, y in zip(s.tolist(), e)]), "<i8").reshape(-1, 2)
-    return lead[s].tolist(), lead[at].tolist(), (words[at] - words[s]).tolist(), d[:, 0].tolist(), d[:, 1].tolist()
+    d = np.frombuffer(b"".join([xxhash.xxh3_64_digest(text[x:y]) for x, y in zip(s.tolist(), e)]), "<i8")
+    return lead[s].tolist(), lead[at].tolist(), (words[at] - words[s]).tolist(), d.tolist()
 
 
 def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row_key, doc_id, start, end, words, hi, lo), one row for each chunk of each text."""
+    """(row_key, doc_id, start, end, words, digest), one row for each chunk of each text."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("row_key"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         rows = [chunk_rows(t) for t in utf8(b.column(1))]
         n = [len(r[0]) for r in rows]
-        cols = [np.array([x for r in rows for x in r[k]], np.int64) for k in range(5)]
+        cols = [np.array([x for r in rows for x in r[k]], np.int64) for k in range(4)]
         keys = b.column(2).take(pa.array(np.repeat(np.arange(len(n)), n)))
         ids = b.column(0).take(pa.array(np.repeat(np.arange(len(n)), n)))
         small = [pa.array(c.astype(np.int32)) for c in cols[:3]]
-        return pa.RecordBatch.from_arrays([keys, ids, *small, pa.array(cols[3]), pa.array(cols[4])], ["row_key", "doc_id", "start", "end", "words", "hi", "lo"])
+        return pa.RecordBatch.from_arrays([keys, ids, *small, pa.array(cols[3])], ["row_key", "doc_id", "start", "end", "words", "digest"])
 
-    return arrow_map(slim, run, "row_key long, doc_id long, start int, end int, words int, hi long, lo long")
+    return arrow_map(slim, run, "row_key long, doc_id long, start int, end int, words int, digest long")
 
 
 def _passages(places: F.Column, least_words: int, least_chars: int) -> F.Column:
@@ -126,12 +127,13 @@ def repeats(docs: DataFrame, least_words: int = 12, least_chars: int = 120, id_c
     id comes before all others and its doc_id stays null; repeated rows are one document and get equal results; an empty table gives
     none; further columns are not read.
     """
-    every = cut(chunked(docs, id_col, text_col))
-    first = every.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "row_key", "start")).alias("first"), F.max(F.struct("doc_id", "row_key", "start")).alias("last"))
-    twice = first.where(F.col("first") != F.col("last")).select("hi", "lo", F.col("first.row_key").alias("first_key"), F.col("first.start").alias("first_start"))
+    every = chunked(docs, id_col, text_col)
+    at = F.struct("doc_id", "row_key", "start")
+    first = every.groupBy("digest").agg(F.min(at).alias("first"), F.max(at).alias("last"))
+    twice = first.where(F.col("first") != F.col("last")).select("digest", F.col("first.row_key").alias("first_key"), F.col("first.start").alias("first_start"))
     place = F.struct("start", "end", "words")
     later = (F.col("row_key") != F.col("first_key")) | (F.col("start") != F.col("first_start"))
-    found = every.join(twice, ["hi", "lo"]).groupBy("row_key").agg(
+    found = every.drop("doc_id").join(twice, "digest").groupBy("row_key").agg(
         F.collect_set(place).alias("all"), F.collect_set(F.when(later, place)).alias("later")
     )
     found = found.select("row_key", _passages(F.col("all"), least_words, least_chars).alias("repeated"), _passages(F.col("later"), least_words, least_chars).alias("removed"))
