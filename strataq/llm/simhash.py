@@ -38,11 +38,11 @@ BITS, BANDS = 64, 4
 TABLES, TABLE_BITS = 12, 32
 WORDS = TABLES * TABLE_BITS // 64
 #: Levels that Spark expands at once, and frontier entries walked at once.
-STEP, CHUNK = 4, 1 << 19
+STEP, CHUNK = 4, 1 << 16
 #: Below this many comparisons a node pair is compared outright.
 LEAF = 64
 #: Comparisons expanded at once.
-MOST = 1 << 22
+MOST = 1 << 18
 
 
 # ---------------------------------------------------------------- fingerprints

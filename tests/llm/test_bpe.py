@@ -11,13 +11,22 @@ TOKS = {f: bpe.load(f) for f in (WORD, BYTE)}
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(st.sampled_from("abAB1'!é日ss \n\t́<|endoftext|>"), max_size=60))
+def check(text):
+    for f, keeps in ((WORD, False), (BYTE, True)):
+        got = [i for p in bpe.worker_encoder(f, "ids", keeps)(text) for i in p]
+        assert got == TOKS[f].encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.sampled_from("abABst1²¼ª'!.,é×ß日ss  \n\n\t\x85\xa0\x1c\x0b́<|endoftext|>"), max_size=60))
 def test_pieces_give_the_whole_texts_tokens(text):
-    w = bpe.worker_cache(WORD, "text", True)
-    assert [i for p in bpe.words(text.encode()) for i in w[p][0]] == TOKS[WORD].encode(text, add_special_tokens=False).ids
-    p = bpe.Pieces(TOKS[BYTE], lambda x: x, False)
-    assert [i for x in bpe.spaced(text) for i in p[x]] == TOKS[BYTE].encode(text, add_special_tokens=False).ids
+    check(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=255), max_size=40))
+def test_latin_texts(text):
+    check(text)
 
 
 @settings(max_examples=100, deadline=None)
