@@ -68,3 +68,22 @@ def signature(points: DataFrame, group: list[str], order: str, value: str) -> Da
 
 def tier(rel: Column) -> Column:
     return F.when(rel < 1e-9, "exact").when(rel < 1e-4, "float-noise").when(rel <= 1e-2, "moderate").otherwise("real")
+
+
+def require_rows(inputs: dict[str, DataFrame]) -> None:
+    """Gate before a run: every input must have rows, or the run stops with the names of those that have none."""
+    empty = sorted(n for n, df in inputs.items() if df.isEmpty())
+    if empty:
+        raise ValueError(f"inputs without rows: {', '.join(empty)}")
+
+
+def allowed_writes(planned: set[str], allowed: set[str]) -> None:
+    """Gate before a run: nothing outside the allowed tables may be written."""
+    if planned - allowed:
+        raise ValueError(f"not allowed to write: {', '.join(sorted(planned - allowed))}")
+
+
+def with_ids(points: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``points`` (name, ..) with metric_id from ``metadata`` (name, metric_id); a name without an id is an error when it is read."""
+    j = points.join(metadata, "name", "left")
+    return j.withColumn("metric_id", F.when(F.col("metric_id").isNotNull(), F.col("metric_id")).otherwise(F.raise_error(F.concat(F.lit("no id for metric "), F.col("name")))))

@@ -127,6 +127,10 @@ metric("marketcap_nvt", "balance price ch", f"SELECT s.day, {I('s.supply * p.pri
 metric("supply_in_profit", "pseam price", f"SELECT p.day, {I('sum(CASE WHEN s.acq < p.price THEN s.measure ELSE 0 END)')} AS in_profit, {I('sum(s.measure)')} AS supply FROM ({_LAST}) p JOIN (SELECT {{day(t)}} AS day, acq, sum(measure) AS measure FROM pseam WHERE odt <> 0 GROUP BY {{day(t)}}, acq) s ON s.day <= p.day GROUP BY p.day", "M25: held cohorts bought below the day's price.")
 metric("address_realized_profit", "ledger price", f"SELECT l.address, {I('sum(-l.sign * l.amount * (n.price - a.price))')} AS profit FROM ledger l JOIN (SELECT {{five(t)}} AS b, price FROM price) n ON {{five(l.t)}} = n.b JOIN (SELECT {{five(t)}} AS b, price FROM price) a ON {{five(l.odt)}} = a.b WHERE l.odt <> 0 GROUP BY l.address", "M40: by key, where both five-minute prices exist.")
 
+metric("survivor_circulation_T", "survivors", f"SELECT w.window_days, count(*) AS coins, {I('sum(s.held)')} AS circulation FROM survivors s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.held > 0 AND s.t >= 1706572800000000 - w.us GROUP BY w.window_days", "K9: what younger inflows still hold on 2024-01-30.")
+metric("survivor_realized_cap", "survivors price", f"SELECT {{day(s.t)}} AS day, {I('sum(s.held * p.price)')} AS cap, {I('sum(s.held)')} AS held FROM survivors s JOIN ({_LAST}) p ON {{day(s.t)}} = p.day WHERE s.held > 0 GROUP BY {{day(s.t)}}", "K10: survivors at the price of the day they came in.")
+metric("busy_days_only", "ch", "SELECT address, count(*) AS n, sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) AS outflows FROM ch GROUP BY address HAVING sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) > 20".replace("sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) AS", "CAST(sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) AS BIGINT) AS"), "A10: groups kept by a condition on a conditional count.")
+
 # ---------------------------------------------------------------- activity, holders and labels
 
 metric("active_addresses", "ch", "SELECT {day(t)} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {day(t)}", "M28.")

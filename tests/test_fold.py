@@ -96,3 +96,17 @@ def test_lineage_reaches_each_node_once(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a")], "source string, target string")
     got = graph.reachable(e, spark.createDataFrame([("a", "a")], "root string, node string")).collect()
     assert sorted((r.node, r.depth) for r in got) == [("a", 0), ("b", 1), ("c", 1)]
+
+
+def test_gates_and_ids(spark):
+    some, none = spark.range(3), spark.range(0)
+    reconcile.require_rows({"a": some})
+    with pytest.raises(ValueError, match="b"):
+        reconcile.require_rows({"a": some, "b": none})
+    reconcile.allowed_writes({"x"}, {"x", "y"})
+    with pytest.raises(ValueError, match="z"):
+        reconcile.allowed_writes({"z"}, {"x"})
+    points, meta = spark.createDataFrame([("m", 1.0)], "name string, v double"), spark.createDataFrame([("m", 7)], "name string, metric_id int")
+    assert reconcile.with_ids(points, meta).first().metric_id == 7
+    with pytest.raises(Exception, match="no id"):
+        reconcile.with_ids(points, meta.where("name = 'q'")).collect()
