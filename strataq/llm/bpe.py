@@ -25,10 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import arrow_map, utf8
+from strataq.llm.common import arrow_map, collector_paused
 
 #: Pieces kept by one worker; the cache starts anew beyond that.
-CACHE = 400_000
+CACHE = 450_000
 LEAF = 2048
 
 
@@ -123,12 +123,22 @@ def byte_letters() -> dict[int, str]:
 LETTERS = byte_letters()
 
 
+#: Letters and numbers of Latin-1, and its white space.
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼½¾", r"\t-\r \x85\xa0"
+_SHORT = "'(?:s|t|re|ve|m|ll|d)"
+#: The tokenizers' own pre-token patterns for texts within Latin-1; what can't match at the same place is put in the order of frequency.
+SPACED = re.compile(rf" ?[{_L}]+|{_SHORT}| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+DROPPED = re.compile(rf"[{_L}]+|{_SHORT}|[{_N}]|[^{_S}{_L}{_N}]+")
+
+
 class Pieces(dict):
-    """Cache from a piece to what ``value`` makes of (ids, piece)."""
+    """Cache from a piece of text to ``value(ids)``, by whole encodings."""
+
+    def __init__(self, tok, value, size: int = CACHE, leaf: int = LEAF) -> None:
+        self.tok, self.value, self.size, self.leaf = tok, value, size, leaf
 
-    def __init__(self, tok, value, lower: bool, size: int = CACHE, leaf: int = LEAF) -> None:
-        self.tok, self.value, self.lower, self.size, self.leaf = tok, value, lower, size, leaf
-        self.bpe = tok.model
+    def ids(self, piece: str) -> list[int]:
+        return tree_encode(self.tok, piece, self.leaf)
 
     def __missing__(self, piece: str):
         out = self.value(self.ids(piece))
@@ -138,18 +148,43 @@ class Pieces(dict):
             self[piece] = out
         return out
 
+
+class Pretokens(Pieces):
+    """The same for pre-tokens within Latin-1 that no normaliser changes any more: the model itself encodes them."""
+
     def ids(self, piece: str) -> list[int]:
-        word = piece[1:] if piece[:1] == " " else piece
-        if word.isalpha() and len(word) <= 64 and ord(max(word)) < 256 and "ª" not in word and "º" not in word and "µ" not in word:
-            # One run of Latin-1 letters is one pre-token that no normaliser but lower-casing changes: ask the model itself.
-            raw = (piece.lower() if self.lower else piece).encode()
-            return [t.id for t in self.bpe.tokenize(raw.decode("latin-1").translate(LETTERS))]
-        return tree_encode(self.tok, piece, self.leaf)
+        if len(piece) > self.leaf:
+            return tree_encode(self.tok, piece, self.leaf)
+        if piece.isascii() and piece.removeprefix(" ").isalnum():
+            return [t.id for t in self.tok.model.tokenize(piece.replace(" ", LETTERS[32]))]
+        return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))]
+
 
+class Encoder:
+    """Encodes texts by cached pieces; ``spaced``: whether the tokenizer keeps white space, or drops it and lower-cases."""
 
-def words(text: bytes) -> list[str]:
+    def __init__(self, file: str, kind: str, spaced: bool) -> None:
+        tok = load(file)
+        value = KINDS[kind](tok)
+        self.pre, self.whole, self.spaced = Pretokens(tok, value), Pieces(tok, value, CACHE // 8), spaced
+
+    def __call__(self, text: str) -> list:
+        """Values of the text's pieces in order."""
+        if "<|" not in text:  # where special tokens' strings begin
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                pass
+            else:
+                pre = self.pre
+                return [pre[p] for p in (SPACED.findall(text) if self.spaced else DROPPED.findall(text.lower()))]
+        whole = self.whole
+        return [whole[p] for p in (spaced(text) if self.spaced else words(text))]
+
+
+def words(text: str) -> list[str]:
     """Pieces for tokenizers that drop white space: between ASCII white space."""
-    return text.decode().split() if text.isascii() and not re.search(rb"[\x1c-\x1f]", text) else [w.decode() for w in text.split()]
+    return [w.decode() for w in text.encode().split()]
 
 
 def spaced(text: str) -> list[str]:
@@ -158,28 +193,23 @@ def spaced(text: str) -> list[str]:
     return ([head] if head else []) + [" " + w for w in tail]
 
 
-def _with_text(tok):
-    return lambda x: (x, tok.decode(x, skip_special_tokens=False))
-
-
-def _as_text(tok):
-    return lambda x: (len(x), " ".join(map(str, x)), tok.decode(x, skip_special_tokens=False))
-
+FEW = [struct.Struct(f"<{n}I") for n in range(24)]
+#: What is kept of a piece's ids, by kind. Decoding puts a space between tokens, so decoded pieces join by one too.
+KINDS = {
+    "ids": lambda tok: lambda x: x,
+    "text": lambda tok: lambda x: (x, tok.decode(x, skip_special_tokens=False)),
+    "hash": lambda tok: lambda x: (len(x), " ".join(map(str, x)), tok.decode(x, skip_special_tokens=False)),
+    "packed": lambda tok: lambda x: (FEW[len(x)] if len(x) < len(FEW) else struct.Struct(f"<{len(x)}I")).pack(*x),
+}
+_ENCODERS: dict = {}
 
-def _packed(tok):
-    return lambda x: struct.pack(f"<{len(x)}I", *x)
 
-
-_CACHES: dict = {}
-
-
-def worker_cache(file: str, value: str, lower: bool) -> Pieces:
-    """The cache of this Python worker, which outlives a task; ``value``: text, hash or packed."""
-    key = (file, value, lower)
-    if key not in _CACHES:
-        tok = load(file)
-        _CACHES[key] = Pieces(tok, {"text": _with_text, "hash": _as_text, "packed": _packed}[value](tok), lower)
-    return _CACHES[key]
+def worker_encoder(file: str, kind: str, spaced: bool) -> Encoder:
+    """The encoder of this Python worker, which outlives a task."""
+    key = (file, kind, spaced)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(file, kind, spaced)
+    return _ENCODERS[key]
 
 
 # ---------------------------------------------------------------- operator
@@ -194,8 +224,9 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     repeated rows come out as often as they came in; further columns are not read.
     """
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        cache = worker_cache(tokenizer, "text" if ids else "hash", True)
-        rows = [[cache[w] for w in words(t)] for t in utf8(b.column(1))]
+        encode = worker_encoder(tokenizer, "text" if ids else "hash", False)
+        with collector_paused():
+            rows = [encode(t or "") for t in b.column(1).to_pylist()]
         decoded = [" ".join(x[-1] for x in r if x[0]) for r in rows]
         if ids:
             cols = [pa.array([[i for x in r for i in x[0]] for r in rows], pa.list_(pa.int32())), pa.array(decoded)]

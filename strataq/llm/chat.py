@@ -77,8 +77,8 @@ def format_turns(turns: DataFrame, tokenizer: str, vocabulary: int) -> DataFrame
     """
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        cache = bpe.worker_cache(tokenizer, "packed", False)
-        encode = lambda t: b"".join([cache[p] for p in bpe.spaced(t)])
+        encoder = bpe.worker_encoder(tokenizer, "packed", True)
+        encode = lambda t: b"".join(encoder(t))
         made = [assemble(segments(r or "", t or ""), encode, vocabulary) for r, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
         cols = [
             pa.array([x[0].astype(np.int32) for x in made], pa.list_(pa.int32())),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,3 +57,15 @@ def row_key(*columns: str) -> Column:
     Rows that agree in all of them share it; that is wanted, as such repeats get equal results.
     """
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])
+
+
+@contextmanager
+def collector_paused() -> Iterator[None]:
+    """No cyclic garbage collection meanwhile: a batch of texts makes many small objects and no cycles."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()

@@ -31,11 +31,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe
-from strataq.llm.common import cut, small_batches
+from strataq.llm.common import collector_paused, cut, small_batches
 
 BLOCK = 4096
 HEAD, FOOT = struct.Struct("<IIIB3x"), struct.Struct("<QQQQ8s")
 MAGIC = b"PFORIDS1"
+#: Widths whose packed bits are little-endian integers as they are.
+WHOLE = {8: "<u1", 16: "<u2", 32: "<u4"}
 
 
 # ---------------------------------------------------------------- blocks
@@ -56,10 +58,13 @@ def pack_blocks(ids: np.ndarray, percentile: float = 0.97) -> list[bytes]:
         k = min(len(d) - 1, int(percentile * len(d)))
         width = int(_bits(np.partition(d, k)[k : k + 1])[0])
         over = np.flatnonzero(d >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
-        bits = ((d[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8)
+        if width in WHOLE:
+            low = d.astype(WHOLE[width])
+        else:
+            low = np.packbits(((d[:, None] >> np.arange(width, dtype=np.uint32)) & np.uint32(1)).astype(np.uint8).ravel(), bitorder="little")
         out.append(
             HEAD.pack(least, len(x), len(over), width)
-            + np.packbits(bits.ravel(), bitorder="little").tobytes()
+            + low.tobytes()
             + over.astype("<u2").tobytes()
             + (d[over] >> np.uint32(width)).astype("<u4").tobytes()
         )
@@ -72,7 +77,9 @@ def unpack_block(data: memoryview, at: int) -> np.ndarray:
     at += HEAD.size
     size = (n * width + 7) // 8
     d = np.zeros(n, np.uint32)
-    if width:
+    if width in WHOLE:
+        d = np.frombuffer(data, WHOLE[width], n, at).astype(np.uint32)
+    elif width:
         bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
         whole = np.zeros((n, 32 if width > 16 else 16), np.uint8)
         whole[:, :width] = bits
@@ -154,7 +161,7 @@ def write_tokens(
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = bpe.worker_cache(tokenizer, "packed", False)
+        encode = bpe.worker_encoder(tokenizer, "packed", True)
         end = struct.pack("<I", end_id)
         ctx = TaskContext.get()
         part, attempt = ctx.partitionId(), ctx.taskAttemptId()
@@ -173,8 +180,9 @@ def write_tokens(
             return row
 
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = b"".join([cache[p] for p in bpe.spaced(t or "")]) + end
+            with collector_paused():
+                encoded = [b"".join(encode(t or "")) + end for t in b.column(1).to_pylist()]
+            for d, x in zip(b.column(0).to_pylist(), encoded):
                 parts.append(x)
                 doc_ids.append(d)
                 lengths.append(len(x) // 4)
