@@ -139,7 +139,7 @@ WITH d AS (
   SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM a
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND n_words - removed_words >= 10 AND n_words - removed_words >= 0.2::DOUBLE * n_words AS kept, removed_words
+       NOT base_failed AND n_words - removed_words >= 5 AND n_words - removed_words >= 0.2::DOUBLE * n_words AS kept, removed_words
 FROM b"""
 
 ORACLES["op4_mixing"] = r"""
