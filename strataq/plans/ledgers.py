@@ -81,13 +81,13 @@ def fifo(spark, sf_dir):
                  WHEN r.b <> 0 THEN r.w * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.w END
           FROM r JOIN pos p ON p.address = r.address AND p.pos = r.pos + 1
         )
-        SELECT address, b::BIGINT AS balance, round(CASE WHEN b <> 0 THEN w / b END, 3) AS birth FROM (SELECT *, max(pos) OVER (PARTITION BY address) AS last FROM r) WHERE pos = last""",
+        SELECT address, b::BIGINT AS balance, round(CASE WHEN b <> 0 THEN w / b / 86400 END, 3) AS birth FROM (SELECT *, max(pos) OVER (PARTITION BY address) AS last FROM r) WHERE pos = last""",
         "ch",
     ).replace("WITH ", "WITH RECURSIVE ", 1),
 )
 def tank(spark, sf_dir):
-    """K6, K7: the average birth time, a linear recurrence."""
-    return fold.tank(base.changes(spark, sf_dir)).select("address", "balance", F.round(F.when(F.col("balance") != 0, F.col("weight") / F.col("balance")), 3).alias("birth"))
+    """K6, K7: the average birth time in days, a linear recurrence."""
+    return fold.tank(base.changes(spark, sf_dir)).select("address", "balance", F.round(F.when(F.col("balance") != 0, F.col("weight") / F.col("balance") / 86400), 3).alias("birth"))
 
 
 @query(
