@@ -174,6 +174,8 @@ def write_tokens(
             name = f"tokens-{part:06d}-{seq:05d}.pfor"
             with where.open_output_stream(f"{folder}/.{name}.{attempt}") as f:
                 f.write(file_bytes(np.frombuffer(b"".join(parts), "<u4"), doc_ids, lengths, percentile))
+            if where.get_file_info(f"{folder}/{name}").is_file:  # of an attempt that was lost later; not every store replaces on renaming
+                where.delete_file(f"{folder}/{name}")
             where.move(f"{folder}/.{name}.{attempt}", f"{folder}/{name}")
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_tokens": pa.array([held], pa.int64())})
             parts, doc_ids, lengths, held, seq = [], [], [], 0, seq + 1

@@ -46,6 +46,13 @@ def test_files_of_odd_rows(spark, docs_of, odd_rows, tmp_path):
         assert all(f.endswith(".pfor") for f in os.listdir(f"{tmp_path}/{tokens}") if not f.endswith(".crc"))
 
 
+def test_a_second_attempt_replaces_the_files(docs_of, odd_rows, tmp_path):
+    out = f"file://{tmp_path}/twice"
+    tokenbin.write_tokens(docs_of(odd_rows), out, BYTE, 2)
+    m = tokenbin.write_tokens(docs_of(odd_rows), out, BYTE, 2)
+    assert Counter(map(tuple, tokenbin.read_tokens(m, out).collect())) == expect(odd_rows)
+
+
 def test_empty_table(docs_of, odd_rows, tmp_path):
     m = tokenbin.write_tokens(docs_of(odd_rows).limit(0), f"file://{tmp_path}/none", BYTE, 2)
     assert tokenbin.read_tokens(m, f"file://{tmp_path}/none").count() == 0
