@@ -34,6 +34,12 @@ def lifo_survivors(spark, sf_dir):
     return fold.survivors(base.changes(spark, sf_dir))
 
 
+@query("lifo_survivors_sliced", with_prelude("SELECT address, event_id, t, amount, held FROM survivors", "survivors"))
+def lifo_survivors_sliced(spark, sf_dir):
+    """W2, W3 for very large keys: no window holds a key's whole history."""
+    return fold.survivors_sliced(base.changes(spark, sf_dir), 24 * HOUR)
+
+
 @query("net_cohorts", with_prelude("SELECT address, odt, amount FROM live", "live"))
 def net_cohorts(spark, sf_dir):
     """The live stack rebuilt from the ledger."""

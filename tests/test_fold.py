@@ -61,6 +61,15 @@ def test_closed_forms_agree_with_the_ledger(spark):
     assert {k: sorted(v) for k, v in stacks.items() if v} == {k: sorted(v) for k, v in open_.items()}
 
 
+def test_slices_do_not_matter(spark):
+    rnd = random.Random(5)
+    ch = frame(spark, {k: [rnd.randint(-20, 20) for _ in range(30)] for k in range(1, 9)})
+    rows_of = lambda d, *c: sorted(map(tuple, d.select(*c).collect()))
+    for size in (1, 7, 1000):
+        assert rows_of(fold.survivors_sliced(ch, size), "event_id", "held") == rows_of(fold.survivors(ch), "event_id", "held")
+        assert rows_of(fold.balances_sliced(ch, size), "event_id", "balance", "old_balance") == rows_of(fold.balances(ch), "event_id", "balance", "old_balance")
+
+
 def test_fifo(spark):
     got = fold.fifo_matches(frame(spark, {1: [5, 3, -6, -1, 4]})).collect()
     assert sorted((r.in_event, r.out_event, r.amount) for r in got) == [(100, 102, 5), (101, 102, 1), (101, 103, 1)]
