@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from strataq.llm.common import arrow_map, collector_paused
 
-#: Pieces kept by one worker; the cache starts anew beyond that.
+#: Pieces kept by one worker, fewer where texts are kept with them; the cache starts anew beyond that.
 CACHE = 450_000
 LEAF = 2048
 
@@ -166,7 +166,8 @@ class Encoder:
     def __init__(self, file: str, kind: str, spaced: bool) -> None:
         tok = load(file)
         value = KINDS[kind](tok)
-        self.pre, self.whole, self.spaced = Pretokens(tok, value), Pieces(tok, value, CACHE // 8), spaced
+        size = CACHE if kind == "packed" else CACHE // 3
+        self.pre, self.whole, self.spaced = Pretokens(tok, value, size), Pieces(tok, value, size // 8), spaced
 
     def __call__(self, text: str) -> list:
         """Values of the text's pieces in order."""
