@@ -76,7 +76,7 @@ class Mix:
 
     def __init__(
         self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 0,
-        shard_tokens: int = 4_000_000, most_block: int = 512, blocks_a_source: int = 1000,
+        shard_tokens: int = 500_000, most_block: int = 512, blocks_a_source: int = 1000,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     ) -> None:
         self.docs, self.seed, self.text_col = docs, seed, text_col

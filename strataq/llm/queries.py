@@ -161,7 +161,7 @@ WITH d AS (
   SELECT *, least(most, coalesce((SELECT arg_min(level, ratio) FROM y WHERE level <= ratio) * weight, most)) AS target,
          greatest(1, least(512, floor(total::DOUBLE / (1000 * n_sources))))::BIGINT AS block FROM y
 ), v AS (
-  SELECT *, round(1.5::DOUBLE * total / block)::BIGINT AS house, greatest(1, ceil(source_size / 4000000.0::DOUBLE))::BIGINT AS shards FROM z
+  SELECT *, round(1.5::DOUBLE * total / block)::BIGINT AS house, greatest(1, ceil(source_size / 500000.0::DOUBLE))::BIGINT AS shards FROM z
 ), q AS (
   SELECT src, row_number() OVER (ORDER BY target / (2 * u.k + 1) DESC, src) AS place, house
   FROM v, LATERAL (SELECT unnest(generate_series(0, ceil(target / block)::BIGINT + n_sources)) AS k) u WHERE target > 0
