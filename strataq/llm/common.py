@@ -20,14 +20,17 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's shared checkpoint folder, with its lineage cut.
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names; a folder of our own only where it names none, as in tests."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or sc.getCheckpointDir()
 
-    A folder of our own is set only where the session names none, as in tests.
-    """
-    sc = df.sparkSession.sparkContext
-    if df.sparkSession.conf.get("spark.checkpoint.dir", None) is None and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the cluster's shared checkpoint folder, with its lineage cut."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

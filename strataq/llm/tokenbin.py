@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe
-from strataq.llm.common import collector_paused, cut, small_batches
+from strataq.llm.common import collector_paused, cut, shared_root, small_batches
 
 BLOCK = 4096
 HEAD, FOOT = struct.Struct("<IIIB3x"), struct.Struct("<QQQQ8s")
@@ -140,13 +140,7 @@ def _files(uri: str):
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the cluster's shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if top is None:
-        import tempfile
-
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def write_tokens(
