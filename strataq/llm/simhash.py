@@ -15,8 +15,7 @@ fewer than M links. Components come from alternating large-star and small-star s
 distributed links, with the lineage cut after each round.
 
 Three of 64 bits is close to equality. For a given Jaccard similarity of shingle sets, ``similar_documents``
-joins twelve independent 32-bit fingerprints in the same way, each as one table, and holds the pairs found against the
-similarity that all 384 bits together tell.
+finds candidates by min-hash buckets and decides every pair of a group of candidates by the sets themselves.
 """
 
 from __future__ import annotations
@@ -29,14 +28,14 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import arrow_map, cut, utf8
+from strataq.llm.common import arrow_map, cut, row_key, utf8
 
 BITS, BANDS = 64, 4
-#: Tables of ``similar_documents``, their bits, and 64-bit words of all.
-TABLES, TABLE_BITS = 12, 32
-WORDS = TABLES * TABLE_BITS // 64
+#: 64-bit words of a ``signature_of``.
+WORDS = 6
 #: Levels that Spark expands at once, and frontier entries walked at once.
 STEP, CHUNK = 4, 1 << 16
 #: Below this many comparisons a node pair is compared outright.
@@ -169,20 +168,19 @@ def walk(v: np.ndarray, alo, ahi, blo, bhi, depth: int, spent, budget: int, bits
 
 @dataclass(frozen=True)
 class Rule:
-    """``lead`` bits agree, of the first ``bits`` at most ``budget`` differ, and of the whole signature at most ``most``."""
+    """``lead`` bits agree, and of the first ``bits`` at most ``budget`` differ."""
 
     lead: int
     bits: int
     budget: int
-    most: int | None = None
 
 
 class Trie:
-    """Entries of one band sorted by their rotated bits: what is walked, the nodes they stand for, and their signatures if any."""
+    """Entries of one band sorted by their rotated bits: what is walked, and the nodes they stand for."""
 
-    def __init__(self, rot: np.ndarray, node: np.ndarray, signature: np.ndarray) -> None:
+    def __init__(self, rot: np.ndarray, node: np.ndarray) -> None:
         order = np.argsort(rot, kind="stable")
-        self.v, self.node, self.signature = rot[order], node[order], signature[order]
+        self.v, self.node = rot[order], node[order]
 
     def ranges(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         head = self.v >> np.uint64(BITS - depth)
@@ -192,11 +190,6 @@ class Trie:
     def links(self, alo, ahi, blo, bhi, depth: int, spent, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
         forest = Forest(len(self.v))
         for i, j in walk(self.v, alo, ahi, blo, bhi, depth, spent, rule.budget, rule.bits):
-            if rule.most is not None:
-                apart = forest.roots(i) != forest.roots(j)
-                i, j = i[apart], j[apart]
-                near = np.bitwise_count(self.signature[i] ^ self.signature[j]).sum(1, dtype=np.int64) <= rule.most
-                i, j = i[near], j[near]
             forest.join(i, j)
         i = np.arange(len(self.v))
         r = forest.roots(i)
@@ -214,7 +207,7 @@ def _walk_bands(rule: Rule):
         band, held = None, []
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            t = Trie(_unsigned(rows[0]), rows[1], rows[2:].T.view(np.uint64) if rule.most is not None else rows[1])
+            t = Trie(_unsigned(rows[0]), rows[1])
             lo, hi = t.ranges(rule.lead)
             many = hi - lo > 1
             lo, hi = lo[many], hi[many]
@@ -248,9 +241,7 @@ def _walk_pair(rule: Rule):
         """One pair of trie nodes that Spark has expanded from a large trie."""
         depth, spent = int(pdf["depth"].iloc[0]), int(pdf["spent"].iloc[0])
         node = pdf["node"].to_numpy(np.int64)
-        extra = [c for c in pdf.columns if c[0] == "s" and c[1:].isdigit()]
-        sig = np.stack([pdf[c].to_numpy(np.int64) for c in extra], 1).view(np.uint64) if extra else node
-        t = Trie(_unsigned(pdf["rot"].to_numpy(np.int64)), node, sig)
+        t = Trie(_unsigned(pdf["rot"].to_numpy(np.int64)), node)
         lo, hi = t.ranges(depth)
         b = 0 if key[1] == key[2] else 1
         if b < len(lo):
@@ -263,7 +254,7 @@ def _walk_pair(rule: Rule):
 
 
 def trie_links(rotated: DataFrame, rule: Rule, max_node: int) -> DataFrame:
-    """(u, v) among the rows (band, rot, node, s0, s1, ..) of ``rotated``; rot: rotated bits from the top, the sign bit flipped,
+    """(u, v) among the rows (band, rot, node) of ``rotated``; rot: rotated bits from the top, the sign bit flipped,
     so that Spark's signed order is the unsigned one."""
     data = [c for c in rotated.columns if c != "band"]
     head = lambda depth: F.shiftrightunsigned(F.col("rot"), BITS - depth)
@@ -380,11 +371,7 @@ def signature_of(words: list[bytes], n: int = 5) -> np.ndarray:
     """Majority bits of WORDS independent 64-bit hashes over the set of n-word shingles; no words: all zero."""
     if not words:
         return np.zeros(WORDS, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-n]))
-    stops = ends[min(n, len(words)) - 1 :] - 1
-    h = np.unique(np.fromiter([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts.tolist(), stops.tolist())], np.uint64, len(stops)))
+    h = shingles_of(words, n)
     out = np.empty(WORDS, np.uint64)
     for k in range(WORDS):
         g = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
@@ -402,57 +389,150 @@ def most_differing(similarity: float) -> int:
     return int(np.ceil(np.arccos(cosine) / np.pi * WORDS * 64))
 
 
-#: Estimates this far below the least similarity still pass: 1.3 standard errors, as a lost copy is worse than a lost variant.
-SLACK = 0.06
+#: Min-hash bands of ``similar_documents`` and the functions in each. A pair of similarity s meets with a chance of
+#: 1 - (1 - s ** HASHES) ** SKETCHES: all but 5 in a million at 0.8.
+SKETCHES, HASHES = 40, 6
+#: Shingles of a candidate group that are compared in one block.
+BLOCK = 400_000
+_RND = np.random.default_rng(42)
+_XOR = _RND.integers(0, 1 << 64, SKETCHES * HASHES, np.uint64)
+_TIMES = _RND.integers(0, 1 << 64, SKETCHES * HASHES, np.uint64) | np.uint64(1)
+_MIX = _RND.integers(0, 1 << 64, (SKETCHES, HASHES), np.uint64) | np.uint64(1)
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8, max_node: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) for every row: components of documents whose shingle sets have about ``least_similarity`` or more in common.
+def shingles_of(words: list[bytes], n: int = 5) -> np.ndarray:
+    """Sorted distinct XXH64 (seed 42) of the n-word shingles; fewer than n words are one shingle, no words none."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-n]))
+    stops = ends[min(n, len(words)) - 1 :] - 1
+    return np.unique(np.fromiter([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts.tolist(), stops.tolist())], np.uint64, len(stops)))
+
+
+def buckets_of(shingles: np.ndarray) -> np.ndarray:
+    """SKETCHES signed bucket numbers of a shingle set; an empty set has none."""
+    if not len(shingles):
+        return np.zeros(0, np.int64)
+    low = np.full(SKETCHES * HASHES, (1 << 64) - 1, np.uint64)
+    for i in range(0, len(shingles), 512):
+        g = (shingles[i : i + 512, None] ^ _XOR) * _TIMES
+        g ^= g >> np.uint64(32)
+        np.minimum(low, g.min(0), out=low)
+    return (low.reshape(SKETCHES, HASHES) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def similar_pairs(sets: list[np.ndarray], block: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j) that connect just what has a Jaccard similarity of ``least`` or more; of two blocks only pairs across count."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    forest, mark = Forest(len(sets)), np.zeros(codes.max(initial=-1) + 1, np.int64)
+    across = block.min() != block.max()
+    every = np.arange(len(sets))
+    for i in np.flatnonzero(block == block.min()).tolist():
+        other = block != block[i] if across else every > i
+        roots = forest.roots(every)
+        other &= roots != roots[i]
+        if not other.any():
+            continue
+        own = codes[start[i] : start[i] + size[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[codes], start)
+        mark[own] = 0
+        near = np.flatnonzero(other & (both >= least * (size[i] + size - both) - 1e-9))
+        forest.join(np.full(len(near), i), near)
+    r = forest.roots(every)
+    return every[r != every], r[r != every]
 
-    The similarity is read off the 384-bit signatures, whose standard error is 0.045 there, and may be ``SLACK`` lower. A pair at similarity
-    0.8 is met by one of the tables with a chance of 0.975, one at 0.9 nearly always. Nulls, empty texts and repeated rows are as in ``near_duplicates``.
-    """
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    words = [f"s{k}" for k in range(WORDS)]
+
+def _decide(shingle: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (root, lo, hi, node, block, text) sorted by the first three: whole groups, of which the last waits for the next batch."""
+        group, held = None, {}
+        u: list[int] = []
+        v: list[int] = []
+
+        def decide() -> None:
+            if len(held) > 1 and (group[1] == group[2] or len({b for b, _ in held.values()}) > 1):
+                node = list(held)
+                i, j = similar_pairs([shingles_of(t.lower().split(), shingle) for _, t in held.values()], np.array([b for b, _ in held.values()]), least)
+                u.extend(node[k] for k in i)
+                v.extend(node[k] for k in j)
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+            u.clear(), v.clear()
+            return made
+
+        for b in batches:
+            for *key, node, block, text in zip(*(c.to_pylist() for c in b.columns[:5]), utf8(b.column(5))):
+                if key != group:
+                    decide()
+                    group, held = key, {}
+                held[node] = block, text
+            yield out()
+        decide()
+        yield out()
+
+    return run
+
+
+def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, key, node, root, component_id) for every row; key: ``row_key`` of id and text, node: a digest of the shingle set."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("key"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sig = np.array([signature_of(t.lower().split(), shingle) for t in utf8(b.column(1))], np.uint64).reshape(-1, WORDS).view(np.int64)
-        return pa.RecordBatch.from_arrays([b.column(0), *(pa.array(sig[:, k].copy()) for k in range(WORDS))], ["doc_id", *words])
-
-    made = cut(arrow_map(slim, run, "doc_id long, " + ", ".join(f"{w} long" for w in words)).withColumn("node", F.xxhash64(*words)))
-    least = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(w).alias(w) for w in words]))
-    width = TABLE_BITS // BANDS
-    rows = []
-    for t in range(TABLES):
-        high = F.col(words[t // 2]) if t % 2 else F.shiftleft(words[t // 2], 32)
-        high = F.shiftleft(F.shiftrightunsigned(high, 32), 32)  # the table's 32 bits, on top
-        for b in range(BANDS):
-            turned = F.shiftleft(high, width * b).bitwiseOR(F.shiftleft(F.shiftrightunsigned(high, 64 - width * b), 32)) if b else high
-            rows.append(F.struct(F.lit(BANDS * t + b).alias("band"), turned.bitwiseXOR(F.lit(FLIP)).alias("rot")))
-    rotated = least.select(F.explode(F.array(*rows)).alias("x"), "node", *words).select("x.*", "node", *words)
-    found = trie_links(rotated, Rule(width, TABLE_BITS, BANDS - 1, most_differing(least_similarity - SLACK)), max_node)
-    return _labelled(made.select("doc_id", "node"), least.select("node", "least"), components(found))
+        sets = [shingles_of(t.lower().split(), shingle) for t in utf8(b.column(1))]
+        node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+        buckets = pa.array([buckets_of(s) for s in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array(list(map(len, sets)), pa.int64()), buckets], ["doc_id", "key", "node", "size", "buckets"])
+
+    made = cut(arrow_map(slim, run, "doc_id long, key long, node long, size long, buckets array<long>"))
+    least = made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
+    lead = F.min("node").over(W.partitionBy("bucket"))
+    met = least.select("node", F.explode("buckets").alias("bucket")).select(F.col("node").alias("u"), lead.alias("v")).where("u <> v").distinct()
+    least = least.select("node", "least", "key", "size")
+    group = components(met)
+    group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct().join(least.drop("least"), "node"))
+    blocks = F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / max_node), F.lit(1)).cast("int")
+    sides = group.join(group.groupBy("root").agg(blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    texts = slim.select("key", "text").join(sides.select("key", "root", "node", "block", "blocks"), "key")
+    pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "text"
+    )
+    pairs = pairs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    return _labelled(made.select("doc_id", "key", "node"), least.select("node", "least"), components(pairs.mapInArrow(_decide(shingle, least_similarity), "u long, v long")))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8, max_node: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) for every row: components of documents whose shingle sets have ``least_similarity`` or more in common.
+
+    Sets that share a min-hash bucket are candidates; within a group of candidates all pairs are decided by the exact Jaccard
+    similarity of their sets. Of more than ``BLOCK`` shingles or ``max_node`` sets a group is cut into blocks and each pair of blocks is a
+    unit of its own. Nulls, empty texts and repeated rows are as in ``near_duplicates``.
+    """
+    return _similar(docs, shingle, least_similarity, max_node, id_col, text_col).select("doc_id", "component_id")
 
 
 def _labelled(rows: DataFrame, least: DataFrame, comp: DataFrame) -> DataFrame:
-    """(doc_id, node, component_id) of the rows (doc_id, node)."""
+    """The rows (.., node) with root and component_id."""
     comp = comp.withColumnRenamed("node", "in")
     rooted = least.join(comp, least["node"] == comp["in"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(best, "root").select("node", "component_id"), "node")
+    return rows.join(rooted.join(best, "root").select("node", "root", "component_id"), "node")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8, max_node: int = 50_000) -> DataFrame:
-    """``docs`` with one document of each component of ``similar_documents``, that of the smallest doc_id.
+    """``docs`` with one row of each component of ``similar_documents``, that of the smallest doc_id.
 
-    Of repeated rows with that doc_id one stays; rows without a doc_id can't be told apart and all stay.
+    Rows are told apart by doc_id and text; a row without a doc_id stays only if no other of its component has one.
     """
-    dup = similar_documents(docs, shingle, least_similarity, max_node)
-    lost = dup.where("doc_id <> component_id").select(F.col("doc_id").alias("lost_id")).distinct()
-    kept = docs.join(lost, docs["doc_id"] == lost["lost_id"], "left_anti")
-    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("twice_id")))
-    if twice.isEmpty():
-        return kept
-    again = kept.join(twice, kept["doc_id"] == twice["twice_id"], "left_semi").dropDuplicates(["doc_id"])
-    once = kept.join(twice, kept["doc_id"] == twice["twice_id"], "left_anti")
-    return once.unionByName(again)
+    dup = cut(_similar(docs, shingle, least_similarity, max_node))
+    first = dup.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key"))["key"].alias("__key"))
+    kept = docs.withColumn("__key", row_key("doc_id", "text")).join(first, "__key", "left_semi")
+    twice = cut(dup.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key")))
+    if not twice.isEmpty():
+        kept = kept.join(twice, "__key", "left_anti").unionByName(kept.join(twice, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.select(*docs.columns)

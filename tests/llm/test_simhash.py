@@ -122,3 +122,47 @@ def test_signature_tells_similarity():
     differ = int(np.bitwise_count(sig ^ simhash.signature_of(edited)).sum())
     assert abs(differ - simhash.most_differing(356 / 436)) < 25
     assert simhash.signature_of([]).sum() == 0 and simhash.signature_of([b"one"]).any()
+
+
+def pair_at(rnd, inside, n):
+    """Two texts of n five-word shingles each, of which ``inside`` are common."""
+    word = lambda: f"w{rnd.randrange(10**9)}"
+    a = [word() for _ in range(n + 4)]
+    return " ".join(a), " ".join(a[: inside + 4] + [word() for _ in range(n - inside)])
+
+
+@pytest.mark.parametrize("inside, n", [(140, 170), (60, 70), (79, 90), (80, 90), (68, 74)])  # similarity 0.7, 0.75, 0.782, 0.8, 0.85
+def test_similarity_is_exact(docs_of, inside, n):
+    rnd = random.Random(inside)
+    rows = [(2 * k + c, t, "s") for k in range(300) for c, t in enumerate(pair_at(rnd, inside, n))]
+    linked = simhash.similar_documents(docs_of(rows)).where("doc_id <> component_id").collect()
+    assert all(r.doc_id == r.component_id + 1 for r in linked)
+    assert len(linked) == (300 if 10 * inside >= 8 * (2 * n - inside) else 0)
+
+
+def test_blocks_find_the_same(docs_of):
+    rnd = random.Random(4)
+    base = [f"b{i}" for i in range(124)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for at in range(rnd.choice([0, 20]), 120, rnd.choice([30, 40, 60])):
+            w[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(w), "s"))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for _, t, _ in rows]
+    up = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]) and up[i] != up[j]:
+                up = [min(up[i], up[j]) if x in (up[i], up[j]) else x for x in up]
+    for max_node in (50_000, 7):
+        got = simhash.similar_documents(docs_of(rows), max_node=max_node).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(up))
+    assert 1 < len(set(up)) < 60
+
+
+def test_keep_one_by_row(docs_of):
+    one, other = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one, "s"), (2, one, "s"), (2, other, "s"), (2, other, "t"), (None, other, "s"), (None, "no id", "s"), (None, "no id", "s")]
+    kept = simhash.keep_one(docs_of(rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, kept)) == Counter([(1, one), (2, other), (None, "no id")])
