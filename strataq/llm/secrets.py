@@ -3,9 +3,9 @@
 A candidate is a run of at least ``window`` characters of ``[A-Za-z0-9+/_=-]``. Its character class is
 hex if it holds only hex digits, else mixed. A window slides over it; adding one character and taking
 one away updates the counts and with them the Shannon entropy. Windows whose entropy reaches the class's
-threshold and that hold letters and digits are merged into spans. The allow-list suppresses candidates that are no secrets though they look
-random: UUIDs, digests announced as such, sample keys and digit-poor slugs. Added spans that
-touch a base span are left out, as that one already tells of them.
+threshold and that hold letters and digits are merged into spans; where the letters don't read as words (slugs, paths, camel case),
+digits aren't asked for. The allow-list suppresses candidates that are no secrets though they look
+random: UUIDs, digests announced as such and sample keys. Base spans are cut out of added spans; what they leave stays.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ HEX = re.compile(r"[0-9a-f]+")
 WINDOW = 20
 #: Bits per character that a window must reach, by class.
 THRESHOLDS = {"entropy_hex": 3.1, "entropy_mixed": 3.85}
-#: A mixed candidate has this many digits at least; slugs and long words have fewer.
-LEAST_DIGITS = 3
+#: Words in camel case have this many letters on average at least; random letters of both cases have about 2.7.
+WORD = 3.5
+CAMEL = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 ALLOWED = re.compile(
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|EXAMPLE|^(sha(1|256|384|512)|md5)-", re.A
 )
@@ -42,8 +43,14 @@ _CLASS[[*b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"]
 _TERM = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
-def window_spans(s: str, window: int = WINDOW) -> list[Span]:
-    """Spans within the candidate ``s`` whose windows reach the threshold."""
+def wordy(s: str) -> bool:
+    """Whether the letters of ``s`` read as words: no mixed case, or words in camel case of ``WORD`` letters on average."""
+    letters = sum(map(str.isalpha, s))
+    return s.lower() == s or s.upper() == s or letters >= WORD * len(CAMEL.findall(s))
+
+
+def window_spans(s: str, window: int = WINDOW, plain: bool = False) -> list[Span]:
+    """Spans within the candidate ``s`` whose windows reach the threshold and hold letters and digits; ``plain``: letters will do."""
     kind = "entropy_hex" if re.fullmatch(r"[0-9a-fA-F]+", s) else "entropy_mixed"
     most = log2(window) * window - THRESHOLDS[kind] * window
     counts: dict[str, int] = {}
@@ -62,7 +69,7 @@ def window_spans(s: str, window: int = WINDOW) -> list[Span]:
             total += _TERM[n - 1] - _TERM[n]
             digits -= o.isdigit()
             letters -= o.isalpha()
-        if i >= window - 1 and digits and letters and total <= most + 1e-9:
+        if i >= window - 1 and (digits or plain) and letters and total <= most + 1e-9:
             lo = i - window + 1
             if out and lo <= out[-1][2]:
                 out[-1] = (kind, out[-1][1], i + 1)
@@ -71,6 +78,17 @@ def window_spans(s: str, window: int = WINDOW) -> list[Span]:
     return out
 
 
+def outside(lo: int, hi: int, base: list[Span]) -> list[tuple[int, int]]:
+    """What the ``base`` spans leave of the range from ``lo`` to ``hi``."""
+    out = []
+    for _, a, b in sorted(base, key=lambda x: x[1]):
+        if lo < a < hi:
+            out.append((lo, a))
+        if a < hi:
+            lo = max(lo, b)
+    return [*out, (lo, hi)] if lo < hi else out
+
+
 def scan(text: str, runs: list[tuple[int, int]]) -> list[Span]:
     """All spans of ``text``, by start and then kind; ``runs``: its candidates as code point ranges."""
     low = text.lower()
@@ -82,10 +100,10 @@ def scan(text: str, runs: list[tuple[int, int]]) -> list[Span]:
         s = text[lo:hi]
         base += [("access", lo + m.start(), lo + m.end()) for m in ACCESS.finditer(s) if len(m[0]) >= 20]
         base += [("hex", lo + m.start(), lo + m.end()) for m in HEX.finditer(s) if len(m[0]) >= 24]
-        if sum(map(str.isdigit, s)) < LEAST_DIGITS or ALLOWED.search(s) or ALLOWED_BEFORE.search(text[max(0, lo - 24) : lo]):
+        if ALLOWED.search(s) or ALLOWED_BEFORE.search(text[max(0, lo - 24) : lo]):
             continue
-        added += [(k, lo + a, lo + b) for k, a, b in window_spans(s)]
-    added = [x for x in added if not any(a < x[2] and x[1] < b for _, a, b in base)]
+        added += [(k, lo + a, lo + b) for k, a, b in window_spans(s, plain=not wordy(s))]
+    added = [(k, *part) for k, a, b in added for part in outside(a, b, base)]
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
