@@ -6,7 +6,7 @@ of the corpus have a class each, any other word falls in the class of its ending
 over the distinct words in it, counted over the whole corpus. A document's score is the sum of the logarithms over its words.
 
 Word counts cover all documents. Training goes over all documents in rounds: every partition trains a copy of the
-parameters by Adam in numpy on every ``stride``-th window, beginning at another place each round, and the copies are averaged by the
+parameters by Adam in numpy on its share of the windows, so that the rounds together take every window, and the copies are averaged by the
 windows they saw. So what is gathered grows with the input; only the averaged parameters, of a fixed size,
 come to the driver.
 """
@@ -132,6 +132,11 @@ def streams(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarra
     return x, np.flatnonzero(x != EDGE), n
 
 
+def turns(n: int, turn: int, rounds: int, stride: int) -> np.ndarray:
+    """Which of ``n`` windows a round takes: the places in each ``stride`` are dealt to the rounds, and none is left out."""
+    return np.arange(n) % stride % rounds == turn % min(stride, rounds)
+
+
 class Scorer:
     """A trained network with its word classes."""
 
@@ -173,7 +178,7 @@ class Scorer:
 
 
 def fit(
-    docs: DataFrame, own: int = 95, endings: int = 32, hidden: int = 24, rounds: int = 2, stride: int = 8, batch: int = 4096, rate: float = 0.01, seed: int = 0, text_col: str = "text"
+    docs: DataFrame, own: int = 95, endings: int = 32, hidden: int = 24, rounds: int = 2, stride: int = 2, batch: int = 4096, rate: float = 0.01, seed: int = 0, text_col: str = "text"
 ) -> Scorer:
     """Count words and train over all of ``docs``; an empty table leaves the network as it starts."""
     texts = docs.select(F.col(text_col).cast("string").alias("text"))
@@ -189,7 +194,7 @@ def fit(
     for r in range(rounds):
         flat = np.concatenate([v.ravel() for v in params.values()])
 
-        def run(batches: Iterator[pa.RecordBatch], flat=flat, offset=r * stride // rounds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], flat=flat, turn=r) -> Iterator[pa.RecordBatch]:
             classes, p, at = Classes(frequent, endings), {}, 0
             for k, s in shapes.items():
                 p[k] = flat[at : at + np.prod(s)].reshape(s).copy()
@@ -198,7 +203,7 @@ def fit(
             held_ctx, held_want, held = [], [], 0
             for b in batches:
                 ids, words, _ = streams(utf8(b.column(0)), classes)
-                words = words[offset::stride]
+                words = words[turns(len(words), turn, rounds, stride)]
                 held_ctx.append(contexts(ids, words))
                 held_want.append(ids[words])
                 held += len(words)

@@ -63,3 +63,11 @@ def test_gradients():
 def test_empty(docs_of, odd_rows):
     model = lm.fit(docs_of(odd_rows).limit(0))
     assert model.score(docs_of(odd_rows).limit(0)).count() == 0
+
+
+def test_every_window_is_trained_on(docs_of):
+    for rounds in range(1, 5):
+        for stride in range(1, 10):
+            assert sum(lm.turns(50, r, rounds, stride).astype(int) for r in range(rounds)).min() >= 1
+    c = lm.fit(docs_of([(1, "p q r s", "a")]), own=4, endings=2).params["c"]
+    assert (c[1:5] > c[lm.EDGE] + 0.005).all()
