@@ -11,10 +11,11 @@ TOKS = {f: bpe.load(f) for f in (WORD, BYTE)}
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
 
-def check(text):
+def check(text, leaf=bpe.PART):
     for f, keeps in ((WORD, False), (BYTE, True)):
-        got = [i for p in bpe.worker_encoder(f, "ids", keeps)(text) for i in p]
-        assert got == TOKS[f].encode(text, add_special_tokens=False).ids
+        encoder, want = bpe.worker_encoder(f, "ids", keeps), TOKS[f].encode(text, add_special_tokens=False).ids
+        assert [i for p in encoder(text) for i in p] == want
+        assert [[i for p in x for i in p] for x in encoder.batch([text, "", text], leaf)] == [want, [], want]
 
 
 @settings(max_examples=600, deadline=None)
@@ -29,6 +30,29 @@ def test_latin_texts(text):
     check(text)
 
 
+@settings(max_examples=600, deadline=None)
+@given(st.text(st.sampled_from("abK1'!,   \n\xa0\x85\u3000\u2009\x1c日яá\u0301"), max_size=40))
+def test_mixed_white_space(text):
+    check(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.sampled_from("abstAB12'!,.    \n\xa0é日"), min_size=20, max_size=400), st.sampled_from([8, 30, 100]))
+def test_trees_of_whole_texts_are_exact(text, leaf):
+    check(text, leaf)
+
+
+def test_long_texts_take_the_tree(spark, monkeypatch):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text and len(r.text) > bpe.PART]
+    joins = []
+    spliced = bpe._spliced
+    monkeypatch.setattr(bpe, "_spliced", lambda *a: joins.append(1) or spliced(*a))
+    for f, keeps in ((WORD, False), (BYTE, True)):
+        got = bpe.worker_encoder(f, "ids", keeps).batch(texts)
+        assert [[i for p in x for i in p] for x in got] == [e.ids for e in TOKS[f].encode_batch(texts, add_special_tokens=False)]
+    assert len(joins) >= 2 * len(texts) > 0
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.text(st.sampled_from("abcdeAB12'!é日"), min_size=20, max_size=500), st.sampled_from([16, 50]), st.sampled_from([4, 32]))
 def test_tree_concatenation_is_exact(text, leaf, window):
