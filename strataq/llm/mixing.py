@@ -5,8 +5,10 @@ goes to the others by weight until none is above. In the order of cap per weight
 prefix, so running sums give the common level of the rest at once.
 
 Quotas. The total is cut into blocks of equal size, and the blocks are seats: each next one goes to the source with the
-highest quotient target / (2 * seats + 1). A source's documents are dealt into shards of bounded size, and its seats go to
-its shards in the same way by their sizes. Two divisors that enclose the final one bound the seats from
+highest quotient target / (2 * seats + 1). A source with fewer than ``least_seats`` of them is so small that a block is a coarse
+measure; its target is cut into about that many blocks of its own. A source's documents are dealt into shards of bounded size and its
+seats go to groups of shards and in each group to shards, in the same way by their sizes, so that no task sees all
+shards of a source. Two divisors that enclose the final one bound the seats from
 below and above, so only about two quotients a party are ever ranked, not one for each block.
 
 Selection. A shard's documents, in a seeded order, form a stream of tokens in blocks of equal length. All blocks
@@ -16,6 +18,8 @@ document gives is the sum over the blocks that it overlaps, so blocks are never
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -76,10 +80,10 @@ class Mix:
 
     def __init__(
         self, docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 0,
-        shard_tokens: int = 500_000, most_block: int = 512, blocks_a_source: int = 1000,
+        shard_tokens: int = 500_000, shards_a_group: int = 1024, most_block: int = 512, blocks_a_source: int = 1000, least_seats: int = 64,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
     ) -> None:
-        self.docs, self.seed, self.text_col = docs, seed, text_col
+        self.docs, self.seed, self.text_col, self.passes = docs, seed, text_col, max(1, ceil(cap))
         self.columns = sizes(docs, seed, id_col, text_col, source_col)
         self.slim = cut(docs.select(*self.columns))
         totals = self.slim.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -88,12 +92,18 @@ class Mix:
         block = F.greatest(F.lit(1), F.least(F.lit(most_block), F.floor(F.col("total") / (blocks_a_source * sources)))).cast("long")
         t = t.withColumn("block", block).withColumn("house", F.round(share * F.col("total") / F.col("block")).cast("long")).withColumn("one", F.lit(1))
         t = sainte_lague(t, ["one"], "src", "target", "house")
+        small = F.col("seats") < least_seats
+        fine = F.least("block", F.greatest(F.lit(1), F.floor(F.col("target") / least_seats))).cast("long")
+        t = t.withColumns({"seats": F.when(small, F.round(F.col("target") / fine).cast("long")).otherwise(F.col("seats")), "block": F.when(small, fine).otherwise(F.col("block"))})
         t = t.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"))
         self.sources = cut(t.select("source", "src", "source_size", "target", "block", "shards", F.col("seats").alias("source_seats")))
         parts = self._dealt(self.slim).groupBy("src", "shard").agg(F.sum("size").alias("length"), F.first("block").alias("block"), F.first("source_seats").alias("source_seats"))
-        parts = sainte_lague(parts, ["src"], "shard", "length", "source_seats")
+        parts = parts.withColumn("group", F.expr(f"shard div {shards_a_group}"))
+        groups = parts.groupBy("src", "group").agg(F.sum("length").alias("weight"), F.first("source_seats").alias("source_seats"))
+        groups = sainte_lague(groups, ["src"], "group", "weight", "source_seats").select("src", "group", F.col("seats").alias("group_seats"))
+        parts = sainte_lague(parts.join(groups, ["src", "group"]), ["src", "group"], "shard", "length", "group_seats")
         parts = parts.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("length") / F.col("block"))).cast("long"))
-        whole = F.lit(int(cap)) * F.col("blocks")
+        whole = F.floor(F.lit(float(cap)) * F.col("blocks")).cast("long")
         self.quotas = cut(parts.select("src", "shard", "length", "blocks", F.least("seats", whole).alias("quota")))
 
     def _dealt(self, sized: DataFrame) -> DataFrame:
@@ -129,12 +139,13 @@ class Mix:
     def documents(self) -> DataFrame:
         """The mix itself, in the documents' columns: a row for each document and pass that takes any of it.
 
-        The second pass holds what is taken twice. A document that a pass takes in part has the words of the blocks taken,
+        There are as many passes as ``cap`` rounded up; the second holds what is taken twice, and so on. Null texts and texts without a word
+        are not taken; an empty table gives none. A document that a pass takes in part has the words of the blocks taken,
         with the white space behind them.
         """
         names = self.docs.columns
         placed = self._placed(self.docs.select(*self.columns, F.struct(*names).alias("row")))
-        passes = placed.select("row", "size", "start", F.explode(F.expr("transform(sequence(1, 2), c -> filter(pieces, p -> p.times >= c))")).alias("got")).where(F.size("got") > 0)
+        passes = placed.select("row", "size", "start", F.explode(F.expr(f"transform(sequence(1, {self.passes}), c -> filter(pieces, p -> p.times >= c))")).alias("got")).where(F.size("got") > 0)
         text = F.col("row")[self.text_col]
         partial = F.expr(
             f"array_join(flatten(transform(got, p -> slice(words, cast(p.lo - start + 1 as int), cast(p.hi - p.lo as int)))), '')"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.llm import ann, bpe, chat, chunks, lm, mixing, quality, secrets, simhash, tokenbin
+from strataq.llm.common import cut, scratch_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,9 +63,9 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids written to packed files and read back."""
-    out = tokenbin.shared_folder(spark, "token-files")
-    manifest = tokenbin.write_tokens(_table(spark, sf_dir, "documents"), out, bpe.path("byte_bpe_50k.json"), end_id=2)
-    return tokenbin.read_tokens(manifest, out)
+    with scratch_folder(spark, "token-files") as out:
+        manifest = tokenbin.write_tokens(_table(spark, sf_dir, "documents"), out, bpe.path("byte_bpe_50k.json"), end_id=2)
+        return cut(tokenbin.read_tokens(manifest, out))
 
 
 @_query
@@ -99,9 +100,9 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op5_quality_rules"] = r"""
 WITH d AS (
-  SELECT doc_id, source, text IS NULL AS is_null, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id, source, text) AS k FROM documents
+  SELECT doc_id, source, text IS NULL AS is_null, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id, source, text) AS k, dense_rank() OVER (ORDER BY doc_id, source, text) AS doc FROM documents
 ), m AS (
-  SELECT k, doc_id, source, t, regexp_extract_all(t, '[^ 	-
+  SELECT k, doc, doc_id, source, t, regexp_extract_all(t, '[^ 	-
 ]+') AS ws FROM d
 ), w AS (
   SELECT k, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM m
@@ -116,18 +117,18 @@ WITH d AS (
 ), rep AS (
   SELECT k, sum(hit::INT) AS n_repeat FROM c GROUP BY k
 ), l AS (
-  SELECT k, source, t, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS no FROM m
+  SELECT k, doc, doc_id, source, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS no FROM m
 ), n AS (
-  SELECT k, source, t, no, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+  SELECT k, doc, doc_id, source, no, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
 ]+') AS ws FROM l
 ), du AS (
   SELECT k, count(*) - count(DISTINCT line) AS dup FROM n WHERE len(ws) > 0 GROUP BY k
 ), s AS (
-  SELECT k, coalesce(source, chr(1)) AS host, t, no, array_to_string(ws, ' ') AS norm, len(ws) AS nw FROM n WHERE len(ws) BETWEEN 1 AND 25
+  SELECT k, doc, doc_id, coalesce(source, chr(1)) AS host, array_to_string(ws, ' ') AS norm, len(ws) AS nw FROM n WHERE len(ws) > 0
 ), f AS (
-  SELECT host, norm FROM s GROUP BY host, norm HAVING count(DISTINCT t) > 20
+  SELECT host, norm, min(doc_id) AS first FROM s GROUP BY host, norm HAVING count(DISTINCT doc) > 20
 ), gone AS (
-  SELECT k, sum(nw) AS removed FROM s JOIN f USING (host, norm) GROUP BY k
+  SELECT k, sum(nw) AS removed FROM s JOIN f USING (host, norm) WHERE doc_id IS DISTINCT FROM first GROUP BY k
 ), a AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words,
          length(regexp_replace(t, '[ 	-
@@ -165,19 +166,29 @@ WITH d AS (
 ), q AS (
   SELECT src, row_number() OVER (ORDER BY target / (2 * u.k + 1) DESC, src) AS place, house
   FROM v, LATERAL (SELECT unnest(generate_series(0, ceil(target / block)::BIGINT + n_sources)) AS k) u WHERE target > 0
+), won AS (
+  SELECT src, count(*)::BIGINT AS n FROM q WHERE place <= house GROUP BY src
+), fine AS (
+  SELECT v.src, coalesce(n, 0) AS n, least(block, greatest(1, floor(target / 64)))::BIGINT AS own, target FROM v LEFT JOIN won USING (src)
 ), seats AS (
-  SELECT src, count(*)::BIGINT AS source_seats FROM q WHERE place <= house GROUP BY src
+  SELECT src, CASE WHEN n < 64 THEN round(target / own)::BIGINT ELSE n END AS source_seats, CASE WHEN n < 64 THEN own END AS own FROM fine
 ), p AS (
-  SELECT d.*, v.src, v.source_size, v.target, v.block, coalesce(source_seats, 0) AS source_seats, ('0x' || substr(h, 1, 8))::BIGINT % v.shards AS shard
-  FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source LEFT JOIN seats ON seats.src = v.src
+  SELECT d.*, v.src, v.source_size, v.target, coalesce(own, v.block) AS block, source_seats, ('0x' || substr(h, 1, 8))::BIGINT % v.shards AS shard
+  FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source JOIN seats ON seats.src = v.src
 ), sh AS (
-  SELECT src, shard, sum(size)::BIGINT AS length, any_value(block) AS block, any_value(source_seats) AS source_seats,
-         count(*) FILTER (WHERE sum(size) > 0) OVER (PARTITION BY src) AS n_shards FROM p GROUP BY src, shard
+  SELECT src, shard, shard // 1024 AS grp, sum(size)::BIGINT AS length, any_value(block) AS block, any_value(source_seats) AS source_seats FROM p GROUP BY src, shard
+), gr AS (
+  SELECT src, grp, sum(length)::BIGINT AS weight, any_value(block) AS block, any_value(source_seats) AS source_seats FROM sh GROUP BY src, grp
+), gq AS (
+  SELECT src, grp, row_number() OVER (PARTITION BY src ORDER BY weight::DOUBLE / (2 * u.k + 1) DESC, grp) AS place, source_seats
+  FROM gr, LATERAL (SELECT unnest(generate_series(0, source_seats)) AS k) u WHERE weight > 0
+), gs AS (
+  SELECT src, grp, count(*)::BIGINT AS group_seats FROM gq WHERE place <= source_seats GROUP BY src, grp
 ), sq AS (
-  SELECT src, shard, row_number() OVER (PARTITION BY src ORDER BY length::DOUBLE / (2 * u.k + 1) DESC, shard) AS place, source_seats
-  FROM sh, LATERAL (SELECT unnest(generate_series(0, ceil(2.0 * length / block)::BIGINT + n_shards + 1)) AS k) u WHERE length > 0
+  SELECT sh.src, shard, row_number() OVER (PARTITION BY sh.src, sh.grp ORDER BY length::DOUBLE / (2 * u.k + 1) DESC, shard) AS place, group_seats
+  FROM sh JOIN gs ON sh.src = gs.src AND sh.grp = gs.grp, LATERAL (SELECT unnest(generate_series(0, group_seats)) AS k) u WHERE length > 0
 ), ss AS (
-  SELECT src, shard, count(*)::BIGINT AS seats FROM sq WHERE place <= source_seats GROUP BY src, shard
+  SELECT src, shard, count(*)::BIGINT AS seats FROM sq WHERE place <= group_seats GROUP BY src, shard
 ), qu AS (
   SELECT sh.src, sh.shard, length, greatest(1, round(length::DOUBLE / block))::BIGINT AS blocks, coalesce(seats, 0) AS seats
   FROM sh LEFT JOIN ss ON sh.src = ss.src AND sh.shard = ss.shard

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from math import log2
 
 import numpy as np
@@ -78,14 +79,25 @@ def window_spans(s: str, window: int = WINDOW, plain: bool = False) -> list[Span
     return out
 
 
-def outside(lo: int, hi: int, base: list[Span]) -> list[tuple[int, int]]:
-    """What the ``base`` spans leave of the range from ``lo`` to ``hi``."""
-    out = []
-    for _, a, b in sorted(base, key=lambda x: x[1]):
-        if lo < a < hi:
-            out.append((lo, a))
-        if a < hi:
-            lo = max(lo, b)
+def union(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the ranges that ``spans`` cover, in order and apart."""
+    starts, stops = [], []
+    for _, a, b in sorted(spans, key=lambda x: x[1]):
+        if stops and a <= stops[-1]:
+            stops[-1] = max(stops[-1], b)
+        else:
+            starts.append(a)
+            stops.append(b)
+    return starts, stops
+
+
+def outside(lo: int, hi: int, starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
+    """What the ranges leave of the one from ``lo`` to ``hi``."""
+    out, k = [], bisect_right(stops, lo)
+    while k < len(starts) and starts[k] < hi:
+        if lo < starts[k]:
+            out.append((lo, starts[k]))
+        lo, k = stops[k], k + 1
     return [*out, (lo, hi)] if lo < hi else out
 
 
@@ -103,7 +115,8 @@ def scan(text: str, runs: list[tuple[int, int]]) -> list[Span]:
         if ALLOWED.search(s) or ALLOWED_BEFORE.search(text[max(0, lo - 24) : lo]):
             continue
         added += [(k, lo + a, lo + b) for k, a, b in window_spans(s, plain=not wordy(s))]
-    added = [(k, *part) for k, a, b in added for part in outside(a, b, base)]
+    covered = union(base)
+    added = [(k, *part) for k, a, b in added for part in outside(a, b, *covered)]
     return sorted(base + added, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
@@ -117,10 +130,10 @@ def batch_runs(texts: list[bytes], least: int = WINDOW) -> list[list[tuple[int,
     long = hi - lo >= least
     lo, hi = lo[long], hi[long]
     first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    for k, a, b in zip((np.searchsorted(first, lo, "right") - 1).tolist(), lo.tolist(), hi.tolist()):
-        t = data[first[k] : a]
-        at = len(t) - int(np.count_nonzero((t & 0xC0) == 0x80))
-        out[k].append((at, at + b - a))
+    lead = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))  # code points before each byte
+    own = np.searchsorted(first, lo, "right") - 1
+    for k, a, n in zip(own.tolist(), (lead[lo] - lead[first[own]]).tolist(), (hi - lo).tolist()):
+        out[k].append((a, a + n))
     return out
 
 

@@ -13,7 +13,7 @@ can be read alone, then the documents' ids and token counts, then a footer.
 
 Writing deals documents out in ranges of ascending doc_id; every task streams its range into files of
 bounded size, first under a name of its own attempt, then renamed. A task that is run again writes the
-same bytes under the same names, so a lost executor costs its tasks only.
+same bytes under the same names and leaves alone what is there, so a lost executor costs its tasks only.
 """
 
 from __future__ import annotations
@@ -26,12 +26,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe
-from strataq.llm.common import collector_paused, cut, shared_root, small_batches
+from strataq.llm.common import collector_paused, cut, small_batches
 
 BLOCK = 4096
 HEAD, FOOT = struct.Struct("<IIIB3x"), struct.Struct("<QQQQ8s")
@@ -138,21 +138,31 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+def publish(where, own: str, final: str) -> None:
+    """Give an attempt's file its final name, unless another attempt has: its bytes are the same, so its file stays and ours goes.
+
+    At no moment is a published file missing, so an attempt may be lost between any two steps.
+    """
+    if not where.get_file_info(final).is_file:
+        try:
+            where.move(own, final)
+            return
+        except OSError:  # not every store replaces on renaming; another attempt may have come first
+            if not where.get_file_info(final).is_file:
+                raise
+    where.delete_file(own)
 
 
 def write_tokens(
     docs: DataFrame, out: str, tokenizer: str, end_id: int, file_tokens: int = 4_000_000, percentile: float = 0.97, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Encode, append ``end_id`` to each document and write files under the folder ``out``, eagerly.
+    """Encode, append ``end_id`` to each document and write files under the folder ``out``, eagerly; each call's files have names of its own.
 
     Gives the manifest (part, seq, file, n_docs, n_tokens), whose order is that of ascending doc_id;
     rows without a doc_id come first, repeated doc_ids by their texts. A null or empty text is the end id
     alone. An empty table writes no file.
     """
-    spark = docs.sparkSession
+    spark, job = docs.sparkSession, uuid.uuid4().hex[:12]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = bpe.worker_encoder(tokenizer, "packed", True)
@@ -165,12 +175,10 @@ def write_tokens(
         def flush():
             nonlocal parts, doc_ids, lengths, held, seq
             where.create_dir(folder, recursive=True)
-            name = f"tokens-{part:06d}-{seq:05d}.pfor"
+            name = f"tokens-{job}-{part:06d}-{seq:05d}.pfor"
             with where.open_output_stream(f"{folder}/.{name}.{attempt}") as f:
                 f.write(file_bytes(np.frombuffer(b"".join(parts), "<u4"), doc_ids, lengths, percentile))
-            if where.get_file_info(f"{folder}/{name}").is_file:  # of an attempt that was lost later; not every store replaces on renaming
-                where.delete_file(f"{folder}/{name}")
-            where.move(f"{folder}/.{name}.{attempt}", f"{folder}/{name}")
+            publish(where, f"{folder}/.{name}.{attempt}", f"{folder}/{name}")
             row = pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "file": [name], "n_docs": pa.array([len(doc_ids)], pa.int64()), "n_tokens": pa.array([held], pa.int64())})
             parts, doc_ids, lengths, held, seq = [], [], [], 0, seq + 1
             return row
@@ -200,7 +208,8 @@ def write_tokens(
 def read_tokens(manifest: DataFrame, out: str) -> DataFrame:
     """Read the files back: (doc_id, start, n_tokens, ids_crc32) per document.
 
-    start counts the ids of all documents before it, over all files.
+    start counts the ids of all documents before it, over all files. Rows without a doc_id have none here and come first; an
+    empty manifest gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

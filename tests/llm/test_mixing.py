@@ -103,3 +103,33 @@ def test_sainte_lague_equals_seat_by_seat(spark):
 def test_brute_targets_are_within_caps(sizes):
     t = brute_targets(dict(enumerate(map(int, sizes))) and {chr(97 + k): n for k, n in enumerate(sizes)})
     assert abs(sum(t.values()) - 1.5 * sum(sizes)) < 1e-6 and all(t[chr(97 + k)] <= 2 * n + 1e-9 for k, n in enumerate(sizes))
+
+
+def test_small_sources_beside_a_large_one(docs_of):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(1000)), "large") for i in range(300)]
+    small = {"s1": 3, "s2": 40, "s3": 130, None: 9}
+    rows += [(1000 + k, " ".join(f"v{k}x{j}" for j in range(n)), s) for k, (s, n) in enumerate(small.items())]
+    for block in (64, 512):
+        got = {r.doc_id: r for r in mixing.mix(docs_of(rows), most_block=block, blocks_a_source=1).collect()}
+        for k in range(len(small)):
+            r = got[1000 + k]
+            assert r.target == 2 * r.size and abs(r.taken - r.target) <= 0.02 * r.target, r  # small ones are at their cap
+
+
+def test_other_caps(docs_of):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50)), s) for s in ("a", "b") for i in range(40)]
+    for cap, share in ((3.0, 2.5), (1.5, 1.4)):
+        m = mixing.Mix(docs_of(rows), cap=cap, share=share, most_block=10)
+        taken, total = m.take().collect(), sum(len(r.text.split()) for r in m.documents().collect())
+        assert total == sum(r.taken for r in taken) and abs(total - share * 4000) <= 40
+        by = defaultdict(int)
+        for r in taken:
+            by[round(r.target)] += r.taken
+        assert all(abs(n - t) <= 25 for t, n in by.items())
+
+
+def test_shards_in_groups(docs_of):
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(20)), "a") for i in range(400)]
+    m = mixing.Mix(docs_of(rows), shard_tokens=100, shards_a_group=7, most_block=10, share=0.7)
+    assert abs(sum(r.taken for r in m.take().collect()) - 0.7 * 8000) <= 0.02 * 5600
+    assert m.quotas.selectExpr("max(abs(quota - 0.7 * blocks))").first()[0] <= 4

@@ -96,3 +96,18 @@ def test_base_spans_are_cut_out_of_added_spans():
     spans = scan(text)
     assert [text[a:b] for _, a, b in spans] == [access, key]
     assert secrets.redact_text(text, spans, "#") == "use ## now"
+
+
+def test_long_text_with_many_candidates_takes_linear_time():
+    import time
+
+    def took(n):
+        rnd = random.Random(3)
+        key = lambda: "".join(rnd.choice("ABCDEFGHabcdefgh0123456789") for _ in range(24))
+        text = "é ".join(f"{key()} {'%032x' % rnd.getrandbits(128)}" for _ in range(n)).encode()
+        began = time.process_time()
+        assert len(secrets.scan_batch([text])[0]) > n
+        return time.process_time() - began
+
+    took(100)
+    assert took(20_000) < 20 * took(2000) + 1

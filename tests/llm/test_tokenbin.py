@@ -46,7 +46,28 @@ def test_files_of_odd_rows(spark, docs_of, odd_rows, tmp_path):
         assert all(f.endswith(".pfor") for f in os.listdir(f"{tmp_path}/{tokens}") if not f.endswith(".crc"))
 
 
-def test_a_second_attempt_replaces_the_files(docs_of, odd_rows, tmp_path):
+def test_an_attempt_lost_between_the_steps_leaves_the_file(tmp_path):
+    from pyarrow import fs
+
+    class Dies(fs.LocalFileSystem):
+        def delete_file(self, path):
+            raise KeyboardInterrupt
+
+    final = f"{tmp_path}/a"
+    for k in range(3):
+        own = f"{tmp_path}/.a.{k}"
+        with open(own, "wb") as f:
+            f.write(b"same")
+        where = Dies() if k == 1 else fs.LocalFileSystem()
+        try:
+            tokenbin.publish(where, own, final)
+        except KeyboardInterrupt:
+            assert k == 1
+        assert open(final, "rb").read() == b"same"
+    assert sorted(os.listdir(tmp_path)) == [".a.1", "a"]
+
+
+def test_a_second_call_has_files_of_its_own(docs_of, odd_rows, tmp_path):
     out = f"file://{tmp_path}/twice"
     tokenbin.write_tokens(docs_of(odd_rows), out, BYTE, 2)
     m = tokenbin.write_tokens(docs_of(odd_rows), out, BYTE, 2)
