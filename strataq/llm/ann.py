@@ -4,12 +4,12 @@ A vector is normalised and rotated by one seeded random orthogonal matrix; the s
 code. With o the rotated unit vector, c its code scaled to unit length, and <o, c> kept as correction scalar,
 <c, q> / <o, c> estimates the inner product with a rotated unit query q without bias, and the error stays within
 ``epsilon * sqrt((1 - <o, c>^2) / (d - 1)) / <o, c>`` but for a chance that falls off as exp(-epsilon^2 / 2).
-Blocks of vectors are scanned with the code only; vectors whose upper bound falls short of the k-th best lower
-bound of their block are out, all others are reranked with the exact cosine of the original vectors.
 
-Vectors are dealt into groups by a hash of their id and packed into blocks of bounded size; blocks of the queries
-meet every group once, by an equi-join on the group's number. A query keeps its best k of each block,
-and the best k of those.
+Vectors are coded once, where they are read, and dealt into groups with their codes. The stated queries meet the groups in
+a grid: a task holds one group of queries and streams one group of vectors past them, so the copies of either
+side follow from what a task may hold. For a chunk of vectors the codes give every query an estimate and an upper bound; the best
+estimates are reranked by the exact cosine of the original vectors, and then all whose upper bound reaches the k-th best
+exact cosine so far. Each task hands on k neighbours a query.
 """
 
 from __future__ import annotations
@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 
 from strataq.llm.common import small_batches
 
-BLOCK, QUERIES = 4096, 512
+#: Vectors of a chunk, and queries that meet them at once.
+CHUNK, QUERIES = 4096, 256
 
 
 def rotation(d: int, seed: int = 0) -> np.ndarray:
@@ -85,74 +86,115 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     )
 
 
-def _pack(by: str, most: int):
-    """Rows sorted by ``by`` to rows of packed blocks: one for each key and dimension run of at most ``most`` rows."""
+def coded(base: DataFrame, seed: int) -> DataFrame:
+    """(vec_id, dim, vec, code, scale) of each usable vector; vec and code packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, ids, vecs = None, [], []
+        turns: dict[int, np.ndarray] = {}
+        for b in batches:
+            lists = b.column(1).to_pylist()
+            dims = np.array([len(v) for v in lists])
+            for dim in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == dim)
+                x = tame(np.array([lists[k] for k in at.tolist()], np.float64))
+                codes, scale = encode(x, turns.setdefault(dim, rotation(dim, seed)))
+                cols = [b.column(0).take(pa.array(at)), pa.array(np.full(len(at), dim, np.int32)), pa.array([r.tobytes() for r in x]), pa.array([c.tobytes() for c in codes]), pa.array(scale)]
+                yield pa.RecordBatch.from_arrays(cols, ["vec_id", "dim", "vec", "code", "scale"])
+
+    return base.mapInArrow(run, "vec_id long, dim int, vec binary, code binary, scale double")
+
+
+class Best:
+    """The k nearest so far of the queries of one dimension."""
+
+    def __init__(self, ids: list[int], vecs: list[bytes], dim: int, k: int, epsilon: float, seed: int) -> None:
+        self.ids, self.q = np.array(ids, np.int64), np.frombuffer(b"".join(vecs), "<f8").reshape(-1, dim)
+        self.turn, self.k, self.epsilon = rotation(dim, seed), k, epsilon
+        self.near = np.full((len(ids), k), np.iinfo(np.int64).max)
+        self.score = np.full((len(ids), k), -np.inf)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, scale: np.ndarray) -> None:
+        for lo in range(0, len(self.ids), QUERIES):
+            q, own = self.q[lo : lo + QUERIES], ids[None, :] == self.ids[lo : lo + QUERIES, None]
+            estimate, error = bounds(codes, scale, q, self.turn, self.epsilon)
+            estimate[own] = -np.inf
+            m = min(self.k, len(ids))
+            top = np.argpartition(estimate, -m, axis=1)[:, -m:]
+            for n in range(len(q)):
+                near, score = self.near[lo + n], self.score[lo + n]
+                floor = max(score[-1], cosine(x[top[n]], q[n])[~own[n, top[n]]].min(initial=np.inf) if m == self.k and not own[n, top[n]].any() else -np.inf)
+                at = np.flatnonzero((estimate[n] + error[n] >= floor) & ~own[n])
+                all_ids, all_scores = np.concatenate((near, ids[at])), np.concatenate((score, cosine(x[at], q[n])))
+                best = np.lexsort((all_ids, -all_scores))[: self.k]
+                self.near[lo + n], self.score[lo + n] = all_ids[best], all_scores[best]
+
+    def found(self) -> pa.RecordBatch:
+        some = self.score > -np.inf
+        cols = (np.repeat(self.ids, self.k).reshape(some.shape)[some], self.near[some], self.score[some])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "vec_id", "score"])
+
+
+def _meet(k: int, epsilon: float, seed: int):
+    """Rows (cell, dim, asked, vec_id, vec, code, scale) in order, a cell's queries before its vectors, to (query_id, vec_id, score)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, best, ids, vecs, chunk = None, None, [], [], []
 
-        def block():
-            return pa.RecordBatch.from_pydict({by: pa.array([key[0]], pa.int32()), "dim": pa.array([key[1]], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "vecs": [np.array(vecs, "<f8").tobytes()]})
+        def meet():
+            if chunk and (best or ids):
+                i, v, c, s = zip(*chunk)
+                x = np.frombuffer(b"".join(v), "<f8").reshape(len(i), -1)
+                found = best or Best(ids, vecs, x.shape[1], k, epsilon, seed)
+                found.meet(np.array(i, np.int64), x, np.frombuffer(b"".join(c), np.uint64).reshape(len(i), -1), np.array(s))
+                return found
+            return best
 
         for b in batches:
-            for k, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                if ids and (key != (k, len(v)) or len(ids) == most):
-                    yield block()
-                    ids, vecs = [], []
-                key = (k, len(v))
-                ids.append(i)
-                vecs.append(v)
-        if ids:
-            yield block()
+            for g, d, asked, i, v, c, s in zip(*(col.to_pylist() for col in b.columns)):
+                if (g, d) != cell:
+                    best = meet()
+                    if best:
+                        yield best.found()
+                    cell, best, ids, vecs, chunk = (g, d), None, [], [], []
+                if asked:
+                    ids.append(i)
+                    vecs.append(v)
+                else:
+                    chunk.append((i, v, c, s))
+                    if len(chunk) == CHUNK:
+                        best, chunk = meet(), []
+        best = meet()
+        if best:
+            yield best.found()
 
     return run
 
 
 def search(
-    vectors: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 3.0, seed: int = 0, rows_a_group: int = 2048, id_col: str = "vec_id", vec_col: str = "embedding"
+    vectors: DataFrame, queries: DataFrame, k: int = 5, epsilon: float = 3.0, seed: int = 0, vectors_a_group: int = 1 << 24, queries_a_group: int = 1 << 18, id_col: str = "vec_id", vec_col: str = "embedding"
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest of all other vectors by exact cosine, ties to the smaller vec_id.
 
     Rows whose vector is null, empty, zero or holds null or non-finite components take no part, nor do rows
     without an id; vectors of another length than a query's are no candidates for it. A candidate with the query's own id is left
-    out. Repeated rows are candidates as often as they occur; a repeated query id has its lists merged into one. An empty table gives none.
+    out. Repeated rows are candidates as often as they occur; a query row that occurs again is one query, and different vectors under
+    one query id have their lists merged into one. An empty table gives none.
     """
     spark = vectors.sparkSession
     small_batches(spark)
-    base, ask = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col)
-    groups = max(1, -(-base.count() // rows_a_group))
-    packed = "dim int, ids binary, vecs binary"
-    dealt = base.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(groups)).cast("int").alias("g"), "vec_id", "v").repartition("g").sortWithinPartitions("g", F.size("v"), "vec_id")
-    blocks = dealt.mapInArrow(_pack("g", BLOCK), f"g int, {packed}")
-    asked = (
-        ask.select(F.lit(0).alias("q"), "vec_id", "v").sortWithinPartitions(F.size("v"), "vec_id").mapInArrow(_pack("q", QUERIES), f"q int, {packed}")
-        .select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), "dim", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
-    )
-    both = blocks.join(asked, ["g", "dim"]).select("dim", "ids", "vecs", "q_ids", "q_vecs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns: dict[int, np.ndarray] = {}
-        for b in batches:
-            for dim, ids, vecs, q_ids, q_vecs in zip(*(c.to_pylist() for c in b.columns)):
-                turn = turns.setdefault(dim, rotation(dim, seed))
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                x, q = (tame(np.frombuffer(v, "<f8").reshape(-1, dim)) for v in (vecs, q_vecs))
-                codes, scale = encode(x, turn)
-                estimate, error = bounds(codes, scale, q, turn, epsilon)
-                own = ids[None, :] == q_ids[:, None]
-                low = np.where(own, -np.inf, estimate - error)
-                m = min(k, x.shape[0])
-                floor = np.partition(low, x.shape[0] - m, axis=1)[:, x.shape[0] - m]
-                out = ([], [], [])
-                for n in range(len(q_ids)):
-                    near = np.flatnonzero((estimate[n] + error[n] >= floor[n]) & ~own[n])
-                    score = cosine(x[near], q[n])
-                    best = np.lexsort((ids[near], -score))[:k]
-                    out[0].append(np.full(len(best), q_ids[n]))
-                    out[1].append(ids[near][best])
-                    out[2].append(score[best])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
-
-    found = both.mapInArrow(run, "query_id long, vec_id long, score double")
+    base, ask = usable(vectors, id_col, vec_col), usable(queries, id_col, vec_col).distinct()
+    # A cell of the grid takes no more queries than a task may hold; beyond that there are enough cells for all cores.
+    h = max(1, -(-ask.count() // queries_a_group))
+    n = base.count()
+    g = max(1, -(-n // vectors_a_group), min(-(-n // CHUNK), 4 * spark.sparkContext.defaultParallelism))
+    number = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = [
+        coded(ask, seed).withColumn("y", number(h)).withColumn("x", every(g)).withColumn("asked", F.lit(True)),
+        coded(base, seed).withColumn("x", number(g)).withColumn("y", every(h)).withColumn("asked", F.lit(False)),
+    ]
+    cells = sides[0].unionByName(sides[1]).select((F.col("x") * h + F.col("y")).alias("cell"), "dim", "asked", "vec_id", "vec", "code", "scale")
+    ordered = cells.repartition("cell").sortWithinPartitions("cell", "dim", F.desc("asked"), "vec_id")
+    found = ordered.mapInArrow(_meet(k, epsilon, seed), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

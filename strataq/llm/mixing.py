@@ -98,9 +98,9 @@ class Mix:
         t = t.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_tokens)).cast("long"))
         self.sources = cut(t.select("source", "src", "source_size", "target", "block", "shards", F.col("seats").alias("source_seats")))
         parts = self._dealt(self.slim).groupBy("src", "shard").agg(F.sum("size").alias("length"), F.first("block").alias("block"), F.first("source_seats").alias("source_seats"))
-        parts = parts.withColumn("group", F.expr(f"shard div {shards_a_group}"))
+        parts = cut(parts.withColumn("group", F.expr(f"shard div {shards_a_group}")))
         groups = parts.groupBy("src", "group").agg(F.sum("length").alias("weight"), F.first("source_seats").alias("source_seats"))
-        groups = sainte_lague(groups, ["src"], "group", "weight", "source_seats").select("src", "group", F.col("seats").alias("group_seats"))
+        groups = cut(sainte_lague(groups, ["src"], "group", "weight", "source_seats").select("src", "group", F.col("seats").alias("group_seats")))
         parts = sainte_lague(parts.join(groups, ["src", "group"]), ["src", "group"], "shard", "length", "group_seats")
         parts = parts.withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("length") / F.col("block"))).cast("long"))
         whole = F.floor(F.lit(float(cap)) * F.col("blocks")).cast("long")
