@@ -89,7 +89,7 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) for c in columns])
 
 
-def join_by_share(rows: DataFrame, keys: DataFrame, key: str, n: str, parts: int = 10_000) -> DataFrame:
+def join_by_share(rows: DataFrame, keys: DataFrame, key: list[str], n: str, parts: int = 10_000) -> DataFrame:
     """``rows`` joined with ``keys``, which has one row per ``key`` and in ``n`` the number of its rows, hot keys dealt to many tasks.
 
     A key with more than a ``parts``-th of all these rows is split into as many salts as it has such shares. Fewer than
@@ -97,11 +97,11 @@ def join_by_share(rows: DataFrame, keys: DataFrame, key: str, n: str, parts: int
     """
     share = max(1, -(-(keys.agg(F.sum(n)).first()[0] or 0) // parts))
     salts = F.ceil(F.col(n) / share)
-    hot = keys.where(F.col(n) > share).select(key, salts.alias("__salts"))
+    hot = keys.where(F.col(n) > share).select(*key, salts.alias("__salts"))
     dealt = rows.join(F.broadcast(hot), key, "left")
-    salt = F.coalesce(F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.col("__salts")), F.lit(0))
+    salt = F.coalesce(F.pmod(F.xxhash64(*[c for c in rows.columns if c not in key]), F.col("__salts")), F.lit(0))
     each = keys.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(n) > share, salts).otherwise(1) - 1)))
-    return dealt.withColumn("__salt", salt).drop("__salts").join(each, [key, "__salt"]).drop("__salt")
+    return dealt.withColumn("__salt", salt).drop("__salts").join(each, [*key, "__salt"]).drop("__salt")
 
 
 @contextmanager

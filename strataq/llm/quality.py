@@ -106,7 +106,7 @@ def judge(
     common = cut(counted.where(F.col("docs") > max_docs).select("h", "docs", "first"))
     own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")
     gone = (
-        join_by_share(each, common, "h", "docs").where(own != F.col("first"))
+        join_by_share(each, common, ["h"], "docs").where(own != F.col("first"))
         .groupBy("doc_id", "row_key").agg(F.sort_array(F.flatten(F.collect_list("no"))).alias("removed_lines"), F.sum(F.col("w") * F.size("no")).alias("removed_words"))
         .select(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "removed_lines", "removed_words")
     )

@@ -79,3 +79,55 @@ def test_passages_are_found_despite_shifts(docs_of, odd_rows):
     assert not same[3].removed and all(r.n_chars == 0 for r in out[1] + out[2])
     assert len(out[3]) == 2 and chunks.repeats(docs_of(rows).limit(0)).count() == 0
     assert [(p.start, p.end) for p in out[6][0].removed] == [(0, out[6][0].n_chars)] and out[5][0].n_chars == len(odd_rows[6][1])
+
+
+def brute_repeats(rows, least_words=12, least_chars=120):
+    """Passages of each distinct (doc_id, text) from a dictionary of chunk strings."""
+    docs = sorted({(d is not None, d or 0, t or "") for d, t, _ in rows})
+    places = defaultdict(list)
+    cut = {}
+    for doc in docs:
+        data = doc[2].encode()
+        e = brute_ends(data) if data else []
+        e = chunks.ends(data) if any(b - a > chunks.MOST for a, b in zip([0, *e], e)) else e
+        cut[doc] = [data[a:b] for a, b in zip([0, *e], e)]
+        at = 0
+        for c in cut[doc]:
+            places[c].append((doc, at))
+            at += len(c.decode())
+    out = {}
+    for doc, parts in cut.items():
+        runs = {0: [], 1: []}
+        at = before = 0
+        for c in parts:
+            begun = sum(1 for k, b in enumerate(c) if b not in b" \t\n\x0b\x0c\r" and (before == 0 if k == 0 and at == 0 else doc[2].encode()[before + k - 1] in b" \t\n\x0b\x0c\r"))
+            n = len(c.decode())
+            for kind in (0, 1):
+                if len(places[c]) > 1 and (kind == 0 or places[c][0] != (doc, at)):
+                    if runs[kind] and runs[kind][-1][1] == at:
+                        s, _, w = runs[kind][-1]
+                        runs[kind][-1] = (s, at + n, w + begun)
+                    else:
+                        runs[kind].append((at, at + n, begun))
+            at, before = at + n, before + len(c)
+        out[doc] = [[r for r in runs[k] if r[2] >= least_words or r[1] - r[0] >= least_chars] for k in (0, 1)]
+    return out
+
+
+def test_repeats_equal_brute_force(docs_of, odd_rows):
+    rnd = random.Random(11)
+    shared = [prose(rnd, rnd.choice([8, 15, 40, 90])) for _ in range(12)]
+    rows = list(odd_rows)
+    for i in range(120):
+        parts = [x for _ in range(rnd.randint(1, 6)) for x in (rnd.choice(shared), prose(rnd, rnd.randint(0, 30)))]
+        rows.append((i if i % 40 else None, " ".join(parts), "a"))
+    rows += [rows[-1], (500, " ".join(f"{shared[k % 12]} {prose(rnd, 9)}" for k in range(900)), "a")]  # one text with many separate passages
+    want = brute_repeats(rows)
+    got = chunks.repeats(docs_of(rows, extra=("kind", "run", "d1", "first", "start", "row_key"))).collect()
+    by_id = defaultdict(list)
+    for d, t, _ in rows:
+        by_id[d].append(want[d is not None, d or 0, t or ""])
+    assert len(got) == len(rows)
+    for d, lists in by_id.items():
+        have = [[[tuple(p) for p in x] for x in (r.repeated, r.removed)] for r in got if r.doc_id == d]
+        assert sorted(map(str, have)) == sorted(map(str, lists)), d
