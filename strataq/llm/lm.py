@@ -3,18 +3,21 @@
 A bidirectional window network predicts each word from the two words before and the two behind it. Its hidden layer
 adds an embedding per place and context class, its softmax covers word classes: the ``own`` most frequent words
 of the corpus have a class each, any other word falls in the class of its ending. The probability of a word is that of its class
-over the distinct words in it, counted over the whole corpus. A document's score is the sum of the logarithms over its words.
+times the word's share of the class, by its count in the whole corpus. A document's score is the sum of the logarithms over its words.
 
-Word counts cover all documents. Training goes over all documents in rounds: every partition trains a copy of the
-parameters by Adam in numpy on its share of the windows, so that the rounds together take every window, and the copies are averaged by the
-windows they saw. So what is gathered grows with the input; only the averaged parameters, of a fixed size,
-come to the driver.
+Words are numbers of ``ENDING`` + ``WORD`` bits, a digest of the ending and one of the word, so a vocabulary of two million words needs no table
+of strings, and a text is split into words once: ``numbered`` writes the numbers to the shared folder, and counting,
+training and scoring read them. Counts cover all documents.
+
+Training deals the documents into shards by a digest of id and text and in an order that depends on nothing else. Each shard trains
+a copy of the parameters by Adam in numpy; the rounds together take every window once; the copies are averaged by the
+windows they saw, in exact decimals. So neither the number of tasks nor their order changes a score. Only
+the averaged parameters and the table of counts, both of a fixed size, come to the driver.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,47 +25,97 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import arrow_map, cut, small_batches, utf8
+from strataq.llm.common import cut, small_batches, utf8
 
-#: Distinct words that a task counts before it hands them on.
+#: Bits of a word's number: digest of its last two bytes, then of the whole word.
+ENDING, WORD = 5, 16
+NUMBERS = 1 << ENDING + WORD
+#: Numbers that a worker keeps by word.
 HELD = 400_000
+#: Added to the count of every number: small, so that a word which no other document holds stands apart from one that another does.
+ALPHA = 0.01
 PLACES = (-2, -1, 1, 2)
 EDGE = 0
+#: Parameters are averaged in steps of 2 ** -STEP.
+STEP = 30
 
 
-class Classes(dict):
-    """Class of a word: 1.. own for frequent words, then ``endings`` classes by the last two bytes; 0 is beyond a text's edge."""
-
-    def __init__(self, frequent: list[bytes], endings: int) -> None:
-        super().__init__({w: k + 1 for k, w in enumerate(frequent)})
-        self.frequent, self.endings = len(frequent), endings
+class Numbers(dict):
+    """Number of a word, kept for words met before."""
 
     def __missing__(self, word: bytes) -> int:
-        return self.frequent + 1 + zlib.crc32(word[-2:]) % self.endings
+        n = (zlib.crc32(word[-2:]) & (1 << ENDING) - 1) << WORD | zlib.crc32(word) & (1 << WORD) - 1
+        if len(self) >= HELD:
+            self.clear()
+        self[word] = n
+        return n
 
 
-def word_counts(docs: DataFrame, endings: int) -> DataFrame:
-    """(word, ending, n) over all texts; ending: number of the class by ending."""
+def numbers_of(text: bytes, known: Numbers) -> np.ndarray:
+    return np.array([known[w] for w in text.lower().split()], "<u4")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def out():
-            w = list(held)
-            cols = [pa.array(w, pa.binary()), pa.array([zlib.crc32(x[-2:]) % endings for x in w], pa.int32()), pa.array(list(held.values()), pa.int64())]
-            return pa.RecordBatch.from_arrays(cols, ["word", "ending", "n"])
+def numbered(docs: DataFrame, shard_bytes: int = 8 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, shard, order, ids): each row's words as packed numbers, in the shared folder, by shard and in order.
 
+    Null and empty texts have none; a null doc_id stays null; repeated rows stay; an empty table gives none.
+    """
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    size = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = F.xxhash64("doc_id", "text")
+    shard = F.pmod(order, F.lit(max(1, -(-size // shard_bytes)))).cast("int")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Numbers()
         for b in batches:
-            for t in utf8(b.column(0)):
-                held.update(t.lower().split())
-            if len(held) > HELD:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
+            ids = pa.array([numbers_of(t, known).tobytes() for t in utf8(b.column(3))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], ids], ["doc_id", "shard", "order", "ids"])
 
     small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(run, "word binary, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
+    made = slim.select("doc_id", shard.alias("shard"), order.alias("order"), "text").mapInArrow(run, "doc_id long, shard int, order long, ids binary")
+    return cut(made.repartition("shard").sortWithinPartitions("shard", "order", "doc_id"))
+
+
+def _ids(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+
+
+def counts(table: DataFrame) -> np.ndarray:
+    """How often each number occurs in the whole table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(NUMBERS, np.int64)
+        for b in batches:
+            x = np.concatenate([np.empty(0, "<u4"), *_ids(b.column(0))])
+            n += np.bincount(x, minlength=NUMBERS)
+        at = np.flatnonzero(n)
+        for k in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(at[k : k + (1 << 16)].astype(np.int32)), pa.array(n[at[k : k + (1 << 16)]])], ["number", "n"])
+
+    found = table.select("ids").mapInArrow(run, "number int, n long").groupBy("number").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(NUMBERS, np.int64)
+    out[found.column("number").to_numpy()] = found.column("n").to_numpy()
+    return out
+
+
+class Classes:
+    """Class of each number: 1.. own for the most frequent, then one by ending; 0 is beyond a text's edge."""
+
+    def __init__(self, n: np.ndarray, own: int) -> None:
+        self.n = n
+        self.of = (own + 1 + (np.arange(NUMBERS) >> WORD)).astype(np.int16)
+        top = np.lexsort((np.arange(NUMBERS), -n))[:own]
+        top = top[n[top] > 0]
+        self.of[top] = 1 + np.arange(len(top))
+        self.size = own + 1 + (1 << ENDING)
+        #: Words and distinct numbers of each class.
+        self.words = np.bincount(self.of, n, self.size).astype(np.int64)
+        self.distinct = np.bincount(self.of, n > 0, self.size).astype(np.int64)
+
+    def share(self, ids: np.ndarray, less: np.ndarray | int = 0) -> np.ndarray:
+        """Logarithm of each word's share of its class, ``less`` of its occurrences not counted, ``ALPHA`` added to every number."""
+        c = self.of[ids]
+        return np.log(np.maximum(self.n[ids] - less, 0) + ALPHA) - np.log(self.words[c] + ALPHA * np.maximum(self.distinct[c], 1))
 
 
 def start(classes: int, hidden: int, seed: int) -> dict[str, np.ndarray]:
@@ -75,6 +128,18 @@ def start(classes: int, hidden: int, seed: int) -> dict[str, np.ndarray]:
     }
 
 
+def flat(params: dict) -> np.ndarray:
+    return np.concatenate([v.ravel() for v in params.values()])
+
+
+def shaped(values: np.ndarray, like: dict) -> dict[str, np.ndarray]:
+    out, at = {}, 0
+    for k, v in like.items():
+        out[k] = values[at : at + v.size].reshape(v.shape).astype(v.dtype)
+        at += v.size
+    return out
+
+
 def contexts(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Classes around the positions ``at`` of ``ids``, which ends in and begins with two edges."""
     return ids[at[None, :] + np.array(PLACES)[:, None]]
@@ -120,115 +185,121 @@ class Adam:
             p[name] -= self.rate * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.999**self.t)) + 1e-8)
 
 
-def streams(texts: list[bytes], classes: Classes) -> tuple[np.ndarray, np.ndarray, list[int]]:
-    """Class ids of all texts with two edges around each, the positions of their words, and words by text."""
-    ids, n = [EDGE, EDGE], []
-    for t in texts:
-        w = t.lower().split()
-        n.append(len(w))
-        ids += [classes[x] for x in w]
-        ids += (EDGE, EDGE)
-    x = np.array(ids, np.int32)
-    return x, np.flatnonzero(x != EDGE), n
+def stream(texts: list[np.ndarray], of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all texts with two edges around each, and the positions of their words."""
+    edge = np.full(2, EDGE, of.dtype)
+    x = np.concatenate([edge, *(y for t in texts for y in (of[t], edge))])
+    return x, np.flatnonzero(x != EDGE)
 
 
-def turns(n: int, turn: int, rounds: int, stride: int) -> np.ndarray:
-    """Which of ``n`` windows a round takes: the places in each ``stride`` are dealt to the rounds, and none is left out."""
-    return np.arange(n) % stride % rounds == turn % min(stride, rounds)
+def turns(n: int, turn: int, rounds: int) -> np.ndarray:
+    """Which of ``n`` windows a round takes; all rounds together take each once."""
+    return np.arange(n) % rounds == turn
 
 
 class Scorer:
     """A trained network with its word classes."""
 
-    def __init__(self, frequent: list[bytes], endings: int, spread: np.ndarray, params: dict) -> None:
-        self.frequent, self.endings, self.params = frequent, endings, params
-        #: Logarithm of the distinct words of each class.
-        self.spread = spread
+    def __init__(self, classes: Classes, params: dict) -> None:
+        self.classes, self.params = classes, params
 
-    def token_scores(self, ids: np.ndarray, at: np.ndarray, step: int = 4096) -> np.ndarray:
+    def class_scores(self, x: np.ndarray, at: np.ndarray, step: int = 4096) -> np.ndarray:
+        """Log-probability of the class at each position, given both sides."""
         out = np.empty(len(at), np.float64)
         for k in range(0, len(at), step):
             a = at[k : k + step]
-            _, z = forward(self.params, contexts(ids, a))
-            want = ids[a]
+            _, z = forward(self.params, contexts(x, a))
+            want = x[a]
             top = z.max(1)
             own = z[np.arange(len(a)), want]
             z -= top[:, None]
             np.exp(z, out=z)
-            out[k : k + step] = own - top - np.log(z.sum(1)) - self.spread[want]
+            out[k : k + step] = own - top - np.log(z.sum(1))
         return out
 
-    def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """(doc_id, n_words, score, mean_score) for each row: the summed log-probability and its mean by word.
-
-        Null and empty texts have no words, score 0 and a null mean; a null doc_id stays null; repeated rows
-        come out as often as they came in; further columns are not read.
+    def score_batch(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed log-probabilities of each text: with the counts of the whole corpus, and with those of all other documents."""
+        x, at = stream(texts, self.classes.of)
+        n = np.array([len(t) for t in texts], np.int64)
+        ids = np.concatenate([np.empty(0, "<u4"), *texts]).astype(np.int64)
+        both = np.repeat(np.arange(len(n)), n) * NUMBERS + ids
+        _, back, often = np.unique(both, return_inverse=True, return_counts=True)
+        base = self.class_scores(x, at)
+        sums = lambda s: np.diff(np.concatenate(([0.0], np.cumsum(s)))[np.concatenate(([0], np.cumsum(n)))])
+        return sums(base + self.classes.share(ids)), sums(base + self.classes.share(ids, often[back]))
+
+    def score(self, table: DataFrame) -> DataFrame:
+        """(doc_id, n_words, score, mean_score, mean_apart) for each row of a ``numbered`` table.
+
+        score: the summed log-probability; mean_score: its mean by word; mean_apart: the same mean with the document's own
+        words left out of the counts, so that only what other documents hold makes a rare word likely.
+        Null and empty texts have no words, score 0 and null means; a null doc_id stays null; repeated rows come out as often as they came in.
         """
+        spark = table.sparkSession
+        shared = spark.sparkContext.broadcast(self)  # the counts of NUMBERS numbers, and the parameters: a fixed size
 
-        def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            ids, at, n = streams(utf8(b.column(1)), Classes(self.frequent, self.endings))
-            s = np.concatenate(([0.0], np.cumsum(self.token_scores(ids, at))))
-            hi = np.cumsum(n)
-            total = np.round(s[hi] - s[hi - np.array(n, np.int64)], 6) if n else np.empty(0)
-            mean = [None if not k else round(float(t) / k, 6) for t, k in zip(total, n)]
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total), pa.array(mean, pa.float64())], ["doc_id", "n_words", "score", "mean_score"])
-
-        slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-        return arrow_map(slim, run, "doc_id long, n_words long, score double, mean_score double")
-
-
-def fit(
-    docs: DataFrame, own: int = 95, endings: int = 32, hidden: int = 24, rounds: int = 2, stride: int = 2, batch: int = 4096, rate: float = 0.01, seed: int = 0, text_col: str = "text"
-) -> Scorer:
-    """Count words and train over all of ``docs``; an empty table leaves the network as it starts."""
-    texts = docs.select(F.col(text_col).cast("string").alias("text"))
-    counted = cut(word_counts(texts, endings))
-    top = counted.orderBy(F.desc("n"), "word").limit(own)
-    frequent = [bytes(r.word) for r in top.select("word").collect()]
-    distinct = {r.ending: r.n for r in counted.groupBy("ending").agg(F.count("*").alias("n")).collect()}
-    for w in frequent:
-        distinct[zlib.crc32(w[-2:]) % endings] -= 1
-    spread = np.log(np.array([1] * (len(frequent) + 1) + [max(1, distinct.get(k, 1)) for k in range(endings)], np.float64))
-    params = start(len(spread), hidden, seed)
-    shapes = {k: v.shape for k, v in params.items()}
-    for r in range(rounds):
-        flat = np.concatenate([v.ravel() for v in params.values()])
-
-        def run(batches: Iterator[pa.RecordBatch], flat=flat, turn=r) -> Iterator[pa.RecordBatch]:
-            classes, p, at = Classes(frequent, endings), {}, 0
-            for k, s in shapes.items():
-                p[k] = flat[at : at + np.prod(s)].reshape(s).copy()
-                at += int(np.prod(s))
-            adam, seen = Adam(p, rate), 0
-            held_ctx, held_want, held = [], [], 0
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, words, _ = streams(utf8(b.column(0)), classes)
-                words = words[turns(len(words), turn, rounds, stride)]
-                held_ctx.append(contexts(ids, words))
-                held_want.append(ids[words])
-                held += len(words)
-                if held >= batch:
-                    ctx, want = np.concatenate(held_ctx, 1), np.concatenate(held_want)
-                    mixed = np.random.default_rng(seed).permutation(held)
-                    for lo in range(0, held - held % batch, batch):
-                        x = mixed[lo : lo + batch]
-                        adam.step(ctx[:, x], want[x])
-                        seen += batch
-                    x = mixed[held - held % batch :]
-                    held_ctx, held_want, held = [ctx[:, x]], [want[x]], len(x)
-            if held:
-                adam.step(np.concatenate(held_ctx, 1), np.concatenate(held_want))
-                seen += held
+                texts = _ids(b.column(1))
+                n = [len(t) for t in texts]
+                total, apart = shared.value.score_batch(texts)
+                mean = lambda s: pa.array([round(float(t) / k, 6) if k else None for t, k in zip(s, n)], pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.round(total, 6)), mean(total), mean(apart)], ["doc_id", "n_words", "score", "mean_score", "mean_apart"])
+
+        small_batches(spark)
+        return table.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, score double, mean_score double, mean_apart double")
+
+
+def train(rows: Iterator[tuple[int, np.ndarray]], of: np.ndarray, first: dict, turn: int, rounds: int, batch: int, pool: int, rate: float, seed: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(windows, parameters) of each shard, from its texts in order; pools of ``pool`` words are mixed and cut into batches."""
+    shard, adam, seen, texts, held = None, None, 0, [], 0
+
+    def learn() -> int:
+        x, at = stream(texts, of)
+        at = at[turns(len(at), turn, rounds)]
+        at = at[np.random.default_rng(seed).permutation(len(at))]
+        for lo in range(0, len(at), batch):
+            adam.step(contexts(x, at[lo : lo + batch]), x[at[lo : lo + batch]])
+        return len(at)
+
+    for k, ids in rows:
+        if k != shard:
+            if texts:
+                seen += learn()
             if seen:
-                out = np.concatenate([v.ravel() for v in p.values()]).astype(np.float64) * seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out), pa.array(np.full(len(out), seen, np.int64))], ["k", "v", "n"])
+                yield seen, flat(adam.p)
+            shard, adam, seen, texts, held = k, Adam({n: v.copy() for n, v in first.items()}, rate), 0, [], 0
+        texts.append(ids)
+        held += len(ids)
+        if held >= pool:
+            seen += learn()
+            texts, held = [], 0
+    if texts:
+        seen += learn()
+    if seen:
+        yield seen, flat(adam.p)
+
+
+def fit(table: DataFrame, own: int = 95, hidden: int = 24, rounds: int = 2, batch: int = 4096, pool: int = 1 << 17, rate: float = 0.01, seed: int = 0) -> Scorer:
+    """Count and train over a whole ``numbered`` table; an empty one leaves the network as it starts."""
+    classes = Classes(counts(table), own)
+    params = start(classes.size, hidden, seed)
+    of = table.sparkSession.sparkContext.broadcast(classes.of)
+    small_batches(table.sparkSession)
+    for r in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], first=params, turn=r) -> Iterator[pa.RecordBatch]:
+            rows = ((s, i) for b in batches for s, i in zip(b.column(0).to_pylist(), _ids(b.column(1))))
+            for seen, p in train(rows, of.value, first, turn, rounds, batch, pool, rate, seed):
+                whole = np.rint(p.astype(np.float64) * (1 << STEP)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(p), dtype=np.int32)), pa.array(whole), pa.array(np.full(len(p), seen, np.int64))], ["k", "v", "n"])
 
-        mean = texts.mapInArrow(run, "k int, v double, n long").groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).collect()
-        if not mean:
+        trained = table.select("shard", "ids").mapInArrow(run, "k int, v long, n long")
+        weighed = F.sum(F.col("v").cast("decimal(20,0)") * F.col("n").cast("decimal(18,0)")) / F.sum("n").cast("decimal(20,0)")
+        mean = trained.groupBy("k").agg(weighed.cast("double").alias("v")).toArrow()
+        if not mean.num_rows:
             break
-        flat[[x.k for x in mean]] = [x.v for x in mean]
-        at = 0
-        for k, s in shapes.items():
-            params[k] = flat[at : at + int(np.prod(s))].reshape(s)
-            at += int(np.prod(s))
-    return Scorer(frequent, endings, spread, params)
+        values = np.empty(mean.num_rows)
+        values[mean.column("k").to_numpy()] = mean.column("v").to_numpy() / (1 << STEP)
+        params = shaped(values, params)
+    return Scorer(classes, params)

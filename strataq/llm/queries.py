@@ -36,8 +36,8 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked pseudo-likelihood of every document under a network trained on all of them."""
-    docs = _table(spark, sf_dir, "documents")
-    return lm.fit(docs).score(docs)
+    table = lm.numbered(_table(spark, sf_dir, "documents"))
+    return lm.fit(table).score(table)
 
 
 @_query
