@@ -28,10 +28,9 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import arrow_map, cut, row_key, utf8
+from strataq.llm.common import arrow_map, cut, join_by_share, row_key, utf8
 
 BITS, BANDS = 64, 4
 #: 64-bit words of a ``signature_of``.
@@ -490,14 +489,16 @@ def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: i
         return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array(list(map(len, sets)), pa.int64()), buckets], ["doc_id", "key", "node", "size", "buckets"])
 
     made = cut(arrow_map(slim, run, "doc_id long, key long, node long, size long, buckets array<long>"))
-    least = made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("buckets").alias("buckets"))
-    lead = F.min("node").over(W.partitionBy("bucket"))
-    met = least.select("node", F.explode("buckets").alias("bucket")).select(F.col("node").alias("u"), lead.alias("v")).where("u <> v").distinct()
+    least = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("buckets").alias("buckets")))
+    each = least.select("node", F.explode("buckets").alias("bucket"))
+    lead = cut(each.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
+    met = join_by_share(each, lead, ["bucket"], "n").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
     least = least.select("node", "least", "key", "size")
     group = components(met)
     group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct().join(least.drop("least"), "node"))
     blocks = F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / max_node), F.lit(1)).cast("int")
-    sides = group.join(group.groupBy("root").agg(blocks.alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    sizes = cut(group.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("n")))
+    sides = join_by_share(group, sizes, ["root"], "n").withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     texts = slim.select("key", "text").join(sides.select("key", "root", "node", "block", "blocks"), "key")
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "text"
@@ -520,8 +521,8 @@ def _labelled(rows: DataFrame, least: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows (.., node) with root and component_id."""
     comp = comp.withColumnRenamed("node", "in")
     rooted = least.join(comp, least["node"] == comp["in"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(rooted.join(best, "root").select("node", "root", "component_id"), "node")
+    best = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    return rows.join(join_by_share(rooted, best, ["root"], "n").select("node", "root", "component_id"), "node")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8, max_node: int = 50_000) -> DataFrame:
