@@ -2,9 +2,36 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables, by Spark's own reader."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that spark.checkpoint.dir names, with its lineage cut; a lost executor costs no more than its tasks.
+
+    Where no folder is named, as in tests, a local master gets one of its own; on a cluster that is an error.
+    """
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.match(r"local(\[[^]]*\])?$", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint(eager=True)
+
+
+def by_key(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` with all rows of a key in one partition, for code that Spark doesn't know to need that.
+
+    Rows are dealt by a digest of the key. By the key itself Spark drops the exchange where a join or a union has dealt rows that way,
+    and may then turn the join into a broadcast join that hasn't.
+    """
+    return df.repartition(F.xxhash64(*key))

@@ -13,12 +13,12 @@ def asof_backward(left: DataFrame, right: DataFrame, on: str, value: str, by: li
     """``left`` with ``value`` of the latest row of ``right`` at or before ``on``, within ``by``.
 
     Time is cut into slices; rows meet in windows by (key, slice), and what holds when a slice begins is carried over from the
-    slices before, of which there is one row each. ``unmatched``: 'null', or 'zero' for the lossy convention that
+    slices before, of which there is one row each. Of several right rows at one time the greatest value counts. ``unmatched``: 'null', or 'zero' for the lossy convention that
     takes an absent value for 0.
     """
     by = by or []
     cut = lambda df: df.withColumn("__slice", F.col(on) - F.pmod(F.col(on), F.lit(slice_size)))
-    l, r = cut(left), cut(right.select(*by, on, value).where(F.col(value).isNotNull()))
+    l, r = cut(left), cut(right.where(F.col(value).isNotNull()).groupBy(*by, on).agg(F.max(value).alias(value)))
     ends = r.groupBy(*by, "__slice").agg(F.max_by(value, on).alias("__end"))
     slices = l.select(*by, "__slice").distinct().join(ends, [*by, "__slice"], "full")
     before = W.partitionBy(*by).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)

@@ -2,31 +2,51 @@
 
 A last-in-first-out position is a stack of segments. An inflow pushes one; an outflow pops segments from the top until
 it is covered and pushes what is left of the last one again, under that one's origin time. What isn't covered stays as
-a negative segment of origin time 0 at the bottom, and popping that makes the outflow larger.
+a negative segment of origin time 0 at the bottom, and popping that makes the outflow larger. Segments have numbers (nonces), which
+begin anew when a key's stack is empty at the end of a block; a block is what happens at one time.
 
 The exact ledger needs the order, so a key is folded by one task; keys are hashed over tasks, each task streams
-its sorted rows and holds one stack at a time. All other forms here are windows and joins of DataFrames.
+its sorted rows and holds one stack at a time. All other forms here are windows and joins of DataFrames. ``key`` names the columns
+of a key: an address, or an address with its contract or asset.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-#: A change: key ``address``, order (t, event_id), signed ``amount``.
-LEDGER = "address long, event_id long, t long, sign int, nonce long, odt long, amount long"
+from strataq.functions.session import by_key, written
+
+#: Columns of a ledger behind those of its key; a change has a key, an order (t, event_id) and a signed ``amount``.
+MOVES = "event_id long, t long, sign int, nonce long, odt long, amount long"
+LEDGER = f"address long, {MOVES}"
+KEY = ("address",)
 Segment = tuple[int, int, int]  # nonce, origin time, amount
 
 
-def fold_one(stack: list[Segment], nonce: int, t: int, amount: int) -> tuple[int, list[tuple[int, int, int, int]]]:
-    """Apply one change to ``stack`` in place; gives the next nonce and rows (sign, nonce, odt, amount)."""
+def fold_one(stack: list[Segment], nonce: int, t: int, amount: int, bucket: int = 0) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """Apply one change to ``stack`` in place; gives the next nonce and rows (sign, nonce, odt, amount).
+
+    With a ``bucket`` size origins are the starts of buckets, and an inflow joins a top segment of its own bucket: that one is popped and
+    pushed again with both amounts under a new nonce. What is owed (odt 0) joins nothing.
+    """
     if amount >= 0:
-        stack.append((nonce, t, amount))
-        return nonce + 1, [(1, nonce, t, amount)]
+        if not bucket:
+            stack.append((nonce, t, amount))
+            return nonce + 1, [(1, nonce, t, amount)]
+        odt, rows = t - t % bucket, []
+        if stack and stack[-1][1] == odt != 0:
+            n, _, a = stack.pop()
+            rows.append((-1, n, odt, a))
+            amount += a
+        stack.append((nonce, odt, amount))
+        return nonce + 1, [*rows, (1, nonce, odt, amount)]
     rows, owed, covered, odt = [], -amount, 0, 0
     while covered < owed and stack:
         n, odt, a = stack.pop()
@@ -41,52 +61,84 @@ def fold_one(stack: list[Segment], nonce: int, t: int, amount: int) -> tuple[int
     return nonce, rows
 
 
-def fold_key(changes: Iterable[tuple[int, int]], stack: list[Segment] | None = None, nonce: int = 1) -> tuple[list[list[tuple[int, int, int, int]]], list[Segment], int]:
-    """Rows by change of one key's ordered (t, amount), with the stack and nonce they end in."""
-    stack, out = list(stack or []), []
+def fold_key(changes: Iterable[tuple[int, int]], stack: list[Segment] | None = None, nonce: int = 1, bucket: int = 0) -> tuple[list[list[tuple[int, int, int, int]]], list[Segment], int]:
+    """Rows by change of one key's ordered (t, amount), with the stack and nonce they end in; ``changes`` end with a block."""
+    stack, out, last = list(stack or []), [], None
     for t, a in changes:
-        nonce, rows = fold_one(stack, nonce, t, a)
+        if t != last and not stack:
+            nonce = 1
+        last = t
+        nonce, rows = fold_one(stack, nonce, t, a, bucket)
         out.append(rows)
-    return out, stack, nonce
+    return out, stack, nonce if stack else 1
 
 
-def lifo_ledger(changes: DataFrame) -> DataFrame:
-    """Every segment pushed (+1) and popped (-1), in order of changes, by key."""
+def key_changes(columns: list[pa.Array]) -> np.ndarray:
+    """Where a row's key is another than the row's before; the first counts as another. Nulls are a key."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        code = c.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        new[1:] |= code[1:] != code[:-1]
+    return new
+
+
+def _in_key_order(changes: DataFrame, key: Sequence[str], *values: str) -> DataFrame:
+    columns = [*key, "event_id", "t", *values]
+    return by_key(changes.select(*columns), *key).sortWithinPartitions(*key, "t", "event_id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, stack, nonce = None, [], 1
-        for b in batches:
-            cols: tuple[list, ...] = tuple([] for _ in range(7))
-            for address, event, t, amount in zip(*(c.to_pylist() for c in b.columns)):
-                if address != key:
-                    key, stack, nonce = address, [], 1
-                nonce, rows = fold_one(stack, nonce, t, amount)
-                for sign, n, odt, a in rows:
-                    for c, x in zip(cols, (address, event, t, sign, n, odt, a)):
-                        c.append(x)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in LEDGER.split(", ")])
 
-    ordered = changes.select("address", "event_id", "t", "amount").repartition("address").sortWithinPartitions("address", "t", "event_id")
-    return ordered.mapInArrow(run, LEDGER)
+def _schema(changes: DataFrame, key: Sequence[str], rest: str) -> StructType:
+    return StructType([changes.schema[k] for k in key] + StructType.fromDDL(rest).fields)
 
 
-def in_order():
+def lifo_ledger(changes: DataFrame, key: Sequence[str] = KEY, bucket: int = 0) -> DataFrame:
+    """Every segment pushed (+1) and popped (-1), in order of changes, by ``key``; ``bucket`` as in ``fold_one``."""
+    k = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack, nonce, last = None, [], 1, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = key_changes(b.columns[:k]).tolist()
+            first = [c[0].as_py() for c in b.columns[:k]]
+            new[0] = at is None or first != at
+            at = [c[-1].as_py() for c in b.columns[:k]]
+            rows, of = [], []
+            for i, (begins, t, amount) in enumerate(zip(new, b.column(k + 1).to_numpy().tolist(), b.column(k + 2).to_numpy().tolist())):
+                if begins:
+                    stack, nonce = [], 1
+                elif not stack and t != last:
+                    nonce = 1
+                last = t
+                nonce, made = fold_one(stack, nonce, t, amount, bucket)
+                rows += made
+                of += [i] * len(made)
+            sign, n, odt, a = zip(*rows) if rows else ((),) * 4
+            own = [c.take(pa.array(of, pa.int32())) for c in b.columns[: k + 2]]
+            cols = [*own, pa.array(sign, pa.int32()), *(pa.array(c, pa.int64()) for c in (n, odt, a))]
+            yield pa.RecordBatch.from_arrays(cols, [*key, *(x.split()[0] for x in MOVES.split(", "))])
+
+    return _in_key_order(changes, key, "amount").mapInArrow(run, _schema(changes, key, MOVES))
+
+
+def in_order(key: Sequence[str] = KEY):
     """The changes of each key in order."""
-    return W.partitionBy("address").orderBy("t", "event_id")
+    return W.partitionBy(*key).orderBy("t", "event_id")
 
 
-def balances(changes: DataFrame) -> DataFrame:
+def balances(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Changes with old_balance and balance."""
-    bal = F.sum("amount").over(in_order())
+    bal = F.sum("amount").over(in_order(key))
     return changes.withColumn("balance", bal).withColumn("old_balance", F.col("balance") - F.col("amount"))
 
 
-def survivors(changes: DataFrame) -> DataFrame:
+def survivors(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """What each inflow still holds at the end: the lowest later balance less the balance before it, within the inflow."""
-    b = balances(changes).withColumn("low", F.min("balance").over(in_order().rowsBetween(0, W.unboundedFollowing)))
+    b = balances(changes, key).withColumn("low", F.min("balance").over(in_order(key).rowsBetween(0, W.unboundedFollowing)))
     held = F.greatest(F.least(F.col("low"), F.col("balance")) - F.col("old_balance"), F.lit(0))
-    return b.where("amount >= 0").withColumn("held", held).select("address", "event_id", "t", "amount", "held")
+    return b.where("amount >= 0").withColumn("held", held).select(*key, "event_id", "t", "amount", "held")
 
 
 def balances_sliced(changes: DataFrame, slice_size: int) -> DataFrame:
@@ -115,19 +167,96 @@ def survivors_sliced(changes: DataFrame, slice_size: int) -> DataFrame:
     return b.where("amount >= 0").select("address", "event_id", "t", "amount", held.alias("held"))
 
 
-def net_cohorts(ledger: DataFrame) -> DataFrame:
+def net_cohorts(ledger: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """The live stack out of a ledger: amounts by origin that don't cancel."""
-    return ledger.groupBy("address", "odt").agg(F.sum(F.col("sign") * F.col("amount")).alias("amount")).where("amount <> 0")
+    return ledger.groupBy(*key, "odt").agg(F.sum(F.col("sign") * F.col("amount")).alias("amount")).where("amount <> 0")
+
+
+def open_segments(ledger: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """The live stack segment by segment: pushed and never popped.
+
+    Nonces begin anew with every holding period, so a pop belongs to the nearest push of its nonce before it: what is left open is where
+    pushes and pops of a nonce don't balance, and that is the last push.
+    """
+    last = F.max_by(F.struct("odt", "amount"), F.when(F.col("sign") == 1, F.struct("t", "event_id", "odt", "amount")))
+    open_ = ledger.groupBy(*key, "nonce").agg(F.sum("sign").alias("left"), last.alias("last")).where("left > 0")
+    return open_.select(*key, "nonce", "last.odt", "last.amount")
 
 
-def open_segments(ledger: DataFrame) -> DataFrame:
-    """The live stack segment by segment: pushed and never popped."""
-    return ledger.where("sign = 1").join(ledger.where("sign = -1").select("address", "nonce"), ["address", "nonce"], "left_anti")
+def seam(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Net measure by time and origin time over all keys, or by each of ``by`` (a contract, an asset)."""
+    return ledger.groupBy(*by, "t", "odt").agg(F.sum(F.col("sign") * F.col("amount")).alias("measure")).where("measure <> 0")
 
 
-def seam(ledger: DataFrame) -> DataFrame:
-    """Net measure by time and origin time over all keys."""
-    return ledger.groupBy("t", "odt").agg(F.sum(F.col("sign") * F.col("amount")).alias("measure")).where("measure <> 0")
+def fold_state(ledger: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
+    """(key, next_nonce, last_t, last_event, stack array<struct<nonce, odt, amount>>): the state that ``resume`` goes on from, out of a ledger.
+
+    The stack of a key is one row, as deep as the key has live segments.
+    """
+    live = open_segments(ledger, key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("nonce", "odt", "amount"))).alias("stack"))
+    ends = ledger.groupBy(*key).agg(
+        F.max("t").alias("last_t"), F.max(F.struct("t", "event_id"))["event_id"].alias("last_event"), F.max(F.when((F.col("sign") == 1) & (F.col("nonce") == 1), F.col("t"))).alias("begun")
+    )
+    top = ledger.join(ends.select(*key, "begun"), list(key)).where("t >= begun").groupBy(*key).agg(F.max("nonce").alias("top"))
+    none = F.array().cast("array<struct<nonce:bigint,odt:bigint,amount:bigint>>")
+    return ends.join(top, list(key)).join(live, list(key), "left").select(
+        *key, F.when(F.col("stack").isNull(), 1).otherwise(F.col("top") + 1).alias("next_nonce"), "last_t", "last_event", F.coalesce("stack", none).alias("stack")
+    )
+
+
+def resume(state: DataFrame, changes: DataFrame, top: int = 64, key: Sequence[str] = KEY) -> DataFrame:
+    """The ledger of ``changes``, which come after ``state``: only keys with changes read a stack, and of it only the ``top`` segments.
+
+    A key whose outflows reach below these is folded once more with its whole stack, so the result doesn't depend on ``top``.
+    """
+    state = state.join(changes.select(*key).distinct(), list(key), "left_semi")
+    deep = state.withColumn("cut", F.slice("stack", F.greatest(F.size("stack") - top, F.lit(0)) + 1, top)).withColumn("whole", F.size("stack") <= top)
+    lazy = written(_resumed(deep.select(*key, "next_nonce", "last_t", F.col("cut").alias("stack"), "whole"), changes, key))
+    short = lazy.where("sign = 0").select(*key)
+    again = _resumed(state.join(short, list(key), "left_semi").select(*key, "next_nonce", "last_t", "stack", F.lit(True).alias("whole")), changes.join(short, list(key), "left_semi"), key)
+    return lazy.join(short, list(key), "left_anti").unionByName(again)
+
+
+def _resumed(state: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Ledger rows by key; a row of sign 0 alone where a stack was cut too short."""
+    kinds = "array<struct<nonce:bigint,odt:bigint,amount:bigint>>"
+    first = state.select(*key, F.lit(None).cast("long").alias("event_id"), F.col("last_t").alias("t"), F.col("next_nonce").alias("amount"), "stack", "whole")
+    rest = changes.select(*key, "event_id", "t", "amount", F.lit(None).cast(kinds).alias("stack"), F.lit(None).cast("boolean").alias("whole"))
+    k = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, stack, nonce, last, whole, held = None, [], 1, None, True, []
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*held)) or [()] * (k + 6)
+            made = [pa.array(c, t.type) for c, t in zip(cols[:k], kind)] + [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(cols[k:])]
+            held.clear()
+            return pa.RecordBatch.from_arrays(made, [*key, *(x.split()[0] for x in MOVES.split(", "))])
+
+        for b in batches:
+            kind = [b.schema.field(i) for i in range(k)]
+            for *own, event, t, amount, segments, all_of_it in zip(*(c.to_pylist() for c in b.columns)):
+                if own != at:
+                    at, stack, nonce, last, whole = own, [], 1, None, True
+                if segments is not None:
+                    stack, nonce, last, whole = [(x["nonce"], x["odt"], x["amount"]) for x in segments], amount, t, all_of_it
+                    continue
+                if whole is None:
+                    continue
+                if whole and not stack and t != last:
+                    nonce = 1
+                last = t
+                nonce, rows = fold_one(stack, nonce, t, amount)
+                if not whole and (not stack or (stack[0][1] == 0 and stack[0][2] < 0)):
+                    whole = None  # what lies below was needed
+                    held.append((*own, event, t, 0, 0, 0, 0))
+                    continue
+                held += [(*own, event, t, *r) for r in rows]
+            if held:
+                yield out()
+
+    ordered = by_key(first.unionByName(rest), *key).sortWithinPartitions(*key, F.col("event_id").isNotNull(), "t", "event_id")
+    return ordered.mapInArrow(run, _schema(changes, key, MOVES))
 
 
 def fifo_matches(changes: DataFrame) -> DataFrame:
@@ -150,25 +279,55 @@ def fifo_matches(changes: DataFrame) -> DataFrame:
     )
 
 
-def tank(changes: DataFrame) -> DataFrame:
-    """Average birth time and average cost by key, as linear recurrences over the ordered changes.
+AVERAGES = "event_id long, t long, balance long, weight double, cost double"
+
 
-    birth: amount-weighted mean of inflow times; an outflow leaves it. Both are folded by one expression over the
-    key's sorted array of changes, so a key's rows meet in one row; keys are many and spread by hash.
+def averages(changes: DataFrame, key: Sequence[str] = KEY, series: bool = False) -> DataFrame:
+    """Average birth time and average cost as linear recurrences over a key's ordered changes (.., t, event_id, amount, price).
+
+    weight: balance times its mean birth time in seconds, cost: balance times its mean price. An inflow adds amount times time and times
+    price (nothing without a price); an outflow scales both by new over old balance. One row a key, or with ``series`` one a change.
+    A key's rows are streamed, so a long history takes no memory.
     """
-    x = F.sort_array(F.collect_list(F.struct("t", "event_id", "amount")))
-    step = """aggregate(x, named_struct('b', 0L, 'w', cast(0 as double)), (s, c) -> named_struct(
-        'b', s.b + c.amount,
-        'w', case when c.amount >= 0 then s.w + cast(c.amount as double) * (cast(c.t as double) / 1000000)
-                  when s.b <> 0 then s.w * (cast(s.b + c.amount as double) / s.b) else s.w end))"""
-    return changes.groupBy("address").agg(x.alias("x")).select("address", F.expr(step).alias("s")).select("address", F.col("s.b").alias("balance"), F.col("s.w").alias("weight"))
+    k = len(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, balance, weight, cost, row = None, 0, 0.0, 0.0, None
 
+        def out(rows: list[tuple]) -> pa.RecordBatch:
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), [*kinds, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])]
+            return pa.RecordBatch.from_arrays(cols, [*key, *(x.split()[0] for x in AVERAGES.split(", "))])
 
-def trough(changes: DataFrame) -> DataFrame:
+        for b in batches:
+            kinds, rows = [c.type for c in b.columns[:k]], []
+            for *own, event, t, amount, price in zip(*(c.to_pylist() for c in b.columns)):
+                if own != at:
+                    if row and not series:
+                        rows.append(row)
+                    at, balance, weight, cost = own, 0, 0.0, 0.0
+                if amount >= 0:
+                    weight += float(amount) * (t / 1_000_000)
+                    cost += float(amount) * (price or 0)
+                elif balance:
+                    weight, cost = weight * ((balance + amount) / balance), cost * ((balance + amount) / balance)
+                balance += amount
+                row = (*own, event, t, balance, weight, cost)
+                if series:
+                    rows.append(row)
+            if rows:
+                yield out(rows)
+        if row and not series:
+            yield out([row])
+
+    priced = changes if "price" in changes.columns else changes.withColumn("price", F.lit(None).cast("long"))
+    return _in_key_order(priced, key, "amount", "price").mapInArrow(run, _schema(changes, key, AVERAGES))
+
+
+def trough(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """What of each key's net inflow no later dip touched: end balance less the lowest old balance, at least 0."""
-    b = balances(changes)
+    b = balances(changes, key)
     last = F.max_by("balance", F.struct("t", "event_id"))
-    return b.groupBy("address").agg(F.greatest(F.lit(0), last - F.min("old_balance")).alias("untouched"))
+    return b.groupBy(*key).agg(F.greatest(F.lit(0), last - F.min("old_balance")).alias("untouched"))
 
 
 def compress_runs(changes: DataFrame) -> DataFrame:

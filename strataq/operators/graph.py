@@ -1,46 +1,64 @@
-"""Dependency graphs of metrics: names, closure and order."""
+"""Dependency graphs of metrics: names, closure and levels."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WINDOW = r"(_([0-9]+(d|y|h|min|day|week)))+$"
+from strataq.functions.session import written
+
+UNITS = ("min", "h", "d", "day", "week", "y")
 
 
 def canonical(name: Column) -> Column:
-    """A metric's name without version, window and bucket."""
-    n = F.regexp_replace(F.split_part(name, F.lit("/"), F.lit(1)), WINDOW, "")
-    return F.regexp_replace(F.regexp_replace(n, r"_(1|1e_?[0-9]+|all|inf)$", "_B"), WINDOW, "")
+    """A metric's name without version and windows, its bucket as ``B``.
+
+    A name is made of parts between underscores and a version behind a slash. A part of digits and a unit is a window and drops out; a part that
+    names a size of holdings (``1``, ``1e3`` or ``1e`` and ``3``, ``all``, ``inf``) is a bucket if it ends what is left.
+    """
+    window = lambda p: reduce(lambda a, b: a | b, [p.endswith(u) & p.substr(F.lit(1), F.length(p) - len(u)).try_cast("int").isNotNull() for u in UNITS])
+    parts = F.filter(F.split(F.substring_index(name, "/", 1), "_"), lambda p: ~window(p))
+    size = F.size(parts)
+    last, before = F.try_element_at(parts, size), F.try_element_at(parts, size - 1)
+    exponent = lambda p: p.startswith("1e") & p.substr(F.lit(3), F.length(p)).try_cast("int").isNotNull()
+    own = F.when((size > 2) & (before == "1e") & last.try_cast("int").isNotNull(), 2).when((size > 1) & (last.isin("1", "all", "inf") | exponent(last)), 1).otherwise(0)
+    base = F.array_join(F.slice(parts, 1, size - own), "_")
+    return F.when(own > 0, F.concat(base, F.lit("_B"))).otherwise(base)
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_depth: int = 64) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame) -> DataFrame:
     """(root, node, depth): everything that depends on a root, at its least depth; ``edges``: (source, target).
 
-    A breadth-first walk of joins; each round meets only the nodes found last, and known ones drop out.
+    A breadth-first walk of joins until nothing new is found; each round meets only the nodes found last, and known ones drop out.
     """
-    seen = start.select("root", "node", F.lit(0).alias("depth"))
-    front = seen
-    for d in range(1, max_depth + 1):
+    seen = front = written(start.select("root", "node", F.lit(0).alias("depth")))
+    depth = 0
+    while not front.isEmpty():
+        depth += 1
         nxt = front.join(edges, front["node"] == edges["source"]).select("root", F.col("target").alias("node")).distinct()
-        nxt = nxt.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(d)).cache()
-        if nxt.isEmpty():
-            break
-        seen, front = seen.unionByName(nxt), nxt
+        front = written(nxt.join(seen, ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        seen = written(seen.unionByName(front))
     return seen
 
 
-def topological_order(edges: list[tuple[str, str]]) -> list[str]:
-    """Nodes of a small graph (job specifications) so that sources come first, ties by name; a cycle is an error."""
-    nodes = sorted({n for e in edges for n in e})
-    waits = {n: {a for a, b in edges if b == n} for n in nodes}
-    out: list[str] = []
-    while waits:
-        free = sorted(n for n, w in waits.items() if not w)
-        if not free:
-            raise ValueError(f"cycle among {sorted(waits)}")
-        out.append(free[0])
-        del waits[free[0]]
-        for w in waits.values():
-            w.discard(free[0])
-    return out
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): 0 for what depends on nothing, else one beyond its last dependency; a cycle is an error.
+
+    Each round places the nodes all of whose sources are placed, by one join and one aggregation.
+    """
+    edges = written(edges.select("source", "target").distinct())
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    placed = written(nodes.join(edges.select(F.col("target").alias("node")), "node", "left_anti").withColumn("level", F.lit(0)))
+    left = edges.select(F.col("target").alias("node")).distinct().count()
+    while left:
+        known = edges.join(placed.select(F.col("node").alias("source"), "level"), "source", "left")
+        ready = known.groupBy(F.col("target").alias("node")).agg(F.bool_and(F.col("level").isNotNull()).alias("all"), (F.max("level") + 1).alias("level"))
+        new = written(ready.where("all").select("node", "level").join(placed.select("node"), "node", "left_anti"))
+        n = new.count()
+        if not n:
+            raise ValueError("the edges have a cycle")
+        left -= n
+        placed = written(placed.unionByName(new))
+    return placed

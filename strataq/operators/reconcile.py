@@ -42,10 +42,13 @@ def compare(prod: DataFrame, exp: DataFrame, group: str, day: str, value: str, t
 
 
 def verdict(statistic: str, tol: float = 1e-9, minor: float = 0.05) -> Column:
-    """MATCH, minor-drift or DIVERGE by a relative difference; EXP-ONLY and no-overlap where no key is on both sides."""
+    """MATCH, minor-drift or DIVERGE by a relative difference; where no key is on both sides EXP-ONLY, or no-overlap without any of the new run's.
+
+    The labels and the bounds 1e-9 and 0.05 are fixed values.
+    """
     x = F.col(statistic)
     return (
-        F.when((F.col("both") == 0) & (F.col("exp_only") > 0) & (F.col("prod_only") == 0), "EXP-ONLY")
+        F.when((F.col("both") == 0) & (F.col("exp_only") > 0), "EXP-ONLY")
         .when(F.col("both") == 0, "no-overlap")
         .when(x.isNull() | (x <= tol), "MATCH")
         .when(x <= minor, "minor-drift")
@@ -66,8 +69,29 @@ def signature(points: DataFrame, group: list[str], order: str, value: str) -> Da
     )
 
 
+#: Relative tolerance of a check against a signature, where a metric has none of its own, and the absolute one.
+RTOL, ATOL = 1e-6, 1e-9
+
+
+def check_signature(points: DataFrame, baseline: DataFrame, group: list[str], order: str, value: str) -> DataFrame:
+    """``baseline`` (group, n, total, first, last, rtol) with the state of ``points`` against it: ok, off, or missing; groups it doesn't know are new.
+
+    Counts must be equal; sums, first and last values within rtol (``RTOL`` where it is null) of the greater magnitude, or ``ATOL``.
+    """
+    now = signature(points, group, order, value).select(*group, *[F.col(c).alias(f"{c}_now") for c in ("n", "total", "first", "last")])
+    rtol = F.coalesce("rtol", F.lit(RTOL))
+    near = lambda c: F.abs(F.col(c) - F.col(f"{c}_now")) <= F.greatest(rtol * F.greatest(F.abs(c), F.abs(f"{c}_now")), F.lit(ATOL))
+    same = (F.col("n") == F.col("n_now")) & near("total") & near("first") & near("last")
+    state = F.when(F.col("n_now").isNull(), "missing").when(F.col("n").isNull(), "new").when(same, "ok").otherwise("off")
+    return baseline.join(now, group, "full").select(*group, F.col("n").alias("recorded"), F.col("n_now").alias("found"), state.alias("state"))
+
+
+#: The bounds of the tiers.
+TIERS = (1e-9, 1e-4, 1e-2)
+
+
 def tier(rel: Column) -> Column:
-    return F.when(rel < 1e-9, "exact").when(rel < 1e-4, "float-noise").when(rel <= 1e-2, "moderate").otherwise("real")
+    return F.when(rel < TIERS[0], "exact").when(rel < TIERS[1], "float-noise").when(rel <= TIERS[2], "moderate").otherwise("real")
 
 
 def require_rows(inputs: dict[str, DataFrame]) -> None:

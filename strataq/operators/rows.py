@@ -36,3 +36,12 @@ def fill_forward(df: DataFrame, key: str, day: str, value: str) -> DataFrame:
     """Missing values replaced by the last known one."""
     w = W.partitionBy(key).orderBy(day).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn(value, F.last(value, ignorenulls=True).over(w))
+
+
+def change_over_days(points: DataFrame, key: str, day: str, value: str, days: tuple[int, ...]) -> DataFrame:
+    """``points`` with d1, d7 and so on: the value less that of so many days before, null where that day has none.
+
+    A window over the range of that one day, so missing days don't shift what is compared.
+    """
+    at = lambda n: W.partitionBy(key).orderBy(day).rangeBetween(-n, -n)
+    return points.select(key, day, *[(F.col(value) - F.first(value).over(at(n))).alias(f"d{n}") for n in days])

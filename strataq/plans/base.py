@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.functions.session import table
-from strataq.functions.time import FIVE_MINUTES, floor_to, micros
+from strataq.functions.time import DAY, FIVE_MINUTES, floor_to, micros
 from strataq.operators import asof, fold
 
 #: Prices begin on the fifth day, so that earlier origins have none.
@@ -23,6 +23,12 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("address"), "event_id", micros("ts").alias("t"), (sign * F.round(F.col("value") * 100).cast("long")).alias("amount"))
 
 
+def small_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Small whole amounts by contract and address, a block a day."""
+    c = changes(spark, sf_dir)
+    return c.select((F.col("event_id") % 3).alias("contract"), "address", "event_id", floor_to("t", DAY).alias("t"), (F.signum("amount").cast("long") * (F.col("event_id") % 4)).alias("amount"))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, price): mean cents of the clicks of each five minutes."""
     e = table(spark, sf_dir, "events").where("event_type = 'click'").select(micros("ts").alias("t"), F.round(F.col("value") * 100).cast("long").alias("c"))
@@ -54,6 +60,11 @@ CH = """ch AS (
   SELECT user_id AS address, event_id, epoch_us(ts) AS t,
          (CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END * round(value * 100)::BIGINT)::BIGINT AS amount FROM events
 )"""
+#: Small whole amounts by contract and address and a block a day, so that stacks empty often; the twin packs both keys into one.
+CH_SMALL = """ch AS (
+  SELECT user_id * 10 + event_id % 3 AS address, event_id, epoch_us(ts) - epoch_us(ts) % 86400000000 AS t,
+         (CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END * (event_id % 4))::BIGINT AS amount FROM events
+)"""
 BALANCE = """balance AS (
   SELECT address, event_id, t, amount, (sum(amount) OVER w)::BIGINT AS balance, (sum(amount) OVER w - amount)::BIGINT AS old_balance
   FROM ch WINDOW w AS (PARTITION BY address ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)
@@ -79,8 +90,13 @@ PAIRS = """pos AS (
   UNION ALL SELECT address, coin, pos, event_id, t, 1, odt, rem FROM touch WHERE rem > 0
   UNION ALL SELECT address, 0, pos, event_id, t, -1, 0, pdebt FROM owe WHERE debt <> pdebt AND pdebt < 0
   UNION ALL SELECT address, 0, pos, event_id, t, 1, 0, debt FROM owe WHERE debt <> pdebt
+), sized AS (
+  SELECT address, pos, t, sum(s) OVER (PARTITION BY address ORDER BY pos) AS size FROM (SELECT address, pos, t, sum(sign) AS s FROM moves GROUP BY address, pos, t)
+), periods AS (
+  SELECT address, pos, sum(CASE WHEN empty AND t <> before THEN 1 ELSE 0 END) OVER (PARTITION BY address ORDER BY pos) AS period FROM (
+    SELECT *, lag(size) OVER w = 0 AS empty, lag(t) OVER w AS before FROM sized WINDOW w AS (PARTITION BY address ORDER BY pos))
 ), numbered AS (
-  SELECT *, CASE WHEN sign = 1 THEN row_number() OVER (PARTITION BY address, sign ORDER BY pos) END AS own FROM moves
+  SELECT m.*, CASE WHEN sign = 1 THEN row_number() OVER (PARTITION BY address, period, sign ORDER BY pos) END AS own FROM moves m JOIN periods USING (address, pos)
 ), ledger AS (
   SELECT address, event_id, t, sign, coalesce(own, lag(own) OVER (PARTITION BY address, coin ORDER BY pos, sign))::BIGINT AS nonce, odt, amount::BIGINT AS amount FROM numbered
 )"""
@@ -101,6 +117,7 @@ SURVIVORS = """survivors AS (
 )"""
 _LEDGER = [CH, BALANCE, PAIRS]
 PRELUDES = {
+    "small ledger": [CH_SMALL, BALANCE, PAIRS],
     "ch": [CH],
     "price": [PRICE],
     "balance": [CH, BALANCE],

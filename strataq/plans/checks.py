@@ -36,7 +36,7 @@ def compare_full(spark, sf_dir):
 
 
 def _verdict_sql(stat: str) -> str:
-    return f"""WITH {_PAIR}, {_REPORT} SELECT name, CASE WHEN "both" = 0 AND exp_only > 0 AND prod_only = 0 THEN 'EXP-ONLY' WHEN "both" = 0 THEN 'no-overlap' WHEN {stat} IS NULL OR {stat} <= 1e-9 THEN 'MATCH' WHEN {stat} <= 0.05 THEN 'minor-drift' ELSE 'DIVERGE' END AS verdict FROM rep"""
+    return f"""WITH {_PAIR}, {_REPORT} SELECT name, CASE WHEN "both" = 0 AND exp_only > 0 THEN 'EXP-ONLY' WHEN "both" = 0 THEN 'no-overlap' WHEN {stat} IS NULL OR {stat} <= 1e-9 THEN 'MATCH' WHEN {stat} <= 0.05 THEN 'minor-drift' ELSE 'DIVERGE' END AS verdict FROM rep"""
 
 
 @query("verdict_mean", _verdict_sql("mean_rel"))
@@ -51,20 +51,46 @@ def verdict_median(spark, sf_dir):
     return reconcile.compare(*_runs(spark, sf_dir), "name", "day", "value").select("name", reconcile.verdict("p50_rel").alias("verdict"))
 
 
+_DISJOINT = f"""{RUNS}, a AS (SELECT * FROM prod WHERE name <> '1-URGENT' AND (name <> '2-HIGH' OR day % 2 = 0) AND name <> '3-MEDIUM'),
+b AS (SELECT * FROM prod WHERE (name <> '2-HIGH' OR day % 2 = 1) AND name <> '5-LOW' AND name <> '3-MEDIUM' UNION ALL SELECT name, day, value + value % 3 FROM prod WHERE name = '3-MEDIUM'),
+c AS (SELECT name, count(*) FILTER (WHERE a.value IS NOT NULL AND b.value IS NOT NULL) AS n, count(*) FILTER (WHERE a.value IS NULL) AS exp_only FROM a FULL JOIN b USING (name, day) GROUP BY name)
+SELECT name, CASE WHEN n = 0 AND exp_only > 0 THEN 'EXP-ONLY' WHEN n = 0 THEN 'no-overlap' ELSE 'MATCH' END AS verdict FROM c"""
+
+
+@query("verdict_disjoint", f"WITH {_DISJOINT}")
+def verdict_disjoint(spark, sf_dir):
+    """Runs that share no days of some metrics, or have no metric of the other's."""
+    p, _ = _runs(spark, sf_dir)
+    half = lambda k: (F.col("name") != "2-HIGH") | (F.col("day") % 2 == k)
+    rest = F.col("name") != "3-MEDIUM"
+    a = p.where((F.col("name") != "1-URGENT") & half(0) & rest)
+    b = p.where(half(1) & (F.col("name") != "5-LOW") & rest).unionByName(p.where(~rest).withColumn("value", F.col("value") + F.col("value") % 3))
+    return reconcile.compare(a, b, "name", "day", "value").select("name", reconcile.verdict("mean_rel").alias("verdict"))
+
+
+#: What the second of two seams has: no liabilities, nothing from 2024-01-28 on, and what is older than five days an hour off.
+_OTHER = "SELECT t, CASE WHEN t - odt > 432000000000 THEN odt + 3600000000 ELSE odt END AS odt, measure FROM seam WHERE odt <> 0 AND t < 1706400000000000"
+
+
+def _other(s):
+    old = F.when(F.col("t") - F.col("odt") > 432_000_000_000, F.col("odt") + HOUR).otherwise(F.col("odt"))
+    return s.where("odt <> 0 and t < 1706400000000000").select("t", old.alias("odt"), "measure")
+
+
 @query(
     "compare_hour_rolled",
     with_prelude(
         """, exact AS (SELECT t - t % 3600000000 AS t, odt - odt % 3600000000 AS odt, sum(measure)::BIGINT AS v FROM seam GROUP BY 1, 2),
-        rolled AS (SELECT t - t % 3600000000 AS t, odt - odt % 3600000000 AS odt, sum(CASE WHEN odt = 0 THEN measure ELSE measure END)::BIGINT AS v FROM seam WHERE measure <> 1 GROUP BY 1, 2)
+        rolled AS (SELECT t - t % 3600000000 AS t, odt - odt % 3600000000 AS odt, sum(measure)::BIGINT AS v FROM (""" + _OTHER + """) GROUP BY 1, 2)
         SELECT count(*) AS n, count(*) FILTER (WHERE coalesce(a.v, 0) <> coalesce(b.v, 0)) AS off, sum(abs(coalesce(a.v, 0) - coalesce(b.v, 0)))::BIGINT AS total FROM exact a FULL JOIN rolled b ON a.t = b.t AND a.odt = b.odt""",
         "seam",
     ),
 )
 def hour_rolled(spark, sf_dir):
-    """The seam rolled to hours on both axes against a copy without its smallest rows, absent taken for 0."""
+    """The seam rolled to hours on both axes against another run, absent taken for 0."""
     s = base.SOURCES["seam"](spark, sf_dir)
     roll = lambda d: d.groupBy(floor_to("t", HOUR).alias("t"), floor_to("odt", HOUR).alias("odt")).agg(F.sum("measure").alias("v"))
-    d = reconcile.paired(roll(s), roll(s.where("measure <> 1")), ["t", "odt"], "v").select(F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("e", F.lit(0)).alias("e"))
+    d = reconcile.paired(roll(s), roll(_other(s)), ["t", "odt"], "v").select(F.coalesce("p", F.lit(0)).alias("p"), F.coalesce("e", F.lit(0)).alias("e"))
     return d.agg(F.count("*").alias("n"), F.count_if(F.col("p") != F.col("e")).alias("off"), F.sum(F.abs(F.col("p") - F.col("e"))).alias("total"))
 
 
@@ -107,7 +133,7 @@ def conservation(spark, sf_dir):
 @query(
     "l1_seam_union_diff",
     with_prelude(
-        """, d AS (SELECT t, odt - odt % 3600000000 AS odt, measure AS d, abs(measure) AS g FROM seam UNION ALL SELECT t, odt - odt % 3600000000, -measure, abs(measure) FROM seam WHERE odt <> 0)
+        """, d AS (SELECT t, odt - odt % 3600000000 AS odt, measure AS d, abs(measure) AS g FROM seam UNION ALL SELECT t, odt - odt % 3600000000, -measure, abs(measure) FROM (""" + _OTHER + """))
         SELECT odt, sum(d)::BIGINT AS difference, sum(g)::BIGINT AS gross, abs(sum(d)) > 1e-9::DOUBLE * sum(g) + 0.01::DOUBLE AS broken FROM d GROUP BY odt HAVING sum(d) <> 0""",
         "seam",
     ),
@@ -115,8 +141,8 @@ def conservation(spark, sf_dir):
 def union_diff(spark, sf_dir):
     """Two seams compared by a signed union, without a join."""
     s = base.SOURCES["seam"](spark, sf_dir).withColumn("odt", floor_to("odt", HOUR))
-    lost = base.SOURCES["seam"](spark, sf_dir).where("odt <> 0").withColumn("odt", floor_to("odt", HOUR))
-    d = reconcile.union_difference(s, lost, ["odt"], "measure").where("difference <> 0")
+    other = _other(base.SOURCES["seam"](spark, sf_dir)).withColumn("odt", floor_to("odt", HOUR))
+    d = reconcile.union_difference(s, other, ["odt"], "measure").where("difference <> 0")
     return d.withColumn("broken", F.abs("difference") > 1e-9 * F.col("gross") + 0.01)
 
 
@@ -127,11 +153,38 @@ def reduction(spark, sf_dir):
     return s.agg(F.count("*").alias("fine"), F.countDistinct("t", floor_to("odt", HOUR)).alias("coarse"))
 
 
-@query("yearly_signature", f"WITH {RUNS} SELECT name, CAST(floor(day / 365) AS BIGINT) AS span, count(*) AS n, sum(value)::BIGINT AS total, arg_min(value, day) AS first, arg_max(value, day) AS last FROM prod GROUP BY 1, 2")
+@query("yearly_signature", f"WITH {RUNS} SELECT name, year(DATE '1970-01-01' + day::INT)::INT AS span, count(*) AS n, sum(value)::BIGINT AS total, arg_min(value, day) AS first, arg_max(value, day) AS last FROM prod GROUP BY 1, 2")
 def signature(spark, sf_dir):
     """The record that later runs are held against."""
     p, _ = _runs(spark, sf_dir)
-    return reconcile.signature(p.withColumn("span", F.floor(F.col("day") / 365).cast("long")), ["name", "span"], "day", "value")
+    return reconcile.signature(p.withColumn("span", _year()), ["name", "span"], "day", "value")
+
+
+def _year():
+    return F.year(F.date_from_unix_date(F.col("day").cast("int")))
+
+
+#: A metric's own tolerance in place of the common one.
+RTOLS = {"1-URGENT": 0.5, "2-HIGH": 0.05}
+
+
+@query(
+    "signature_check",
+    f"""WITH {RUNS}, old AS (SELECT name, year(DATE '1970-01-01' + day::INT)::INT AS span, count(*) AS n, sum(value)::BIGINT AS total, arg_min(value, day) AS first, arg_max(value, day) AS last FROM prod WHERE name <> '5-LOW' GROUP BY 1, 2),
+    new AS (SELECT name, year(DATE '1970-01-01' + day::INT)::INT AS span, count(*) AS n, sum(value)::BIGINT AS total, arg_min(value, day) AS first, arg_max(value, day) AS last FROM expr WHERE name <> '4-NOT SPECIFIED' GROUP BY 1, 2),
+    j AS (SELECT name, span, old.n AS recorded, new.n AS found, CASE name WHEN '1-URGENT' THEN 0.5::DOUBLE WHEN '2-HIGH' THEN 0.05::DOUBLE ELSE 1e-6::DOUBLE END AS rtol,
+      abs(old.total - new.total) AS dt, greatest(abs(old.total), abs(new.total)) AS gt, abs(old.first - new.first) AS df, greatest(abs(old.first), abs(new.first)) AS gf, abs(old.last - new.last) AS dl, greatest(abs(old.last), abs(new.last)) AS gl
+      FROM old FULL JOIN new USING (name, span))
+    SELECT name, span, recorded, found, CASE WHEN found IS NULL THEN 'missing' WHEN recorded IS NULL THEN 'new'
+      WHEN recorded = found AND dt <= greatest(rtol * gt, 1e-9::DOUBLE) AND df <= greatest(rtol * gf, 1e-9::DOUBLE) AND dl <= greatest(rtol * gl, 1e-9::DOUBLE) THEN 'ok' ELSE 'off' END AS state FROM j""",
+)
+def signature_check(spark, sf_dir):
+    """A run against the recorded signature of an earlier one, with a tolerance by metric; missing and new groups told apart."""
+    p, e = _runs(spark, sf_dir)
+    old = reconcile.signature(p.where("name <> '5-LOW'").withColumn("span", _year()), ["name", "span"], "day", "value")
+    own = F.when(F.col("name") == "1-URGENT", RTOLS["1-URGENT"]).when(F.col("name") == "2-HIGH", RTOLS["2-HIGH"])
+    new = e.where("name <> '4-NOT SPECIFIED'").withColumn("span", _year())
+    return reconcile.check_signature(new, old.withColumn("rtol", own), ["name", "span"], "day", "value")
 
 
 @query("baseline_check", f"WITH {_PAIR} SELECT name, day, CASE WHEN e IS NULL THEN 'missing' WHEN p IS NULL THEN 'new' WHEN abs(p - e) <= 0.05::DOUBLE * greatest(abs(p), abs(e)) + 1e-9::DOUBLE THEN 'close' ELSE 'off' END AS state FROM r")
@@ -149,11 +202,15 @@ def tiers(spark, sf_dir):
     return d.groupBy(reconcile.tier(reconcile.relative_difference(F.col("p"), F.col("e"))).alias("tier")).agg(F.count("*").alias("n"))
 
 
-@query("monthly_coverage", f"WITH {RUNS}, c AS (SELECT name, CAST(floor(day / 30) AS BIGINT) AS m, count(*) AS n FROM prod GROUP BY 1, 2), g AS (SELECT name, unnest(range(lo, hi + 1)) AS m FROM (SELECT name, min(m) AS lo, max(m) AS hi FROM c GROUP BY name)) SELECT g.name, g.m, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON g.name = c.name AND g.m = c.m")
+_MONTH = "(year(DATE '1970-01-01' + day::INT) * 12 + month(DATE '1970-01-01' + day::INT) - 1)::BIGINT"
+
+
+@query("monthly_coverage", f"WITH {RUNS}, c AS (SELECT name, {_MONTH} AS m, count(*) AS n FROM prod WHERE {_MONTH} % 5 <> 2 GROUP BY 1, 2), g AS (SELECT name, unnest(range(lo, hi + 1)) AS m FROM (SELECT name, min(m) AS lo, max(m) AS hi FROM c GROUP BY name)) SELECT g.name, g.m, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON g.name = c.name AND g.m = c.m")
 def coverage(spark, sf_dir):
-    """Points by month, months without any shown as 0."""
-    p, _ = _runs(spark, sf_dir)
-    c = p.groupBy("name", F.floor(F.col("day") / 30).cast("long").alias("m")).agg(F.count("*").alias("n"))
+    """Points by calendar month (12 times the year, plus the month from 0), months without any shown as 0."""
+    day = F.date_from_unix_date(F.col("day").cast("int"))
+    p = _runs(spark, sf_dir)[0].withColumn("m", (F.year(day) * 12 + F.month(day) - 1).cast("long")).where("m % 5 <> 2")
+    c = p.groupBy("name", "m").agg(F.count("*").alias("n"))
     g = c.groupBy("name").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).select("name", F.explode(F.sequence("lo", "hi")).alias("m"))
     return g.join(c, ["name", "m"], "left").select("name", "m", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -165,8 +222,9 @@ def rebucket(spark, sf_dir):
     five = ch.groupBy(F.floor(F.col("t") / 300_000_000).alias("b")).agg(F.sum("amount").alias("v"))
     day = five.groupBy(F.floor(F.col("b") / 288).alias("d")).agg(F.sum("v").alias("v"))
     week = day.groupBy(F.floor(F.col("d") / 7).alias("w")).agg(F.sum("v").alias("v"))
-    total = lambda d, c: d.agg(F.sum("v").alias(c))
-    return total(five, "five_minutes").join(total(day, "daily")).join(total(week, "weekly"))
+    each = [d.select(F.lit(c).alias("level"), "v") for d, c in ((five, "five_minutes"), (day, "daily"), (week, "weekly"))]
+    at = lambda c: F.sum(F.when(F.col("level") == c, F.col("v"))).alias(c)
+    return each[0].union(each[1]).union(each[2]).agg(at("five_minutes"), at("daily"), at("weekly"))
 
 
 @query("gap_fill_locf", f"WITH {RUNS}, s AS (SELECT name, unnest(range(lo, (SELECT max(day) FROM prod) + 1)) AS day FROM (SELECT name, min(day) AS lo FROM prod GROUP BY name)) SELECT s.name, s.day, last_value(p.value IGNORE NULLS) OVER (PARTITION BY s.name ORDER BY s.day ROWS UNBOUNDED PRECEDING) AS value FROM s LEFT JOIN prod p ON s.name = p.name AND s.day = p.day")
@@ -183,12 +241,11 @@ def zero_fill(spark, sf_dir):
     return rows.dense_days(p, "name").select("name", "day", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-@query("change_over_days", f"WITH {RUNS} SELECT name, day, value - lag(value, 1) OVER w AS d1, value - lag(value, 7) OVER w AS d7, value - lag(value, 30) OVER w AS d30 FROM prod WINDOW w AS (PARTITION BY name ORDER BY day)")
+@query("change_over_days", f"WITH {RUNS}, g AS (SELECT * FROM prod WHERE day % 11 <> 3) SELECT g.name, g.day, g.value - a.value AS d1, g.value - b.value AS d7, g.value - c.value AS d30 FROM g LEFT JOIN g a ON a.name = g.name AND a.day = g.day - 1 LEFT JOIN g b ON b.name = g.name AND b.day = g.day - 7 LEFT JOIN g c ON c.name = g.name AND c.day = g.day - 30")
 def change_over(spark, sf_dir):
-    """Change over so many points."""
+    """Change over so many days, in a series with missing days."""
     p, _ = _runs(spark, sf_dir)
-    w = W.partitionBy("name").orderBy("day")
-    return p.select("name", "day", *[(F.col("value") - F.lag("value", n).over(w)).alias(f"d{n}") for n in (1, 7, 30)])
+    return rows.change_over_days(p.where("day % 11 <> 3"), "name", "day", "value", (1, 7, 30))
 
 
 @query("cumulative_from_genesis", f"WITH {RUNS} SELECT name, day, (sum(value) OVER (PARTITION BY name ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM prod")
@@ -205,12 +262,13 @@ def top_movers(spark, sf_dir):
     return d.orderBy(F.abs(F.col("p") - F.col("e")).desc(), "name", "day").limit(12)
 
 
-@query("null_safe_join", "SELECT count(*) AS n, count(a.o_custkey) AS with_key FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders WHERE o_orderkey % 50 = 0) a JOIN (SELECT DISTINCT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) b ON a.o_custkey IS NOT DISTINCT FROM b.k")
+@query("null_safe_join", "SELECT count(*) AS n, count(a.o_custkey) AS with_key FROM (SELECT CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders) a JOIN (SELECT DISTINCT CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_custkey END AS k FROM customer) b ON a.o_custkey IS NOT DISTINCT FROM b.k")
 def null_safe(spark, sf_dir):
     """J12."""
-    a = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey"))
+    a = table(spark, sf_dir, "orders").select(F.when(F.col("o_custkey") % 5 != 0, F.col("o_custkey")).alias("o_custkey"))
     b = table(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 5 != 0, F.col("c_custkey")).alias("k")).distinct()
-    return a.join(b, a["o_custkey"].eqNullSafe(b["k"])).agg(F.count("*").alias("n"), F.count("o_custkey").alias("with_key"))
+    a = a.groupBy("o_custkey").agg(F.count("*").alias("n"))  # the null key may hold many rows; they meet as one
+    return a.join(b, a["o_custkey"].eqNullSafe(b["k"])).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("o_custkey").isNotNull(), F.col("n"))), F.lit(0)).alias("with_key"))
 
 
 @query("metadata_names", "SELECT n_name AS name, count(*) AS n FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from strataq.functions.session import table
+from strataq.functions.time import DAY, micros
 from strataq.operators import graph, pages
 from strataq.plans.registry import query
 from strataq.sources import scans
@@ -93,13 +94,35 @@ def embedding_floor(spark, sf_dir):
 
 # ---------------------------------------------------------------- graphs
 
-#: What this engine's own metrics are computed from: (source, metric).
+#: Which metric is computed from which, (source, metric), and what is computed from the price.
 EDGES = (
-    ("changes", "balances"), ("changes", "ledger"), ("ledger", "seam"), ("prices", "priced_seam"), ("seam", "priced_seam"),
-    ("priced_seam", "circulation_delta_7d"), ("circulation_delta_7d", "circulation_7d"), ("priced_seam", "realized_cap_7d"),
-    ("circulation_7d", "mean_price_7d"), ("realized_cap_7d", "mean_price_7d"), ("mean_price_7d", "mvrv_7d"), ("prices", "mvrv_7d"),
-    ("seam", "age_consumed_1d"), ("age_consumed_1d", "liveliness/v2"), ("balances", "supply"), ("supply", "marketcap"), ("prices", "marketcap"),
-    ("transfers", "volume_1d"), ("volume_1d", "velocity"), ("supply", "velocity"), ("transfers", "active_addresses_1d"), ("active_addresses_1d", "holders_1e_3"),
+    ("S_STACKS", "age_distribution_5min_delta"), ("age_distribution_5min_delta", "stack_circulation_delta_T"), ("stack_circulation_delta_T", "stack_circulation_T"),
+    ("stack_circulation_T", "nvt"), ("stack_circulation_T", "stock_to_flow_ratio"), ("stack_circulation_delta_T", "stock_to_flow_ratio"),
+    ("stack_circulation_T", "token_velocity"), ("transaction_volume", "token_velocity"), ("stack_circulation_T", "nvt_transaction_volume"),
+    ("transaction_volume", "nvt_transaction_volume"), ("age_distribution_5min_delta", "stack_realized_cap_usd_delta"),
+    ("stack_realized_cap_usd_delta", "stack_realized_cap_usd_T"), ("stack_circulation_T", "mean_realized_price_usd_T"),
+    ("stack_realized_cap_usd_T", "mean_realized_price_usd_T"), ("stack_realized_cap_usd_T", "realized_cap_hodl_waves_T"),
+    ("mean_realized_price_usd_T", "mvrv_usd"), ("stack_realized_cap_usd_T", "mvrv_z"), ("daily_marketcap_usd", "mvrv_z"),
+    ("S_STACKS", "stack_age_consumed"), ("stack_age_consumed", "stack_liveliness"), ("age_distribution_5min_delta", "stack_mean_age_dollar_days"),
+    ("age_distribution_5min_delta", "dormant_circulation"), ("dormant_circulation", "dormant_circulation_usd"),
+    ("age_distribution_5min_delta", "spent_coins_age_band_T"), ("age_distribution_5min_delta", "network_profit_loss"),
+    ("age_distribution_5min_delta", "total_supply_in_profit"), ("total_supply_in_profit", "percent_of_total_supply_in_profit"),
+    ("stack_circulation_T", "percent_of_total_supply_in_profit"), ("S_BAL", "custom_total_supply_delta"), ("custom_total_supply_delta", "total_supply"),
+    ("stack_circulation_T", "total_supply"), ("total_supply", "daily_marketcap_usd"), ("total_supply", "fully_diluted_valuation_usd"),
+    ("daily_marketcap_usd", "bitcoin_dominance"), ("total_supply", "annual_inflation_rate"), ("stack_circulation_T", "non_exchange_token_supply"),
+    ("exchange_token_supply", "non_exchange_token_supply"), ("stack_circulation_T", "percent_of_total_supply_on_exchanges"),
+    ("exchange_token_supply", "percent_of_total_supply_on_exchanges"), ("S_BAL", "exchange_token_supply"), ("S_BAL", "holders_distribution_T"),
+    ("S_BAL", "active_holders_distribution_T"), ("S_TX", "transaction_volume"), ("S_TX", "transaction_count"), ("S_TX", "payment_count"),
+    ("S_TX", "daily_active_addresses"), ("S_TX", "network_growth"), ("S_TX", "whale_transaction_count_usd"), ("S_TX", "whale_transaction_volume_usd"),
+    ("daily_active_addresses", "daa_divergence"),
+    ("PRICE", "stack_realized_cap_usd_delta"), ("PRICE", "mvrv_usd"), ("PRICE", "mvrv_z"), ("PRICE", "dormant_circulation_usd"), ("PRICE", "network_profit_loss"),
+    ("PRICE", "total_supply_in_profit"), ("PRICE", "daily_marketcap_usd"), ("PRICE", "fully_diluted_valuation_usd"), ("PRICE", "daa_divergence"),
+)
+#: Names with versions, windows and buckets, as specifications have them: (source, metric).
+NAMED = (
+    ("age_distribution_5min_delta", "stack_circulation_1d"), ("age_distribution_5min_delta", "stack_circulation_365d"), ("stack_circulation_20y/v2", "nvt/2024-01"),
+    ("stack_circulation_7d", "mean_realized_price_usd_7d"), ("balances_10min", "holders_distribution_1e_3"), ("balances_10min", "holders_distribution_all"),
+    ("balances", "holders_distribution_1e3_1d"), ("mean_realized_price_usd_7d", "mvrv_usd_7d"), ("prices_5min_1day", "mvrv_usd_2y"),
 )
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in EDGES)
 
@@ -126,27 +149,52 @@ def colours(spark, sf_dir):
     return r.groupBy("node").agg(F.array_join(F.sort_array(F.collect_set("root")), ",").alias("colours"))
 
 
-@query("metric_parents", rf"WITH e(source, target) AS (VALUES {_VALUES}), c AS (SELECT regexp_replace(regexp_replace(split_part(source, '/', 1), '(_([0-9]+(d|y|h|min|day|week)))+$', ''), '_(1|1e_?[0-9]+|all|inf)$', '_B') AS s, regexp_replace(regexp_replace(split_part(target, '/', 1), '(_([0-9]+(d|y|h|min|day|week)))+$', ''), '_(1|1e_?[0-9]+|all|inf)$', '_B') AS t FROM e) SELECT t AS metric, string_agg(DISTINCT s, ',' ORDER BY s) AS parents FROM c WHERE s <> t GROUP BY t")
+def _parts(c: str) -> str:
+    return f"list_filter(string_split(string_split({c}, '/')[1], '_'), lambda p: NOT regexp_full_match(p, '[0-9]+(min|h|d|day|week|y)'))"
+
+
+def _canon(c: str) -> str:
+    p = _parts(c)
+    return f"""CASE WHEN len({p}) > 2 AND {p}[-2] = '1e' AND regexp_full_match({p}[-1], '[0-9]+') THEN array_to_string({p}[:-3], '_') || '_B'
+    WHEN len({p}) > 1 AND regexp_full_match({p}[-1], '1|all|inf|1e[0-9]+') THEN array_to_string({p}[:-2], '_') || '_B' ELSE array_to_string({p}, '_') END"""
+
+
+@query("metric_parents", f"WITH e(source, target) AS (VALUES {', '.join(map(str, NAMED))}), c AS (SELECT {_canon('source')} AS s, {_canon('target')} AS t FROM e) SELECT t AS metric, string_agg(DISTINCT s, ',' ORDER BY s) AS parents, count(DISTINCT s) AS n FROM c WHERE s <> t GROUP BY t")
 def parents(spark, sf_dir):
-    """Parents of each metric under canonical names."""
-    e = _edges(spark).select(graph.canonical(F.col("source")).alias("s"), graph.canonical(F.col("target")).alias("metric")).where("s <> metric")
-    return e.groupBy("metric").agg(F.array_join(F.sort_array(F.collect_set("s")), ",").alias("parents"))
+    """Parents of each metric under canonical names, and how many."""
+    e = spark.createDataFrame(list(NAMED), "source string, target string")
+    e = e.select(graph.canonical(F.col("source")).alias("s"), graph.canonical(F.col("target")).alias("metric")).where("s <> metric")
+    return e.groupBy("metric").agg(F.array_join(F.sort_array(F.collect_set("s")), ",").alias("parents"), F.countDistinct("s").alias("n"))
 
 
 @query("topo_levels", f"{_CLOSURE} SELECT node, max(depth)::INT AS level FROM r GROUP BY node")
 def topo(spark, sf_dir):
-    """The level at which a job may run: one beyond its last dependency."""
-    order, level = graph.topological_order(list(EDGES)), {}
-    for n in order:
-        level[n] = max((level[a] + 1 for a, b in EDGES if b == n), default=0)
-    return spark.createDataFrame(sorted(level.items()), "node string, level int")
+    """The level at which a job may run: one beyond its last dependency."""
+    return graph.levels(_edges(spark))
 
 
-@query("stale_composites", f"WITH e(source, target) AS (VALUES {_VALUES}) SELECT source, target FROM e WHERE length(source) * 7 % 10 > length(target) * 7 % 10")
+@query(
+    "stale_composites",
+    f"""WITH e(source, target) AS (VALUES {_VALUES}), m AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT source AS node FROM e UNION SELECT target FROM e)),
+    pts AS (SELECT node, epoch_us(ts) AS dt, epoch_us(ts) + event_id * 7919 % 86400000000 AS computed_at FROM events JOIN m ON event_id % 200 = k),
+    l AS (SELECT node, max(computed_at) AS computed_at FROM pts GROUP BY node)
+    SELECT source, target, t.computed_at AS computed_at, s.computed_at AS input_computed_at FROM e JOIN l s ON s.node = source JOIN l t ON t.node = target WHERE t.computed_at < s.computed_at""",
+)
 def stale(spark, sf_dir):
-    """Edges whose dependent was computed before its input; the lengths of names stand for times."""
-    at = lambda c: F.length(c) * 7 % 10
-    return _edges(spark).where(at("source") > at("target"))
+    """Metrics whose latest points were computed before those of an input; points are events, dealt to the metrics by their ids."""
+    from pyspark.sql import Window as W
+
+    nodes = _edges(spark).select(F.col("source").alias("node")).union(_edges(spark).select("target")).distinct()
+    named = nodes.withColumn("k", F.row_number().over(W.orderBy("node")))
+    ev = table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("k"), (micros("ts") + F.col("event_id") * 7919 % DAY).alias("computed_at"))
+    return graph_stale(_edges(spark), ev.join(named, "k").select("node", "computed_at"))
+
+
+def graph_stale(edges, points):
+    """Edges whose metric was last computed before its input; ``points``: (node, computed_at)."""
+    last = points.groupBy("node").agg(F.max("computed_at").alias("at"))
+    j = edges.join(last.select(F.col("node").alias("source"), F.col("at").alias("input_computed_at")), "source").join(last.select(F.col("node").alias("target"), F.col("at").alias("computed_at")), "target")
+    return j.where("computed_at < input_computed_at").select("source", "target", "computed_at", "input_computed_at")
 
 
 @query("job_selector", "WITH j AS (SELECT n_name AS job, r_name AS region, n_nationkey % 2 AS half FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT job FROM j WHERE region = 'ASIA' AND half = 0 AND job NOT LIKE '%INDO%'")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.functions.session import table
+from strataq.functions.session import table, written
 from strataq.functions.time import FIVE_MINUTES, HOUR, day_number, floor_to, micros
 from strataq.operators import asof, fold, rows
 from strataq.plans import base
@@ -19,6 +19,35 @@ def lifo_ledger(spark, sf_dir):
     return fold.lifo_ledger(base.changes(spark, sf_dir))
 
 
+_BOTH = "address % 10 AS contract, address // 10 AS address"
+
+
+@query("fold_by_contract", with_prelude(f"SELECT {_BOTH}, event_id, t, sign, nonce, odt, amount FROM ledger", "small ledger"))
+def by_contract(spark, sf_dir):
+    """A state by contract and address; several changes in a block, zero amounts, numbers that begin anew when a block ends empty."""
+    return fold.lifo_ledger(base.small_changes(spark, sf_dir), ("contract", "address"))
+
+
+@query("seam_by_contract", with_prelude("SELECT address % 10 AS contract, t, odt, sum(sign * amount)::BIGINT AS measure FROM ledger GROUP BY 1, 2, 3 HAVING sum(sign * amount) <> 0", "small ledger"))
+def seam_by_contract(spark, sf_dir):
+    """A7 with an asset key."""
+    return fold.seam(fold.lifo_ledger(base.small_changes(spark, sf_dir), ("contract", "address")), ["contract"])
+
+
+@query("fold_bucketed", with_prelude("SELECT address, odt - odt % 259200000000 AS odt, sum(sign * amount)::BIGINT AS amount FROM ledger GROUP BY 1, 2 HAVING sum(sign * amount) <> 0", "ledger"))
+def bucketed(spark, sf_dir):
+    """inflows of one bucket of three days share a segment; what is held by bucket is what the ledger without buckets holds."""
+    return fold.net_cohorts(fold.lifo_ledger(base.changes(spark, sf_dir), bucket=72 * HOUR))
+
+
+@query("fold_resumed", with_prelude("SELECT address, event_id, t, sign, nonce, odt, amount FROM ledger WHERE t >= 1705276800000000", "ledger"))
+def resumed(spark, sf_dir):
+    """K2, K3, K8: state out of the ledger up to a day, the changes since then folded upon the tops of the stacks, deep ones again with all of them."""
+    ch = base.changes(spark, sf_dir)
+    state = written(fold.fold_state(fold.lifo_ledger(ch.where("t < 1705276800000000"))))  # as a table that is kept
+    return fold.resume(state, ch.where("t >= 1705276800000000"), top=4)
+
+
 
 @query("lifo_consumption", with_prelude("SELECT address, event_id, t, odt, (prem - rem)::BIGINT AS eaten FROM touch WHERE prem > rem", "ledger"))
 def lifo_consumption(spark, sf_dir):
@@ -48,11 +77,11 @@ def net_cohorts(spark, sf_dir):
 
 @query(
     "open_segments_antijoin",
-    with_prelude("SELECT address, nonce, odt, amount FROM ledger l WHERE sign = 1 AND NOT EXISTS (SELECT 1 FROM ledger d WHERE d.sign = -1 AND d.address = l.address AND d.nonce = l.nonce)", "ledger"),
+    with_prelude(f"SELECT {_BOTH}, nonce, arg_max(odt, (t, event_id)) FILTER (WHERE sign = 1) AS odt, arg_max(amount, (t, event_id)) FILTER (WHERE sign = 1) AS amount FROM ledger GROUP BY address, nonce HAVING sum(sign) > 0", "small ledger"),
 )
 def open_segments(spark, sf_dir):
-    """Pushed and never popped."""
-    return fold.open_segments(fold.lifo_ledger(base.changes(spark, sf_dir))).select("address", "nonce", "odt", "amount")
+    """Pushed and never popped, where numbers begin anew."""
+    return fold.open_segments(fold.lifo_ledger(base.small_changes(spark, sf_dir), ("contract", "address")), ("contract", "address"))
 
 
 @query("balance_fold", with_prelude("SELECT address, event_id, t, old_balance, balance FROM balance", "balance"))
@@ -76,24 +105,24 @@ def fifo(spark, sf_dir):
     return fold.fifo_matches(base.changes(spark, sf_dir))
 
 
-@query(
-    "tank_birth_time",
-    with_prelude(
-        """, pos AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY t, event_id) AS pos FROM ch),
+_RECURRENCE = """, pos AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY t, event_id) AS pos FROM (SELECT c.*, coalesce(p.price, 0) AS price FROM ch c ASOF LEFT JOIN price p ON c.t - c.t % 300000000 >= p.t)),
         r AS (
-          SELECT p.address, p.pos, p.amount AS b, CASE WHEN p.amount >= 0 THEN p.amount::DOUBLE * (p.t::DOUBLE / 1000000) ELSE 0 END AS w FROM pos p WHERE pos = 1
+          SELECT p.address, p.pos, p.amount AS b, CASE WHEN p.amount >= 0 THEN p.amount::DOUBLE * (p.t::DOUBLE / 1000000) ELSE 0 END AS w, CASE WHEN p.amount >= 0 THEN p.amount::DOUBLE * p.price ELSE 0 END AS c FROM pos p WHERE pos = 1
           UNION ALL
-          SELECT r.address, p.pos, r.b + p.amount, CASE WHEN p.amount >= 0 THEN r.w + p.amount::DOUBLE * (p.t::DOUBLE / 1000000)
-                 WHEN r.b <> 0 THEN r.w * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.w END
+          SELECT r.address, p.pos, r.b + p.amount, CASE WHEN p.amount >= 0 THEN r.w + p.amount::DOUBLE * (p.t::DOUBLE / 1000000) WHEN r.b <> 0 THEN r.w * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.w END,
+                 CASE WHEN p.amount >= 0 THEN r.c + p.amount::DOUBLE * p.price WHEN r.b <> 0 THEN r.c * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.c END
           FROM r JOIN pos p ON p.address = r.address AND p.pos = r.pos + 1
         )
-        SELECT address, b::BIGINT AS balance, round(CASE WHEN b <> 0 THEN w / b / 86400 END, 3) AS birth FROM (SELECT *, max(pos) OVER (PARTITION BY address) AS last FROM r) WHERE pos = last""",
-        "ch",
-    ).replace("WITH ", "WITH RECURSIVE ", 1),
-)
+        SELECT address, b::BIGINT AS balance, round(CASE WHEN b <> 0 THEN w / b / 86400 END, 3) AS birth, round(CASE WHEN b <> 0 THEN c / b END, 3) AS mean_cost FROM (SELECT *, max(pos) OVER (PARTITION BY address) AS last FROM r) WHERE pos = last"""
+
+
+@query("tank_birth_time", with_prelude(_RECURRENCE, "ch", "price").replace("WITH ", "WITH RECURSIVE ", 1))
 def tank(spark, sf_dir):
-    """K6, K7: the average birth time in days, a linear recurrence."""
-    return fold.tank(base.changes(spark, sf_dir)).select("address", "balance", F.round(F.when(F.col("balance") != 0, F.col("weight") / F.col("balance") / 86400), 3).alias("birth"))
+    """K6, K7: the average birth time in days and the average cost, linear recurrences over a key's changes."""
+    p = base.prices(spark, sf_dir).select(F.col("t").alias("at"), "price")
+    ch = asof.asof_backward(base.changes(spark, sf_dir).withColumn("at", floor_to("t", FIVE_MINUTES)), p, "at", "price")
+    mean = lambda c: F.when(F.col("balance") != 0, F.col(c) / F.col("balance"))
+    return fold.averages(ch).select("address", "balance", F.round(mean("weight") / 86400, 3).alias("birth"), F.round(mean("cost"), 3).alias("mean_cost"))
 
 
 @query(
@@ -256,12 +285,11 @@ def monotone(spark, sf_dir):
 
 @query(
     "ordered_arrays",
-    with_prelude("SELECT address, list(amount ORDER BY t, event_id)[1:5]::VARCHAR AS head, count(*) AS n FROM ch GROUP BY address", "ch"),
+    with_prelude("SELECT address, row_number() OVER (PARTITION BY address ORDER BY t, event_id) AS position, amount FROM ch", "ch"),
 )
 def ordered_arrays(spark, sf_dir):
-    """Ordered values by key."""
-    a = F.transform(F.slice(F.sort_array(F.collect_list(F.struct("t", "event_id", "amount"))), 1, 5), lambda x: x["amount"].cast("string"))
-    return base.changes(spark, sf_dir).groupBy("address").agg(F.concat(F.lit("["), F.array_join(a, ", "), F.lit("]")).alias("head"), F.count("*").alias("n"))
+    """All values of each key in order, one row each, so that no key's history is one row."""
+    return base.changes(spark, sf_dir).select("address", F.row_number().over(fold.in_order()).cast("long").alias("position"), "amount")
 
 
 @query("stack_depths", with_prelude("SELECT round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, max(n) AS deepest FROM (SELECT address, count(*) AS n FROM live GROUP BY address)", "live"))

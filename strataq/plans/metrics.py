@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
 from strataq.functions.session import table
 from strataq.functions.time import micros
 from strataq.plans.base import SOURCES, with_prelude
@@ -16,7 +19,7 @@ from strataq.plans.registry import query
 
 DAY_US = 86_400_000_000
 #: Windows in days; from ``INFINITE`` days on a window has no end and books no cancels.
-WINDOWS = (1, 7, 14)
+WINDOWS = (1, 7, 30, 60, 90, 180, 365, 730, 1095, 1825, 3650, 7300)
 INFINITE = 36_500
 
 
@@ -124,7 +127,35 @@ metric("coin_age_deviation", "seam", f"SELECT day, round(sqrt(greatest(0, s2 / n
 metric("dollar_weighted_age", "pseam", f"SELECT day, round(day + 1 - CAST(c1 AS DOUBLE) / nullif(c0, 0), 6) AS dollar_age FROM (SELECT day, sum(c0) {PREFIX} AS c0, sum(c1) {PREFIX} AS c1 FROM (SELECT {{day(t)}} AS day, sum(measure * acq) AS c0, sum(measure * acq * {{day(odt)}}) AS c1 FROM pseam WHERE odt <> 0 AND acq IS NOT NULL GROUP BY {{day(t)}}) d) x", "M22.")
 metric("supply_from_balances", "balance", f"SELECT day, {I('sum(d) ' + PREFIX)} AS supply FROM (SELECT {{day(t)}} AS day, sum(balance - old_balance) AS d FROM balance GROUP BY {{day(t)}}) x", "M23.")
 metric("marketcap_nvt", "balance price ch", f"SELECT s.day, {I('s.supply * p.price')} AS marketcap, round(CAST(s.supply AS DOUBLE) * p.price / nullif(v.volume, 0), 4) AS nvt, round(CAST(v.volume AS DOUBLE) / nullif(s.supply, 0), 6) AS velocity FROM (SELECT day, sum(d) {PREFIX} AS supply FROM (SELECT {{day(t)}} AS day, sum(balance - old_balance) AS d FROM balance GROUP BY {{day(t)}}) x) s JOIN ({_LAST}) p ON s.day = p.day JOIN (SELECT {{day(t)}} AS day, sum(abs(amount)) AS volume FROM ch GROUP BY {{day(t)}}) v ON s.day = v.day", "M24: composites of supply, price and volume; the formulas are ours.")
-metric("supply_in_profit", "pseam price", f"SELECT p.day, {I('sum(CASE WHEN s.acq < p.price THEN s.measure ELSE 0 END)')} AS in_profit, {I('sum(s.measure)')} AS supply FROM ({_LAST}) p JOIN (SELECT {{day(t)}} AS day, acq, sum(measure) AS measure FROM pseam WHERE odt <> 0 GROUP BY {{day(t)}}, acq) s ON s.day <= p.day GROUP BY p.day", "M25: held cohorts bought below the day's price.")
+_COHORTS = "SELECT {day(t)} AS day, acq, sum(measure) AS measure FROM pseam WHERE odt <> 0 GROUP BY {day(t)}, acq"
+
+
+@query(
+    "supply_in_profit",
+    with_prelude(
+        _expand(f"""SELECT p.day, {I('sum(CASE WHEN s.acq < p.price THEN s.measure ELSE 0 END)')} AS in_profit, {I('sum(s.measure)')} AS supply,
+        round(CAST(sum(CASE WHEN s.acq < p.price THEN s.measure ELSE 0 END) AS DOUBLE) / nullif(sum(s.measure), 0), 6) AS percent
+        FROM ({_LAST}) p JOIN ({_COHORTS}) s ON s.day <= p.day GROUP BY p.day"""),
+        "pseam", "price",
+    ),
+)
+def supply_in_profit(spark, sf_dir):
+    """Held cohorts bought below the day's price, and their share.
+
+    A cohort of one purchase price holds the same from one of its days to the next; each such span meets the days it
+    covers by an equi-join on the day.
+    """
+    p = spark.sql(_expand(_LAST).replace("FROM price", "FROM {price}"), price=SOURCES["price"](spark, sf_dir))
+    c = spark.sql(_expand(_COHORTS).replace("FROM pseam", "FROM {pseam}"), pseam=SOURCES["pseam"](spark, sf_dir))
+    days = W.partitionBy("acq").orderBy("day")
+    held = c.select("acq", F.sum("measure").over(days).alias("held"), F.col("day").alias("since"), F.lead("day").over(days).alias("until"))
+    last = p.agg(F.max("day")).first()[0] or 0
+    spans = held.where((F.col("held") != 0) & (F.col("since") <= last)).select("acq", "held", F.explode(F.sequence("since", F.least(F.coalesce(F.col("until") - 1, F.lit(last)), F.lit(last)))).alias("day"))
+    below = F.sum(F.when(F.col("acq") < F.col("price"), F.col("held")).otherwise(0))
+    out = spans.join(p, "day").groupBy("day").agg(below.cast("long").alias("in_profit"), F.sum("held").cast("long").alias("supply"))
+    return out.withColumn("percent", F.round(F.try_divide(F.col("in_profit").cast("double"), F.col("supply")), 6))
+
+
 metric("address_realized_profit", "ledger price", f"SELECT l.address, {I('sum(-l.sign * l.amount * (n.price - a.price))')} AS profit FROM ledger l JOIN (SELECT {{five(t)}} AS b, price FROM price) n ON {{five(l.t)}} = n.b JOIN (SELECT {{five(t)}} AS b, price FROM price) a ON {{five(l.odt)}} = a.b WHERE l.odt <> 0 GROUP BY l.address", "M40: by key, where both five-minute prices exist.")
 
 metric("survivor_circulation_T", "survivors", f"SELECT w.window_days, count(*) AS coins, {I('sum(s.held)')} AS circulation FROM survivors s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.held > 0 AND s.t >= 1706572800000000 - w.us GROUP BY w.window_days", "K9: what younger inflows still hold on 2024-01-30.")
@@ -135,7 +166,7 @@ metric("busy_days_only", "ch", "SELECT address, count(*) AS n, sum(CASE WHEN amo
 
 metric("active_addresses", "ch", "SELECT {day(t)} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {day(t)}", "M28.")
 metric("network_growth", "ch", "SELECT first_day AS day, count(*) AS born FROM (SELECT address, min({day(t)}) AS first_day FROM ch GROUP BY address) f GROUP BY first_day", "M28: addresses by their first day.")
-metric("rolling_change", "ch", "SELECT day, active, active - lag(active, 1) OVER (ORDER BY day) AS change_1d, active - lag(active, 7) OVER (ORDER BY day) AS change_7d FROM (SELECT {day(t)} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {day(t)}) d", "W6: on a grid without missing days.")
+metric("rolling_change", "ch", "SELECT day, active, active - first_value(active) OVER (ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS change_1d, active - first_value(active) OVER (ORDER BY day RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS change_7d FROM (SELECT {day(t)} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {day(t)}) d", "W6: against the day so many days before, null where it has none.")
 metric("transaction_volume", "tx", f"SELECT {{day(t)}} AS day, count(*) AS transactions, {I('sum(cents)')} AS volume, {I('max(cents)')} AS largest, round(avg(cents), 3) AS mean_size FROM tx GROUP BY {{day(t)}}", "M29.")
 metric("whale_transactions", "tx", f"SELECT {{day(t)}} AS day, count(*) AS whales, {I('sum(cents)')} AS volume FROM tx WHERE cents >= 30000000 GROUP BY {{day(t)}}", "M30: above a threshold in cents.")
 metric("label_balance_delta", "tx holder", f"SELECT h.label, {{day(x.t)}} AS day, {I('sum(x.amount)')} AS delta FROM (SELECT sender AS address, t, -cents AS amount FROM tx UNION ALL SELECT receiver, t, cents FROM tx) x JOIN holder h ON x.address = h.address GROUP BY h.label, {{day(x.t)}}", "M32.")
@@ -148,7 +179,7 @@ metric("active_holders_distribution", "tx holder", f"SELECT CASE WHEN h.cents <
 metric("dex_volume", "ev", f"SELECT kind, {{day(t)}} AS day, {I('sum(cents)')} AS volume, count(*) AS trades, round(CAST(sum(cents * cents) AS DOUBLE) / nullif(sum(cents), 0), 4) AS vwap FROM ev GROUP BY kind, {{day(t)}}", "M37: by venue; weighting a price by its own volume is ours.")
 metric("gas_fees", "ev", f"SELECT {{day(t)}} AS day, {I('sum(cents)')} AS fees, {I('sum(CASE WHEN kind = ' + chr(39) + 'error' + chr(39) + ' THEN cents ELSE 0 END)')} AS burnt FROM ev GROUP BY {{day(t)}}", "M38.")
 metric("staking", "ev", f"SELECT {{day(t)}} AS day, count(DISTINCT address) AS stakers, {I('sum(cents)')} AS deposits FROM ev WHERE kind = 'signup' GROUP BY {{day(t)}}", "M39.")
-metric("daa_divergence", "ch price", f"SELECT a.day, round(CAST(a.active AS DOUBLE) / lag(a.active) OVER (ORDER BY a.day) - CAST(p.price AS DOUBLE) / lag(p.price) OVER (ORDER BY a.day), 6) AS divergence FROM (SELECT {{day(t)}} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {{day(t)}}) a JOIN ({_LAST}) p ON a.day = p.day", "M42: growth of addresses less growth of price; the formula is ours.")
+metric("daa_divergence", "ch price", f"SELECT a.day, round(CAST(a.active AS DOUBLE) / first_value(a.active) OVER (ORDER BY a.day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) - CAST(p.price AS DOUBLE) / first_value(p.price) OVER (ORDER BY a.day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING), 6) AS divergence FROM (SELECT {{day(t)}} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {{day(t)}}) a JOIN ({_LAST}) p ON a.day = p.day", "M42: growth of addresses less growth of price; the formula is ours.")
 
 # ---------------------------------------------------------------- prices
 

@@ -25,6 +25,8 @@ def _advance(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFram
     for event, t, amount in zip(rows["event_id"].tolist(), rows["t"].tolist(), rows["amount"].tolist()):
         if (t, event) <= (last_t, last_event):
             continue
+        if not stack and t != last_t:
+            nonce = 1
         nonce, moves = fold_one(stack, nonce, t, amount)
         out += [(key[0], event, t, *m) for m in moves]
         last_t, last_event = t, event

@@ -14,6 +14,7 @@ def frame(spark, by_key):
 CASES = {
     "fresh push": ([5], [[(1, 1, 10, 5)]], [(1, 10, 5)]),
     "exact drain": ([5, -5], [[(1, 1, 10, 5)], [(-1, 1, 10, 5)]], []),
+    "numbers begin anew": ([5, -5, 3], [[(1, 1, 10, 5)], [(-1, 1, 10, 5)], [(1, 1, 12, 3)]], [(1, 12, 3)]),
     "remainder": ([5, -2], [[(1, 1, 10, 5)], [(-1, 1, 10, 5), (1, 2, 10, 3)]], [(2, 10, 3)]),
     "several pops": ([5, 4, -7], [[(1, 1, 10, 5)], [(1, 2, 11, 4)], [(-1, 2, 11, 4), (-1, 1, 10, 5), (1, 3, 10, 2)]], [(3, 10, 2)]),
     "liability": ([-3], [[(1, 1, 0, -3)]], [(1, 0, -3)]),
@@ -31,6 +32,44 @@ def test_fold_vectors(name):
         assert got == want
 
 
+def test_emptiness_within_a_block_keeps_the_number():
+    got, stack, nonce = fold.fold_key([(10, 5), (10, -5), (10, 3), (11, -3), (11, 2), (11, -2)])
+    assert [r[1] for x in got for r in x] == [1, 1, 2, 2, 3, 3] and (stack, nonce) == ([], 1)
+
+
+def test_buckets():
+    rows, stack, _ = fold.fold_key([(11, 5), (14, 2), (15, -4), (21, 1)], bucket=10)
+    assert rows == [[(1, 1, 10, 5)], [(-1, 1, 10, 5), (1, 2, 10, 7)], [(-1, 2, 10, 7), (1, 3, 10, 3)], [(1, 4, 20, 1)]]
+    assert stack == [(3, 10, 3), (4, 20, 1)]
+    assert fold.fold_key([(11, -5), (12, 2)], bucket=10)[1] == [(1, 0, -5), (2, 10, 2)]  # what is owed joins nothing
+    rnd = random.Random(4)
+    ch = [(i // 2, rnd.randint(-9, 9)) for i in range(300)]
+    assert fold.fold_key(ch, bucket=0) == fold.fold_key(ch)
+    net = lambda out, f: {o: n for o in {f(r[2]) for x in out for r in x} if (n := sum(s * a for x in out for s, _, odt, a in x if f(odt) == o))}
+    assert net(fold.fold_key(ch, bucket=7)[0], lambda o: o) == net(fold.fold_key(ch)[0], lambda o: o - o % 7)
+
+
+def test_ledger_by_several_keys_and_resumed(spark):
+    rnd = random.Random(6)
+    data = [(c, f"a{a}" if a else None, 1000 * c + 50 * a + i, 10 + i // 2, rnd.randint(-4, 5)) for c in (1, 2) for a in range(8) for i in range(40)]
+    ch = spark.createDataFrame(data, "contract int, address string, event_id long, t long, amount long")
+    key = ("contract", "address")
+    want = []
+    for c in (1, 2):
+        for a in range(8):
+            own = [d for d in data if d[0] == c and d[1] == (f"a{a}" if a else None)]
+            for d, moves in zip(own, fold.fold_key([(d[3], d[4]) for d in own])[0]):
+                want += [(*d[:4], *m) for m in moves]
+    got = [tuple(r) for r in fold.lifo_ledger(ch, key).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    named = ch.where("address is not null")
+    for day in (11, 20, 29):
+        state = fold.fold_state(fold.lifo_ledger(named.where(f"t < {day}"), key), key)
+        for top in (1, 3, 100):
+            rest = [tuple(r) for r in fold.resume(state, named.where(f"t >= {day}"), top, key).collect()]
+            assert sorted(rest) == sorted(w for w in want if w[3] >= day and w[1] is not None), (day, top)
+
+
 def test_incremental_fold_equals_batch():
     rnd = random.Random(1)
     for _ in range(50):
@@ -95,10 +134,19 @@ def test_relative_difference_bounds(spark):
     assert r[0].d == 0 and r[1].d == 2 and r[2].d == 0
 
 
-def test_topological_order():
-    assert graph.topological_order([("b", "c"), ("a", "c"), ("c", "d")]) == ["a", "b", "c", "d"]
+def test_levels(spark):
+    of = lambda e: {r.node: r.level for r in graph.levels(spark.createDataFrame(e, "source string, target string")).collect()}
+    assert of([("b", "c"), ("a", "c"), ("c", "d"), ("a", "d"), ("a", "d")]) == {"a": 0, "b": 0, "c": 1, "d": 2}
+    assert of([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(8)])["n008"] == 8
     with pytest.raises(ValueError):
-        graph.topological_order([("a", "b"), ("b", "a")])
+        of([("x", "a"), ("a", "b"), ("b", "a")])
+
+
+def test_canonical_names(spark):
+    names = {"a_b_1d": "a_b", "a_1d_30d/v3": "a", "holders_1e_3": "holders_B", "holders_1e3_1day": "holders_B", "x_all_5min": "x_B", "x_1": "x_B", "age_5min_delta": "age_delta", "usd_2y": "usd", "all": "all"}
+    df = spark.createDataFrame([(n,) for n in names], "n string").select("n", graph.canonical(F.col("n")).alias("c"))
+    assert {r.n: r.c for r in df.collect()} == names
+
 
 
 def test_lineage_reaches_each_node_once(spark):
