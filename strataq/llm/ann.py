@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.llm.common import small_batches
+from strataq.llm.common import by_key, small_batches
 
 #: Vectors of a chunk, and queries that meet them at once.
 CHUNK, QUERIES = 4096, 256
@@ -194,7 +194,7 @@ def search(
         coded(base, seed).withColumn("x", number(g)).withColumn("y", every(h)).withColumn("asked", F.lit(False)),
     ]
     cells = sides[0].unionByName(sides[1]).select((F.col("x") * h + F.col("y")).alias("cell"), "dim", "asked", "vec_id", "vec", "code", "scale")
-    ordered = cells.repartition("cell").sortWithinPartitions("cell", "dim", F.desc("asked"), "vec_id")
+    ordered = by_key(cells, "cell").sortWithinPartitions("cell", "dim", F.desc("asked"), "vec_id")
     found = ordered.mapInArrow(_meet(k, epsilon, seed), "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.llm import bpe
-from strataq.llm.common import arrow_map, small_batches
+from strataq.llm.common import arrow_map, by_key, small_batches
 
 #: The control strings; their ids follow upon the vocabulary in this order.
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "[ROLE]", "[/ROLE]")
@@ -146,7 +146,7 @@ def read_back(formatted: DataFrame, tokenizer: str, vocabulary: int) -> DataFram
             yield out([row])
 
     small_batches(formatted.sparkSession)
-    ordered = formatted.select("conv_id", "seq", "ids", "loss_mask").repartition("conv_id").sortWithinPartitions("conv_id", "seq")
+    ordered = by_key(formatted.select("conv_id", "seq", "ids", "loss_mask"), "conv_id").sortWithinPartitions("conv_id", "seq")
     return ordered.select("conv_id", "ids", "loss_mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

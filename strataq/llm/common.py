@@ -81,6 +81,15 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(pa.binary()).to_pylist()]
 
 
+def by_key(df: DataFrame, *key: str) -> DataFrame:
+    """``df`` with all rows of a key in one partition, for Arrow code that Spark doesn't know to need that.
+
+    Rows are dealt by a digest of the key. By the key itself Spark drops the exchange where a join or a union has dealt rows that way,
+    and may then turn the join into a broadcast join that hasn't.
+    """
+    return df.repartition(F.xxhash64(*key))
+
+
 def row_key(*columns: str) -> Column:
     """A 64-bit digest of the given columns, which tells rows of one id apart.
 

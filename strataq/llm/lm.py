@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import cut, small_batches, utf8
+from strataq.llm.common import by_key, cut, small_batches, utf8
 
 #: Bits of a word's number: digest of its last two bytes, then of the whole word.
 ENDING, WORD = 5, 16
@@ -73,7 +73,7 @@ def numbered(docs: DataFrame, shard_bytes: int = 8 << 20, id_col: str = "doc_id"
 
     small_batches(docs.sparkSession)
     made = slim.select("doc_id", shard.alias("shard"), order.alias("order"), "text").mapInArrow(run, "doc_id long, shard int, order long, ids binary")
-    return cut(made.repartition("shard").sortWithinPartitions("shard", "order", "doc_id"))
+    return cut(by_key(made, "shard").sortWithinPartitions("shard", "order", "doc_id"))
 
 
 def _ids(column: pa.Array) -> list[np.ndarray]:

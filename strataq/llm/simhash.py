@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataq.llm.common import arrow_map, cut, join_by_share, row_key, utf8
+from strataq.llm.common import arrow_map, by_key, cut, join_by_share, row_key, utf8
 
 BITS, BANDS = 64, 4
 #: 64-bit words of a ``signature_of``.
@@ -262,7 +262,7 @@ def trie_links(rotated: DataFrame, rule: Rule, max_node: int) -> DataFrame:
     common = rotated.withColumn("top", head(rule.lead))
     if some_large:
         common = common.join(large, ["band", "top"], "left_anti")
-    found = common.repartition("band", "top").select("band", *data).sortWithinPartitions("band", "rot").mapInArrow(_walk_bands(rule), "u long, v long")
+    found = by_key(common, "band", "top").select("band", *data).sortWithinPartitions("band", "rot").mapInArrow(_walk_bands(rule), "u long, v long")
     if not some_large:
         return found
     inside = rotated.withColumn("top", head(rule.lead)).join(large, ["band", "top"], "left_semi").select("band", *data)
@@ -503,7 +503,7 @@ def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: i
     pairs = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "text"
     )
-    pairs = pairs.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
+    pairs = by_key(pairs, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
     return _labelled(made.select("doc_id", "key", "node"), least.select("node", "least"), components(pairs.mapInArrow(_decide(shingle, least_similarity), "u long, v long")))
 
 
