@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from strataq.llm.common import arrow_map, by_key, cut, join_by_share, row_key, utf8
 
 BITS, BANDS = 64, 4
-#: 64-bit words of a ``signature_of``.
-WORDS = 6
 #: Levels that Spark expands at once, and frontier entries walked at once.
 STEP, CHUNK = 4, 1 << 16
 #: Below this many comparisons a node pair is compared outright.
@@ -366,28 +364,6 @@ def near_duplicates(
 # ---------------------------------------------------------------- by similarity
 
 
-def signature_of(words: list[bytes], n: int = 5) -> np.ndarray:
-    """Majority bits of WORDS independent 64-bit hashes over the set of n-word shingles; no words: all zero."""
-    if not words:
-        return np.zeros(WORDS, np.uint64)
-    h = shingles_of(words, n)
-    out = np.empty(WORDS, np.uint64)
-    for k in range(WORDS):
-        g = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1)
-        g = (g ^ (g >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        g = (g ^ (g >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        g ^= g >> np.uint64(31)
-        bits = sum(np.unpackbits(g[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64) for i in range(0, len(g), 8192))
-        out[k] = np.packbits(bits * 2 > len(g), bitorder="little").view(np.uint64)[0]
-    return out
-
-
-def most_differing(similarity: float) -> int:
-    """Signature bits in which two shingle sets of this Jaccard similarity differ on average, rounded up."""
-    cosine = 2 * similarity / (1 + similarity)
-    return int(np.ceil(np.arccos(cosine) / np.pi * WORDS * 64))
-
-
 #: Min-hash bands of ``similar_documents`` and the functions in each. A pair of similarity s meets with a chance of
 #: 1 - (1 - s ** HASHES) ** SKETCHES: all but 5 in a million at 0.8.
 SKETCHES, HASHES = 40, 6

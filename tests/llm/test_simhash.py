@@ -1,5 +1,6 @@
+import os
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -112,16 +113,43 @@ def test_similar_documents(docs_of, max_node):
     assert got == {d: first[want[d] if d >= 1000 else ("g", order[d] // 4)] for d, _, _ in rows}
 
 
-def test_signature_tells_similarity():
-    rnd = random.Random(2)
-    w = [str(rnd.random()).encode() for _ in range(400)]
-    sig = simhash.signature_of(w)
-    edited = list(w)
-    for i in range(0, 400, 50):  # 8 edits: 40 of 396 shingles, similarity 0.82
-        edited[i + 20] = b"x%d" % i
-    differ = int(np.bitwise_count(sig ^ simhash.signature_of(edited)).sum())
-    assert abs(differ - simhash.most_differing(356 / 436)) < 25
-    assert simhash.signature_of([]).sum() == 0 and simhash.signature_of([b"one"]).any()
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_whole_tables_equal_brute_force(spark, sf):
+    """Components by the exact similarity of all pairs that share a shingle: none missed, none joined below 0.8."""
+    folder = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("needs the driver's tables")
+    docs = spark.read.parquet(folder)
+    sets, ids = {}, {}
+    for r in docs.select("doc_id", "text").collect():
+        key = tuple(simhash.shingles_of((r.text or "").encode().lower().split(), 5).tolist())
+        sets.setdefault(key, len(sets))
+        ids.setdefault(sets[key], []).append(r.doc_id)
+    held = defaultdict(list)
+    for key, k in sets.items():
+        for h in key:
+            held[h].append(k)
+    common = Counter()
+    for ks in held.values():
+        for i, x in enumerate(ks):
+            for y in ks[i + 1 :]:
+                common[x, y] += 1
+    size, up = [len(k) for k in sets], list(range(len(sets)))
+
+    def root(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for (x, y), n in common.items():
+        if 10 * n >= 8 * (size[x] + size[y] - n):
+            up[root(x)] = root(y)
+    least = {}
+    for k, own in ids.items():
+        least[root(k)] = min([*own, least.get(root(k), own[0])])
+    want = {d: least[root(k)] for k, own in ids.items() for d in own}
+    assert {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()} == want
 
 
 def pair_at(rnd, inside, n):
