@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from strataq.operators import fold
+from strataq.streaming import blocks
 from strataq.streaming import fold as streams
 
 SCHEMA = "address long, event_id long, t long, amount long"
@@ -33,3 +34,31 @@ def test_stream_dedup_and_windows(spark, tmp_path):
     w = streams.windowed_sums(stream, "ts", "1 minute", "10 minutes", "v").writeStream.format("memory").outputMode("complete").queryName("sums").trigger(availableNow=True).start()
     w.awaitTermination()
     assert sorted((r.total, r.n) for r in spark.table("sums").collect()) == [(45, 10), (145, 10)]
+
+
+def test_blocks_in_any_order_equal_the_batch_fold(spark, tmp_path):
+    rnd = random.Random(8)
+    data = [(k, 10 * b + i, b, rnd.randint(-3, 3)) for b in range(1, 9) for i, k in enumerate(rnd.choices(range(1, 5), k=6))]
+    schema = "address long, event_id long, block long, amount long"
+    parts = [[d for d in data if d[2] in (2 * n + 1, 2 * n + 2)] for n in range(4)]
+    late = [(1, 999, 3, 5)]
+    for n, part in enumerate([*parts, late, [(9, 1000, 20, 1)], [(9, 1001, 30, 1)]]):
+        rnd.shuffle(part)
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/n={n}")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", blocks.ROCKSDB)
+    try:
+        files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+        q = blocks.sorted_blocks(blocks.lifo_blocks(files), f"{tmp_path}/out", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").drop("batch").where("block < 20").collect()]
+    batch = spark.createDataFrame(data, schema).withColumnRenamed("block", "t")
+    assert sorted(got) == sorted(tuple(r) for r in fold.lifo_ledger(batch).collect())
+    assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) >= 1  # late, and told
+
+
+def test_pregrouped(spark):
+    rows = [(1, 2, 5, 7), (1, 1, 5, 3), (2, 3, 5, 1)]
+    got = blocks.pregrouped(spark.createDataFrame(rows, "address long, event_id long, block long, amount long")).collect()
+    assert {(r.address, r.block): [tuple(c) for c in r.changes] for r in got} == {(1, 5): [(1, 3), (2, 7)], (2, 5): [(3, 1)]}
