@@ -83,8 +83,8 @@ metric(
 def _windowed(windows=(*WINDOWS, INFINITE)) -> str:
     """Daily changes of what is younger than each window: what enters, and its cancel on the day it grows too old. One pass."""
     rows = [(w, k, w * DAY_US if w < INFINITE else 0) for w in windows for k in (0, 1) if w < INFINITE or k == 0]
-    return f"""SELECT window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost FROM (
-      SELECT w.window_days, CASE WHEN w.cancel = 0 THEN {{day(s.t)}} ELSE {{day(s.odt + w.us)}} END AS day,
+    return f"""SELECT window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost, {I('sum(m * created)')} AS created FROM (
+      SELECT w.window_days, {{day(s.odt)}} AS created, CASE WHEN w.cancel = 0 THEN {{day(s.t)}} ELSE {{day(s.odt + w.us)}} END AS day,
              CASE WHEN w.cancel = 0 THEN s.measure ELSE -s.measure END AS m, CASE WHEN w.cancel = 0 THEN coalesce(s.measure * s.acq, 0) ELSE -coalesce(s.measure * s.acq, 0) END AS c
       FROM pseam s CROSS JOIN (VALUES {", ".join(map(str, rows))}) AS w(window_days, cancel, us)
       WHERE s.odt <> 0 AND (w.window_days >= {INFINITE} OR s.t - s.odt < w.us)) x GROUP BY window_days, day"""
@@ -94,6 +94,9 @@ OVER_DAYS = "OVER (PARTITION BY window_days ORDER BY day ROWS BETWEEN UNBOUNDED
 metric("circulation_delta_T", "pseam", f"SELECT window_days, day, delta FROM ({_windowed()}) d", "M7, M8: changes by day; the infinite window has no cancels.")
 metric("circulation_T", "pseam", f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation FROM ({_windowed()}) d", "M9.")
 metric("circulation_infinite", "pseam", f"SELECT day, {I('sum(delta) ' + PREFIX)} AS circulation FROM ({_windowed((INFINITE,))}) d", "M8.")
+_CREATED = f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation, {I('sum(created) ' + OVER_DAYS)} AS created FROM ({_windowed()}) d"
+metric("creation_T", "pseam", f"SELECT window_days, day, created AS creation_days, round(CAST(created AS DOUBLE) / nullif(circulation, 0), 6) AS mean_creation, round(day + 1 - CAST(created AS DOUBLE) / nullif(circulation, 0), 6) AS mean_age FROM ({_CREATED}) c", "M16-M18 by window: total and mean creation day, mean age.")
+metric("mean_age_within_window", "pseam", f"SELECT window_days, count(*) AS days, {I('sum(CASE WHEN circulation > 0 AND (day + 1) * circulation - created > (window_days + 1) * circulation THEN 1 ELSE 0 END)')} AS beyond FROM ({_CREATED}) c WHERE window_days < {INFINITE} GROUP BY window_days", "R18: what is younger than a window is no older on average, to the day.")
 metric("realized_cap_T", "pseam", f"SELECT window_days, day, {I('sum(cost) ' + OVER_DAYS)} AS realized_cap FROM ({_windowed()}) d", "M10: weighted by acquisition price.")
 _CAPS = f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation, {I('sum(cost) ' + OVER_DAYS)} AS cap FROM ({_windowed()}) d"
 _LAST = "SELECT {day(t)} AS day, max(price) AS price FROM price GROUP BY {day(t)}"
@@ -105,7 +108,7 @@ metric(
     "M13: realized cap between neighbouring windows over that of all time.",
 )
 metric("mvrv_long_short", "pseam price", f"SELECT k.day, round(max(CASE WHEN window_days = {INFINITE} THEN CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0) END) - max(CASE WHEN window_days = 7 THEN CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0) END), 6) AS diff FROM ({_CAPS}) k JOIN ({_LAST}) p ON k.day = p.day GROUP BY k.day", "M12: all time less seven days; the choice of windows is ours.")
-metric("dormant_T", "seam", f"SELECT w.window_days, {{day(s.t)}} AS day, {I('sum(-s.measure)')} AS moved FROM seam s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.odt <> 0 AND s.t - s.odt >= w.us GROUP BY w.window_days, {{day(s.t)}}", "M14: what moved at an age of the window or more.")
+metric("dormant_T", "pseam", f"SELECT w.window_days, {{day(s.t)}} AS day, {I('sum(-s.measure)')} AS moved, {I('sum(-s.measure * s.now)')} AS moved_value FROM pseam s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.odt <> 0 AND s.t - s.odt >= w.us GROUP BY w.window_days, {{day(s.t)}}", "M14: what moved at an age of the window or more, and its value at the time's price.")
 metric(
     "spent_age_bands", "seam",
     f"""SELECT day, band, moved, round(CAST(moved AS DOUBLE) / nullif(sum(moved) OVER (PARTITION BY day), 0), 6) AS share FROM (
@@ -114,7 +117,7 @@ metric(
     "M15: consumed volume by age band, lower edges included.",
 )
 _MOMENTS = f"SELECT {{day(t)}} AS day, {I('sum(measure)')} AS m0, {I('sum(measure * {day(odt)})')} AS m1, CAST(sum(CAST(measure AS DOUBLE) * {{day(odt)}} * {{day(odt)}}) AS DOUBLE) AS m2 FROM seam WHERE odt <> 0 GROUP BY {{day(t)}}"
-metric("creation_moments", "seam", f"SELECT day, {I('sum(m0) ' + PREFIX)} AS supply, {I('sum(m1) ' + PREFIX)} AS creation_days FROM ({_MOMENTS}) d", "M16, M17: total and, over supply, mean creation day.")
+metric("creation_moments", "seam", f"SELECT day, supply, creation_days, squared, round(CAST(creation_days AS DOUBLE) / nullif(supply, 0), 6) AS mean_creation FROM (SELECT day, {I('sum(m0) ' + PREFIX)} AS supply, {I('sum(m1) ' + PREFIX)} AS creation_days, round(sum(m2) {PREFIX} / 1000000000000, 4) AS squared FROM ({_MOMENTS}) d) x", "M16, M17: total creation days, their squares in units of 1e12, and the mean.")
 metric(
     "mean_age_liveliness", "seam",
     f"""SELECT day, round(day + 1 - CAST(s1 AS DOUBLE) / nullif(s0, 0), 6) AS mean_age, {I('s0 * (day + 1) - s1')} AS total_age, round(CAST(eaten AS DOUBLE) / nullif(eaten + s0 * (day + 1) - s1, 0), 6) AS liveliness FROM (
@@ -156,6 +159,18 @@ def supply_in_profit(spark, sf_dir):
     return out.withColumn("percent", F.round(F.try_divide(F.col("in_profit").cast("double"), F.col("supply")), 6))
 
 
+_SUPPLY = f"SELECT day, sum(d) {PREFIX} AS supply, d FROM (SELECT {{day(t)}} AS day, sum(balance - old_balance) AS d FROM balance GROUP BY {{day(t)}}) x"
+metric("total_supply_coalesce", "balance pseam", f"SELECT k.day, {I('coalesce(c.supply, k.circulation)')} AS supply FROM ({_CAPS}) k LEFT JOIN ({_SUPPLY}) c ON k.day = c.day AND c.day % 3 <> 0 WHERE k.window_days = 7300 AND k.day < 20000", "M23: a supply of its own where there is one, else the circulation of twenty years.")
+metric("mvrv_z", "balance pseam price", f"SELECT day, round((value - cap) / nullif(deviation, 0), 4) AS z FROM (SELECT k.day, CAST(s.supply AS DOUBLE) * p.price AS value, CAST(k.cap AS DOUBLE) AS cap, stddev_samp(CAST(s.supply AS DOUBLE) * p.price / 1000000) OVER (ORDER BY k.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1000000 AS deviation FROM ({_CAPS}) k JOIN ({_SUPPLY}) s ON k.day = s.day JOIN ({_LAST}) p ON k.day = p.day WHERE k.window_days = {INFINITE}) x", "M12: market less realized value over the deviation of market values so far; the formula is ours.")
+metric(
+    "supply_composites", "balance price tx",
+    f"""SELECT s.day, {I('m.most * p.price')} AS fully_diluted, round(CAST(s.supply - w.supply AS DOUBLE) / nullif(w.supply, 0) * 365 / 7, 6) AS annual_inflation, round(CAST(s.supply AS DOUBLE) / nullif(s.d * 365, 0), 6) AS stock_to_flow,
+    round(CAST(s.supply AS DOUBLE) * p.price / nullif(v.volume, 0), 4) AS nvt_volume FROM ({_SUPPLY}) s JOIN ({_LAST}) p ON s.day = p.day LEFT JOIN ({_SUPPLY}) w ON w.day = s.day - 7
+    LEFT JOIN (SELECT {{day(t)}} AS day, sum(cents) AS volume FROM tx GROUP BY {{day(t)}}) v ON v.day = s.day CROSS JOIN (SELECT max(supply) AS most FROM ({_SUPPLY}) z) m""",
+    "M24: composites of supply, price and transaction volume; the formulas are ours. One row of the greatest supply meets all days.",
+)
+metric("market_dominance", "ev price", f"SELECT c.day, c.kind, round(CAST(c.held AS DOUBLE) / nullif(sum(c.held) OVER (PARTITION BY c.day), 0), 6) AS dominance FROM (SELECT kind, day, sum(d) OVER (PARTITION BY kind ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM (SELECT kind, {{day(t)}} AS day, sum(cents) AS d FROM ev GROUP BY kind, {{day(t)}}) k) c JOIN ({_LAST}) p ON c.day = p.day", "M24: one asset's value in that of all; kinds of events stand for assets.")
+metric("address_profit_cumulative", "ledger price", f"SELECT address, day, {I('sum(profit) OVER (PARTITION BY address ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS profit FROM (SELECT l.address, {{day(l.t)}} AS day, sum(-l.sign * l.amount * (n.price - a.price)) AS profit FROM ledger l JOIN (SELECT {{five(t)}} AS b, price FROM price) n ON {{five(l.t)}} = n.b JOIN (SELECT {{five(t)}} AS b, price FROM price) a ON {{five(l.odt)}} = a.b WHERE l.odt <> 0 GROUP BY l.address, {{day(l.t)}}) d", "M40: the running profit of each key.")
 metric("address_realized_profit", "ledger price", f"SELECT l.address, {I('sum(-l.sign * l.amount * (n.price - a.price))')} AS profit FROM ledger l JOIN (SELECT {{five(t)}} AS b, price FROM price) n ON {{five(l.t)}} = n.b JOIN (SELECT {{five(t)}} AS b, price FROM price) a ON {{five(l.odt)}} = a.b WHERE l.odt <> 0 GROUP BY l.address", "M40: by key, where both five-minute prices exist.")
 
 metric("survivor_circulation_T", "survivors", f"SELECT w.window_days, count(*) AS coins, {I('sum(s.held)')} AS circulation FROM survivors s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.held > 0 AND s.t >= 1706572800000000 - w.us GROUP BY w.window_days", "K9: what younger inflows still hold on 2024-01-30.")
@@ -167,15 +182,27 @@ metric("busy_days_only", "ch", "SELECT address, count(*) AS n, sum(CASE WHEN amo
 metric("active_addresses", "ch", "SELECT {day(t)} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {day(t)}", "M28.")
 metric("network_growth", "ch", "SELECT first_day AS day, count(*) AS born FROM (SELECT address, min({day(t)}) AS first_day FROM ch GROUP BY address) f GROUP BY first_day", "M28: addresses by their first day.")
 metric("rolling_change", "ch", "SELECT day, active, active - first_value(active) OVER (ORDER BY day RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS change_1d, active - first_value(active) OVER (ORDER BY day RANGE BETWEEN 7 PRECEDING AND 7 PRECEDING) AS change_7d FROM (SELECT {day(t)} AS day, count(DISTINCT address) AS active FROM ch GROUP BY {day(t)}) d", "W6: against the day so many days before, null where it has none.")
-metric("transaction_volume", "tx", f"SELECT {{day(t)}} AS day, count(*) AS transactions, {I('sum(cents)')} AS volume, {I('max(cents)')} AS largest, round(avg(cents), 3) AS mean_size FROM tx GROUP BY {{day(t)}}", "M29.")
+metric("transaction_volume", "tx", f"SELECT {{day(t)}} AS day, count(*) AS transactions, {I('sum(cents)')} AS volume, {I('max(cents)')} AS largest, round(avg(cents), 3) AS mean_size, CAST(sum(CASE WHEN sender <> receiver THEN 1 ELSE 0 END) AS BIGINT) AS payments FROM tx GROUP BY {{day(t)}}", "M29.")
 metric("whale_transactions", "tx", f"SELECT {{day(t)}} AS day, count(*) AS whales, {I('sum(cents)')} AS volume FROM tx WHERE cents >= 30000000 GROUP BY {{day(t)}}", "M30: above a threshold in cents.")
 metric("label_balance_delta", "tx holder", f"SELECT h.label, {{day(x.t)}} AS day, {I('sum(x.amount)')} AS delta FROM (SELECT sender AS address, t, -cents AS amount FROM tx UNION ALL SELECT receiver, t, cents FROM tx) x JOIN holder h ON x.address = h.address GROUP BY h.label, {{day(x.t)}}", "M32.")
 metric("label_balance_cumulative", "tx holder", f"SELECT label, day, {I('sum(delta) OVER (PARTITION BY label ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS balance FROM (SELECT h.label, {{day(x.t)}} AS day, sum(x.amount) AS delta FROM (SELECT sender AS address, t, -cents AS amount FROM tx UNION ALL SELECT receiver, t, cents FROM tx) x JOIN holder h ON x.address = h.address GROUP BY h.label, {{day(x.t)}}) d", "M32, M36.")
 metric("exchange_flow", "tx holder", f"SELECT {{day(x.t)}} AS day, {I('sum(CASE WHEN r.label IS NOT NULL THEN x.cents ELSE 0 END)')} AS inflow, {I('sum(CASE WHEN s.label IS NOT NULL THEN x.cents ELSE 0 END)')} AS outflow, {I('sum(CASE WHEN r.label IS NOT NULL AND s.label IS NOT NULL THEN x.cents ELSE 0 END)')} AS internal FROM tx x LEFT JOIN holder s ON x.sender = s.address AND s.label = 'BUILDING' LEFT JOIN holder r ON x.receiver = r.address AND r.label = 'BUILDING' GROUP BY {{day(x.t)}}", "M31: one market segment stands for exchanges.")
 metric("exchange_labelled_flow", "tx holder", f"SELECT s.label AS from_label, r.label AS to_label, count(*) AS n, {I('sum(x.cents)')} AS volume FROM tx x JOIN holder s ON x.sender = s.address JOIN holder r ON x.receiver = r.address GROUP BY s.label, r.label", "M31: deposits and withdrawals between labels.")
-metric("exchange_supply", "holder", f"SELECT nation, {I('sum(cents)')} AS supply, {I('sum(CASE WHEN label = ' + chr(39) + 'BUILDING' + chr(39) + ' THEN cents ELSE 0 END)')} AS on_exchanges FROM holder GROUP BY nation", "M26: label-restricted balance sums.")
-metric("holders_distribution", "holder", f"SELECT CASE WHEN cents < 1000 THEN 0 WHEN cents < 10000 THEN 1 WHEN cents < 100000 THEN 2 WHEN cents < 1000000 THEN 3 ELSE 4 END AS bucket, count(*) AS holders, {I('sum(cents)')} AS held FROM holder GROUP BY CASE WHEN cents < 1000 THEN 0 WHEN cents < 10000 THEN 1 WHEN cents < 100000 THEN 2 WHEN cents < 1000000 THEN 3 ELSE 4 END", "M27: powers of ten.")
-metric("active_holders_distribution", "tx holder", f"SELECT CASE WHEN h.cents < 100000 THEN 0 WHEN h.cents < 500000 THEN 1 ELSE 2 END AS bucket, count(DISTINCT h.address) AS holders FROM tx x JOIN holder h ON x.sender = h.address GROUP BY CASE WHEN h.cents < 100000 THEN 0 WHEN h.cents < 500000 THEN 1 ELSE 2 END", "M27: only holders that moved.")
+metric("exchange_supply", "holder", f"SELECT nation, {I('sum(cents)')} AS supply, {I('sum(CASE WHEN label = ' + chr(39) + 'BUILDING' + chr(39) + ' THEN cents ELSE 0 END)')} AS on_exchanges, {I('sum(CASE WHEN label <> ' + chr(39) + 'BUILDING' + chr(39) + ' THEN cents ELSE 0 END)')} AS off_exchanges, round(100 * CAST(sum(CASE WHEN label = 'BUILDING' THEN cents ELSE 0 END) AS DOUBLE) / nullif(sum(cents), 0), 4) AS percent_on FROM holder GROUP BY nation", "M26: label-restricted balance sums.")
+_BUCKET = "CASE " + " ".join(f"WHEN {{c}} < {10**k * 100} THEN {k}" for k in range(1, 10)) + " ELSE 10 END"
+metric("holders_distribution", "holder", f"SELECT bucket, count(*) AS holders, {I('sum(cents)')} AS held FROM (SELECT cents, {_BUCKET.format(c='cents')} AS bucket FROM holder) h GROUP BY bucket", "M27: below each power of ten from 1e1 to 1e9, and beyond.")
+metric("active_holders_distribution", "tx holder", f"SELECT bucket, count(DISTINCT address) AS holders FROM (SELECT h.address, {_BUCKET.format(c='h.cents')} AS bucket FROM tx x JOIN holder h ON x.sender = h.address) a GROUP BY bucket", "M27: only holders that moved.")
+_EXCHANGE = "label = 'BUILDING'"
+metric("deposits_activity", "tx holder", f"SELECT {{day(x.t)}} AS day, count(*) AS deposits, count(DISTINCT x.sender) AS depositors, {I('sum(x.cents)')} AS volume FROM tx x JOIN holder r ON x.receiver = r.address AND r.{_EXCHANGE} GROUP BY {{day(x.t)}}", "M31.")
+metric("withdrawals_activity", "tx holder", f"SELECT {{day(x.t)}} AS day, count(*) AS withdrawals, count(DISTINCT x.receiver) AS receivers, {I('sum(x.cents)')} AS volume FROM tx x JOIN holder s ON x.sender = s.address AND s.{_EXCHANGE} GROUP BY {{day(x.t)}}", "M31.")
+metric("labelled_composite", "tx holder", f"SELECT day, {I('sum(CASE WHEN label IN ' + '(' + chr(39) + 'BUILDING' + chr(39) + ', ' + chr(39) + 'MACHINERY' + chr(39) + ')' + ' THEN delta ELSE 0 END) - sum(CASE WHEN label = ' + chr(39) + 'HOUSEHOLD' + chr(39) + ' THEN delta ELSE 0 END)')} AS composite FROM (SELECT h.label, {{day(x.t)}} AS day, sum(x.amount) AS delta FROM (SELECT sender AS address, t, -cents AS amount FROM tx UNION ALL SELECT receiver, t, cents FROM tx) x JOIN holder h ON x.address = h.address GROUP BY h.label, {{day(x.t)}}) d GROUP BY day", "M32: balances of some labels less that of another.")
+metric("dex_by_token", "ev", f"SELECT kind, address % 5 AS token, {{day(t)}} AS day, {I('sum(cents)')} AS volume, count(*) AS amount, round(CAST(sum(cents) AS DOUBLE) / count(*), 4) AS price FROM ev GROUP BY kind, address % 5, {{day(t)}}", "M37: volume, number and mean price by venue and token; keys modulo five stand for tokens.")
+metric("gas_used", "tx", f"SELECT day, gas, {I('sum(gas) ' + PREFIX)} AS total_gas FROM (SELECT {{day(t)}} AS day, {I('sum(21000 + tx % 1000)')} AS gas FROM tx GROUP BY {{day(t)}}) d", "M38: by day and in total; an order's gas is ours.")
+metric("staking_withdrawals", "ev", f"SELECT {{day(t)}} AS day, {I('sum(CASE WHEN kind = ' + chr(39) + 'signup' + chr(39) + ' THEN cents ELSE 0 END)')} AS deposits, {I('sum(CASE WHEN kind = ' + chr(39) + 'purchase' + chr(39) + ' THEN cents ELSE 0 END)')} AS withdrawals FROM ev GROUP BY {{day(t)}}", "M39: two kinds of events stand for deposits and withdrawals.")
+metric("rate_over_range", "ev", f"SELECT {{five(t)}} AS bucket, {I('sum(cents)')} AS d, round(CAST(sum(sum(cents)) OVER (ORDER BY {{five(t)}} RANGE BETWEEN 71 PRECEDING AND CURRENT ROW) AS DOUBLE) / 21600, 6) AS rate FROM ev GROUP BY {{five(t)}}", "A21: the increase of a counter over six hours by second.")
+metric("valid_points", "price", f"SELECT t, price FROM price WHERE price < 1000000 AND t % 600000000 = 0", "P8: points of one source (every other five minutes) below a bound.")
+metric("finite_only", "ch", f"SELECT day, round(x, 6) AS x FROM (SELECT day, CASE WHEN day % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN day % 7 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(v AS DOUBLE) / n END AS x FROM (SELECT {{day(t)}} AS day, sum(amount) AS v, count(*) AS n FROM ch GROUP BY {{day(t)}}) d) y WHERE NOT isnan(x) AND abs(x) < 1e300", "P9: rows of a composite that are no finite number drop out.")
+metric("daily_market", "price tx balance", f"SELECT p.day, p.price AS close, {I('s.supply * p.price')} AS marketcap, {I('coalesce(v.volume, 0)')} AS volume FROM ({_LAST}) p JOIN ({_SUPPLY}) s ON s.day = p.day LEFT JOIN (SELECT {{day(t)}} AS day, sum(cents) AS volume FROM tx GROUP BY {{day(t)}}) v ON v.day = p.day", "M34: market value and volume beside the day's price.")
 metric("dex_volume", "ev", f"SELECT kind, {{day(t)}} AS day, {I('sum(cents)')} AS volume, count(*) AS trades, round(CAST(sum(cents * cents) AS DOUBLE) / nullif(sum(cents), 0), 4) AS vwap FROM ev GROUP BY kind, {{day(t)}}", "M37: by venue; weighting a price by its own volume is ours.")
 metric("gas_fees", "ev", f"SELECT {{day(t)}} AS day, {I('sum(cents)')} AS fees, {I('sum(CASE WHEN kind = ' + chr(39) + 'error' + chr(39) + ' THEN cents ELSE 0 END)')} AS burnt FROM ev GROUP BY {{day(t)}}", "M38.")
 metric("staking", "ev", f"SELECT {{day(t)}} AS day, count(DISTINCT address) AS stakers, {I('sum(cents)')} AS deposits FROM ev WHERE kind = 'signup' GROUP BY {{day(t)}}", "M39.")
