@@ -219,6 +219,50 @@ def lock_flags(spark, sf_dir):
     return scans.flagged(spark.createDataFrame(list(LOCKS), "repo string, package string, version string"), spark.createDataFrame(list(BAD), "package string, version string"))
 
 
+_PARTS = """k AS (SELECT n_name AS repo, n_nationkey % 3 AS kind, (CASE WHEN p_partkey % 2 = 1 THEN '@s/' ELSE '' END) || 'pkg' || (p_partkey % 150) AS package,
+  p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) AS version, p_partkey FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"""
+
+
+@query(
+    "lock_files_to_flags",
+    f"""WITH {_PARTS}, bad AS (SELECT package, max(version) AS bad FROM k WHERE p_partkey % 3 = 0 GROUP BY package)
+    SELECT repo, package, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, CASE WHEN max(CASE WHEN version = bad THEN 1 ELSE 0 END) = 1 THEN '!!COMPROMISED!!' ELSE 'OK' END AS flag
+    FROM k JOIN bad USING (package) GROUP BY repo, package""",
+)
+def lock_files(spark, sf_dir):
+    """The texts of lock files of three kinds, read, and their versions held against a list of bad ones."""
+    key = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").join(table(spark, sf_dir, "nation"), key % 25 == F.col("n_nationkey")).select(
+        F.col("n_name").alias("repo"), (F.col("n_nationkey") % 3).alias("kind"), F.concat(F.when(key % 2 == 1, "@s/").otherwise(""), F.lit("pkg"), key % 150).alias("package"),
+        F.concat_ws(".", "p_size", key % 10, key % 7).alias("version"), key.alias("k"),
+    )
+    entry = (
+        F.when(F.col("kind") == 0, F.concat(F.lit('"node_modules/x'), "k", F.lit("/node_modules/"), "package", F.lit('": {"version": "'), "version", F.lit('"}')))
+        .when(F.col("kind") == 1, F.concat(F.lit('"'), "package", F.lit("@^"), "k", F.lit('":\n  version "'), "version", F.lit('"\n')))
+        .otherwise(F.concat(F.lit("  '"), "package", F.lit("@"), "version", F.lit("':\n    resolution: x\n")))
+    )
+    texts = p.groupBy("repo", "kind").agg(F.collect_list(entry).alias("lines")).withColumn("body", F.when(F.col("kind") == 0, F.array_join("lines", ", ")).otherwise(F.array_join("lines", "\n")))
+    name = F.when(F.col("kind") == 0, "package-lock.json").when(F.col("kind") == 1, "yarn.lock").otherwise("pnpm-lock.yaml")
+    value = F.when(F.col("kind") == 0, F.concat(F.lit('{"packages": {'), "body", F.lit("}}"))).when(F.col("kind") == 1, F.col("body")).otherwise(F.concat(F.lit("packages:\n"), "body"))
+    files = texts.select(F.concat("repo", F.lit("__"), name).alias("path"), value.alias("value"))
+    bad = p.where("k % 3 = 0").groupBy("package").agg(F.max("version").alias("version"))
+    return scans.flagged(scans.locked(files), bad)
+
+
+REPOS = (
+    ("a", "package.json", '{"packageManager": "pnpm@9", "scripts": {"build": "vite build"}, "dependencies": {"vite": "^5", "own": "git+ssh://x"}, "devDependencies": {"typescript": "5"}}'),
+    ("a", "pnpm-lock.yaml", ""), ("a", "yarn.lock", ""), ("a", ".github/workflows/ci.yml", ""), ("a", ".github/workflows/cd.yml", ""),
+    ("b", "package.json", '{"dependencies": {"next": "14", "z": "github:o/z"}, "devDependencies": {"y": "https://e.org/y.tgz"}}'), ("b", "sub/yarn.lock", ""),
+    ("c", "README", "no manifest"), ("d", "package.json", "{}"), ("d", "package-lock.json", "{}"),
+)
+
+
+@query("repo_posture", "SELECT * FROM (VALUES ('a', 'pnpm-lock.yaml,yarn.lock', 'pnpm@9', 'build|vite|ts', 2, 'own'), ('b', '', '', 'next', 0, 'y,z'), ('d', 'package-lock.json', '', '', 0, '')) AS t(repo, lockfiles, manager, tools, workflows, git_deps)")
+def repo_posture(spark, sf_dir):
+    """V2: lock files, package manager, build tools, workflows and git dependencies of repositories' files."""
+    return scans.posture(spark.createDataFrame(list(REPOS), "repo string, path string, value string"))
+
+
 PROFILE = (("a>b", 4, 9000000, 2, 3000000), ("a>c", 1, 100000, 1, 100000), ("d", 3, 700000, 0, 0), ("e", 0, 0, 5, 900000))
 
 

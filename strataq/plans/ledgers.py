@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataq.functions.session import table, written
 from strataq.functions.time import FIVE_MINUTES, HOUR, day_number, floor_to, micros
-from strataq.operators import asof, fold, rows
+from strataq.operators import asof, fold, predicates, rows
 from strataq.plans import base
 from strataq.plans.base import with_prelude
 from strataq.plans.registry import query
@@ -150,15 +152,39 @@ def compress(spark, sf_dir):
 
 @query(
     "two_leg_changes",
-    """WITH l AS (SELECT o_orderkey, epoch_us(o_orderdate) AS t, o_custkey AS a, (o_custkey * 7 + 3) % 1000 AS b, round(o_totalprice * 100)::BIGINT AS v FROM orders)
+    """WITH l AS (SELECT o_custkey AS a, CASE WHEN o_orderkey % 5 = 0 THEN o_custkey ELSE (o_custkey * 7 + 3) % 1000 END AS b, round(o_totalprice * 100)::BIGINT AS v,
+      o_orderpriority = '5-LOW' AS approval, o_orderkey % 10 AS block, o_orderkey % 4 AS ts, o_orderkey % 3 = 0 AS closing FROM orders)
     SELECT address, sum(amount)::BIGINT AS net, count(*) AS n FROM (
-      SELECT a AS address, -v AS amount FROM l WHERE a <> b UNION ALL SELECT b, v FROM l WHERE a <> b) GROUP BY address""",
+      SELECT a AS address, -v AS amount FROM l WHERE (a <> b OR closing) AND NOT approval AND (block > 0 OR ts > 0)
+      UNION ALL SELECT b, v FROM l WHERE (a <> b OR closing) AND NOT approval AND (block > 0 OR ts > 0)) GROUP BY address""",
 )
 def two_leg(spark, sf_dir):
-    """A transfer as two signed changes, self-transfers dropped."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), ((F.col("o_custkey") * 7 + 3) % 1000).alias("b"), F.round(F.col("o_totalprice") * 100).cast("long").alias("v")).where("a <> b")
-    legs = F.array(F.struct(F.col("a").alias("address"), (-F.col("v")).alias("amount")), F.struct(F.col("b").alias("address"), F.col("v").alias("amount")))
-    return o.select(F.explode(legs).alias("x")).groupBy("x.address").agg(F.sum("x.amount").alias("net"), F.count("*").alias("n"))
+    """A transfer as two signed changes; transfers to oneself count only at a block's end, approvals and what has no block or time don't."""
+    key = F.col("o_orderkey")
+    raw = table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("sender"), F.when(key % 5 == 0, F.col("o_custkey")).otherwise((F.col("o_custkey") * 7 + 3) % 1000).alias("receiver"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.when(F.col("o_orderpriority") == "5-LOW", "APPROVE").otherwise("TRANSFER").alias("kind"),
+        (key % 10).alias("block"), (key % 4).alias("ts"), (key % 3 == 0).alias("end_of_block"),
+    )
+    legs = predicates.rows_of("transfers.two_legs", predicates.settled(raw))
+    return legs.groupBy("address").agg(F.sum("amount").alias("net"), F.count("*").alias("n"))
+
+
+@query(
+    "named_predicates",
+    """WITH l AS (SELECT o_custkey AS a, (o_custkey * 7 + 3) % 1000 AS b, round(o_totalprice * 100)::BIGINT AS v, o_custkey % 3 = 0 AS fx, ((o_custkey * 7 + 3) % 1000) % 3 = 0 AS tx FROM orders)
+    SELECT 'exchanges_only' AS name, count(*) AS n, sum(v)::BIGINT AS volume FROM l WHERE fx OR tx
+    UNION ALL SELECT 'without_exchange_to_exchange', count(*), sum(v)::BIGINT FROM l WHERE NOT (fx AND tx)
+    UNION ALL SELECT 'whales', count(*), sum(v)::BIGINT FROM l WHERE v >= 30000000
+    UNION ALL SELECT 'in_and_out', count(*), sum(v)::BIGINT FROM l WHERE a <> b""",
+)
+def named_predicates(spark, sf_dir):
+    """Variants of a source by the names of their predicates."""
+    label = lambda c: F.when(F.col(c) % 3 == 0, "exchange")
+    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sender"), ((F.col("o_custkey") * 7 + 3) % 1000).alias("receiver"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    t = t.withColumns({"kind": F.lit("TRANSFER"), "from_label": label("sender"), "to_label": label("receiver")})
+    each = [predicates.rows_of("transfers.as_they_are", t, p).select(F.lit(p).alias("name"), "cents") for p in ("exchanges_only", "without_exchange_to_exchange", "whales", "in_and_out")]
+    return reduce(lambda a, b: a.unionByName(b), each).groupBy("name").agg(F.count("*").alias("n"), F.sum("cents").alias("volume"))
 
 
 @query("seam_deltas", with_prelude("SELECT t, odt, measure FROM seam", "seam"))

@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +35,55 @@ def yarn_packages(text: Column) -> Column:
 
 
 def pnpm_packages(text: Column) -> Column:
-    """(package, version) of a pnpm-lock.yaml."""
-    keys = F.regexp_extract_all(text, F.lit(r"(?m)^  /?'?((?:@[^/@\s']+/)?[^@/\s']+)[@/](\d+\.\d+\.\d+)"), F.lit(0))
-    return F.transform(
-        keys,
-        lambda s: F.struct(F.regexp_extract(s, r"^  /?'?((?:@[^/@\s']+/)?[^@/\s']+)[@/]", 1).alias("package"), F.regexp_extract(s, r"(\d+\.\d+\.\d+)$", 1).alias("version")),
-    )
+    """(package, version) of a pnpm-lock.yaml.
+
+    A package is a key at two spaces: name and version with ``@`` between them (``/`` in older files), what peers it was built for in
+    brackets behind, perhaps in quotes and after a slash.
+    """
+    keys = F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^ {2}(\S[^\n]*):[ \t]*$"), F.lit(1)), lambda k: F.ltrim(F.substring_index(F.trim(k, F.lit("'")), "(", 1), F.lit("/")))
+    cut = lambda k: F.length(k) - F.greatest(F.locate("@", F.reverse(k)), F.locate("/", F.reverse(k)))
+    at = lambda k: F.when(F.locate("@", F.reverse(k)).between(1, F.length(k) - 1), F.length(k) - F.locate("@", F.reverse(k))).otherwise(cut(k))
+    named = F.transform(keys, lambda k: F.struct(k.substr(F.lit(1), at(k)).alias("package"), k.substr(at(k) + 2, F.length(k)).alias("version")))
+    return F.filter(named, lambda p: p["version"].rlike(r"^\d"))
+
+
+#: Fixed value: the flag of a bad version.
+COMPROMISED = "!!COMPROMISED!!"
+#: Kind of lock file -> its packages.
+LOCKS = {"package-lock.json": npm_packages, "yarn.lock": yarn_packages, "pnpm-lock.yaml": pnpm_packages}
+
+
+def locked(files: DataFrame) -> DataFrame:
+    """(repo, package, version) of lock files (path, value); the last part of a path is the repo, two underscores and the kind."""
+    name = F.element_at(F.split("path", "/"), -1)
+    repo, kind = F.substring_index(name, "__", 1), F.substring_index(name, "__", -1)
+    packages = F.coalesce(*[F.when(kind == k, f(F.col("value"))) for k, f in LOCKS.items()])
+    each = files.select(repo.alias("repo"), F.explode(packages).alias("p"))
+    return each.select("repo", "p.package", "p.version").where("package <> ''")
+
+
+#: Kinds of lock file and tools that a scan of manifests tells: fixed values.
+LOCK_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "bun.lock", "npm-shrinkwrap.json")
+TOOLS = (("vite", "vite"), ("webpack", "webpack"), ("next", "next"), ("@sveltejs/kit", "sveltekit"), ("react-scripts", "CRA"), ("typescript", "ts"))
+
+
+def posture(files: DataFrame) -> DataFrame:
+    """(repo, lockfiles, manager, tools, workflows, git_deps) of repositories' files (repo, path, value), for those with a package.json at the top.
+
+    Lists are joined by commas in order of name; git_deps are dependencies that a git or web address stands for.
+    """
+    top = ~F.col("path").contains("/")
+    manifest = F.max(F.when(F.col("path") == "package.json", F.col("value")))
+    locks = F.array_join(F.sort_array(F.collect_set(F.when(top & F.col("path").isin(*LOCK_NAMES), F.col("path")))), ",")
+    flows = F.count_if(F.col("path").startswith(".github/workflows/"))
+    g = files.groupBy("repo").agg(manifest.alias("m"), locks.alias("lockfiles"), flows.alias("workflows")).where("m is not null")
+    deps = lambda c: F.coalesce(F.from_json(F.get_json_object("m", f"$.{c}"), "map<string,string>"), F.create_map().cast("map<string,string>"))
+    every = F.concat(F.map_entries(deps("dependencies")), F.map_entries(deps("devDependencies")))
+    g = g.select("repo", "lockfiles", "workflows", F.get_json_object("m", "$.packageManager").alias("manager"), every.alias("deps"), F.get_json_object("m", "$.scripts.build").alias("build"))
+    keys = F.transform("deps", lambda d: d["key"])
+    tools = F.array_compact(F.array(F.when(F.coalesce("build", F.lit("")) != "", F.lit("build")), *[F.when(F.array_contains(keys, n), F.lit(t)) for n, t in TOOLS]))
+    git = F.transform(F.filter("deps", lambda d: d["value"].rlike(r"^(git|github:|\w+://)")), lambda d: d["key"])
+    return g.select("repo", "lockfiles", F.coalesce("manager", F.lit("")).alias("manager"), F.array_join(tools, "|").alias("tools"), "workflows", F.array_join(F.array_sort(F.array_distinct(git)), ",").alias("git_deps"))
 
 
 def flagged(locks: DataFrame, bad: DataFrame) -> DataFrame:
@@ -52,33 +91,34 @@ def flagged(locks: DataFrame, bad: DataFrame) -> DataFrame:
     hit = locks.join(bad.withColumnRenamed("version", "bad_version"), "package")
     return hit.groupBy("repo", "package").agg(
         F.array_join(F.sort_array(F.collect_set("version")), ",").alias("versions"),
-        F.when(F.max((F.col("version") == F.col("bad_version")).cast("int")) == 1, "!!COMPROMISED!!").otherwise("OK").alias("flag"),
+        F.when(F.max((F.col("version") == F.col("bad_version")).cast("int")) == 1, COMPROMISED).otherwise("OK").alias("flag"),
     )
 
 
-#: Mean bytes between samples, by which sampled sizes are scaled up.
+#: Fixed value: mean bytes between samples, by which sampled sizes are scaled up.
 RATE = 2_097_152
 
 
 def heap_stacks(files: DataFrame) -> DataFrame:
-    """(path, stack array<string>, n, bytes) of sampled heap profiles, one row per live stack; the text keeps a little state."""
-    count = re.compile(r"\s+t\*: (\d+): (\d+) \[")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for path, text in zip(pdf["path"], pdf["value"]):
-                stack = None
-                for line in text.partition("\nMAPPED_LIBRARIES")[0].split("\n"):
-                    if line.startswith("@"):
-                        stack = line.split()[1:]
-                    elif stack is not None and (m := count.match(line)):
-                        if int(m[1]) and int(m[2]):
-                            out.append((path, stack, int(m[1]), int(m[2])))
-                        stack = None
-            yield pd.DataFrame(out, columns=["path", "stack", "n", "bytes"])
-
-    return files.mapInPandas(run, "path string, stack array<string>, n long, bytes long")
+    """(path, stack array<string>, n, bytes) of heap profiles (path, value), one row per stack with something live.
+
+    A profile's first section has a line of ``@`` and addresses for each stack; the line under it, named ``t*``, holds the live count and bytes.
+    """
+    section = F.substring_index("value", "MAPPED_LIBRARIES:", 1)
+    entry = F.lit(r"(?m)^@((?:[ \t]+\S+)+)[ \t]*\n[ \t]+t\*:[ \t]*(\d+):[ \t]*(\d+)")
+    part = lambda k: F.regexp_extract_all(section, entry, F.lit(k))
+    each = files.select("path", F.explode(F.arrays_zip(part(1).alias("at"), part(2).alias("n"), part(3).alias("size"))).alias("e"))
+    return each.select("path", F.split(F.trim("e.at"), r"\s+").alias("stack"), F.col("e.n").cast("long").alias("n"), F.col("e.size").cast("long").alias("bytes")).where("n > 0 and bytes > 0")
+
+
+def mapped_ranges(files: DataFrame) -> DataFrame:
+    """(path, start, end, offset, library) of the executable ranges in a profile's second section; numbers are longs."""
+    section = F.substring_index("value", "MAPPED_LIBRARIES:", -1)
+    line = F.lit(r"(?m)^([0-9a-f]+)-([0-9a-f]+)[ \t]+\S*x\S*[ \t]+([0-9a-f]+)[ \t]+\S+[ \t]+\S+[ \t]+(/\S+)")
+    part = lambda k: F.regexp_extract_all(section, line, F.lit(k))
+    each = files.select("path", F.explode(F.arrays_zip(*[part(k).alias(n) for k, n in enumerate(("start", "end", "offset", "library"), 1)])).alias("e"))
+    number = lambda c: F.conv(F.col(f"e.{c}"), 16, 10).cast("long").alias(c)
+    return each.select("path", number("start"), number("end"), number("offset"), "e.library")
 
 
 def scaled(n: Column, size: Column, rate: int = RATE) -> Column:

@@ -10,18 +10,20 @@ def test_lockfiles(spark):
     new = json.dumps({"packages": {"": {"version": "0"}, "node_modules/a": {"version": "1.0.0"}, "node_modules/b/node_modules/@s/c": {"version": "2.0.0"}}})
     old = '{"dependencies": {"a": {"version": "1.0.0", "dependencies": {"@s/c": {"version": "3.0.0"}}}}}'
     yarn = '"@s/c@^1", "@s/c@^2":\n  version "2.5.0"\n\na@^1:\n  version "1.1.0"\n'
-    pnpm = "packages:\n  /a@1.2.3:\n    x: y\n  '@s/c@4.5.6':\n"
+    pnpm = "packages:\n  /a@1.2.3:\n    x: y\n  '@s/c@4.5.6':\n  /d/7.8.9:\n  e@1.0.0(react@18.2.0):\n  overrides:\n"
     r = spark.createDataFrame([(new, old, yarn, pnpm)], "new string, old string, yarn string, pnpm string").select(
         scans.npm_packages(F.col("new")), scans.npm_packages(F.col("old")), scans.yarn_packages(F.col("yarn")), scans.pnpm_packages(F.col("pnpm"))
     ).first()
     got = [sorted((p.package, p.version) for p in x if p.package) for x in r]
-    assert got == [[("@s/c", "2.0.0"), ("a", "1.0.0")], [("@s/c", "3.0.0"), ("a", "1.0.0")], [("@s/c", "2.5.0"), ("a", "1.1.0")], [("@s/c", "4.5.6"), ("a", "1.2.3")]]
+    assert got == [[("@s/c", "2.0.0"), ("a", "1.0.0")], [("@s/c", "3.0.0"), ("a", "1.0.0")], [("@s/c", "2.5.0"), ("a", "1.1.0")], [("@s/c", "4.5.6"), ("a", "1.2.3"), ("d", "7.8.9"), ("e", "1.0.0")]]
 
 
 def test_heap_profile(spark, tmp_path):
-    (tmp_path / "p").write_text("heap_v2/2097152\n@ 0x1 0x2\n  t*: 2: 1000 [0: 0]\n@ 0x3\n  t*: 0: 0 [0: 0]\nMAPPED_LIBRARIES:\n@ 0x9\n  t*: 1: 1 [0: 0]\n")
+    (tmp_path / "p").write_text("heap_v2/2097152\n@ 0x1 0x2\n  t*: 2: 1000 [0: 0]\n@ 0x3\n  t*: 0: 0 [0: 0]\nMAPPED_LIBRARIES:\n@ 0x9\n  t*: 1: 1 [0: 0]\n00400000-0040b000 r-xp 00000010 08:01 17 /bin/a\n0050b000-0050c000 rw-p 0 08:01 17 /bin/a\n")
     r = scans.heap_stacks(scans.whole_files(spark, f"{tmp_path}/p")).collect()
     assert [(x.stack, x.n, x.bytes) for x in r] == [(["0x1", "0x2"], 2, 1000)]
+    r = scans.mapped_ranges(scans.whole_files(spark, f"{tmp_path}/p")).collect()
+    assert [tuple(x)[1:] for x in r] == [(0x400000, 0x40B000, 16, "/bin/a")]
 
 
 def test_urls(spark):
