@@ -467,10 +467,15 @@ def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: i
     made = cut(arrow_map(slim, run, "doc_id long, key long, node long, size long, buckets array<long>"))
     least = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("buckets").alias("buckets")))
     each = least.select("node", F.explode("buckets").alias("bucket"))
-    lead = cut(each.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
-    met = join_by_share(each, lead, ["bucket"], "n").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
+    lead = each.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1")
+    shared = cut(join_by_share(each, cut(lead), ["bucket"], "n").select("bucket", "node", "v"))
     least = least.select("node", "least", "key", "size")
-    group = components(met)
+    near = cut(_near_leaders(shared, least, slim, shingle, least_similarity))
+    # What the leaders have not connected: buckets whose sets are still apart.
+    label = shared.join(components(near), "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("label"))
+    apart = cut(label.groupBy("bucket").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).where("a <> b").select("bucket", "n"))
+    rest = join_by_share(shared, apart, ["bucket"], "n").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
+    group = components(rest)
     group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct().join(least.drop("least"), "node"))
     blocks = F.greatest(F.ceil(F.sum("size") / BLOCK), F.ceil(F.count("*") / max_node), F.lit(1)).cast("int")
     sizes = cut(group.groupBy("root").agg(blocks.alias("blocks"), F.count("*").alias("n")))
@@ -480,14 +485,49 @@ def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: i
         "root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "block", "text"
     )
     pairs = by_key(pairs, "root", "lo", "hi").sortWithinPartitions("root", "lo", "hi")
-    return _labelled(made.select("doc_id", "key", "node"), least.select("node", "least"), components(pairs.mapInArrow(_decide(shingle, least_similarity), "u long, v long")))
+    found = near.unionByName(pairs.mapInArrow(_decide(shingle, least_similarity), "u long, v long"))
+    return _labelled(made.select("doc_id", "key", "node"), least.select("node", "least"), components(found))
+
+
+def _near_leaders(shared: DataFrame, reps: DataFrame, slim: DataFrame, shingle: int, least: float, parts: int = 1000) -> DataFrame:
+    """(u, v): the sets that have ``least`` or more in common with the leader v of a bucket they are in.
+
+    This is one comparison a set and leader, so a group of copies that lie close to each other takes time in proportion to its size. A
+    leader of many is dealt to many tasks, each with a copy of its text.
+    """
+    met = shared.select(F.col("node").alias("u"), "v").where("u <> v").distinct()
+    leaders = cut(met.groupBy("v").agg(F.count("*").alias("n")))
+    share = max(1, -(-(leaders.agg(F.sum("n")).first()[0] or 0) // parts))
+    salts = leaders.select("v", F.ceil(F.col("n") / share).alias("salts"), "n")
+    members = join_by_share(met, salts, ["v"], "n").select("v", F.pmod(F.xxhash64("u"), "salts").alias("salt"), F.col("u").alias("node"))
+    heads = salts.select("v", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("v").alias("node"))
+    texts = heads.unionByName(members).join(reps.select("node", "key"), "node").join(slim.select("key", "text"), "key").select("v", "salt", "node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, head = None, np.zeros(0, np.uint64)
+        for b in batches:
+            u: list[int] = []
+            v: list[int] = []
+            for lead, salt, node, text in zip(*(c.to_pylist() for c in b.columns[:3]), utf8(b.column(3))):
+                if (lead, salt) != unit:
+                    unit, head = (lead, salt), shingles_of(text.lower().split(), shingle)  # its own row comes first
+                elif node != lead:
+                    own = shingles_of(text.lower().split(), shingle)
+                    both = len(np.intersect1d(own, head, assume_unique=True))
+                    if both >= least * (len(own) + len(head) - both) - 1e-9:
+                        u.append(node)
+                        v.append(lead)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    ordered = by_key(texts, "v", "salt").sortWithinPartitions("v", "salt", F.col("node") != F.col("v"))
+    return ordered.mapInArrow(run, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8, max_node: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: components of documents whose shingle sets have ``least_similarity`` or more in common.
 
-    Sets that share a min-hash bucket are candidates; within a group of candidates all pairs are decided by the exact Jaccard
-    similarity of their sets. Of more than ``BLOCK`` shingles or ``max_node`` sets a group is cut into blocks and each pair of blocks is a
+    Sets that share a min-hash bucket are candidates. Each is compared with the leaders of its buckets, by the exact Jaccard similarity of
+    the sets; of the buckets that this leaves in more than one piece, all pairs of a group of candidates are decided in the same way. Of more than ``BLOCK`` shingles or ``max_node`` sets a group is cut into blocks and each pair of blocks is a
     unit of its own. Nulls, empty texts and repeated rows are as in ``near_duplicates``.
     """
     return _similar(docs, shingle, least_similarity, max_node, id_col, text_col).select("doc_id", "component_id")
