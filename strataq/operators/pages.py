@@ -7,13 +7,39 @@ from pyspark.sql import functions as F
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case host without ``www.`` and ``m.``, without tracking and paging parameters, fragment or trailing slash."""
+    """Lower-case scheme and host without ``www.`` and ``m.``, without tracking and paging parameters, fragment or trailing slash."""
     u = F.regexp_replace(F.trim(url), r"#.*$", "")
+    head = F.regexp_extract(u, r"^[A-Za-z]+://[^/?]*", 0)
+    u = F.concat(F.lower(head), F.substring(u, F.length(head) + 1, F.length(u)))
     u = F.regexp_replace(u, r"^(https?://)(www\.|m\.)", "$1")
     u = F.regexp_replace(u, r"([?&])((utm_[a-z]+|fbclid|ref|page)=[^&]*&?)+", "$1")
     return F.regexp_replace(F.regexp_replace(u, r"[?&]+$", ""), r"/+$", "")
 
 
+def declared_url(url: Column, html: Column) -> Column:
+    """The canonical address that a page declares of itself, else its own; canonicalised."""
+    own = F.regexp_extract(html, r"""(?i)<link[^>]*rel=["']?canonical["']?[^>]*href=["']([^"']+)""", 1)
+    return canonical_url(F.when(own != "", own).otherwise(url))
+
+
+def html_text(html: Column) -> Column:
+    """A page's text: without scripts, styles, comments and tags, common entities resolved, white space folded."""
+    t = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->", " ")
+    t = F.regexp_replace(t, r"(?s)<[^>]*>", " ")
+    for entity, char in ENTITIES:
+        t = F.replace(t, F.lit(entity), F.lit(char))
+    return F.trim(F.regexp_replace(t, r"[ \t\n\x0B\f\r]+", " "))
+
+
+#: In order: the ampersand last, so that nothing is resolved twice.
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+def due_again(attempts: Column, fetched: Column, most: int = 3) -> Column:
+    """Whether a page is tried again: not fetched yet, and fewer than ``most`` attempts so far."""
+    return ~fetched & (attempts < most)
+
+
 def content_hash(text: Column) -> Column:
     """sha256 of the text with white space folded."""
     return F.sha2(F.trim(F.regexp_replace(text, r"\s+", " ")), 256)

@@ -10,7 +10,39 @@ from strataq.operators import graph, pages
 from strataq.plans.registry import query
 from strataq.sources import scans
 
-_CANON = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(https?://)(www\.|m\.)', '\1'), '([?&])((utm_[a-z]+|fbclid|ref|page)=[^&]*&?)+', '\1', 'g'), '[?&]+$', ''), '/+$', '')"""
+def _canon_sql(u: str) -> str:
+    cut = f"regexp_replace(trim({u}), '#.*$', '')"
+    head = f"regexp_extract({cut}, '^[A-Za-z]+://[^/?]*')"
+    low = f"lower({head}) || substr({cut}, length({head}) + 1)"
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({low}, '^(https?://)(www\.|m\.)', '\1'), '([?&])((utm_[a-z]+|fbclid|ref|page)=[^&]*&?)+', '\1', 'g'), '[?&]+$', ''), '/+$', '')"
+
+
+_CANON = _canon_sql("url")
+
+
+@query("page_declared_url", "WITH p AS (SELECT page_id, CASE WHEN own <> '' THEN own ELSE url END AS u FROM (SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'HTTPS://WWW.Example.org/' || page_id || '/?ref=x' ELSE '' END AS own, url FROM pages)) SELECT page_id, " + _canon_sql("u") + " AS canon FROM p")
+def declared_urls(spark, sf_dir):
+    """D1, url: the address that a page declares of itself; every fourth page gets such a line."""
+    link = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit('<LINK rel="canonical" href="HTTPS://WWW.Example.org/'), "page_id", F.lit('/?ref=x">'))).otherwise("")
+    p = table(spark, sf_dir, "pages").select("page_id", "url", F.concat(link, F.regexp_replace("html", "(?i)canonical", "")).alias("html"))
+    return p.select("page_id", pages.declared_url(F.col("url"), F.col("html")).alias("canon"))
+
+
+_TEXT = r"regexp_replace(regexp_replace(html, '<(script|style)\b.*?</(script|style)\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs')"
+for _e, _c in pages.ENTITIES:
+    _TEXT = f"replace({_TEXT}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
+
+
+@query("page_text", rf"SELECT page_id, trim(regexp_replace({_TEXT}, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages")
+def page_text(spark, sf_dir):
+    """The text of a page's html."""
+    return table(spark, sf_dir, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
+
+
+@query("retry_queue", "SELECT page_id FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 < 3")
+def retry_queue(spark, sf_dir):
+    """Pages that are tried again; every seventh is fetched, and ids modulo five stand for attempts."""
+    return table(spark, sf_dir, "pages").where(pages.due_again(F.col("page_id") % 5, F.col("page_id") % 7 == 0)).select("page_id")
 
 
 @query("url_canonicalize", f"SELECT page_id, {_CANON} AS canon FROM pages")
@@ -54,7 +86,7 @@ def _staged(spark, sf_dir):
 
 @query("stage_funnel", f"WITH {_STAGED}, a AS (SELECT unnest(['rejected', 'short', 'duplicate', 'accepted', 'pending']) AS stage) SELECT a.stage, count(s.doc_id) AS n FROM a LEFT JOIN s ON a.stage = s.stage GROUP BY a.stage")
 def funnel(spark, sf_dir):
-    """Documents by stage, empty stages shown."""
+    """Documents by stage, empty stages shown."""
     stages = spark.createDataFrame([(s,) for s in (*pages.STAGES, "pending")], "stage string")
     n = _staged(spark, sf_dir).groupBy("stage").agg(F.count("*").alias("n"))
     return stages.join(n, "stage", "left").select("stage", F.coalesce("n", F.lit(0)).alias("n"))
@@ -66,11 +98,11 @@ def audit_sample(spark, sf_dir):
     return _staged(spark, sf_dir).where("stage = 'rejected'").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(10).select("doc_id")
 
 
-@query("blob_collection", f"WITH {_STAGED}, b AS (SELECT DISTINCT md5(text) AS blob FROM documents), live AS (SELECT DISTINCT md5(text) AS blob FROM documents JOIN s USING (doc_id) WHERE stage IN ('accepted', 'duplicate')) SELECT blob FROM b WHERE blob IS NOT NULL AND NOT EXISTS (SELECT 1 FROM live WHERE live.blob = b.blob)")
+@query("blob_collection", f"WITH {_STAGED}, b AS (SELECT DISTINCT md5(text) AS blob FROM documents), live AS (SELECT DISTINCT md5(text) AS blob FROM documents JOIN s USING (doc_id) WHERE stage IN ('accepted', 'duplicate') OR doc_id % 60 < 30) SELECT blob FROM b WHERE blob IS NOT NULL AND NOT EXISTS (SELECT 1 FROM live WHERE live.blob = b.blob)")
 def blob_collection(spark, sf_dir):
-    """Stored contents that no live document refers to."""
+    """Stored contents that no document refers to which is live or younger than thirty days; ids modulo sixty stand for days."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("blob")).where("blob is not null")
-    live = d.join(_staged(spark, sf_dir).where(F.col("stage").isin("accepted", "duplicate")), "doc_id", "left_semi")
+    live = d.join(_staged(spark, sf_dir).where(F.col("stage").isin("accepted", "duplicate") | (F.col("doc_id") % 60 < 30)), "doc_id", "left_semi")
     return d.select("blob").distinct().join(live.select("blob").distinct(), "blob", "left_anti")
 
 
@@ -89,6 +121,7 @@ def embedding_floor(spark, sf_dir):
     q = e.where("vec_id = 1").select(F.col("v").alias("q"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
     score = dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q")))
+    q = q.limit(1)  # one intent vector
     return e.crossJoin(F.broadcast(q)).select("vec_id", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.session import table, written
 from strataq.functions.time import FIVE_MINUTES, HOUR, day_number, floor_to, micros
-from strataq.operators import asof, fold, predicates, rows
+from strataq.operators import asof, fold, fold_table, predicates, rows
 from strataq.plans import base
 from strataq.plans.base import with_prelude
 from strataq.plans.registry import query
@@ -21,6 +21,13 @@ def lifo_ledger(spark, sf_dir):
     return fold.lifo_ledger(base.changes(spark, sf_dir))
 
 
+@query("fold_table_function", with_prelude("SELECT address, event_id, t, sign, nonce, odt, amount FROM ledger", "ledger"))
+def table_function(spark, sf_dir):
+    """The same ledger by a table function over partitioned and ordered rows."""
+    fold_table.register(spark)
+    return spark.sql("SELECT * FROM lifo(TABLE(SELECT * FROM {changes}) PARTITION BY address ORDER BY (t, event_id))", changes=base.changes(spark, sf_dir))
+
+
 _BOTH = "address % 10 AS contract, address // 10 AS address"
 
 
