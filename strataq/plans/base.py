@@ -44,6 +44,15 @@ def priced_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.asof_backward(s.withColumn("at", floor_to("t", FIVE_MINUTES)), p.select(F.col("t").alias("at"), F.col("price").alias("now")), "at", "now").drop("at")
 
 
+def contract_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contract, t, odt, measure, acq): the seam of each contract with its own price at origin, null where it has none yet."""
+    e = table(spark, sf_dir, "events").where("event_type = 'click'")
+    p = e.select((F.col("event_id") % 3).alias("contract"), floor_to(micros("ts"), FIVE_MINUTES).alias("at"), F.round(F.col("value") * 100).cast("long").alias("c"))
+    p = p.groupBy("contract", "at").agg(F.floor(F.sum("c") / F.count("*")).cast("long").alias("acq"))
+    s = fold.seam(fold.lifo_ledger(small_changes(spark, sf_dir), ("contract", "address")), ["contract"])
+    return asof.asof_backward(s.withColumn("at", floor_to("odt", FIVE_MINUTES)), p, "at", "acq", by=["contract"]).drop("at")
+
+
 #: Source of a query -> DataFrame of it.
 SOURCES = {
     "ch": changes,
@@ -53,6 +62,7 @@ SOURCES = {
     "pseam": priced_seam,
     "survivors": lambda s, d: fold.survivors(changes(s, d)),
     "balance": lambda s, d: fold.balances(changes(s, d)),
+    "cseam": contract_seam,
     "live": lambda s, d: fold.net_cohorts(fold.lifo_ledger(changes(s, d))),
 }
 
@@ -110,6 +120,13 @@ PSEAM = """pseam AS (
   FROM (SELECT *, odt - odt % 300000000 AS oat, t - t % 300000000 AS tat FROM seam) s
   ASOF LEFT JOIN price a ON s.oat >= a.t ASOF LEFT JOIN price n ON s.tat >= n.t
 )"""
+CSEAM = """cprice AS (
+  SELECT contract, t - t % 300000000 AS t, floor(sum(c) / count(*))::BIGINT AS price FROM (SELECT event_id % 3 AS contract, epoch_us(ts) AS t, round(value * 100)::BIGINT AS c FROM events WHERE event_type = 'click') GROUP BY 1, 2
+), cseam AS (
+  SELECT s.contract, s.t, s.odt, s.measure, p.price AS acq
+  FROM (SELECT address % 10 AS contract, t, odt, odt - odt % 300000000 AS oat, sum(sign * amount)::BIGINT AS measure FROM ledger GROUP BY 1, 2, 3, 4 HAVING sum(sign * amount) <> 0) s
+  ASOF LEFT JOIN cprice p ON s.contract = p.contract AND s.oat >= p.t
+)"""
 LIVE = "live AS (SELECT address, odt, sum(sign * amount)::BIGINT AS amount FROM ledger GROUP BY address, odt HAVING sum(sign * amount) <> 0)"
 SURVIVORS = """survivors AS (
   SELECT address, event_id, t, amount, greatest(least(low, balance) - old_balance, 0)::BIGINT AS held FROM (
@@ -118,6 +135,7 @@ SURVIVORS = """survivors AS (
 _LEDGER = [CH, BALANCE, PAIRS]
 PRELUDES = {
     "small ledger": [CH_SMALL, BALANCE, PAIRS],
+    "cseam": [CH_SMALL, BALANCE, PAIRS, CSEAM],
     "ch": [CH],
     "price": [PRICE],
     "balance": [CH, BALANCE],

@@ -94,6 +94,14 @@ OVER_DAYS = "OVER (PARTITION BY window_days ORDER BY day ROWS BETWEEN UNBOUNDED
 metric("circulation_delta_T", "pseam", f"SELECT window_days, day, delta FROM ({_windowed()}) d", "M7, M8: changes by day; the infinite window has no cancels.")
 metric("circulation_T", "pseam", f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation FROM ({_windowed()}) d", "M9.")
 metric("circulation_infinite", "pseam", f"SELECT day, {I('sum(delta) ' + PREFIX)} AS circulation FROM ({_windowed((INFINITE,))}) d", "M8.")
+_BY_ASSET = f"""SELECT contract, window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost FROM (
+      SELECT s.contract, w.window_days, CASE WHEN w.cancel = 0 THEN {{day(s.t)}} ELSE {{day(s.odt + w.us)}} END AS day, CASE WHEN w.cancel = 0 THEN s.measure ELSE -s.measure END AS m,
+             CASE WHEN w.cancel = 0 THEN coalesce(s.measure * s.acq, 0) ELSE -coalesce(s.measure * s.acq, 0) END AS c
+      FROM cseam s CROSS JOIN (VALUES {", ".join(str((w, k, w * DAY_US)) for w in WINDOWS for k in (0, 1))}) AS w(window_days, cancel, us)
+      WHERE s.odt <> 0 AND s.t - s.odt < w.us) x GROUP BY contract, window_days, day"""
+_ASSET_DAYS = "OVER (PARTITION BY contract, window_days ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+metric("circulation_by_asset", "cseam", f"SELECT contract, window_days, day, {I('sum(delta) ' + _ASSET_DAYS)} AS circulation, {I('sum(cost) ' + _ASSET_DAYS)} AS realized_cap FROM ({_BY_ASSET}) d", "M7-M10 by asset, each with its own prices.")
+metric("age_consumed_by_asset", "cseam", f"SELECT contract, {{day(t)}} AS day, {I('sum(-measure * {day(t - odt)})')} AS coin_days FROM cseam WHERE odt <> 0 AND odt <> t GROUP BY contract, {{day(t)}}", "M3 by asset.")
 _CREATED = f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation, {I('sum(created) ' + OVER_DAYS)} AS created FROM ({_windowed()}) d"
 metric("creation_T", "pseam", f"SELECT window_days, day, created AS creation_days, round(CAST(created AS DOUBLE) / nullif(circulation, 0), 6) AS mean_creation, round(day + 1 - CAST(created AS DOUBLE) / nullif(circulation, 0), 6) AS mean_age FROM ({_CREATED}) c", "M16-M18 by window: total and mean creation day, mean age.")
 metric("mean_age_within_window", "pseam", f"SELECT window_days, count(*) AS days, {I('sum(CASE WHEN circulation > 0 AND (day + 1) * circulation - created > (window_days + 1) * circulation THEN 1 ELSE 0 END)')} AS beyond FROM ({_CREATED}) c WHERE window_days < {INFINITE} GROUP BY window_days", "R18: what is younger than a window is no older on average, to the day.")
