@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import defaultdict
 
 import numpy as np
@@ -27,6 +28,19 @@ def test_masks_by_prefix_sums():
     assert ids.tolist() == [1000, 1002, 0, 1, 1003] and not mask.any() and chars == 2 + len("<s>[INST][/INST]")
 
 
+def as_written(role, text):
+    """The template in plain strings."""
+
+    def escaped(t):
+        for c in chat.CONTROLS:
+            t = re.sub(re.escape(c[0]) + r"(\\*)" + re.escape(c[1:]), lambda m, c=c: f"{c[0]}\\{m[1]}{c[1:]}", t)
+        return t
+
+    body = escaped(text)
+    told = {"user": f"<s>[INST]{body}[/INST]", "assistant": f"{body}</s>", "system": f"<<SYS>>{body}<</SYS>>"}
+    return told.get(role, f"[ROLE]{escaped(role)}[/ROLE]{body}</s>")
+
+
 def expect(rows):
     by = defaultdict(list)
     for c, turn, role, text in rows:
@@ -36,7 +50,7 @@ def expect(rows):
         turns.sort(key=lambda r: (r[0] is not None, r[0] or 0, hashlib.sha256(f"{r[1]}\n{r[2]}".encode()).hexdigest()))
         told = "".join(f"{r}\n{t}\n" for _, r, t in turns)
         loss = "".join(t for _, r, t in turns if r == "assistant")
-        chars = sum(len(p) if isinstance(p, str) else len(chat.CONTROLS[p]) if isinstance(p, int) else len(p[0]) for _, r, t in turns for p in chat.segments(r, t))
+        chars = sum(len(as_written(r, t)) for _, r, t in turns)
         out[c] = (len(turns), hashlib.sha256(told.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars)
     return out
 
