@@ -13,6 +13,7 @@ of a key: an address, or an address with its contract or asset.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from strataq.functions.session import by_key, written
+from strataq.functions.time import day_number
 
 #: Columns of a ledger behind those of its key; a change has a key, an order (t, event_id) and a signed ``amount``.
 MOVES = "event_id long, t long, sign int, nonce long, odt long, amount long"
@@ -330,6 +332,25 @@ def trough(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return b.groupBy(*key).agg(F.greatest(F.lit(0), last - F.min("old_balance")).alias("untouched"))
 
 
+def trough_by_day(changes: DataFrame, days: Sequence[int], key: Sequence[str] = KEY) -> DataFrame:
+    """(window_days, day, circulation): over all keys, what of the net inflow of the last so many days no dip within them touched.
+
+    A key's part only changes on a day with changes and when such a day leaves the window, so each of its days gives two rows a
+    window; the differences are summed by day, and only the sums by day are accumulated.
+    """
+    daily = balances(changes, key).withColumn("day", day_number("t")).groupBy(*key, "day").agg(F.max_by("balance", F.struct("t", "event_id")).alias("bal"), F.min("old_balance").alias("low"))
+    parts = []
+    for n in days:
+        at = daily.select(*key, F.explode(F.array("day", F.col("day") + n)).alias("day")).distinct().join(daily, [*key, "day"], "left")
+        order = W.partitionBy(*key).orderBy("day")
+        held = F.last("bal", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)) - F.min("low").over(order.rangeBetween(1 - n, 0))
+        at = at.withColumn("held", F.greatest(F.coalesce(held, F.lit(0)), F.lit(0)))
+        parts.append(at.select(F.lit(n).alias("window_days"), "day", (F.col("held") - F.coalesce(F.lag("held").over(order), F.lit(0))).alias("d")))
+    sums = reduce(lambda a, b: a.unionByName(b), parts).groupBy("window_days", "day").agg(F.sum("d").alias("d"))
+    total = F.sum("d").over(W.partitionBy("window_days").orderBy("day").rowsBetween(W.unboundedPreceding, 0))
+    return sums.select("window_days", "day", total.alias("circulation"))
+
+
 def compress_runs(changes: DataFrame) -> DataFrame:
     """Runs of equal sign within a key merged: first and last event, number of changes and their sum."""
     flip = (F.signum("amount") != F.lag(F.signum("amount")).over(in_order())).cast("int")

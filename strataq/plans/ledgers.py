@@ -143,6 +143,22 @@ def trough(spark, sf_dir):
     return fold.trough(base.changes(spark, sf_dir))
 
 
+@query(
+    "trough_by_day",
+    with_prelude(
+        """, dd AS (SELECT address, CAST(floor(t / 86400000000) AS BIGINT) AS day, arg_max(balance, (t, event_id)) AS bal, min(old_balance) AS low FROM balance GROUP BY 1, 2),
+        w(n) AS (VALUES (1), (7), (30)), days AS (SELECT DISTINCT n, unnest([day, day + n]) AS day FROM dd, w),
+        k AS (SELECT d.n, d.day, (SELECT arg_max(bal, x.day) FROM dd x WHERE x.address = a.address AND x.day <= d.day) AS bal,
+              (SELECT min(low) FROM dd x WHERE x.address = a.address AND x.day <= d.day AND x.day > d.day - d.n) AS low FROM days d, (SELECT DISTINCT address FROM dd) a)
+        SELECT n AS window_days, day, sum(greatest(0, coalesce(bal - low, 0)))::BIGINT AS circulation FROM k GROUP BY 1, 2""",
+        "balance",
+    ),
+)
+def trough_days(spark, sf_dir):
+    """Circulation of three windows by day, out of balances alone."""
+    return fold.trough_by_day(base.changes(spark, sf_dir), (1, 7, 30))
+
+
 @query(
     "group_and_compress",
     with_prelude(
