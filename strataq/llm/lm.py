@@ -5,7 +5,7 @@ adds an embedding per place and context class, its softmax covers word classes:
 of the corpus have a class each, any other word falls in the class of its ending. The probability of a word is that of its class
 times the word's share of the class, by its count in the whole corpus. A document's score is the sum of the logarithms over its words.
 
-Words are numbers of ``ENDING`` + ``WORD`` bits, a digest of the ending and one of the word, so a vocabulary of two million words needs no table
+Words are numbers of ``ENDING`` + ``WORD`` bits, a digest of the ending and one of the word, so a vocabulary of four million words needs no table
 of strings, and a text is split into words once: ``numbered`` writes the numbers to the shared folder, and counting,
 training and scoring read them. Counts cover all documents.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strataq.llm.common import by_key, cut, small_batches, utf8
 
 #: Bits of a word's number: digest of its last two bytes, then of the whole word.
-ENDING, WORD = 5, 16
+ENDING, WORD = 5, 17
 NUMBERS = 1 << ENDING + WORD
 #: Numbers that a worker keeps by word.
 HELD = 400_000
@@ -217,8 +217,8 @@ class Scorer:
             out[k : k + step] = own - top - np.log(z.sum(1))
         return out
 
-    def score_batch(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Summed log-probabilities of each text: with the counts of the whole corpus, and with those of all other documents."""
+    def score_batch(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Summed log-probabilities of each text, with the counts of the whole corpus and with those of all other documents, and words that no other has."""
         x, at = stream(texts, self.classes.of)
         n = np.array([len(t) for t in texts], np.int64)
         ids = np.concatenate([np.empty(0, "<u4"), *texts]).astype(np.int64)
@@ -226,13 +226,14 @@ class Scorer:
         _, back, often = np.unique(both, return_inverse=True, return_counts=True)
         base = self.class_scores(x, at)
         sums = lambda s: np.diff(np.concatenate(([0.0], np.cumsum(s)))[np.concatenate(([0], np.cumsum(n)))])
-        return sums(base + self.classes.share(ids)), sums(base + self.classes.share(ids, often[back]))
+        less = often[back]
+        return sums(base + self.classes.share(ids)), sums(base + self.classes.share(ids, less)), sums(self.classes.n[ids] <= less)
 
     def score(self, table: DataFrame) -> DataFrame:
-        """(doc_id, n_words, score, mean_score, mean_apart) for each row of a ``numbered`` table.
+        """(doc_id, n_words, score, mean_score, mean_apart, n_alone) for each row of a ``numbered`` table.
 
         score: the summed log-probability; mean_score: its mean by word; mean_apart: the same mean with the document's own
-        words left out of the counts, so that only what other documents hold makes a rare word likely.
+        words left out of the counts, so that only what other documents hold makes a rare word likely; n_alone: words that no other document holds.
         Null and empty texts have no words, score 0 and null means; a null doc_id stays null; repeated rows come out as often as they came in.
         """
         spark = table.sparkSession
@@ -242,12 +243,12 @@ class Scorer:
             for b in batches:
                 texts = _ids(b.column(1))
                 n = [len(t) for t in texts]
-                total, apart = shared.value.score_batch(texts)
+                total, apart, alone = shared.value.score_batch(texts)
                 mean = lambda s: pa.array([round(float(t) / k, 6) if k else None for t, k in zip(s, n)], pa.float64())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.round(total, 6)), mean(total), mean(apart)], ["doc_id", "n_words", "score", "mean_score", "mean_apart"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(np.round(total, 6)), mean(total), mean(apart), pa.array(alone.astype(np.int64))], ["doc_id", "n_words", "score", "mean_score", "mean_apart", "n_alone"])
 
         small_batches(spark)
-        return table.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, score double, mean_score double, mean_apart double")
+        return table.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_words long, score double, mean_score double, mean_apart double, n_alone long")
 
 
 def train(rows: Iterator[tuple[int, np.ndarray]], of: np.ndarray, first: dict, turn: int, rounds: int, batch: int, pool: int, rate: float, seed: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -36,7 +36,7 @@ def test_query_equals_brute_force(docs_of, odd_rows):
     rows = [(i, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 3) for _ in range(rnd.randint(0, 60))), "a") for i in range(60)] + odd_rows[:5]
     table = lm.numbered(docs_of(rows), shard_bytes=2000)
     kw = {"own": 4, "batch": 64, "pool": 300}
-    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.score, r.mean_score, r.mean_apart) for r in lm.fit(table, **kw).score(table).collect())
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_words, r.score, r.mean_score, r.mean_apart, r.n_alone) for r in lm.fit(table, **kw).score(table).collect())
     known = lm.Numbers()
     words = {k: [known[w] for w in (t or "").encode().lower().split()] for k, (_, t, _) in enumerate(rows)}
     n = np.zeros(lm.NUMBERS, np.int64)
@@ -66,7 +66,8 @@ def test_query_equals_brute_force(docs_of, odd_rows):
             total += base + np.log((n[w] + lm.ALPHA) / down)
             apart += base + np.log((n[w] - ws.count(w) + lm.ALPHA) / down)
         m = max(1, len(ws))
-        want.append((d is not None, d or 0, len(ws), total, total / m if ws else None, apart / m if ws else None))
+        alone = sum(n[w] == ws.count(w) for w in ws)
+        want.append((d is not None, d or 0, len(ws), total, total / m if ws else None, apart / m if ws else None, alone))
     for g, w in zip(got, sorted(want, key=lambda x: x[:4])):
         assert g[:3] == w[:3] and all(abs((a or 0) - (b or 0)) < 2e-3 for a, b in zip(g[3:], w[3:])), (g, w)
 
@@ -88,7 +89,9 @@ def test_documents_that_occur_twice_stand_out(docs_of):
     rows = [(i, text(i), "a") for i in range(400)]
     rows += [(1000 + i, rows[i][1], "b") for i in range(40)]
     table = lm.numbered(docs_of(rows))
-    got = {r.doc_id: r.mean_apart for r in lm.fit(table).score(table).collect()}
+    rows = lm.fit(table).score(table).collect()
+    assert all((r.n_alone == 0) == (r.doc_id < 40 or r.doc_id >= 1000) for r in rows)
+    got = {r.doc_id: r.mean_apart for r in rows}
     bar = sorted(got[i] for i in range(40, 400))[-36]  # one false alarm in ten
     assert sum(got[i] > bar for i in range(40)) >= 30
 
