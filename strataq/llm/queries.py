@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import ann, bpe, chat, chunks, lm, mixing, quality, secrets, simhash, tokenbin
+from strataq.llm import ann, bpe, chat, chunks, lm, mixing, quality, repair, secrets, simhash, tokenbin
 from strataq.llm.common import cut, scratch_folder
 
 QUERIES: dict = {}
@@ -98,6 +98,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged and repaired."""
+    return repair.digest(repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
+
+
 ORACLES["op5_quality_rules"] = r"""
 WITH d AS (
   SELECT doc_id, source, text IS NULL AS is_null, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id, source, text) AS k, dense_rank() OVER (ORDER BY doc_id, source, text) AS doc FROM documents
