@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import ann, bpe, chat, chunks, lm, mixing, quality, repair, secrets, simhash, tokenbin
+from strataq.llm import ann, bpe, chat, chunks, lm, mixing, mtree, quality, repair, secrets, simhash, tokenbin
 from strataq.llm.common import cut, scratch_folder
 
 QUERIES: dict = {}
@@ -98,6 +98,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op11_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty largest inner products of every twentieth vector, in whole numbers."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return mtree.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 @_query
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, damaged and repaired."""
@@ -228,3 +235,16 @@ WITH e AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
 )
 SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLES["op11_top_products"] = """
+WITH e AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+), u AS (
+  SELECT DISTINCT vec_id, [floor(64 * c) FOR c IN x] AS v FROM e WHERE len([c FOR c IN x IF c IS NULL OR NOT isfinite(c)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM u q JOIN u c ON NOT (q.vec_id = c.vec_id AND q.v = c.v) AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
