@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.llm import ann, bpe, chat, chunks, lm, mixing, mtree, quality, repair, secrets, simhash, tokenbin
+from strataq.llm import align, ann, bpe, chat, chunks, lm, mixing, mtree, quality, repair, secrets, simhash, tokenbin
 from strataq.llm.common import cut, scratch_folder
 
 QUERIES: dict = {}
@@ -111,6 +111,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.digest(repair.repair(repair.damaged(_table(spark, sf_dir, "conversations"))))
 
 
+@_query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under two tokenizers, aligned, and how common its links are."""
+    return align.measure(_table(spark, sf_dir, "documents"), bpe.path("byte_bpe_50k.json"), bpe.path("piece_bpe_32k.model"))
+
+
 ORACLES["op5_quality_rules"] = r"""
 WITH d AS (
   SELECT doc_id, source, text IS NULL AS is_null, coalesce(text, '') AS t, row_number() OVER (ORDER BY doc_id, source, text) AS k, dense_rank() OVER (ORDER BY doc_id, source, text) AS doc FROM documents
