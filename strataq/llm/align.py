@@ -18,10 +18,12 @@ the vocabularies bound.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,7 @@ from strataq.llm import bpe
 from strataq.llm.common import by_key, collector_paused, cut, small_batches
 
 #: Pieces of text a worker keeps, the longest such piece, and characters of a batch of documents.
-CACHE, CACHED_CHARS, BATCH_CHARS = 150_000, 64, 1 << 21
+CACHE, CACHED_CHARS, BATCH_CHARS = 300_000, 64, 1 << 21
 #: Batches that meet one copy of a shard's counts.
 BATCHES_A_COPY = 1 << 16
 
@@ -41,6 +43,7 @@ MARK = "▁"
 #: Between these a space may not be cut off, and where none of them is near a space every space may.
 DOUBTFUL = re.compile(r"[\s▁] | \s")
 CUT = re.compile(r"(?<=[^\s▁])(?= \S)")
+A_END, B_END, BOTH = b"abc"
 GROUP = re.compile(rb"[^c]*c")
 
 
@@ -50,80 +53,139 @@ class Pair:
     def __init__(self, file_a: str, file_b: str) -> None:
         from sentencepiece import SentencePieceProcessor
 
-        self.a, self.b = bpe.load(file_a), SentencePieceProcessor(model_file=file_b)
-        self.a.encode_special_tokens = True
-        letters = _byte_letters()
-        self.a_bytes = [b""] * (max(self.a.get_vocab().values()) + 1)
-        for entry, i in self.a.get_vocab().items():
+        tokenizer, letters = bpe.load(file_a), _byte_letters()
+        vocabulary = tokenizer.get_vocab()
+        self.b = SentencePieceProcessor(model_file=file_b)
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for entry, i in vocabulary.items():
             self.a_bytes[i] = bytes(letters[c] for c in entry) if all(c in letters for c in entry) else entry.encode()
+        self.a = self.by_ranks(file_a) or self.by_library(tokenizer)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in e], np.int64) for e in (self.a_bytes, self.b_bytes))
+        self.digits = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
         self.cuts = not any(MARK in p.lstrip(MARK) for p in pieces)
         self.known: dict[str, tuple | None] = {}
         self.told: dict[str, str] = {}
 
+    def by_ranks(self, file: str):
+        """A's encoder by ranks, which is quicker on short texts: where ids are in the order of merges and the pre-tokenizer is the common byte-level one."""
+        import public_tokenizers
+        import tiktoken
+
+        told = json.load(open(file, encoding="utf-8"))
+        ids, merges = told["model"]["vocab"], told["model"]["merges"]
+        made = [ids["".join(m.split(" ") if isinstance(m, str) else m)] for m in merges]
+        special = {x["id"] for x in told["added_tokens"]}
+        common = told["pre_tokenizer"].get("type") == "ByteLevel" and told["pre_tokenizer"].get("use_regex", True) and not told["pre_tokenizer"]["add_prefix_space"] and told["normalizer"] is None
+        if not common or made != list(range(256, 256 + len(made))) or len(ids) != len(made) + 256 + len(special & set(ids.values())):
+            return None
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if i not in special}
+        encode = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return lambda texts: map(encode, texts)
+
+    @staticmethod
+    def by_library(tokenizer):
+        tokenizer.encode_special_tokens = True
+        return lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
     def pieces(self, text: str) -> list[str]:
         """The pieces of " " + ``text``, each without the space that it begins with."""
         if not self.cuts:
             return [text]
         return [c[1:] for c in CUT.split(f" {text}")] if DOUBTFUL.search(f" {text} ") else text.split(" ")
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encode and align ``pieces`` that aren't known; the cache starts anew when it is full."""
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode and align ``pieces`` that aren't known, all in one; the cache starts anew when it is full."""
         if len(self.known) > CACHE:
             self.known.clear()
             self.told.clear()
         new = [p for p in pieces if p not in self.known]
         if not new:
             return
-        made = zip(new, self.a.encode_batch([f" {p}" for p in new], add_special_tokens=False), self.b.encode(new, num_threads=1))
-        for p, a, b in made:
-            found = self.align(f" {p}".encode(), a.ids, b)
-            self.known[p], self.told[p] = (None, "") if found is None else (found[1:], found[0])
+        a, b = list(self.a([f" {p}" for p in new])), self.b.encode(new, num_threads=1)
+        raw = f" {' '.join(new)}".encode()
+        n_a, n_b = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+        ids_a, ids_b = np.fromiter(chain.from_iterable(a), np.int64), np.fromiter(chain.from_iterable(b), np.int64)
+        if min(n_a.min(), n_b.min()) > 0 and self.spelled(a, self.a_bytes) == raw == self.spelled(b, self.b_bytes):
+            ends_a, ends_b = np.cumsum(self.a_sizes[ids_a]), np.cumsum(self.b_sizes[ids_b])
+            if np.array_equal(ends_a[np.cumsum(n_a) - 1], ends_b[np.cumsum(n_b) - 1]):
+                self.align(new, raw, ids_a, ids_b, ends_a, ends_b, n_a, n_b)
+                return
+        if len(new) == 1:
+            self.known[new[0]], self.told[new[0]] = None, ""
+            return
+        for half in (new[: len(new) // 2], new[len(new) // 2 :]):  # some of them isn't spelled: find it
+            self.learn(half)
 
-    def forget(self, pieces: set[str]) -> None:
-        for p in pieces:
-            if len(p) > CACHED_CHARS:
-                del self.known[p], self.told[p]
+    @staticmethod
+    def spelled(ids: list[list[int]], entries: list[bytes]) -> bytes:
+        return b"".join(map(entries.__getitem__, chain.from_iterable(ids)))
 
-    def align(self, raw: bytes, a: list[int], b: list[int]) -> tuple[str, int, int, int, int, np.ndarray] | None:
-        """(groups as text, tokens of A, of B, groups, links, link keys) of a text; None if either's tokens don't spell it."""
-        of_a, of_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(of_a) != raw or b"".join(of_b) != raw or not raw:
-            return None
-        ends_a, ends_b = np.cumsum([len(x) for x in of_a]), np.cumsum([len(x) for x in of_b])
+    def align(self, new: list[str], raw: bytes, ids_a, ids_b, ends_a, ends_b, n_a, n_b) -> None:
+        """Align pieces whose bytes stand one after the other in ``raw``, and whose tokens do in ``ids_a`` and ``ids_b``."""
         labels = np.full(len(raw), ord("."), np.uint8)
-        labels[ends_a - 1] = ord("a")
-        labels[ends_b - 1] = np.where(labels[ends_b - 1] == ord("a"), ord("c"), ord("b"))
-        i = j = 0
-        told = []
+        labels[ends_a - 1] = A_END
+        labels[ends_b - 1] = np.where(labels[ends_b - 1] == A_END, BOTH, B_END)
+        text_a, text_b = [list(map(self.digits.__getitem__, x.tolist())) for x in (ids_a, ids_b)]
+        told, i, j = [], 0, 0
         for span in GROUP.findall(labels.tobytes()):
             m, n = i + span.count(b"a") + 1, j + span.count(b"b") + 1
-            told.append(f"{','.join(map(str, a[i:m]))}|{','.join(map(str, b[j:n]))}")
+            told.append(f"{text_a[i]}|{text_b[j]}" if m == i + 1 and n == j + 1 else f"{','.join(text_a[i:m])}|{','.join(text_b[j:n])}")
             i, j = m, n
-        starts_a = np.concatenate(([0], ends_a[:-1]))
-        first = np.searchsorted(ends_b, starts_a, side="right")
-        last = np.searchsorted(np.concatenate(([0], ends_b[:-1])), ends_a, side="left")
-        n = last - first
+        groups = np.searchsorted(np.flatnonzero(labels == BOTH), ends_a[np.cumsum(n_a) - 1])
+        # links of a token of A: from the token of B that ends beyond its start to the last that starts before its end
+        first = np.searchsorted(ends_b, ends_a - self.a_sizes[ids_a], side="right")
+        n = np.searchsorted(ends_b - self.b_sizes[ids_b], ends_a, side="left") - first
         within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keys = np.repeat(np.array(a, np.int64), n) * len(self.b_bytes) + np.array(b, np.int64)[np.repeat(first, n) + within]
-        return ";".join(told), len(a), len(b), len(told), len(keys), keys
-
-    def document(self, pieces: list[str]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens of A, of B, groups, links, groups as text, distinct link keys, how often each) out of known pieces."""
-        times = Counter(pieces)
-        each = [self.known[p] for p in times]
-        if None in each:
-            return NOTHING
-        n = np.fromiter(times.values(), np.int64, len(each))
-        a, b, groups, links = (int(n @ np.fromiter((e[k] for e in each), np.int64, len(each))) for k in range(4))
-        keys = np.concatenate([e[4] for e in each])
-        distinct, at = np.unique(keys, return_inverse=True)
-        often = np.bincount(at, np.repeat(n, [len(e[4]) for e in each])).astype(np.int64)
-        return a, b, groups, links, ";".join(map(self.told.__getitem__, pieces)), distinct, often
+        keys = np.repeat(ids_a, n) * len(self.b_bytes) + ids_b[np.repeat(first, n) + within]
+        links = np.cumsum(np.add.reduceat(n, np.cumsum(n_a) - n_a))
+        at, of = 0, 0
+        for p, x, y, end, to in zip(new, n_a.tolist(), n_b.tolist(), groups.tolist(), links.tolist()):
+            self.known[p] = (x, y, end - at, to - of, keys[of:to])
+            self.told[p] = ";".join(told[at:end])
+            at, of = end, to
+
+    def documents(self, texts: list[str]) -> Aligned:
+        """A batch of texts, empty ones without tokens."""
+        pieces = [self.pieces(t) if t else [] for t in texts]
+        number = {p: k for k, p in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
+        self.learn(number)
+        each = [self.known[p] for p in number]
+        broken = np.fromiter((e is None for e in each), bool, len(each))
+        sizes = np.array([(0, 0, 0, 0) if e is None else e[:4] for e in each], np.int64).reshape(-1, 4)
+        keys = np.concatenate([np.empty(0, np.int64), *(e[4] for e in each if e is not None)])
+        place = np.fromiter(map(number.__getitem__, chain.from_iterable(pieces)), np.int64)
+        doc = np.repeat(np.arange(len(texts)), [len(p) for p in pieces])
+        spelled = np.bincount(doc, broken[place], len(texts)) == 0
+        kept = spelled[doc]
+        place, doc = place[kept], doc[kept]
+        counts = np.column_stack([np.bincount(doc, sizes[place, k], len(texts)) for k in range(4)]).astype(np.int64)
+        told = [";".join(map(self.told.__getitem__, p)) if ok else "" for p, ok in zip(pieces, spelled)]
+        # distinct pieces of a document, then distinct links of it
+        both, often = np.unique(doc * len(number) + place, return_counts=True)
+        doc, place = np.divmod(both, max(1, len(number)))
+        n, begins = sizes[place, 3], np.cumsum(sizes[:, 3]) - sizes[:, 3]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        distinct, link = np.unique(keys, return_inverse=True)
+        link = link[np.repeat(begins[place], n) + within]
+        both, at = np.unique(np.repeat(doc, n) * max(1, len(distinct)) + link, return_inverse=True)
+        times = np.bincount(at, np.repeat(often, n), len(both)).astype(np.int64)
+        doc, link = np.divmod(both, max(1, len(distinct)))
+        for p in number:
+            if len(p) > CACHED_CHARS:
+                del self.known[p], self.told[p]
+        return Aligned(counts, told, distinct, np.bincount(link, times, len(distinct)).astype(np.int64), np.bincount(doc, minlength=len(texts)), link, times)
 
 
-NOTHING = (0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64))
+class Aligned(NamedTuple):
+    counts: np.ndarray  # tokens of A, of B, groups and links by document
+    told: list[str]
+    keys: np.ndarray  # distinct links of the batch
+    totals: np.ndarray  # how often each occurs
+    sizes: np.ndarray  # distinct links by document
+    places: np.ndarray  # of these, document after document, the place among the keys
+    times: np.ndarray  # and how often it occurs there
 
 
 def _byte_letters() -> dict[str, int]:
@@ -156,12 +218,10 @@ PAYLOAD = "batch long, doc_ids array<long>, n_a array<long>, n_b array<long>, n_
 def batches_of(docs: DataFrame, file_a: str, file_b: str, told: str) -> DataFrame:
     """Batches of documents, aligned; ``told``: 'groups' for the groups as text, 'sha256' for their digest."""
 
-    def put(number: int, ids: list, found: list) -> pa.RecordBatch:
-        keys, at = np.unique(np.concatenate([f[5] for f in found]), return_inverse=True)
-        often = np.concatenate([f[6] for f in found])
-        totals = np.bincount(at, often, len(keys)).astype(np.int64)
-        groups = [f[4] if told == "groups" or not f[4] else hashlib.sha256(f[4].encode()).hexdigest() for f in found]
-        row = (number, ids, *([f[k] for f in found] for k in range(4)), groups, keys.tobytes(), totals.tobytes(), small(np.array([len(f[5]) for f in found])), small(at), small(often))
+    def put(number: int, ids: list, found: Aligned) -> pa.RecordBatch:
+        groups = [t if told == "groups" or not t else hashlib.sha256(t.encode()).hexdigest() for t in found.told]
+        asked = found.totals > 0  # not those of texts that have no tokens after all
+        row = (number, ids, *found.counts.T.tolist(), groups, found.keys[asked].tobytes(), found.totals[asked].tobytes(), small(found.sizes), small((np.cumsum(asked) - 1)[found.places]), small(found.times))
         return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(row, _PAYLOAD.types)], _PAYLOAD.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +235,7 @@ def batches_of(docs: DataFrame, file_a: str, file_b: str, told: str) -> DataFram
                     chars += len(texts[hi])
                     hi += 1
                 with collector_paused():
-                    pieces = [both.pieces(t) if t else [] for t in texts[lo:hi]]
-                    every = set().union(*pieces)
-                    both.learn(every)
-                    made = put(part + number, ids[lo:hi], [both.document(p) if p else NOTHING for p in pieces])
-                    both.forget(every)
+                    made = put(part + number, ids[lo:hi], both.documents(texts[lo:hi]))
                 yield made
                 lo, number = hi, number + 1
 
