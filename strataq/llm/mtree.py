@@ -11,7 +11,8 @@ settled by id and no bound, which has a small margin for rounding, can lose one.
 Equal vectors are one entry with its k + 1 least ids: of a group of copies nothing else can be among the k best. Distinct vectors
 are dealt to at most ``pivots`` groups by their nearest pivot, groups to trees of at most some ``tree_size`` vectors, and trees
 are built and written once. A query first visits a tree of its own group, and then, with that k-th best as limit, the trees of
-all groups whose covering radius reaches within it. A task holds one tree and streams queries past it.
+all groups whose covering radius reaches within it. A task holds one tree and streams queries past it, some of which, by home, search
+together: they share the order of pages, and each has bounds and a limit of its own.
 """
 
 from __future__ import annotations
@@ -187,49 +188,82 @@ class Page:
             self.ids = np.split(np.frombuffer(ids, "<i8"), np.frombuffer(ends, "<i4")[:-1])
 
 
+class Asked:
+    """Queries of one length that search together, each with its k best so far."""
+
+    def __init__(self, facts: Facts, vecs: list[bytes], dim: int, k: int, least: list[float | None]) -> None:
+        self.facts, self.k, self.rows = facts, k, facts.rows(vecs, dim)
+        self.own = (self.rows * self.rows).sum(1)
+        self.floor = np.array([-np.inf if x is None else x for x in least])
+        self.best: list[list[tuple[int, int, bool]]] = [[] for _ in vecs]
+        self.limit = np.empty(len(vecs))
+        self.reach(np.arange(len(vecs)))
+
+    def reach(self, at: np.ndarray) -> None:
+        """Distances within which something as good as the k-th best may lie."""
+        some = self.floor[at] > -np.inf
+        self.limit[at] = np.where(some, self.facts.apart(self.own[at], np.where(some, self.floor[at], 0)) * (1 + MARGIN) + MARGIN, np.inf)
+
+    def meet(self, at: int, products: np.ndarray, entries: np.ndarray, page: Page) -> None:
+        best = self.best[at]
+        mine = (2 * products == self.own[at] + page.norms[entries]).tolist()
+        for s, e, m in zip(products.tolist(), entries.tolist(), mine):
+            best += [(-int(s), i, m) for i in page.ids[e].tolist()]
+        best.sort()
+        del best[self.k :]
+        if len(best) == self.k:
+            self.floor[at] = max(self.floor[at], -best[-1][0])
+
+
 class Tree:
     """One tree's pages, and the counts of distances that were computed and that a stored bound made needless."""
 
     def __init__(self, facts: Facts) -> None:
         self.facts, self.pages, self.computed, self.spared = facts, {}, 0, 0
 
-    def search(self, q: np.ndarray, k: int, least: float | None) -> list[tuple[int, int, bool]]:
-        """(score, id, whether it is the query's own vector) of the k best, or of those of them that score ``least`` or more."""
-        own = (q * q).sum()
-        best: list[tuple] = []
-        floor = -math.inf if least is None else least
-        reach = lambda: math.inf if floor == -math.inf else float(self.facts.apart(own, floor)) * (1 + MARGIN) + MARGIN
+    def search(self, asked: Asked) -> None:
+        """The k best of each query, or those of them that reach the floor it came with.
+
+        A page waits once for all queries, at the least of their bounds, and meets those whose own bound is within their limit.
+        """
         top = self.pages[-1]
-        first = float(self.facts.apart(own, top.objects @ q)[0])
-        waiting, limit = [(max(0.0, first - top.radii[0]) * (1 - MARGIN), 0, first)], reach()
-        while waiting and waiting[0][0] <= limit:
-            bound, number, apart = heapq.heappop(waiting)
+        first = self.facts.apart(asked.own, (asked.rows @ top.objects.T)[:, 0])
+        bounds = np.maximum(0.0, first - top.radii[0]) * (1 - MARGIN)
+        waiting = [(float(bounds.min()), 0, bounds, first)]
+        while waiting:
+            _, number, bounds, apart = heapq.heappop(waiting)
+            who = (bounds <= asked.limit).nonzero()[0]
+            if not len(who):
+                continue
             page = self.pages[number]
-            near = np.abs(apart - page.apart) - page.radii <= limit + MARGIN * apart
-            at = near.nonzero()[0]
-            self.computed += len(at)
-            self.spared += len(near) - len(at)
-            product = page.objects @ q if len(at) == len(near) else page.objects[at] @ q
+            near = np.abs(apart[who, None] - page.apart) - page.radii <= (asked.limit[who] + MARGIN * apart[who])[:, None]
+            at = near.any(0).nonzero()[0]
+            near = near[:, at]
+            computed = int(near.sum())
+            self.computed += computed
+            self.spared += len(who) * len(page.apart) - computed
+            if not len(at):
+                continue
+            products = asked.rows[who] @ page.objects[at].T
             if page.leaf:
-                found = (product >= floor).nonzero()[0]
-                if not len(found):
-                    continue
-                for j in found.tolist():
-                    e = at[j]
-                    s, mine = product[j], bool(2 * product[j] == own + page.norms[e])
-                    best += [(-int(s), i, mine) for i in page.ids[e].tolist()]
-                best.sort()
-                del best[k:]
-                if len(best) == k:
-                    floor = max(floor, -best[-1][0])
-                    limit = reach()
-            else:
-                d = self.facts.apart(own, product)
-                low = np.maximum(bound, (d - page.radii[at]) * (1 - MARGIN) - MARGIN)
-                for j in (low <= limit).nonzero()[0].tolist():
-                    heapq.heappush(waiting, (float(low[j]), int(page.children[at[j]]), float(d[j])))
-        return [(-s, i, mine) for s, i, mine in best]
+                hits = near & (products >= asked.floor[who, None])
+                some = hits.any(1).nonzero()[0]
+                for i in some.tolist():
+                    found = hits[i].nonzero()[0]
+                    asked.meet(who[i], products[i, found], at[found], page)
+                asked.reach(who[some])
+                continue
+            d = self.facts.apart(asked.own[who, None], products)
+            low = np.maximum(bounds[who, None], (d - page.radii[at]) * (1 - MARGIN) - MARGIN)
+            low = np.where(near, low, np.inf)
+            for j in (low <= asked.limit[who, None]).any(0).nonzero()[0].tolist():
+                of, to = np.full(len(bounds), np.inf), np.zeros(len(bounds))
+                of[who], to[who] = low[:, j], d[:, j]
+                heapq.heappush(waiting, (float(low[:, j].min()), int(page.children[at[j]]), of, to))
+
 
+#: Queries that search together.
+TOGETHER = 256
 
 ANSWER = "query string, dim int, vec binary, home long, floor double, scores array<long>, ids array<long>, own array<boolean>"
 _ANSWER = pa.schema([
@@ -245,26 +279,36 @@ def visited(asks: DataFrame, pages: DataFrame, facts: Facts, k: int, blocks: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tree, rows = None, None, []
+
+        def done() -> pa.RecordBatch:
+            asked = Asked(facts, [r[2] for r in rows], rows[0][1], k, [r[4] for r in rows])
+            tree.search(asked)
+            made = []
+            for row, floor, best in zip(rows, asked.floor.tolist(), asked.best):
+                made.append((*row[:4], None if floor == -math.inf else floor, *([list(x) for x in zip(*((-s, i, m) for s, i, m in best))] or [[], [], []])))
+            rows.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), _ANSWER.types)], _ANSWER.names)
+
         for b in batches:
             for t, block, page, leaf, dim, *binary, query, vec, home, floor in zip(*(c.to_pylist() for c in b.columns)):
                 if (t, block) != at:
+                    if rows:
+                        yield done()
                     at, tree = (t, block), Tree(facts)
                 if page is not None:
                     tree.pages[page] = Page(facts, leaf, dim, *binary)
                     continue
-                found = tree.search(facts.rows([vec], dim)[0], k, floor)
-                if len(found) == k:
-                    floor = float(found[-1][0]) if floor is None else max(floor, float(found[-1][0]))
-                rows.append((query, dim, vec, home, floor, *(list(x) for x in zip(*found))) if found else (query, dim, vec, home, floor, [], [], []))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ANSWER.types)], _ANSWER.names)
-                rows = []
+                rows.append((query, dim, vec, home, floor))
+                if len(rows) == TOGETHER:
+                    yield done()
+        if rows:
+            yield done()
 
     asks = asks.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
     copies = pages.join(asks.select("tree", "block").distinct(), "tree")
     stored = [c.split()[0] for c in PAGES.split(", ")][4:]
     cells = copies.unionByName(asks, allowMissingColumns=True).select("tree", "block", "page", "leaf", "dim", *stored, "query", "vec", "home", "floor")
-    return by_key(cells, "tree", "block").sortWithinPartitions("tree", "block", F.col("page").asc_nulls_last(), "query").mapInArrow(run, ANSWER)
+    return by_key(cells, "tree", "block").sortWithinPartitions("tree", "block", F.col("page").asc_nulls_last(), "home", "query").mapInArrow(run, ANSWER)
 
 
 class Groups:
@@ -401,7 +445,7 @@ def search(
     rank = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy(F.desc("scores"), "ids", "own"))
     top = each.withColumn("n", rank("query")).where(F.col("n") <= k + 1).groupBy("query").agg(F.sort_array(F.collect_list(F.struct("n", "scores", "ids", "own"))).alias("top"))
     counted = asked.groupBy("query").agg(F.count("*").alias("asking"))
-    lists = top.join(counted, "query")
+    lists = cut(top.join(counted, "query"))
     told = join_by_share(asked.select("query", F.col("vec_id").alias("query_id")), lists, ["query"], "asking")
     rows = told.select("query_id", F.explode("top").alias("x")).where(~(F.col("x.own") & (F.col("x.ids") == F.col("query_id"))))
     out = rows.select("query_id", "x.scores", "x.ids", "x.own").withColumn("rank", rank("query_id")).where(F.col("rank") <= k)

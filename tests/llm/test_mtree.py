@@ -63,9 +63,11 @@ def test_bounds_spare_distances():
     tree = mtree.Tree(facts)
     for _, page, leaf, dim, *binary in mtree.Builder(facts, 0, 12, vecs, [[i] for i in range(len(vecs))]).pages:
         tree.pages[page] = mtree.Page(facts, leaf, dim, *binary)
-    for q in x[:40]:
+    asked = mtree.Asked(facts, vecs[:40], 12, 10, [None] * 40)
+    tree.search(asked)
+    for q, best in zip(x, asked.best):
         want = sorted(zip((-(x @ q)).astype(int).tolist(), range(len(x))))[:10]
-        assert [(-s, i) for s, i, _ in tree.search(q, 10, None)] == want
+        assert [b[:2] for b in best] == want
     assert tree.computed < 0.5 * 40 * len(x)  # most are never met, and of those on visited pages the stored distances spare some
     assert tree.spared > 0
 
