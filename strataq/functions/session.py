@@ -28,6 +28,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int) -> None:
+    """Let Arrow batches hold ``rows`` rows at most, for rows that hold arrays; Spark reads the setting when a query runs, so it stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def by_key(df: DataFrame, *key: str) -> DataFrame:
     """``df`` with all rows of a key in one partition, for code that Spark doesn't know to need that.
 

@@ -29,6 +29,11 @@ def small_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select((F.col("event_id") % 3).alias("contract"), "address", "event_id", floor_to("t", DAY).alias("t"), (F.signum("amount").cast("long") * (F.col("event_id") % 4)).alias("amount"))
 
 
+def hot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The changes with every second one under one address, which so has half of all."""
+    return changes(spark, sf_dir).withColumn("address", F.when(F.col("event_id") % 2 == 0, F.lit(-1)).otherwise(F.col("address")).cast("long"))
+
+
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, price): mean cents of the clicks of each five minutes."""
     e = table(spark, sf_dir, "events").where("event_type = 'click'").select(micros("ts").alias("t"), F.round(F.col("value") * 100).cast("long").alias("c"))
@@ -75,6 +80,7 @@ CH_SMALL = """ch AS (
   SELECT user_id * 10 + event_id % 3 AS address, event_id, epoch_us(ts) - epoch_us(ts) % 86400000000 AS t,
          (CASE WHEN event_type IN ('purchase', 'error') THEN -1 ELSE 1 END * (event_id % 4))::BIGINT AS amount FROM events
 )"""
+CH_HOT = CH.replace("user_id AS address", "CASE WHEN event_id % 2 = 0 THEN -1 ELSE user_id END AS address")
 BALANCE = """balance AS (
   SELECT address, event_id, t, amount, (sum(amount) OVER w)::BIGINT AS balance, (sum(amount) OVER w - amount)::BIGINT AS old_balance
   FROM ch WINDOW w AS (PARTITION BY address ORDER BY t, event_id ROWS UNBOUNDED PRECEDING)
@@ -135,6 +141,7 @@ SURVIVORS = """survivors AS (
 _LEDGER = [CH, BALANCE, PAIRS]
 PRELUDES = {
     "small ledger": [CH_SMALL, BALANCE, PAIRS],
+    "hot ledger": [CH_HOT, BALANCE, PAIRS],
     "cseam": [CH_SMALL, BALANCE, PAIRS, CSEAM],
     "ch": [CH],
     "price": [PRICE],

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.session import table, written
 from strataq.functions.time import FIVE_MINUTES, HOUR, day_number, floor_to, micros
-from strataq.operators import asof, fold, fold_table, predicates, rows
+from strataq.operators import asof, fold, fold_table, hot_fold, predicates, rows
 from strataq.plans import base
 from strataq.plans.base import with_prelude
 from strataq.plans.registry import query
@@ -28,6 +28,12 @@ def table_function(spark, sf_dir):
     return spark.sql("SELECT * FROM lifo(TABLE(SELECT * FROM {changes}) PARTITION BY address ORDER BY (t, event_id))", changes=base.changes(spark, sf_dir))
 
 
+@query("fold_hot_key", with_prelude("SELECT address, event_id, t, sign, nonce, odt, amount FROM ledger", "hot ledger"))
+def hot_key(spark, sf_dir):
+    """K1, F1: the exact ledger where one key has half of all changes; its slices are folded side by side."""
+    return hot_fold.lifo_ledger_sliced(base.hot_changes(spark, sf_dir), slice_rows=2048)
+
+
 _BOTH = "address % 10 AS contract, address // 10 AS address"
 
 
