@@ -281,23 +281,24 @@ def fifo_matches(changes: DataFrame) -> DataFrame:
     )
 
 
-AVERAGES = "event_id long, t long, balance long, weight double, cost double"
+AVERAGES = "event_id long, t long, balance long, weight double, priced double, cost double"
 
 
 def averages(changes: DataFrame, key: Sequence[str] = KEY, series: bool = False) -> DataFrame:
     """Average birth time and average cost as linear recurrences over a key's ordered changes (.., t, event_id, amount, price).
 
-    weight: balance times its mean birth time in seconds, cost: balance times its mean price. An inflow adds amount times time and times
-    price (nothing without a price); an outflow scales both by new over old balance. One row a key, or with ``series`` one a change.
+    weight: balance times its mean birth time in seconds; priced: what of the balance came in at a known price, and cost: that times its mean
+    price, so what has no price costs nothing and doesn't lower the mean. An inflow adds amount times time and times price; an outflow scales
+    all three by new over old balance. One row a key, or with ``series`` one a change.
     A key's rows are streamed, so a long history takes no memory.
     """
     k = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, balance, weight, cost, row = None, 0, 0.0, 0.0, None
+        at, balance, weight, priced, cost, row = None, 0, 0.0, 0.0, 0.0, None
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            cols = [pa.array(c, t) for c, t in zip(zip(*rows), [*kinds, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()])]
+            cols = [pa.array(c, t) for c, t in zip(zip(*rows), [*kinds, pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()])]
             return pa.RecordBatch.from_arrays(cols, [*key, *(x.split()[0] for x in AVERAGES.split(", "))])
 
         for b in batches:
@@ -306,14 +307,17 @@ def averages(changes: DataFrame, key: Sequence[str] = KEY, series: bool = False)
                 if own != at:
                     if row and not series:
                         rows.append(row)
-                    at, balance, weight, cost = own, 0, 0.0, 0.0
+                    at, balance, weight, priced, cost = own, 0, 0.0, 0.0, 0.0
                 if amount >= 0:
                     weight += float(amount) * (t / 1_000_000)
-                    cost += float(amount) * (price or 0)
+                    if price is not None:
+                        priced += float(amount)
+                        cost += float(amount) * price
                 elif balance:
-                    weight, cost = weight * ((balance + amount) / balance), cost * ((balance + amount) / balance)
+                    left = (balance + amount) / balance
+                    weight, priced, cost = weight * left, priced * left, cost * left
                 balance += amount
-                row = (*own, event, t, balance, weight, cost)
+                row = (*own, event, t, balance, weight, priced, cost)
                 if series:
                     rows.append(row)
             if rows:

@@ -9,12 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataq.functions.session import table
-from strataq.functions.time import DAY, FIVE_MINUTES, floor_to, micros
+from strataq.functions.time import DAY, FIVE_MINUTES, day_number, floor_to, micros
 from strataq.operators import asof, fold
 
-#: Prices begin on the fifth day, so that earlier origins have none.
-FIRST_PRICE = 1_704_412_800_000_000  # 2024-01-05
-
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed cents by user; purchases and errors flow out."""
@@ -37,23 +34,49 @@ def hot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, price): mean cents of the clicks of each five minutes."""
     e = table(spark, sf_dir, "events").where("event_type = 'click'").select(micros("ts").alias("t"), F.round(F.col("value") * 100).cast("long").alias("c"))
-    e = e.where(F.col("t") >= FIRST_PRICE)
     return e.groupBy(floor_to("t", FIVE_MINUTES).alias("t")).agg(F.floor(F.sum("c") / F.count("*")).cast("long").alias("price"))
 
 
+def _priced(rows: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rows`` (.., t, odt) with the price at origin and the price at the time, null where there is none yet."""
+    p = prices(spark, sf_dir)
+    for name, of in (("acq", "odt"), ("now", "t")):
+        rows = asof.asof_backward(rows.withColumn("at", floor_to(of, FIVE_MINUTES)), p.select(F.col("t").alias("at"), F.col("price").alias(name)), "at", name).drop("at")
+    return rows
+
+
+def priced_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with acq and now."""
+    return _priced(fold.lifo_ledger(changes(spark, sf_dir)), spark, sf_dir)
+
+
+def priced_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each inflow still holds, with the price at its time."""
+    p = prices(spark, sf_dir).select(F.col("t").alias("at"), F.col("price").alias("acq"))
+    return asof.asof_backward(fold.survivors(changes(spark, sf_dir)).withColumn("at", floor_to("t", FIVE_MINUTES)), p, "at", "acq").drop("at")
+
+
+def days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every day from the first change to the last."""
+    d = changes(spark, sf_dir).agg(F.min(day_number("t")).alias("lo"), F.max(day_number("t")).alias("hi"))
+    return d.select(F.explode(F.sequence("lo", "hi")).alias("day"))
+
+
+def contract_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contract, t, price): mean cents of a contract's clicks of each five minutes."""
+    e = table(spark, sf_dir, "events").where("event_type = 'click'")
+    p = e.select((F.col("event_id") % 3).alias("contract"), floor_to(micros("ts"), FIVE_MINUTES).alias("t"), F.round(F.col("value") * 100).cast("long").alias("c"))
+    return p.groupBy("contract", "t").agg(F.floor(F.sum("c") / F.count("*")).cast("long").alias("price"))
+
+
 def priced_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(t, odt, measure, acq, now): the seam with the price at origin and the price at the time, null where there is none yet."""
-    p = prices(spark, sf_dir)
-    s = fold.seam(fold.lifo_ledger(changes(spark, sf_dir)))
-    s = asof.asof_backward(s.withColumn("at", floor_to("odt", FIVE_MINUTES)), p.select(F.col("t").alias("at"), F.col("price").alias("acq")), "at", "acq").drop("at")
-    return asof.asof_backward(s.withColumn("at", floor_to("t", FIVE_MINUTES)), p.select(F.col("t").alias("at"), F.col("price").alias("now")), "at", "now").drop("at")
+    return _priced(fold.seam(fold.lifo_ledger(changes(spark, sf_dir))), spark, sf_dir)
 
 
 def contract_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contract, t, odt, measure, acq): the seam of each contract with its own price at origin, null where it has none yet."""
-    e = table(spark, sf_dir, "events").where("event_type = 'click'")
-    p = e.select((F.col("event_id") % 3).alias("contract"), floor_to(micros("ts"), FIVE_MINUTES).alias("at"), F.round(F.col("value") * 100).cast("long").alias("c"))
-    p = p.groupBy("contract", "at").agg(F.floor(F.sum("c") / F.count("*")).cast("long").alias("acq"))
+    p = contract_prices(spark, sf_dir).select("contract", F.col("t").alias("at"), F.col("price").alias("acq"))
     s = fold.seam(fold.lifo_ledger(small_changes(spark, sf_dir), ("contract", "address")), ["contract"])
     return asof.asof_backward(s.withColumn("at", floor_to("odt", FIVE_MINUTES)), p, "at", "acq", by=["contract"]).drop("at")
 
@@ -68,6 +91,10 @@ SOURCES = {
     "survivors": lambda s, d: fold.survivors(changes(s, d)),
     "balance": lambda s, d: fold.balances(changes(s, d)),
     "cseam": contract_seam,
+    "pledger": priced_ledger,
+    "psurvivors": priced_survivors,
+    "cprice": contract_prices,
+    "days": days,
     "live": lambda s, d: fold.net_cohorts(fold.lifo_ledger(changes(s, d))),
 }
 
@@ -117,18 +144,19 @@ PAIRS = """pos AS (
   SELECT address, event_id, t, sign, coalesce(own, lag(own) OVER (PARTITION BY address, coin ORDER BY pos, sign))::BIGINT AS nonce, odt, amount::BIGINT AS amount FROM numbered
 )"""
 SEAM = "seam AS (SELECT t, odt, sum(sign * amount)::BIGINT AS measure FROM ledger GROUP BY t, odt HAVING sum(sign * amount) <> 0)"
-PRICE = f"""price AS (
+PRICE = """price AS (
   SELECT t - t % 300000000 AS t, floor(sum(c) / count(*))::BIGINT AS price
-  FROM (SELECT epoch_us(ts) AS t, round(value * 100)::BIGINT AS c FROM events WHERE event_type = 'click') WHERE t >= {FIRST_PRICE} GROUP BY 1
+  FROM (SELECT epoch_us(ts) AS t, round(value * 100)::BIGINT AS c FROM events WHERE event_type = 'click') GROUP BY 1
 )"""
 PSEAM = """pseam AS (
   SELECT s.t, s.odt, s.measure, a.price AS acq, n.price AS now
   FROM (SELECT *, odt - odt % 300000000 AS oat, t - t % 300000000 AS tat FROM seam) s
   ASOF LEFT JOIN price a ON s.oat >= a.t ASOF LEFT JOIN price n ON s.tat >= n.t
 )"""
-CSEAM = """cprice AS (
+CPRICE = """cprice AS (
   SELECT contract, t - t % 300000000 AS t, floor(sum(c) / count(*))::BIGINT AS price FROM (SELECT event_id % 3 AS contract, epoch_us(ts) AS t, round(value * 100)::BIGINT AS c FROM events WHERE event_type = 'click') GROUP BY 1, 2
-), cseam AS (
+)"""
+CSEAM = """cseam AS (
   SELECT s.contract, s.t, s.odt, s.measure, p.price AS acq
   FROM (SELECT address % 10 AS contract, t, odt, odt - odt % 300000000 AS oat, sum(sign * amount)::BIGINT AS measure FROM ledger GROUP BY 1, 2, 3, 4 HAVING sum(sign * amount) <> 0) s
   ASOF LEFT JOIN cprice p ON s.contract = p.contract AND s.oat >= p.t
@@ -138,11 +166,42 @@ SURVIVORS = """survivors AS (
   SELECT address, event_id, t, amount, greatest(least(low, balance) - old_balance, 0)::BIGINT AS held FROM (
     SELECT *, min(balance) OVER (PARTITION BY address ORDER BY t, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS low FROM balance) WHERE amount >= 0
 )"""
+PLEDGER = """pledger AS (
+  SELECT l.*, a.price AS acq, n.price AS now
+  FROM (SELECT *, odt - odt % 300000000 AS oat, t - t % 300000000 AS tat FROM ledger) l
+  ASOF LEFT JOIN price a ON l.oat >= a.t ASOF LEFT JOIN price n ON l.tat >= n.t
+)"""
+DAYS = """days AS (
+  SELECT unnest(range(lo, hi + 1)) AS day FROM (SELECT min(CAST(floor(t / 86400000000) AS BIGINT)) AS lo, max(CAST(floor(t / 86400000000) AS BIGINT)) AS hi FROM ch)
+)"""
+#: What each outflow takes of each inflow, by the lowest balances, with both prices: other terms than the ledger's rows.
+EATEN = """eaten AS (
+  SELECT e.*, a.price AS acq, n.price AS now, CAST(floor(e.t / 86400000000) AS BIGINT) AS day
+  FROM (SELECT address, t, odt, prem - rem AS amount, odt - odt % 300000000 AS oat, t - t % 300000000 AS tat FROM touch WHERE prem > rem) e
+  ASOF LEFT JOIN price a ON e.oat >= a.t ASOF LEFT JOIN price n ON e.tat >= n.t
+)"""
+#: What each inflow holds at the end of each day from its own on, with the price at its origin.
+HELD_DAYS = """by_day AS (
+  SELECT address, coin, odt, CAST(floor(t / 86400000000) AS BIGINT) AS day, min(rem) AS rem FROM held GROUP BY 1, 2, 3, 4
+), coin_days AS (
+  SELECT c.*, g.day FROM (SELECT DISTINCT address, coin, odt FROM held) c JOIN days g ON g.day >= c.odt // 86400000000
+), held_days AS (
+  SELECT c.day, c.odt, h.rem, p.price AS acq
+  FROM (SELECT c.*, odt - odt % 300000000 AS oat FROM coin_days c) c ASOF JOIN by_day h ON c.address = h.address AND c.coin = h.coin AND c.day >= h.day
+  ASOF LEFT JOIN price p ON c.oat >= p.t
+)"""
+PSURVIVORS = "psurvivors AS (SELECT s.*, p.price AS acq FROM (SELECT *, t - t % 300000000 AS at FROM survivors) s ASOF LEFT JOIN price p ON s.at >= p.t)"
 _LEDGER = [CH, BALANCE, PAIRS]
 PRELUDES = {
     "small ledger": [CH_SMALL, BALANCE, PAIRS],
     "hot ledger": [CH_HOT, BALANCE, PAIRS],
-    "cseam": [CH_SMALL, BALANCE, PAIRS, CSEAM],
+    "cseam": [CH_SMALL, BALANCE, PAIRS, CPRICE, CSEAM],
+    "cprice": [CPRICE],
+    "days": [CH, DAYS],
+    "psurvivors": [CH, BALANCE, SURVIVORS, PRICE, PSURVIVORS],
+    "pledger": [*_LEDGER, PRICE, PLEDGER],
+    "eaten": [*_LEDGER, PRICE, EATEN],
+    "held days": [*_LEDGER, PRICE, DAYS, HELD_DAYS],
     "ch": [CH],
     "price": [PRICE],
     "balance": [CH, BALANCE],

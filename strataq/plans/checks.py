@@ -23,6 +23,15 @@ def _runs(spark, sf_dir):
     return daily(o.where("o_orderkey % 11 <> 0")), daily(o.where("o_orderstatus <> 'P' or o_orderkey % 2 = 0"))
 
 
+#: One daily series of all orders.
+DAILY = "prod AS (SELECT o_orderpriority AS name, CAST(floor(epoch_us(o_orderdate) / 86400000000) AS BIGINT) AS day, sum(round(o_totalprice * 100)::BIGINT)::BIGINT AS value FROM orders GROUP BY 1, 2)"
+
+
+def _daily(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("name"), day_number(micros("o_orderdate")).alias("day"), F.round(F.col("o_totalprice") * 100).cast("long").alias("c"))
+    return o.groupBy("name", "day").agg(F.sum("c").alias("value"))
+
+
 _PAIR = f"{RUNS}, j AS (SELECT name, day, prod.value AS p, expr.value AS e FROM prod FULL JOIN expr USING (name, day)), r AS (SELECT *, CASE WHEN p IS NOT NULL AND e IS NOT NULL THEN abs(p - e) / greatest((abs(p) + abs(e)) / 2.0::DOUBLE, 1e-12::DOUBLE) END AS rel FROM j)"
 _REPORT = """rep AS (SELECT name, count(*) FILTER (WHERE p IS NOT NULL AND e IS NOT NULL) AS both, count(*) FILTER (WHERE e IS NULL) AS prod_only, count(*) FILTER (WHERE p IS NULL) AS exp_only,
   max(CASE WHEN p IS NOT NULL AND e IS NOT NULL THEN abs(p - e) END) AS max_abs, round(max(rel), 9) AS max_rel, round(avg(rel), 9) AS mean_rel, round(quantile_cont(rel, 0.5), 9) AS p50_rel, round(quantile_cont(rel, 0.99), 9) AS p99_rel,
@@ -153,10 +162,10 @@ def reduction(spark, sf_dir):
     return s.agg(F.count("*").alias("fine"), F.countDistinct("t", floor_to("odt", HOUR)).alias("coarse"))
 
 
-@query("yearly_signature", f"WITH {RUNS} SELECT name, year(DATE '1970-01-01' + day::INT)::INT AS span, count(*) AS n, sum(value)::BIGINT AS total, arg_min(value, day) AS first, arg_max(value, day) AS last FROM prod GROUP BY 1, 2")
+@query("yearly_signature", f"WITH {DAILY} SELECT name, year(DATE '1970-01-01' + day::INT)::INT AS span, count(*) AS n, sum(value)::BIGINT AS total, arg_min(value, day) AS first, arg_max(value, day) AS last FROM prod GROUP BY 1, 2")
 def signature(spark, sf_dir):
     """The record that later runs are held against."""
-    p, _ = _runs(spark, sf_dir)
+    p = _daily(spark, sf_dir)
     return reconcile.signature(p.withColumn("span", _year()), ["name", "span"], "day", "value")
 
 
@@ -205,11 +214,11 @@ def tiers(spark, sf_dir):
 _MONTH = "(year(DATE '1970-01-01' + day::INT) * 12 + month(DATE '1970-01-01' + day::INT) - 1)::BIGINT"
 
 
-@query("monthly_coverage", f"WITH {RUNS}, c AS (SELECT name, {_MONTH} AS m, count(*) AS n FROM prod WHERE {_MONTH} % 5 <> 2 GROUP BY 1, 2), g AS (SELECT name, unnest(range(lo, hi + 1)) AS m FROM (SELECT name, min(m) AS lo, max(m) AS hi FROM c GROUP BY name)) SELECT g.name, g.m, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON g.name = c.name AND g.m = c.m")
+@query("monthly_coverage", f"WITH {DAILY}, c AS (SELECT name, {_MONTH} AS m, count(*) AS n FROM prod GROUP BY 1, 2), g AS (SELECT name, unnest(range(lo, hi + 1)) AS m FROM (SELECT name, min(m) AS lo, max(m) AS hi FROM c GROUP BY name)) SELECT g.name, g.m, coalesce(c.n, 0) AS n FROM g LEFT JOIN c ON g.name = c.name AND g.m = c.m")
 def coverage(spark, sf_dir):
     """Points by calendar month (12 times the year, plus the month from 0), months without any shown as 0."""
     day = F.date_from_unix_date(F.col("day").cast("int"))
-    p = _runs(spark, sf_dir)[0].withColumn("m", (F.year(day) * 12 + F.month(day) - 1).cast("long")).where("m % 5 <> 2")
+    p = _daily(spark, sf_dir).withColumn("m", (F.year(day) * 12 + F.month(day) - 1).cast("long"))
     c = p.groupBy("name", "m").agg(F.count("*").alias("n"))
     g = c.groupBy("name").agg(F.min("m").alias("lo"), F.max("m").alias("hi")).select("name", F.explode(F.sequence("lo", "hi")).alias("m"))
     return g.join(c, ["name", "m"], "left").select("name", "m", F.coalesce("n", F.lit(0)).alias("n"))
@@ -227,31 +236,30 @@ def rebucket(spark, sf_dir):
     return each[0].union(each[1]).union(each[2]).agg(at("five_minutes"), at("daily"), at("weekly"))
 
 
-@query("gap_fill_locf", f"WITH {RUNS}, s AS (SELECT name, unnest(range(lo, (SELECT max(day) FROM prod) + 1)) AS day FROM (SELECT name, min(day) AS lo FROM prod GROUP BY name)) SELECT s.name, s.day, last_value(p.value IGNORE NULLS) OVER (PARTITION BY s.name ORDER BY s.day ROWS UNBOUNDED PRECEDING) AS value FROM s LEFT JOIN prod p ON s.name = p.name AND s.day = p.day")
+@query("gap_fill_locf", f"WITH {DAILY}, s AS (SELECT name, unnest(range(lo, (SELECT max(day) FROM prod) + 1)) AS day FROM (SELECT name, min(day) AS lo FROM prod GROUP BY name)) SELECT s.name, s.day, last_value(p.value IGNORE NULLS) OVER (PARTITION BY s.name ORDER BY s.day ROWS UNBOUNDED PRECEDING) AS value FROM s LEFT JOIN prod p ON s.name = p.name AND s.day = p.day")
 def gap_fill(spark, sf_dir):
     """Missing days hold the last known value."""
-    p, _ = _runs(spark, sf_dir)
+    p = _daily(spark, sf_dir)
     return rows.fill_forward(rows.dense_days(p, "name"), "name", "day", "value").select("name", "day", "value")
 
 
-@query("zero_fill_cross", f"WITH {RUNS}, s AS (SELECT name, unnest(range(lo, (SELECT max(day) FROM prod) + 1)) AS day FROM (SELECT name, min(day) AS lo FROM prod GROUP BY name)) SELECT s.name, s.day, coalesce(p.value, 0) AS value FROM s LEFT JOIN prod p ON s.name = p.name AND s.day = p.day")
+@query("zero_fill_cross", f"WITH {DAILY}, s AS (SELECT name, unnest(range(lo, (SELECT max(day) FROM prod) + 1)) AS day FROM (SELECT name, min(day) AS lo FROM prod GROUP BY name)) SELECT s.name, s.day, coalesce(p.value, 0) AS value FROM s LEFT JOIN prod p ON s.name = p.name AND s.day = p.day")
 def zero_fill(spark, sf_dir):
     """J16."""
-    p, _ = _runs(spark, sf_dir)
+    p = _daily(spark, sf_dir)
     return rows.dense_days(p, "name").select("name", "day", F.coalesce("value", F.lit(0)).alias("value"))
 
 
-@query("change_over_days", f"WITH {RUNS}, g AS (SELECT * FROM prod WHERE day % 11 <> 3) SELECT g.name, g.day, g.value - a.value AS d1, g.value - b.value AS d7, g.value - c.value AS d30 FROM g LEFT JOIN g a ON a.name = g.name AND a.day = g.day - 1 LEFT JOIN g b ON b.name = g.name AND b.day = g.day - 7 LEFT JOIN g c ON c.name = g.name AND c.day = g.day - 30")
+@query("change_over_days", f"WITH {DAILY}, g AS (SELECT * FROM prod) SELECT g.name, g.day, g.value - a.value AS d1, g.value - b.value AS d7, g.value - c.value AS d30 FROM g LEFT JOIN g a ON a.name = g.name AND a.day = g.day - 1 LEFT JOIN g b ON b.name = g.name AND b.day = g.day - 7 LEFT JOIN g c ON c.name = g.name AND c.day = g.day - 30")
 def change_over(spark, sf_dir):
-    """Change over so many days, in a series with missing days."""
-    p, _ = _runs(spark, sf_dir)
-    return rows.change_over_days(p.where("day % 11 <> 3"), "name", "day", "value", (1, 7, 30))
+    """Change over so many days."""
+    return rows.change_over_days(_daily(spark, sf_dir), "name", "day", "value", (1, 7, 30))
 
 
-@query("cumulative_from_genesis", f"WITH {RUNS} SELECT name, day, (sum(value) OVER (PARTITION BY name ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM prod")
+@query("cumulative_from_genesis", f"WITH {DAILY} SELECT name, day, (sum(value) OVER (PARTITION BY name ORDER BY day ROWS UNBOUNDED PRECEDING))::BIGINT AS total FROM prod")
 def cumulative(spark, sf_dir):
     """W1."""
-    p, _ = _runs(spark, sf_dir)
+    p = _daily(spark, sf_dir)
     return p.select("name", "day", F.sum("value").over(W.partitionBy("name").orderBy("day").rowsBetween(W.unboundedPreceding, 0)).alias("total"))
 
 

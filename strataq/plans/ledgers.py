@@ -120,15 +120,16 @@ def fifo(spark, sf_dir):
     return fold.fifo_matches(base.changes(spark, sf_dir))
 
 
-_RECURRENCE = """, pos AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY t, event_id) AS pos FROM (SELECT c.*, coalesce(p.price, 0) AS price FROM ch c ASOF LEFT JOIN price p ON c.t - c.t % 300000000 >= p.t)),
+_RECURRENCE = """, pos AS (SELECT *, row_number() OVER (PARTITION BY address ORDER BY t, event_id) AS pos FROM (SELECT c.*, p.price FROM ch c ASOF LEFT JOIN price p ON c.t - c.t % 300000000 >= p.t)),
         r AS (
-          SELECT p.address, p.pos, p.amount AS b, CASE WHEN p.amount >= 0 THEN p.amount::DOUBLE * (p.t::DOUBLE / 1000000) ELSE 0 END AS w, CASE WHEN p.amount >= 0 THEN p.amount::DOUBLE * p.price ELSE 0 END AS c FROM pos p WHERE pos = 1
+          SELECT p.address, p.pos, p.amount AS b, CASE WHEN p.amount >= 0 THEN p.amount::DOUBLE * (p.t::DOUBLE / 1000000) ELSE 0 END AS w, CASE WHEN p.amount >= 0 AND p.price IS NOT NULL THEN p.amount::DOUBLE ELSE 0 END AS k, CASE WHEN p.amount >= 0 AND p.price IS NOT NULL THEN p.amount::DOUBLE * p.price ELSE 0 END AS c FROM pos p WHERE pos = 1
           UNION ALL
           SELECT r.address, p.pos, r.b + p.amount, CASE WHEN p.amount >= 0 THEN r.w + p.amount::DOUBLE * (p.t::DOUBLE / 1000000) WHEN r.b <> 0 THEN r.w * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.w END,
-                 CASE WHEN p.amount >= 0 THEN r.c + p.amount::DOUBLE * p.price WHEN r.b <> 0 THEN r.c * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.c END
+                 CASE WHEN p.amount >= 0 THEN r.k + CASE WHEN p.price IS NOT NULL THEN p.amount::DOUBLE ELSE 0 END WHEN r.b <> 0 THEN r.k * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.k END,
+                 CASE WHEN p.amount >= 0 THEN r.c + coalesce(p.amount::DOUBLE * p.price, 0) WHEN r.b <> 0 THEN r.c * ((r.b + p.amount)::DOUBLE / r.b) ELSE r.c END
           FROM r JOIN pos p ON p.address = r.address AND p.pos = r.pos + 1
         )
-        SELECT address, b::BIGINT AS balance, round(CASE WHEN b <> 0 THEN w / b / 86400 END, 3) AS birth, round(CASE WHEN b <> 0 THEN c / b END, 3) AS mean_cost FROM (SELECT *, max(pos) OVER (PARTITION BY address) AS last FROM r) WHERE pos = last"""
+        SELECT address, b::BIGINT AS balance, round(CASE WHEN b <> 0 THEN w / b / 86400 END, 3) AS birth, round(CASE WHEN k <> 0 THEN c / k END, 3) AS mean_cost FROM (SELECT *, max(pos) OVER (PARTITION BY address) AS last FROM r) WHERE pos = last"""
 
 
 @query("tank_birth_time", with_prelude(_RECURRENCE, "ch", "price").replace("WITH ", "WITH RECURSIVE ", 1))
@@ -136,8 +137,8 @@ def tank(spark, sf_dir):
     """K6, K7: the average birth time in days and the average cost, linear recurrences over a key's changes."""
     p = base.prices(spark, sf_dir).select(F.col("t").alias("at"), "price")
     ch = asof.asof_backward(base.changes(spark, sf_dir).withColumn("at", floor_to("t", FIVE_MINUTES)), p, "at", "price")
-    mean = lambda c: F.when(F.col("balance") != 0, F.col(c) / F.col("balance"))
-    return fold.averages(ch).select("address", "balance", F.round(mean("weight") / 86400, 3).alias("birth"), F.round(mean("cost"), 3).alias("mean_cost"))
+    mean = lambda c, of: F.when(F.col(of) != 0, F.col(c) / F.col(of))
+    return fold.averages(ch).select("address", "balance", F.round(mean("weight", "balance") / 86400, 3).alias("birth"), F.round(mean("cost", "priced"), 3).alias("mean_cost"))
 
 
 @query(

@@ -29,8 +29,8 @@ def _expand(sql: str) -> str:
     return re.sub(r"\{five\(([^}]*)\)\}", five, re.sub(r"\{day\(([^}]*)\)\}", day, sql))
 
 
-def metric(name: str, sources: str, sql: str, doc: str):
-    """Register a metric over ``sources``: names of ``SOURCES`` or of input tables."""
+def metric(name: str, sources: str, sql: str, doc: str, twin: tuple[str, str] | None = None):
+    """Register a metric over ``sources``: names of ``SOURCES`` or of input tables. ``twin``: a formula of other terms for SQL, behind its sources."""
     text = _expand(sql)
     ours = [s for s in sources.split() if s in SOURCES]
     raw = [s for s in sources.split() if s not in SOURCES]
@@ -41,7 +41,8 @@ def metric(name: str, sources: str, sql: str, doc: str):
         return spark.sql(named, **frames)
 
     run.__name__, run.__doc__ = name, doc
-    query(name, with_prelude(text, *ours, *(f"{s} AS ({RAW_SQL[s]})" for s in raw)))(run)
+    own = with_prelude(text, *ours, *(f"{s} AS ({RAW_SQL[s]})" for s in raw))
+    query(name, own if twin is None else with_prelude(_expand(twin[1]), *twin[0].split(", ")))(run)
 
 
 #: Series that aren't ledgers: for Spark and for SQL.
@@ -68,10 +69,13 @@ PREFIX = "OVER (ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 # ---------------------------------------------------------------- ages and prices of coins
 
 metric("age_distribution", "pseam", f"SELECT {{day(t)}} AS day, {{day(odt)}} AS origin_day, {I('sum(measure)')} AS measure, {I('sum(measure * acq)')} AS cost FROM pseam WHERE odt <> 0 GROUP BY {{day(t)}}, {{day(odt)}}", "M1, M2: measure and cost by day and origin day.")
-metric("age_consumed_daily", "seam", f"SELECT {{day(t)}} AS day, round(sum(CAST(-measure AS DOUBLE) * ((t - odt) / 1000000)) / 86400, 3) AS age_consumed FROM seam WHERE odt <> 0 AND odt <> t GROUP BY {{day(t)}}", "M3.")
-metric("age_consumed_intraday", "seam", f"SELECT {{five(t)}} AS bucket, {I('sum(-measure * {day(t - odt)})')} AS coin_days FROM seam WHERE odt <> 0 AND odt <> t GROUP BY {{five(t)}}", "M3: whole days of age by five minutes.")
+metric("age_consumed_daily", "seam", f"SELECT {{day(t)}} AS day, round(sum(CAST(-measure AS DOUBLE) * ((t - odt) / 1000000)) / 86400, 3) AS age_consumed FROM seam WHERE odt <> 0 AND odt <> t GROUP BY {{day(t)}}", "M3.",
+       ("eaten", "SELECT day, round(sum(CAST(amount AS DOUBLE) * ((t - odt) / 1000000)) / 86400, 3) AS age_consumed FROM eaten WHERE odt <> t GROUP BY day"))
+metric("age_consumed_intraday", "seam", f"SELECT {{five(t)}} AS bucket, {I('sum(-measure * {day(t - odt)})')} AS coin_days FROM seam WHERE odt <> 0 AND odt <> t GROUP BY {{five(t)}}", "M3: whole days of age by five minutes.",
+       ("eaten", "SELECT {five(t)} AS bucket, sum(amount * ((t - odt) // 86400000000))::BIGINT AS coin_days FROM eaten WHERE odt <> t GROUP BY 1"))
 metric("price_consumed_daily", "pseam", f"SELECT {{day(t)}} AS day, {I('sum(-measure * acq * {day(t - odt)})')} AS value FROM pseam WHERE odt <> 0 GROUP BY {{day(t)}}", "M4: rows without an acquisition price are skipped.")
-metric("network_profit_loss", "pseam", f"SELECT {{day(t)}} AS day, {I('sum((now - acq) * -measure)')} AS npl FROM pseam GROUP BY {{day(t)}}", "M5: both prices are on the five-minute grid, so fresh inflows cancel.")
+metric("network_profit_loss", "pseam", f"SELECT {{day(t)}} AS day, {I('sum((now - acq) * -measure)')} AS npl FROM pseam GROUP BY {{day(t)}}", "M5: both prices are on the five-minute grid, so fresh inflows cancel.",
+       ("eaten", "SELECT d.day, CASE WHEN d.day >= (SELECT min({day(t)}) FROM price) THEN coalesce(sum(e.amount * (e.now - e.acq)), 0)::BIGINT END AS npl FROM (SELECT DISTINCT {day(t)} AS day FROM ch) d LEFT JOIN eaten e ON e.day = d.day GROUP BY d.day"))
 metric(
     "volume_profit_loss", "pseam",
     f"""SELECT {{day(t)}} AS day, {I('sum(CASE WHEN now > acq THEN -measure ELSE 0 END)')} AS profit, {I('sum(CASE WHEN now < acq THEN -measure ELSE 0 END)')} AS loss,
@@ -83,17 +87,32 @@ metric(
 def _windowed(windows=(*WINDOWS, INFINITE)) -> str:
     """Daily changes of what is younger than each window: what enters, and its cancel on the day it grows too old. One pass."""
     rows = [(w, k, w * DAY_US if w < INFINITE else 0) for w in windows for k in (0, 1) if w < INFINITE or k == 0]
-    return f"""SELECT window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost, {I('sum(m * created)')} AS created FROM (
+    return f"""SELECT window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost, {I('sum(m * created)')} AS created, sum(CAST(m AS DECIMAL(38, 0)) * created * created) AS squared, {I('sum(c_m)')} AS priced, sum(CAST(c AS DECIMAL(38, 0)) * created) AS cost_created FROM (
       SELECT w.window_days, {{day(s.odt)}} AS created, CASE WHEN w.cancel = 0 THEN {{day(s.t)}} ELSE {{day(s.odt + w.us)}} END AS day,
-             CASE WHEN w.cancel = 0 THEN s.measure ELSE -s.measure END AS m, CASE WHEN w.cancel = 0 THEN coalesce(s.measure * s.acq, 0) ELSE -coalesce(s.measure * s.acq, 0) END AS c
+             CASE WHEN w.cancel = 0 THEN s.measure ELSE -s.measure END AS m, CASE WHEN w.cancel = 0 THEN coalesce(s.measure * s.acq, 0) ELSE -coalesce(s.measure * s.acq, 0) END AS c,
+             CASE WHEN s.acq IS NULL THEN 0 WHEN w.cancel = 0 THEN s.measure ELSE -s.measure END AS c_m
       FROM pseam s CROSS JOIN (VALUES {", ".join(map(str, rows))}) AS w(window_days, cancel, us)
       WHERE s.odt <> 0 AND (w.window_days >= {INFINITE} OR s.t - s.odt < w.us)) x GROUP BY window_days, day"""
 
 
-OVER_DAYS = "OVER (PARTITION BY window_days ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-metric("circulation_delta_T", "pseam", f"SELECT window_days, day, delta FROM ({_windowed()}) d", "M7, M8: changes by day; the infinite window has no cancels.")
-metric("circulation_T", "pseam", f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation FROM ({_windowed()}) d", "M9.")
-metric("circulation_infinite", "pseam", f"SELECT day, {I('sum(delta) ' + PREFIX)} AS circulation FROM ({_windowed((INFINITE,))}) d", "M8.")
+OVER_DAYS = "OVER (PARTITION BY g.window_days ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_SUMS = ("delta", "cost", "created", "squared", "priced", "cost_created")
+
+
+def _so_far(*sums: str, windows=(*WINDOWS, INFINITE)) -> str:
+    """Running ``sums`` of the windowed changes on every day of every window, up to the last day of the data."""
+    values = ", ".join(f"({w})" for w in windows)
+    told = ", ".join(f"CAST(sum(coalesce(d.{c}, 0)) {OVER_DAYS} AS {'DECIMAL(38, 0)' if c in ('squared', 'cost_created') else 'BIGINT'}) AS {c}" for c in sums)
+    return f"""SELECT g.window_days, g.day, {told} FROM (SELECT w.window_days, n.day FROM days n CROSS JOIN (VALUES {values}) AS w(window_days)) g
+      LEFT JOIN ({_windowed(windows)}) d ON d.window_days = g.window_days AND d.day = g.day"""
+
+
+#: Of the held amounts by day: of those younger than a window, or all.
+_YOUNG = f"(w.window_days >= {INFINITE} OR {{day(h.odt + w.window_days * {DAY_US})}} > h.day)"
+_HELD_TWIN = lambda what, name: ("held days", f"SELECT w.window_days, g.day, coalesce(sum(CASE WHEN {_YOUNG} THEN {what} END), 0)::BIGINT AS {name} FROM days g CROSS JOIN (VALUES {', '.join(f'({w})' for w in (*WINDOWS, INFINITE))}) AS w(window_days) LEFT JOIN held_days h ON h.day = g.day GROUP BY 1, 2")
+metric("circulation_delta_T", "pseam days", f"SELECT d.window_days, d.day, d.delta FROM ({_windowed()}) d JOIN days n ON d.day = n.day", "M7, M8: changes by day; the infinite window has no cancels. What grows too old after the last day of the data is not told.")
+metric("circulation_T", "pseam days", f"SELECT window_days, day, delta AS circulation FROM ({_so_far('delta')}) d", "M9: on every day of every window.", _HELD_TWIN("h.rem", "circulation"))
+metric("circulation_infinite", "pseam days", f"SELECT day, delta AS circulation FROM ({_so_far('delta', windows=(INFINITE,))}) d", "M8.")
 _BY_ASSET = f"""SELECT contract, window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost FROM (
       SELECT s.contract, w.window_days, CASE WHEN w.cancel = 0 THEN {{day(s.t)}} ELSE {{day(s.odt + w.us)}} END AS day, CASE WHEN w.cancel = 0 THEN s.measure ELSE -s.measure END AS m,
              CASE WHEN w.cancel = 0 THEN coalesce(s.measure * s.acq, 0) ELSE -coalesce(s.measure * s.acq, 0) END AS c
@@ -102,27 +121,44 @@ _BY_ASSET = f"""SELECT contract, window_days, day, {I('sum(m)')} AS delta, {I('s
 _ASSET_DAYS = "OVER (PARTITION BY contract, window_days ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 metric("circulation_by_asset", "cseam", f"SELECT contract, window_days, day, {I('sum(delta) ' + _ASSET_DAYS)} AS circulation, {I('sum(cost) ' + _ASSET_DAYS)} AS realized_cap FROM ({_BY_ASSET}) d", "M7-M10 by asset, each with its own prices.")
 metric("age_consumed_by_asset", "cseam", f"SELECT contract, {{day(t)}} AS day, {I('sum(-measure * {day(t - odt)})')} AS coin_days FROM cseam WHERE odt <> 0 AND odt <> t GROUP BY contract, {{day(t)}}", "M3 by asset.")
-_CREATED = f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation, {I('sum(created) ' + OVER_DAYS)} AS created FROM ({_windowed()}) d"
-metric("creation_T", "pseam", f"SELECT window_days, day, created AS creation_days, round(CAST(created AS DOUBLE) / nullif(circulation, 0), 6) AS mean_creation, round(day + 1 - CAST(created AS DOUBLE) / nullif(circulation, 0), 6) AS mean_age FROM ({_CREATED}) c", "M16-M18 by window: total and mean creation day, mean age.")
-metric("mean_age_within_window", "pseam", f"SELECT window_days, count(*) AS days, {I('sum(CASE WHEN circulation > 0 AND (day + 1) * circulation - created > (window_days + 1) * circulation THEN 1 ELSE 0 END)')} AS beyond FROM ({_CREATED}) c WHERE window_days < {INFINITE} GROUP BY window_days", "R18: what is younger than a window is no older on average, to the day.")
-metric("realized_cap_T", "pseam", f"SELECT window_days, day, {I('sum(cost) ' + OVER_DAYS)} AS realized_cap FROM ({_windowed()}) d", "M10: weighted by acquisition price.")
-_CAPS = f"SELECT window_days, day, {I('sum(delta) ' + OVER_DAYS)} AS circulation, {I('sum(cost) ' + OVER_DAYS)} AS cap FROM ({_windowed()}) d"
-_LAST = "SELECT {day(t)} AS day, max(price) AS price FROM price GROUP BY {day(t)}"
-metric("mrp_mvrv", "pseam price", f"SELECT k.window_days, k.day, round(CAST(cap AS DOUBLE) / nullif(circulation, 0), 6) AS mean_price, round(CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0), 6) AS mvrv FROM ({_CAPS}) k JOIN ({_LAST}) p ON k.day = p.day", "M11, M12: the mean realized price and the price over it; the day's highest price stands for its price.")
 metric(
-    "hodl_waves", "pseam",
+    "creation_T", "pseam days",
+    f"""SELECT window_days, day, created AS creation_days, round(CAST(created AS DOUBLE) / nullif(delta, 0), 6) AS mean_creation, round(day + 1 - CAST(created AS DOUBLE) / nullif(delta, 0), 6) AS mean_age,
+    round(CAST(squared AS DOUBLE) / 1000000000000, 4) AS squared FROM ({_so_far('delta', 'created', 'squared')}) c""",
+    "M16-M18 by window: total and mean creation day, mean age, and squares in units of 1e12.",
+    ("held days", f"""SELECT window_days, day, x1::BIGINT AS creation_days, round(x1::DOUBLE / nullif(x0, 0), 6) AS mean_creation, round(day + 1 - x1::DOUBLE / nullif(x0, 0), 6) AS mean_age, round(x2::DOUBLE / 1000000000000, 4) AS squared FROM (
+      SELECT w.window_days, g.day, coalesce(sum(CASE WHEN {_YOUNG} THEN h.rem END), 0) AS x0, coalesce(sum(CASE WHEN {_YOUNG} THEN h.rem * {{day(h.odt)}} END), 0) AS x1, coalesce(sum(CASE WHEN {_YOUNG} THEN h.rem::HUGEINT * {{day(h.odt)}} * {{day(h.odt)}} END), 0) AS x2
+      FROM days g CROSS JOIN (VALUES {', '.join(f'({w})' for w in (*WINDOWS, INFINITE))}) AS w(window_days) LEFT JOIN held_days h ON h.day = g.day GROUP BY 1, 2) x"""),
+)
+metric("mean_age_within_window", "pseam days", f"SELECT window_days, count(*) AS days, {I('sum(CASE WHEN delta > 0 AND (day + 1) * delta - created > (window_days + 1) * delta THEN 1 ELSE 0 END)')} AS beyond FROM ({_so_far('delta', 'created')}) c WHERE window_days < {INFINITE} GROUP BY window_days", "R18: what is younger than a window is no older on average, to the day.")
+metric("realized_cap_T", "pseam days", f"SELECT window_days, day, cost AS realized_cap FROM ({_so_far('cost')}) d", "M10: weighted by acquisition price.", _HELD_TWIN("h.rem * h.acq", "realized_cap"))
+metric(
+    "dollar_age_T", "pseam days",
+    f"SELECT window_days, day, round(day + 1 - CAST(cost_created AS DOUBLE) / nullif(cost, 0), 6) AS dollar_age, round(CAST(cost AS DOUBLE) / nullif(priced, 0), 6) AS mean_price FROM ({_so_far('cost', 'priced', 'cost_created')}) d",
+    "M22 by window: mean age and mean price, weighted by cost; what has no price weighs nothing.",
+    ("held days", f"""SELECT window_days, day, round(day + 1 - x1::DOUBLE / nullif(x0, 0), 6) AS dollar_age, round(x0::DOUBLE / nullif(n, 0), 6) AS mean_price FROM (
+      SELECT w.window_days, g.day, coalesce(sum(CASE WHEN {_YOUNG} THEN h.rem * h.acq END), 0) AS x0, sum(CASE WHEN {_YOUNG} THEN (h.rem * h.acq)::HUGEINT * {{day(h.odt)}} END) AS x1, sum(CASE WHEN {_YOUNG} AND h.acq IS NOT NULL THEN h.rem END) AS n
+      FROM days g CROSS JOIN (VALUES {', '.join(f'({w})' for w in (*WINDOWS, INFINITE))}) AS w(window_days) LEFT JOIN held_days h ON h.day = g.day GROUP BY 1, 2) x"""),
+)
+_CAPS = f"SELECT window_days, day, delta AS circulation, cost AS cap FROM ({_so_far('delta', 'cost')}) k"
+_LAST = "SELECT {day(t)} AS day, max_by(price, t) AS price FROM price GROUP BY {day(t)}"
+metric("mrp_mvrv", "pseam price days", f"SELECT k.window_days, k.day, round(CAST(cap AS DOUBLE) / nullif(circulation, 0), 6) AS mean_price, round(CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0), 6) AS mvrv FROM ({_CAPS}) k JOIN ({_LAST}) p ON k.day = p.day", "M11, M12: the mean realized price, and the day's closing price over it.")
+metric(
+    "hodl_waves", "pseam days",
     f"""SELECT day, window_days, {I('cap - coalesce(younger, 0)')} AS band_cap, round(CAST(cap - coalesce(younger, 0) AS DOUBLE) / nullif(whole, 0), 6) AS share FROM (
       SELECT day, window_days, cap, lag(cap) OVER (PARTITION BY day ORDER BY window_days) AS younger, max(CASE WHEN window_days = {INFINITE} THEN cap END) OVER (PARTITION BY day) AS whole FROM ({_CAPS}) k) w""",
-    "M13: realized cap between neighbouring windows over that of all time.",
+    "M13: realized cap between neighbouring windows over that of all time, on every day.",
 )
-metric("mvrv_long_short", "pseam price", f"SELECT k.day, round(max(CASE WHEN window_days = {INFINITE} THEN CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0) END) - max(CASE WHEN window_days = 7 THEN CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0) END), 6) AS diff FROM ({_CAPS}) k JOIN ({_LAST}) p ON k.day = p.day GROUP BY k.day", "M12: all time less seven days; the choice of windows is ours.")
+metric("mvrv_long_short", "pseam price days", f"SELECT k.day, round(max(CASE WHEN window_days = {INFINITE} THEN CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0) END) - max(CASE WHEN window_days = 7 THEN CAST(p.price AS DOUBLE) * circulation / nullif(cap, 0) END), 6) AS diff FROM ({_CAPS}) k JOIN ({_LAST}) p ON k.day = p.day GROUP BY k.day", "M12: all time less seven days; the choice of windows is ours.")
 metric("dormant_T", "pseam", f"SELECT w.window_days, {{day(s.t)}} AS day, {I('sum(-s.measure)')} AS moved, {I('sum(-s.measure * s.now)')} AS moved_value FROM pseam s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.odt <> 0 AND s.t - s.odt >= w.us GROUP BY w.window_days, {{day(s.t)}}", "M14: what moved at an age of the window or more, and its value at the time's price.")
+_EDGES = (0, *WINDOWS)
+_BAND = "CASE " + " ".join(f"WHEN {{age}} < {w * DAY_US} THEN '{a}-{w}'" for a, w in zip(_EDGES, WINDOWS)) + f" ELSE '{WINDOWS[-1]}+' END"
 metric(
     "spent_age_bands", "seam",
     f"""SELECT day, band, moved, round(CAST(moved AS DOUBLE) / nullif(sum(moved) OVER (PARTITION BY day), 0), 6) AS share FROM (
-      SELECT {{day(t)}} AS day, CASE WHEN t - odt < {DAY_US} THEN '0-1' WHEN t - odt < {7 * DAY_US} THEN '1-7' WHEN t - odt < {14 * DAY_US} THEN '7-14' ELSE '14+' END AS band, {I('sum(-measure)')} AS moved
-      FROM seam WHERE odt <> 0 AND odt <> t GROUP BY {{day(t)}}, CASE WHEN t - odt < {DAY_US} THEN '0-1' WHEN t - odt < {7 * DAY_US} THEN '1-7' WHEN t - odt < {14 * DAY_US} THEN '7-14' ELSE '14+' END) b""",
-    "M15: consumed volume by age band, lower edges included.",
+      SELECT {{day(t)}} AS day, {_BAND.format(age='t - odt')} AS band, {I('sum(-measure)')} AS moved FROM seam WHERE odt <> 0 AND odt <> t GROUP BY {{day(t)}}, {_BAND.format(age='t - odt')}) b""",
+    "M15: consumed volume by age band between neighbouring windows, in days, lower edges included.",
+    ("eaten", f"SELECT day, band, sum(amount)::BIGINT AS moved, round(sum(amount)::DOUBLE / nullif(sum(sum(amount)) OVER (PARTITION BY day), 0), 6) AS share FROM (SELECT *, {_BAND.format(age='t - odt')} AS band FROM eaten WHERE odt <> t) e GROUP BY day, band"),
 )
 _MOMENTS = f"SELECT {{day(t)}} AS day, {I('sum(measure)')} AS m0, {I('sum(measure * {day(odt)})')} AS m1, CAST(sum(CAST(measure AS DOUBLE) * {{day(odt)}} * {{day(odt)}}) AS DOUBLE) AS m2 FROM seam WHERE odt <> 0 GROUP BY {{day(t)}}"
 metric("creation_moments", "seam", f"SELECT day, supply, creation_days, squared, round(CAST(creation_days AS DOUBLE) / nullif(supply, 0), 6) AS mean_creation FROM (SELECT day, {I('sum(m0) ' + PREFIX)} AS supply, {I('sum(m1) ' + PREFIX)} AS creation_days, round(sum(m2) {PREFIX} / 1000000000000, 4) AS squared FROM ({_MOMENTS}) d) x", "M16, M17: total creation days, their squares in units of 1e12, and the mean.")
@@ -168,8 +204,8 @@ def supply_in_profit(spark, sf_dir):
 
 
 _SUPPLY = f"SELECT day, sum(d) {PREFIX} AS supply, d FROM (SELECT {{day(t)}} AS day, sum(balance - old_balance) AS d FROM balance GROUP BY {{day(t)}}) x"
-metric("total_supply_coalesce", "balance pseam", f"SELECT k.day, {I('coalesce(c.supply, k.circulation)')} AS supply FROM ({_CAPS}) k LEFT JOIN ({_SUPPLY}) c ON k.day = c.day AND c.day % 3 <> 0 WHERE k.window_days = 7300 AND k.day < 20000", "M23: a supply of its own where there is one, else the circulation of twenty years.")
-metric("mvrv_z", "balance pseam price", f"SELECT day, round((value - cap) / nullif(deviation, 0), 4) AS z FROM (SELECT k.day, CAST(s.supply AS DOUBLE) * p.price AS value, CAST(k.cap AS DOUBLE) AS cap, stddev_samp(CAST(s.supply AS DOUBLE) * p.price / 1000000) OVER (ORDER BY k.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1000000 AS deviation FROM ({_CAPS}) k JOIN ({_SUPPLY}) s ON k.day = s.day JOIN ({_LAST}) p ON k.day = p.day WHERE k.window_days = {INFINITE}) x", "M12: market less realized value over the deviation of market values so far; the formula is ours.")
+metric("total_supply_coalesce", "balance pseam days", f"SELECT k.day, {I('coalesce(c.supply, k.circulation)')} AS supply FROM ({_CAPS}) k LEFT JOIN ({_SUPPLY}) c ON k.day = c.day AND c.day % 3 <> 0 WHERE k.window_days = 7300", "M23: a supply of its own where there is one, else the circulation of twenty years.")
+metric("mvrv_z", "balance pseam price days", f"SELECT day, round((value - cap) / nullif(deviation, 0), 4) AS z FROM (SELECT k.day, CAST(s.supply AS DOUBLE) * p.price AS value, CAST(k.cap AS DOUBLE) AS cap, stddev_samp(CAST(s.supply AS DOUBLE) * p.price / 1000000) OVER (ORDER BY k.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) * 1000000 AS deviation FROM ({_CAPS}) k JOIN ({_SUPPLY}) s ON k.day = s.day JOIN ({_LAST}) p ON k.day = p.day WHERE k.window_days = {INFINITE}) x", "M12: market less realized value over the deviation of market values so far; the formula is ours.")
 metric(
     "supply_composites", "balance price tx",
     f"""SELECT s.day, {I('m.most * p.price')} AS fully_diluted, round(CAST(s.supply - w.supply AS DOUBLE) / nullif(w.supply, 0) * 365 / 7, 6) AS annual_inflation, round(CAST(s.supply AS DOUBLE) / nullif(s.d * 365, 0), 6) AS stock_to_flow,
@@ -178,11 +214,17 @@ metric(
     "M24: composites of supply, price and transaction volume; the formulas are ours. One row of the greatest supply meets all days.",
 )
 metric("market_dominance", "ev price", f"SELECT c.day, c.kind, round(CAST(c.held AS DOUBLE) / nullif(sum(c.held) OVER (PARTITION BY c.day), 0), 6) AS dominance FROM (SELECT kind, day, sum(d) OVER (PARTITION BY kind ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM (SELECT kind, {{day(t)}} AS day, sum(cents) AS d FROM ev GROUP BY kind, {{day(t)}}) k) c JOIN ({_LAST}) p ON c.day = p.day", "M24: one asset's value in that of all; kinds of events stand for assets.")
-metric("address_profit_cumulative", "ledger price", f"SELECT address, day, {I('sum(profit) OVER (PARTITION BY address ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS profit FROM (SELECT l.address, {{day(l.t)}} AS day, sum(-l.sign * l.amount * (n.price - a.price)) AS profit FROM ledger l JOIN (SELECT {{five(t)}} AS b, price FROM price) n ON {{five(l.t)}} = n.b JOIN (SELECT {{five(t)}} AS b, price FROM price) a ON {{five(l.odt)}} = a.b WHERE l.odt <> 0 GROUP BY l.address, {{day(l.t)}}) d", "M40: the running profit of each key.")
-metric("address_realized_profit", "ledger price", f"SELECT l.address, {I('sum(-l.sign * l.amount * (n.price - a.price))')} AS profit FROM ledger l JOIN (SELECT {{five(t)}} AS b, price FROM price) n ON {{five(l.t)}} = n.b JOIN (SELECT {{five(t)}} AS b, price FROM price) a ON {{five(l.odt)}} = a.b WHERE l.odt <> 0 GROUP BY l.address", "M40: by key, where both five-minute prices exist.")
+metric("address_profit_cumulative", "pledger", f"SELECT address, day, {I('sum(profit) OVER (PARTITION BY address ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS profit FROM (SELECT address, {{day(t)}} AS day, sum(-sign * amount * (now - acq)) AS profit FROM pledger WHERE odt <> 0 GROUP BY address, {{day(t)}}) d", "M40: the running profit of each key.",
+       ("eaten", "SELECT d.address, d.day, (CASE WHEN d.day >= (SELECT min({day(t)}) FROM price) THEN coalesce(sum(sum(e.amount * (e.now - e.acq))) OVER (PARTITION BY d.address ORDER BY d.day), 0) END)::BIGINT AS profit FROM (SELECT DISTINCT address, {day(t)} AS day FROM ledger WHERE odt <> 0) d LEFT JOIN eaten e ON e.address = d.address AND e.day = d.day GROUP BY d.address, d.day"))
+metric("address_realized_profit", "pledger", f"SELECT address, {I('sum(-sign * amount * (now - acq))')} AS profit FROM pledger WHERE odt <> 0 GROUP BY address", "M40: by key; over all keys the sum is that of the network's profits.",
+       ("eaten", "SELECT a.address, coalesce(sum(e.amount * (e.now - e.acq)), 0)::BIGINT AS profit FROM (SELECT DISTINCT address FROM ledger WHERE odt <> 0) a LEFT JOIN eaten e ON e.address = a.address GROUP BY a.address"))
 
 metric("survivor_circulation_T", "survivors", f"SELECT w.window_days, count(*) AS coins, {I('sum(s.held)')} AS circulation FROM survivors s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.held > 0 AND s.t >= 1706572800000000 - w.us GROUP BY w.window_days", "K9: what younger inflows still hold on 2024-01-30.")
-metric("survivor_realized_cap", "survivors price", f"SELECT {{day(s.t)}} AS day, {I('sum(s.held * p.price)')} AS cap, {I('sum(s.held)')} AS held FROM survivors s JOIN ({_LAST}) p ON {{day(s.t)}} = p.day WHERE s.held > 0 GROUP BY {{day(s.t)}}", "K10: survivors at the price of the day they came in.")
+metric(
+    "survivor_realized_cap", "psurvivors", f"SELECT {{day(t)}} AS day, {I('sum(held * acq)')} AS cap, {I('sum(held)')} AS held, round(CAST(sum(held * {{day(t)}}) AS DOUBLE) / nullif(sum(held), 0), 6) AS mean_creation FROM psurvivors WHERE held > 0 GROUP BY {{day(t)}}",
+    "K10: survivors at the price at their time, and their mean day of creation.",
+    ("held days", "SELECT odt // 86400000000 AS day, sum(rem * acq)::BIGINT AS cap, sum(rem)::BIGINT AS held, round(sum(rem * (odt // 86400000000))::DOUBLE / nullif(sum(rem), 0), 6) AS mean_creation FROM held_days WHERE day = (SELECT max(day) FROM days) AND rem > 0 GROUP BY 1"),
+)
 metric("busy_days_only", "ch", "SELECT address, count(*) AS n, sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) AS outflows FROM ch GROUP BY address HAVING sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) > 20".replace("sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) AS", "CAST(sum(CASE WHEN amount < 0 THEN 1 ELSE 0 END) AS BIGINT) AS"), "A10: groups kept by a condition on a conditional count.")
 
 # ---------------------------------------------------------------- activity, holders and labels
@@ -224,7 +266,7 @@ metric("price_ohlc", "price", f"SELECT day, max(CASE WHEN up = 1 THEN price END)
 _CLOSE = f"SELECT day, max(CASE WHEN down = 1 THEN price END) AS price FROM (SELECT day, price, row_number() OVER (PARTITION BY day ORDER BY t DESC) AS down FROM ({_GRID}) g) x GROUP BY day"
 metric("volatility", "price", f"SELECT day, round(stddev_samp(r) OVER (ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS volatility FROM (SELECT day, ln(CAST(price AS DOUBLE) / lag(price) OVER (ORDER BY day)) AS r FROM ({_CLOSE}) c) x", "W11, M41: sample deviation of seven log returns; the formula is ours.")
 metric("rsi", "price", f"SELECT day, round(100 - 100 / (1 + CAST(up AS DOUBLE) / nullif(down, 0)), 6) AS rsi FROM (SELECT day, sum(greatest(d, 0)) OVER (ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS up, sum(greatest(-d, 0)) OVER (ORDER BY day ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) AS down FROM (SELECT day, price - lag(price) OVER (ORDER BY day) AS d FROM ({_CLOSE}) c) y) x", "W11, M41: fourteen days by plain sums; the variant is ours.")
-metric("price_in_other", "price", f"SELECT a.day, round(CAST(a.price AS DOUBLE) / b.price, 6) AS ratio FROM ({_CLOSE}) a JOIN ({_LAST}) b ON a.day = b.day", "M33: one price in terms of another.")
+metric("price_in_other", "cprice", "SELECT a.contract, a.day, round(CAST(a.price AS DOUBLE) / b.price, 6) AS ratio FROM (SELECT contract, {day(t)} AS day, max_by(price, t) AS price FROM cprice GROUP BY contract, {day(t)}) a JOIN (SELECT {day(t)} AS day, max_by(price, t) AS price FROM cprice WHERE contract = 0 GROUP BY {day(t)}) b ON a.day = b.day", "M33: closing prices of each asset in terms of the first.")
 
 # ---------------------------------------------------------------- composites and cumulative series
 
