@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +17,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that spark.checkpoint.dir names, with its lineage cut; a lost executor costs no more than its tasks.
-
-    Where no folder is named, as in tests, a local master gets one of its own; on a cluster that is an error.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_root(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it names none, as in tests, a local master gets one of its own; on a cluster that is an error."""
+    sc, named = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if named is None and not re.match(r"local(\[[^]]*\])?$", sc.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
+    return named or sc.getCheckpointDir()
+
+
+@contextmanager
+def scratch_folder(spark: SparkSession, name: str) -> Iterator[str]:
+    """A new folder under the shared one, removed in the end; what is read from it must have been read by then."""
+    uri = f"{shared_root(spark)}/{name}"
+    try:
+        yield uri
+    finally:
+        where, path = fs.FileSystem.from_uri(uri)
+        if where.get_file_info(path).type == fs.FileType.Directory:
+            where.delete_dir(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder, with its lineage cut; a lost executor costs no more than its tasks."""
+    shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

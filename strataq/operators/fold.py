@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -190,75 +191,88 @@ def seam(ledger: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return ledger.groupBy(*by, "t", "odt").agg(F.sum(F.col("sign") * F.col("amount")).alias("measure")).where("measure <> 0")
 
 
-def fold_state(ledger: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
-    """(key, next_nonce, last_t, last_event, stack array<struct<nonce, odt, amount>>): the state that ``resume`` goes on from, out of a ledger.
+class State(NamedTuple):
+    """What ``resume`` goes on from, as rows: a key's head (next_nonce, last_t, last_event, n live segments), and its segments (nonce, odt, amount)."""
 
-    The stack of a key is one row, as deep as the key has live segments.
-    """
-    live = open_segments(ledger, key).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("nonce", "odt", "amount"))).alias("stack"))
-    ends = ledger.groupBy(*key).agg(
-        F.max("t").alias("last_t"), F.max(F.struct("t", "event_id"))["event_id"].alias("last_event"), F.max(F.when((F.col("sign") == 1) & (F.col("nonce") == 1), F.col("t"))).alias("begun")
-    )
-    top = ledger.join(ends.select(*key, "begun"), list(key)).where("t >= begun").groupBy(*key).agg(F.max("nonce").alias("top"))
-    none = F.array().cast("array<struct<nonce:bigint,odt:bigint,amount:bigint>>")
-    return ends.join(top, list(key)).join(live, list(key), "left").select(
-        *key, F.when(F.col("stack").isNull(), 1).otherwise(F.col("top") + 1).alias("next_nonce"), "last_t", "last_event", F.coalesce("stack", none).alias("stack")
+    heads: DataFrame
+    segments: DataFrame
+
+
+def fold_state(ledger: DataFrame, key: Sequence[str] = KEY) -> State:
+    """The state that a ledger ends in. Numbers go on behind the last push, or from 1 where nothing is held."""
+    n = F.sum("sign")
+    last = F.max_by("nonce", F.when(F.col("sign") == 1, F.struct("t", "event_id")))
+    heads = ledger.groupBy(*key).agg(
+        F.when(n == 0, 1).otherwise(last + 1).cast("long").alias("next_nonce"), F.max("t").alias("last_t"), F.max(F.struct("t", "event_id"))["event_id"].alias("last_event"), n.alias("n")
     )
+    return State(heads, open_segments(ledger, key))
 
 
-def resume(state: DataFrame, changes: DataFrame, top: int = 64, key: Sequence[str] = KEY) -> DataFrame:
+def alike(a: DataFrame, b: DataFrame, key: Sequence[str], how: str) -> DataFrame:
+    """A semi or anti join by ``key`` in which nulls are equal."""
+    a, b = a.alias("__a"), b.alias("__b")
+    return a.join(b, [F.col(f"__a.{c}").eqNullSafe(F.col(f"__b.{c}")) for c in key], how)
+
+
+def resume(state: State, changes: DataFrame, top: int = 64, key: Sequence[str] = KEY, bucket: int = 0) -> DataFrame:
     """The ledger of ``changes``, which come after ``state``: only keys with changes read a stack, and of it only the ``top`` segments.
 
     A key whose outflows reach below these is folded once more with its whole stack, so the result doesn't depend on ``top``.
     """
-    state = state.join(changes.select(*key).distinct(), list(key), "left_semi")
-    deep = state.withColumn("cut", F.slice("stack", F.greatest(F.size("stack") - top, F.lit(0)) + 1, top)).withColumn("whole", F.size("stack") <= top)
-    lazy = written(_resumed(deep.select(*key, "next_nonce", "last_t", F.col("cut").alias("stack"), "whole"), changes, key))
+    touched = changes.select(*key).distinct()
+    heads, segments = (alike(d, touched, key, "left_semi") for d in state)
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("nonce")))
+    tops = segments.withColumn("rank", rank).where(F.col("rank") <= top + 1).withColumn("below", F.col("rank") > top).drop("rank")
+    lazy = written(_resumed(heads, tops, changes, key, bucket))
     short = lazy.where("sign = 0").select(*key)
-    again = _resumed(state.join(short, list(key), "left_semi").select(*key, "next_nonce", "last_t", "stack", F.lit(True).alias("whole")), changes.join(short, list(key), "left_semi"), key)
-    return lazy.join(short, list(key), "left_anti").unionByName(again)
+    parts = [alike(d, short, key, "left_semi") for d in (heads, segments.withColumn("below", F.lit(False)), changes)]
+    return alike(lazy, short, key, "left_anti").unionByName(_resumed(*parts, key, bucket))
 
 
-def _resumed(state: DataFrame, changes: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Ledger rows by key; a row of sign 0 alone where a stack was cut too short."""
-    kinds = "array<struct<nonce:bigint,odt:bigint,amount:bigint>>"
-    first = state.select(*key, F.lit(None).cast("long").alias("event_id"), F.col("last_t").alias("t"), F.col("next_nonce").alias("amount"), "stack", "whole")
-    rest = changes.select(*key, "event_id", "t", "amount", F.lit(None).cast(kinds).alias("stack"), F.lit(None).cast("boolean").alias("whole"))
+def _resumed(heads: DataFrame, segments: DataFrame, changes: DataFrame, key: Sequence[str], bucket: int) -> DataFrame:
+    """Ledger rows by key; a row of sign 0 alone where more was needed than what lies above a segment marked ``below``."""
+    kind = lambda n: F.lit(n).alias("kind")
+    first = heads.select(*key, kind(0), F.col("next_nonce").alias("nonce"), F.col("last_t").alias("t"))
+    held = segments.select(*key, kind(1), "nonce", F.col("odt").alias("t"), "amount", "below")
+    rest = changes.select(*key, kind(2), "event_id", "t", "amount")
     k = len(key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, stack, nonce, last, whole, held = None, [], 1, None, True, []
+        at, stack, nonce, last, whole, out = None, [], 1, None, True, []
 
-        def out() -> pa.RecordBatch:
-            cols = list(zip(*held)) or [()] * (k + 6)
-            made = [pa.array(c, t.type) for c, t in zip(cols[:k], kind)] + [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(cols[k:])]
-            held.clear()
+        def told(kinds: list[pa.DataType]) -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * (k + 6)
+            made = [pa.array(c, t) for c, t in zip(cols[:k], kinds)] + [pa.array(c, pa.int32() if i == 2 else pa.int64()) for i, c in enumerate(cols[k:])]
+            out.clear()
             return pa.RecordBatch.from_arrays(made, [*key, *(x.split()[0] for x in MOVES.split(", "))])
 
         for b in batches:
-            kind = [b.schema.field(i) for i in range(k)]
-            for *own, event, t, amount, segments, all_of_it in zip(*(c.to_pylist() for c in b.columns)):
+            for *own, of, number, event, t, amount, below in zip(*(c.to_pylist() for c in b.columns)):
                 if own != at:
                     at, stack, nonce, last, whole = own, [], 1, None, True
-                if segments is not None:
-                    stack, nonce, last, whole = [(x["nonce"], x["odt"], x["amount"]) for x in segments], amount, t, all_of_it
-                    continue
-                if whole is None:
-                    continue
-                if whole and not stack and t != last:
-                    nonce = 1
-                last = t
-                nonce, rows = fold_one(stack, nonce, t, amount)
-                if not whole and (not stack or (stack[0][1] == 0 and stack[0][2] < 0)):
-                    whole = None  # what lies below was needed
-                    held.append((*own, event, t, 0, 0, 0, 0))
-                    continue
-                held += [(*own, event, t, *r) for r in rows]
-            if held:
-                yield out()
-
-    ordered = by_key(first.unionByName(rest), *key).sortWithinPartitions(*key, F.col("event_id").isNotNull(), "t", "event_id")
-    return ordered.mapInArrow(run, _schema(changes, key, MOVES))
+                if of == 0:
+                    nonce, last = number, t
+                elif of == 1:
+                    if below:
+                        whole = False
+                    else:
+                        stack.append((number, t, amount))
+                elif whole is not None:
+                    if whole and not stack and t != last:
+                        nonce = 1
+                    last = t
+                    nonce, rows = fold_one(stack, nonce, t, amount, bucket)
+                    if not whole and (not stack or (stack[0][1] == 0 and stack[0][2] < 0)):
+                        whole = None  # what lies below was needed
+                        out.append((*own, event, t, 0, 0, 0, 0))
+                        continue
+                    out += [(*own, event, t, *r) for r in rows]
+            if out:
+                yield told([b.schema.field(i).type for i in range(k)])
+
+    columns = [*key, "kind", "nonce", "event_id", "t", "amount", "below"]
+    rows = first.unionByName(held, allowMissingColumns=True).unionByName(rest, allowMissingColumns=True).select(*columns)
+    return by_key(rows, *key).sortWithinPartitions(*key, "kind", "nonce", "t", "event_id").mapInArrow(run, _schema(changes, key, MOVES))
 
 
 def fifo_matches(changes: DataFrame) -> DataFrame:

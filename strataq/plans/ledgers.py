@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.functions.session import table, written
+from strataq.functions.session import scratch_folder, table, written
 from strataq.functions.time import FIVE_MINUTES, HOUR, day_number, floor_to, micros
-from strataq.operators import asof, fold, fold_table, hot_fold, predicates, rows
+from strataq.operators import asof, fold, fold_table, hot_fold, kept, predicates, rows
 from strataq.plans import base
 from strataq.plans.base import with_prelude
 from strataq.plans.registry import query
@@ -59,9 +60,30 @@ def bucketed(spark, sf_dir):
 def resumed(spark, sf_dir):
     """K2, K3, K8: state out of the ledger up to a day, the changes since then folded upon the tops of the stacks, deep ones again with all of them."""
     ch = base.changes(spark, sf_dir)
-    state = written(fold.fold_state(fold.lifo_ledger(ch.where("t < 1705276800000000"))))  # as a table that is kept
-    return fold.resume(state, ch.where("t >= 1705276800000000"), top=4)
-
+    state = fold.fold_state(fold.lifo_ledger(ch.where("t < 1705276800000000")))
+    return fold.resume(fold.State(*map(written, state)), ch.where("t >= 1705276800000000"), top=4)
+
+
+
+@query("fold_kept_batches", with_prelude("SELECT address, event_id, t, sign, nonce, odt, amount FROM ledger", "ledger"))
+def kept_batches(spark, sf_dir):
+    """The ledger carried on by ten days at a time over kept tables, one batch lost between writing and commit, a summary between."""
+    ch, days = base.changes(spark, sf_dir), 240 * HOUR
+    first = ch.agg(F.min(F.floor(F.col("t") / days)), F.max(F.floor(F.col("t") / days))).first()
+    name = f"kept_{uuid.uuid4().hex}"
+    with scratch_folder(spark, name) as folder:
+        state = kept.Kept(spark, folder, name, buckets=8)
+        try:
+            for number, span in enumerate(range(first[0] or 0, (first[1] or 0) + 1)):
+                batch = ch.where((F.col("t") >= span * days) & (F.col("t") < (span + 1) * days))
+                if number == 1:
+                    state.write(number, batch)  # lost: it is done again
+                state.apply(number, batch)
+                if number == 1:
+                    state.compact()
+            return written(state.output())
+        finally:
+            state.drop()
 
 
 @query("lifo_consumption", with_prelude("SELECT address, event_id, t, odt, (prem - rem)::BIGINT AS eaten FROM touch WHERE prem > rem", "ledger"))
