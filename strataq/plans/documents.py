@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from strataq.functions.session import table
+from strataq.functions.session import table, written
 from strataq.functions.time import DAY, micros
 from strataq.operators import graph, pages
 from strataq.plans.registry import query
@@ -151,12 +153,6 @@ EDGES = (
     ("PRICE", "stack_realized_cap_usd_delta"), ("PRICE", "mvrv_usd"), ("PRICE", "mvrv_z"), ("PRICE", "dormant_circulation_usd"), ("PRICE", "network_profit_loss"),
     ("PRICE", "total_supply_in_profit"), ("PRICE", "daily_marketcap_usd"), ("PRICE", "fully_diluted_valuation_usd"), ("PRICE", "daa_divergence"),
 )
-#: Names with versions, windows and buckets, as specifications have them: (source, metric).
-NAMED = (
-    ("age_distribution_5min_delta", "stack_circulation_1d"), ("age_distribution_5min_delta", "stack_circulation_365d"), ("stack_circulation_20y/v2", "nvt/2024-01"),
-    ("stack_circulation_7d", "mean_realized_price_usd_7d"), ("balances_10min", "holders_distribution_1e_3"), ("balances_10min", "holders_distribution_all"),
-    ("balances", "holders_distribution_1e3_1d"), ("mean_realized_price_usd_7d", "mvrv_usd_7d"), ("prices_5min_1day", "mvrv_usd_2y"),
-)
 _VALUES = ", ".join(f"('{a}', '{b}')" for a, b in EDGES)
 
 
@@ -164,13 +160,33 @@ def _edges(spark):
     return spark.createDataFrame(list(EDGES), "source string, target string")
 
 
-_CLOSURE = f"WITH RECURSIVE e(source, target) AS (VALUES {_VALUES}), r(root, node, depth) AS (SELECT source, source, 0 FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT r.root, e.target, depth + 1 FROM r JOIN e ON r.node = e.source)"
+#: What rests on what in the tables: nations on regions, suppliers on nations, parts on suppliers, and some parts on a nation or a region straight away.
+_TABLE_EDGES = """e(source, target) AS (
+  SELECT 'region ' || n_regionkey, 'nation ' || n_nationkey FROM nation UNION SELECT 'nation ' || s_nationkey, 'supplier ' || s_suppkey FROM supplier
+  UNION SELECT 'supplier ' || l_suppkey, 'part ' || l_partkey FROM lineitem UNION SELECT 'nation ' || (p_partkey % 25), 'part ' || p_partkey FROM part WHERE p_size < 10
+  UNION SELECT 'region ' || (p_partkey % 5), 'supplier ' || (p_partkey % 7 + 1) FROM part WHERE p_size = 1
+)"""
+
+
+def _table_edges(spark, sf_dir):
+    t = lambda name: table(spark, sf_dir, name)
+    node = lambda kind, key: F.concat(F.lit(f"{kind} "), F.col(key) if isinstance(key, str) else key)
+    key = F.col("p_partkey")
+    edges = [
+        t("nation").select(node("region", "n_regionkey"), node("nation", "n_nationkey")), t("supplier").select(node("nation", "s_nationkey"), node("supplier", "s_suppkey")),
+        t("lineitem").select(node("supplier", "l_suppkey"), node("part", "l_partkey")), t("part").where("p_size < 10").select(node("nation", key % 25), node("part", key)),
+        t("part").where("p_size = 1").select(node("region", key % 5), node("supplier", key % 7 + 1)),
+    ]
+    return reduce(lambda a, b: a.union(b), edges).toDF("source", "target").distinct()
+
+
+_CLOSURE = f"WITH RECURSIVE {_TABLE_EDGES}, r(root, node, depth) AS (SELECT DISTINCT source, source, 0 FROM e WHERE source NOT IN (SELECT target FROM e) UNION SELECT r.root, e.target, depth + 1 FROM r JOIN e ON r.node = e.source)"
 
 
 @query("metric_closure", f"{_CLOSURE} SELECT root, node, min(depth)::INT AS depth FROM r GROUP BY root, node")
 def closure(spark, sf_dir):
     """What depends on each leaf, and how far."""
-    e = _edges(spark)
+    e = written(_table_edges(spark, sf_dir))
     leaves = e.select(F.col("source").alias("node")).distinct().join(e.select(F.col("target").alias("node")), "node", "left_anti")
     return graph.reachable(e, leaves.select(F.col("node").alias("root"), "node"))
 
@@ -192,18 +208,49 @@ def _canon(c: str) -> str:
     WHEN len({p}) > 1 AND regexp_full_match({p}[-1], '1|all|inf|1e[0-9]+') THEN array_to_string({p}[:-2], '_') || '_B' ELSE array_to_string({p}, '_') END"""
 
 
-@query("metric_parents", f"WITH e(source, target) AS (VALUES {', '.join(map(str, NAMED))}), c AS (SELECT {_canon('source')} AS s, {_canon('target')} AS t FROM e) SELECT t AS metric, string_agg(DISTINCT s, ',' ORDER BY s) AS parents, count(DISTINCT s) AS n FROM c WHERE s <> t GROUP BY t")
+_NAMES = """e AS (SELECT 'stack_' || event_type || '_' || (event_id % 30 + 1) || CASE event_id % 3 WHEN 0 THEN 'd' WHEN 1 THEN 'min' ELSE 'd/v2' END AS source,
+  'holders_' || event_type || CASE user_id % 5 WHEN 0 THEN '_1e_' || (event_id % 9) WHEN 1 THEN '_1e' || (event_id % 9) || '_1d' WHEN 2 THEN '_all' WHEN 3 THEN '_7d' ELSE '_' || (event_id % 12) || 'h_inf/2024-01' END AS target FROM events)"""
+
+
+@query("metric_parents", f"WITH {_NAMES}, c AS (SELECT DISTINCT {_canon('source')} AS s, {_canon('target')} AS t FROM e) SELECT t AS metric, string_agg(DISTINCT s, ',' ORDER BY s) AS parents, count(DISTINCT s) AS n FROM c WHERE s <> t GROUP BY t")
 def parents(spark, sf_dir):
-    """Parents of each metric under canonical names, and how many."""
-    e = spark.createDataFrame(list(NAMED), "source string, target string")
+    """Parents of each metric under canonical names, and how many; kinds of events and their ids make names with versions, windows and sizes."""
+    e, kind, i = table(spark, sf_dir, "events"), F.col("event_type"), F.col("event_id")
+    unit = F.when(i % 3 == 0, "d").when(i % 3 == 1, "min").otherwise("d/v2")
+    u = F.col("user_id") % 5
+    size = (
+        F.when(u == 0, F.concat(F.lit("_1e_"), i % 9)).when(u == 1, F.concat(F.lit("_1e"), i % 9, F.lit("_1d"))).when(u == 2, "_all").when(u == 3, "_7d")
+        .otherwise(F.concat(F.lit("_"), i % 12, F.lit("h_inf/2024-01")))
+    )
+    e = e.select(F.concat(F.lit("stack_"), kind, F.lit("_"), i % 30 + 1, unit).alias("source"), F.concat(F.lit("holders_"), kind, size).alias("target")).distinct()
     e = e.select(graph.canonical(F.col("source")).alias("s"), graph.canonical(F.col("target")).alias("metric")).where("s <> metric")
     return e.groupBy("metric").agg(F.array_join(F.sort_array(F.collect_set("s")), ",").alias("parents"), F.countDistinct("s").alias("n"))
 
 
 @query("topo_levels", f"{_CLOSURE} SELECT node, max(depth)::INT AS level FROM r GROUP BY node")
 def topo(spark, sf_dir):
-    """The level at which a job may run: one beyond its last dependency."""
-    return graph.levels(_edges(spark))
+    """The level at which a job may run: one beyond its last dependency."""
+    return graph.levels(_table_edges(spark, sf_dir))
+
+
+@query(
+    "stale_closure",
+    f"""WITH RECURSIVE e(source, target) AS (VALUES {_VALUES}), m AS (SELECT node, row_number() OVER (ORDER BY node) AS k FROM (SELECT source AS node FROM e UNION SELECT target FROM e)),
+    r(root, node) AS (SELECT node, node FROM m UNION SELECT r.root, e.target FROM r JOIN e ON r.node = e.source),
+    l AS (SELECT node, count(*) AS n, max(epoch_us(ts)) AS last FROM events JOIN m ON event_id % 200 = k GROUP BY node)
+    SELECT root, count(*) AS metrics, sum(l.n)::BIGINT AS points, max(l.last)::BIGINT AS last FROM r JOIN l ON l.node = r.node GROUP BY root""",
+)
+def stale_closure(spark, sf_dir):
+    """The given edges over points that are dealt to metrics: how many points rest on each node, and the latest."""
+    from pyspark.sql import Window as W
+
+    e = _edges(spark)
+    nodes = e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
+    named = nodes.withColumn("k", F.row_number().over(W.orderBy("node")))
+    ev = table(spark, sf_dir, "events").select((F.col("event_id") % 200).alias("k"), micros("ts").alias("t")).groupBy("k").agg(F.count("*").alias("n"), F.max("t").alias("last"))
+    points = ev.join(named, "k")
+    r = graph.reachable(e, nodes.select(F.col("node").alias("root"), "node"))
+    return r.join(points, "node").groupBy("root").agg(F.count("*").alias("metrics"), F.sum("n").alias("points"), F.max("last").alias("last"))
 
 
 @query(
@@ -242,18 +289,28 @@ def selector(spark, sf_dir):
 
 # ---------------------------------------------------------------- manifests and profiles
 
-LOCKS = (("r1", "alpha", "1.0.0"), ("r1", "beta", "2.1.0"), ("r2", "alpha", "1.0.1"), ("r2", "beta", "2.0.0"), ("r3", "gamma", "3.0.0"), ("r3", "alpha", "1.0.0"))
-BAD = (("alpha", "1.0.1"), ("beta", "2.1.0"))
+_PARTS = """k AS (SELECT n_name AS repo, n_nationkey % 3 AS kind, (CASE WHEN p_partkey % 2 = 1 THEN '@s/' ELSE '' END) || 'pkg' || (p_partkey % 150) AS package,
+  p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) AS version, p_partkey FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"""
 
 
-@query("lock_flag_scan", f"WITH l(repo, package, version) AS (VALUES {', '.join(map(str, LOCKS))}), b(package, bad) AS (VALUES {', '.join(map(str, BAD))}) SELECT repo, package, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, CASE WHEN max(CASE WHEN version = bad THEN 1 ELSE 0 END) = 1 THEN '!!COMPROMISED!!' ELSE 'OK' END AS flag FROM l JOIN b USING (package) GROUP BY repo, package")
-def lock_flags(spark, sf_dir):
-    """Locked versions against a list of bad ones."""
-    return scans.flagged(spark.createDataFrame(list(LOCKS), "repo string, package string, version string"), spark.createDataFrame(list(BAD), "package string, version string"))
+def _parts_of(spark, sf_dir):
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").join(table(spark, sf_dir, "nation"), key % 25 == F.col("n_nationkey")).select(
+        F.col("n_name").alias("repo"), (F.col("n_nationkey") % 3).alias("kind"), F.concat(F.when(key % 2 == 1, "@s/").otherwise(""), F.lit("pkg"), key % 150).alias("package"),
+        F.concat_ws(".", "p_size", key % 10, key % 7).alias("version"), key.alias("k"),
+    )
 
 
-_PARTS = """k AS (SELECT n_name AS repo, n_nationkey % 3 AS kind, (CASE WHEN p_partkey % 2 = 1 THEN '@s/' ELSE '' END) || 'pkg' || (p_partkey % 150) AS package,
-  p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) AS version, p_partkey FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"""
+@query(
+    "lock_flag_scan",
+    f"""WITH {_PARTS}, bad AS (SELECT DISTINCT package, version AS bad FROM k WHERE p_partkey % 11 = 0)
+    SELECT repo, package, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, CASE WHEN max(CASE WHEN version = bad THEN 1 ELSE 0 END) = 1 THEN '!!COMPROMISED!!' ELSE 'OK' END AS flag
+    FROM k JOIN bad USING (package) GROUP BY repo, package""",
+)
+def lock_flags(spark, sf_dir):
+    """Locked versions against a list of bad ones, several of a package."""
+    p = _parts_of(spark, sf_dir)
+    return scans.flagged(p.select("repo", "package", "version"), p.where("k % 11 = 0").select("package", "version").distinct())
 
 
 @query(
@@ -264,11 +321,7 @@ _PARTS = """k AS (SELECT n_name AS repo, n_nationkey % 3 AS kind, (CASE WHEN p_p
 )
 def lock_files(spark, sf_dir):
     """The texts of lock files of three kinds, read, and their versions held against a list of bad ones."""
-    key = F.col("p_partkey")
-    p = table(spark, sf_dir, "part").join(table(spark, sf_dir, "nation"), key % 25 == F.col("n_nationkey")).select(
-        F.col("n_name").alias("repo"), (F.col("n_nationkey") % 3).alias("kind"), F.concat(F.when(key % 2 == 1, "@s/").otherwise(""), F.lit("pkg"), key % 150).alias("package"),
-        F.concat_ws(".", "p_size", key % 10, key % 7).alias("version"), key.alias("k"),
-    )
+    p = _parts_of(spark, sf_dir)
     entry = (
         F.when(F.col("kind") == 0, F.concat(F.lit('"node_modules/x'), "k", F.lit("/node_modules/"), "package", F.lit('": {"version": "'), "version", F.lit('"}')))
         .when(F.col("kind") == 1, F.concat(F.lit('"'), "package", F.lit("@^"), "k", F.lit('":\n  version "'), "version", F.lit('"\n')))
@@ -282,29 +335,47 @@ def lock_files(spark, sf_dir):
     return scans.flagged(scans.locked(files), bad)
 
 
-REPOS = (
-    ("a", "package.json", '{"packageManager": "pnpm@9", "scripts": {"build": "vite build"}, "dependencies": {"vite": "^5", "own": "git+ssh://x"}, "devDependencies": {"typescript": "5"}}'),
-    ("a", "pnpm-lock.yaml", ""), ("a", "yarn.lock", ""), ("a", ".github/workflows/ci.yml", ""), ("a", ".github/workflows/cd.yml", ""),
-    ("b", "package.json", '{"dependencies": {"next": "14", "z": "github:o/z"}, "devDependencies": {"y": "https://e.org/y.tgz"}}'), ("b", "sub/yarn.lock", ""),
-    ("c", "README", "no manifest"), ("d", "package.json", "{}"), ("d", "package-lock.json", "{}"),
-)
+#: Repositories out of customers: what files one has and what its manifest says follows from its key.
+_REPO_FACTS = """r AS (SELECT c_custkey AS k, 'repo' || c_custkey AS repo FROM customer WHERE c_custkey % 10 <> 0)"""
 
 
-@query("repo_posture", "SELECT * FROM (VALUES ('a', 'pnpm-lock.yaml,yarn.lock', 'pnpm@9', 'build|vite|ts', 2, 'own'), ('b', '', '', 'next', 0, 'y,z'), ('d', 'package-lock.json', '', '', 0, '')) AS t(repo, lockfiles, manager, tools, workflows, git_deps)")
+@query(
+    "repo_posture",
+    f"""WITH {_REPO_FACTS} SELECT repo, concat_ws(',', CASE WHEN k % 3 = 0 THEN 'package-lock.json' END, CASE WHEN k % 5 = 0 THEN 'pnpm-lock.yaml' END, CASE WHEN k % 2 = 0 THEN 'yarn.lock' END) AS lockfiles,
+    CASE WHEN k % 4 = 0 THEN 'pnpm@' || (k % 9) ELSE '' END AS manager, concat_ws('|', CASE WHEN k % 6 = 0 THEN 'build' END, CASE WHEN k % 7 = 1 THEN 'vite' END, CASE WHEN k % 7 = 2 THEN 'next' END, CASE WHEN k % 3 = 1 THEN 'ts' END) AS tools,
+    (k % 4)::BIGINT AS workflows, concat_ws(',', CASE WHEN k % 8 = 1 THEN 'own' END, CASE WHEN k % 8 IN (2, 3) THEN 'web' END) AS git_deps FROM r""",
+)
 def repo_posture(spark, sf_dir):
     """V2: lock files, package manager, build tools, workflows and git dependencies of repositories' files."""
-    return scans.posture(spark.createDataFrame(list(REPOS), "repo string, path string, value string"))
-
-
-PROFILE = (("a>b", 4, 9000000, 2, 3000000), ("a>c", 1, 100000, 1, 100000), ("d", 3, 700000, 0, 0), ("e", 0, 0, 5, 900000))
-
-
-@query("profile_diff", f"WITH p(stack, n1, b1, n0, b0) AS (VALUES {', '.join(map(str, PROFILE))}), s AS (SELECT stack, CASE WHEN n1 > 0 THEN b1 / (1 - exp(-(b1 / n1) / 2097152.0::DOUBLE)) ELSE 0 END - CASE WHEN n0 > 0 THEN b0 / (1 - exp(-(b0 / n0) / 2097152.0::DOUBLE)) ELSE 0 END AS delta FROM p) SELECT stack, round(delta, 3) AS delta FROM s WHERE delta <> 0")
+    k = F.col("c_custkey")
+    r = table(spark, sf_dir, "customer").select(k, F.concat(F.lit("repo"), k).alias("repo"))
+    entry = lambda when, name, value: F.when(when, F.concat(F.lit(f'"{name}": "'), value, F.lit('"')))
+    many = lambda name, *entries: F.concat(F.lit(f'"{name}": {{'), F.array_join(F.array_compact(F.array(*entries)), ", "), F.lit("}"))
+    manifest = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(
+        entry(k % 4 == 0, "packageManager", F.concat(F.lit("pnpm@"), k % 9)), many("scripts", entry(k % 6 == 0, "build", F.lit("make"))),
+        many("dependencies", entry(k % 7 == 1, "vite", F.lit("^5")), entry(k % 8 == 1, "own", F.lit("git+ssh://git@e.org/o/r.git")), entry(k % 8 == 2, "web", F.lit("https://e.org/y.tgz"))),
+        many("devDependencies", entry(k % 7 == 2, "next", F.lit("14")), entry(k % 3 == 1, "typescript", F.lit("5")), entry(k % 8 == 3, "web", F.lit("some-owner/some-repo#v1"))),
+    )), ", "), F.lit("}"))
+    file = lambda when, path, value: r.where(when).select("repo", path.alias("path"), value.alias("value"))
+    flows = r.select("repo", F.explode(F.sequence(F.lit(0).cast("long"), k % 4)).alias("n")).where("n > 0").select("repo", F.concat(F.lit(".github/workflows/"), "n", F.lit(".yml")).alias("path"), F.lit("").alias("value"))
+    files = [
+        file(k % 10 != 0, F.lit("package.json"), manifest), file(k % 10 == 0, F.lit("README"), F.lit("no manifest")), file(k % 3 == 0, F.lit("package-lock.json"), F.lit("{}")),
+        file(k % 2 == 0, F.lit("yarn.lock"), F.lit("")), file(k % 5 == 0, F.lit("pnpm-lock.yaml"), F.lit("")), file(k % 2 == 1, F.lit("sub/yarn.lock"), F.lit("")), flows,
+    ]
+    return scans.posture(reduce(lambda a, b: a.unionByName(b), files))
+
+
+_HALVES = """p AS (SELECT event_type || '>' || (user_id % 40) AS stack, count(*) FILTER (WHERE event_id % 2 = 1) AS n1, sum(round(value * 100000)::BIGINT) FILTER (WHERE event_id % 2 = 1) AS b1,
+  count(*) FILTER (WHERE event_id % 2 = 0) AS n0, sum(round(value * 100000)::BIGINT) FILTER (WHERE event_id % 2 = 0) AS b0 FROM events GROUP BY 1)"""
+_SCALED = "CASE WHEN n{k} > 0 AND b{k} > 0 THEN b{k}::DOUBLE / (1 - exp(-(b{k}::DOUBLE / n{k}) / 2097152.0::DOUBLE)) ELSE 0 END"
+
+
+@query("profile_diff", f"WITH {_HALVES}, s AS (SELECT stack, {_SCALED.format(k=1)} - {_SCALED.format(k=0)} AS delta FROM p) SELECT stack, round(delta, 3) AS delta FROM s WHERE delta <> 0")
 def profile_diff(spark, sf_dir):
-    """Live bytes by stack, scaled for sampling, new less base."""
-    new = spark.createDataFrame([(s, n, b) for s, n, b, _, _ in PROFILE if n], "stack string, n long, bytes long")
-    old = spark.createDataFrame([(s, n, b) for s, _, _, n, b in PROFILE if n], "stack string, n long, bytes long")
-    return scans.profile_difference(old, new).select("stack", F.round("delta", 3).alias("delta"))
+    """Live bytes by stack, scaled for sampling, new less base; events are samples, every second one of the new profile."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws(">", "event_type", F.col("user_id") % 40).alias("stack"), F.col("event_id") % 2, F.round(F.col("value") * 100_000).cast("long").alias("bytes")).toDF("stack", "new", "bytes")
+    half = lambda k: e.where(F.col("new") == k).groupBy("stack").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where("bytes > 0")
+    return scans.profile_difference(half(0), half(1)).select("stack", F.round("delta", 3).alias("delta"))
 
 
 @query("range_lookup", "WITH m AS (SELECT s_suppkey * 1000 AS lo, s_suppkey * 1000 + 600 AS hi, s_suppkey FROM supplier), a AS (SELECT p_partkey, p_partkey * 37 % 100000 AS addr FROM part) SELECT p_partkey, s_suppkey FROM a LEFT JOIN m ON addr >= lo AND addr < hi")

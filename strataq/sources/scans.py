@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,18 @@ LOCK_NAMES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "
 TOOLS = (("vite", "vite"), ("webpack", "webpack"), ("next", "next"), ("@sveltejs/kit", "sveltekit"), ("react-scripts", "CRA"), ("typescript", "ts"))
 
 
+#: Where npm takes a dependency from that is no version of the registry: a repository by its address, a tarball, or a host's short form. Fixed values.
+ADDRESSES = ("git://", "git+ssh://", "git+http://", "git+https://", "git+file://", "http://", "https://")
+HOSTS = ("github:", "gitlab:", "bitbucket:", "gist:")
+
+
+def not_registry(spec: Column) -> Column:
+    """Whether npm reads a dependency's value as a repository or tarball: an address, a host's short form, ``user@host:path``, or ``owner/name``."""
+    known = reduce(lambda a, b: a | b, [spec.startswith(x) for x in (*ADDRESSES, *HOSTS)])
+    owner = spec.rlike(r"^[A-Za-z0-9-]+/[A-Za-z0-9._-]+(#.*)?$")
+    return known | owner | spec.rlike(r"^[A-Za-z0-9_.-]+@[A-Za-z0-9.-]+:")
+
+
 def posture(files: DataFrame) -> DataFrame:
     """(repo, lockfiles, manager, tools, workflows, git_deps) of repositories' files (repo, path, value), for those with a package.json at the top.
 
@@ -82,7 +96,7 @@ def posture(files: DataFrame) -> DataFrame:
     g = g.select("repo", "lockfiles", "workflows", F.get_json_object("m", "$.packageManager").alias("manager"), every.alias("deps"), F.get_json_object("m", "$.scripts.build").alias("build"))
     keys = F.transform("deps", lambda d: d["key"])
     tools = F.array_compact(F.array(F.when(F.coalesce("build", F.lit("")) != "", F.lit("build")), *[F.when(F.array_contains(keys, n), F.lit(t)) for n, t in TOOLS]))
-    git = F.transform(F.filter("deps", lambda d: d["value"].rlike(r"^(git|github:|\w+://)")), lambda d: d["key"])
+    git = F.transform(F.filter("deps", lambda d: not_registry(d["value"])), lambda d: d["key"])
     return g.select("repo", "lockfiles", F.coalesce("manager", F.lit("")).alias("manager"), F.array_join(tools, "|").alias("tools"), "workflows", F.array_join(F.array_sort(F.array_distinct(git)), ",").alias("git_deps"))
 
 
