@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from strataq.functions.session import table, written
 from strataq.functions.time import DAY, micros
 from strataq.operators import graph, pages
+from strataq.operators.asof import asof_backward, within_ranges
 from strataq.plans.registry import query
 from strataq.sources import scans
 
@@ -293,6 +294,35 @@ _PARTS = """k AS (SELECT n_name AS repo, n_nationkey % 3 AS kind, (CASE WHEN p_p
   p_size || '.' || (p_partkey % 10) || '.' || (p_partkey % 7) AS version, p_partkey FROM part JOIN nation ON p_partkey % 25 = n_nationkey)"""
 
 
+@query(
+    "nested_lockfiles",
+    """WITH c AS (SELECT c_custkey AS k, c_nationkey AS nation FROM customer), o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), l AS (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p FROM lineitem)
+    SELECT 'repo' || nation AS path, 'c' || k AS package, '1.0.' || k AS version, 0 AS depth FROM c
+    UNION SELECT 'repo' || nation, '@o/p' || o.k, '2.0.' || o.k, 1 FROM o JOIN c ON o.c = c.k
+    UNION SELECT 'repo' || nation, 'l' || n || 'x' || p, '3.' || n || '.' || p, 2 FROM l JOIN o ON l.o = o.k JOIN c ON o.c = c.k""",
+)
+def nested_lockfiles(spark, sf_dir):
+    """Packages of older lock files, whose dependencies nest, at any depth and with an entry's fields in any order: orders within customers, lines within orders."""
+    c, o, l = (table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem"))
+    quoted = lambda *parts: F.concat(F.lit('"'), *parts, F.lit('"'))
+    nested = lambda entries: F.concat(F.lit("{"), F.array_join(F.collect_list(entries), ", "), F.lit("}"))
+
+    def entry(name, version, inner, last):
+        own, deps = F.concat(F.lit('"version": '), version), F.concat(F.lit('"dependencies": '), inner)
+        fields = F.when(last, F.concat(F.lit('"resolved": "x", '), deps, F.lit(', "requires": {"version": "^9"}, '), own)).otherwise(F.concat(own, F.lit(', "dev": true, '), deps))
+        return F.concat(name, F.lit(": {"), fields, F.lit("}"))
+
+    part, line = F.col("l_partkey"), F.col("l_linenumber")
+    lines = l.select("l_orderkey", "l_linenumber", "l_partkey").distinct().groupBy("l_orderkey").agg(nested(F.concat(quoted(F.lit("l"), line, F.lit("x"), part), F.lit(': {"integrity": "y", "version": '), quoted(F.lit("3."), line, F.lit("."), part), F.lit("}"))).alias("inner"))
+    none = F.coalesce("inner", F.lit("{}"))
+    key = F.col("o_orderkey")
+    orders = o.join(lines, key == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(nested(entry(quoted(F.lit("@o/p"), key), quoted(F.lit("2.0."), key), none, key % 2 == 0)).alias("inner"))
+    key = F.col("c_custkey")
+    files = c.join(orders, key == F.col("o_custkey"), "left").select(F.concat(F.lit("repo"), "c_nationkey").alias("path"), entry(quoted(F.lit("c"), key), quoted(F.lit("1.0."), key), none, key % 3 == 0).alias("e"))
+    files = files.select("path", F.concat(F.lit('{"lockfileVersion": 1, "dependencies": {'), "e", F.lit("}}")).alias("value"))
+    return scans.nested_packages(files).distinct()
+
+
 def _parts_of(spark, sf_dir):
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").join(table(spark, sf_dir, "nation"), key % 25 == F.col("n_nationkey")).select(
@@ -381,9 +411,31 @@ def profile_diff(spark, sf_dir):
 @query("range_lookup", "WITH m AS (SELECT s_suppkey * 1000 AS lo, s_suppkey * 1000 + 600 AS hi, s_suppkey FROM supplier), a AS (SELECT p_partkey, p_partkey * 37 % 100000 AS addr FROM part) SELECT p_partkey, s_suppkey FROM a LEFT JOIN m ON addr >= lo AND addr < hi")
 def range_lookup(spark, sf_dir):
     """The disjoint range that holds an address: the nearest start below it, then a check of its end."""
-    from strataq.operators.asof import asof_backward
-
     m = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 1000).alias("addr"), F.struct((F.col("s_suppkey") * 1000 + 600).alias("hi"), "s_suppkey").alias("range"))
     a = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") * 37 % 100000).alias("addr"))
     found = asof_backward(a, m, "addr", "range", slice_size=10_000)
     return found.select("p_partkey", F.when(F.col("addr") < F.col("range.hi"), F.col("range.s_suppkey")).alias("s_suppkey"))
+
+
+_SPANS = """v AS (SELECT event_id AS range_id, user_id, epoch_us(ts) AS lo, epoch_us(ts) + round(value * 36000000000)::BIGINT AS hi FROM events WHERE event_type = 'view'),
+  c AS (SELECT event_id, user_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click')"""
+
+
+def _spans(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", micros("ts").alias("at"), F.round(F.col("value") * 36_000_000_000).cast("long").alias("long"))
+    views = e.where("event_type = 'view'").select(F.col("event_id").alias("range_id"), "user_id", F.col("at").alias("lo"), (F.col("at") + F.col("long")).alias("hi"))
+    return views, e.where("event_type = 'click'").select("event_id", "user_id", "at")
+
+
+@query("overlapping_ranges", f"WITH {_SPANS} SELECT event_id, range_id FROM c JOIN v ON c.user_id = v.user_id AND t >= lo AND t < hi")
+def overlapping_ranges(spark, sf_dir):
+    """Every range that holds a point, where ranges overlap and nest."""
+    views, clicks = _spans(spark, sf_dir)
+    return within_ranges(clicks, views, "at", "lo", "hi", ["user_id"], finest=3_600_000_000).select("event_id", "range_id")
+
+
+@query("nearest_below", f"WITH {_SPANS} SELECT event_id, CASE WHEN t - lo <= 43200000000 THEN range_id END AS range_id FROM c ASOF LEFT JOIN v ON c.user_id = v.user_id AND t >= lo")
+def nearest_below(spark, sf_dir):
+    """The nearest start at or below a point, unless it is more than twelve hours off."""
+    views, clicks = _spans(spark, sf_dir)
+    return asof_backward(clicks, views.select("user_id", F.col("lo").alias("at"), "range_id"), "at", "range_id", ["user_id"], greatest_gap=43_200_000_000).select("event_id", "range_id")

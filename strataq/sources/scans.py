@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataq.functions.session import written
+
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): one row per file."""
@@ -14,17 +16,30 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def npm_packages(text: Column) -> Column:
-    """(package, version) of a package-lock.json: of ``packages`` in newer files, else of nested ``dependencies``."""
-    new = F.transform(
+    """(package, version) of the ``packages`` of a package-lock.json, as newer files have them; for older ones see ``nested_packages``."""
+    return F.transform(
         F.map_entries(F.from_json(F.get_json_object(text, "$.packages"), "map<string,struct<version:string>>")),
         lambda e: F.struct(F.regexp_extract(e["key"], r"node_modules/((?:@[^/]+/)?[^/]+)$", 1).alias("package"), e["value"]["version"].alias("version")),
     )
-    flat = F.regexp_extract_all(text, F.lit(r'"((?:@[^"/]+/)?[^"/]+)"\s*:\s*\{\s*"version"\s*:\s*"([^"]+)"'), F.lit(0))
-    old = F.transform(
-        flat,
-        lambda s: F.struct(F.regexp_extract(s, r'^"([^"]+)"', 1).alias("package"), F.regexp_extract(s, r'"version"\s*:\s*"([^"]+)"', 1).alias("version")),
-    )
-    return F.when(F.size(F.coalesce(new, F.array())) > 0, new).otherwise(old)
+
+
+def nested_packages(files: DataFrame) -> DataFrame:
+    """(path, package, version, depth) of lock files (path, value) whose ``dependencies`` nest.
+
+    Texts are parsed once, to variants; each round opens one level of all files, until there is none below. What is no JSON, or has no
+    dependencies, gives nothing; a package without a version has a null one.
+    """
+    spark = files.sparkSession
+    level = files.select("path", F.try_variant_get(F.try_parse_json("value"), "$.dependencies", "variant").alias("deps")).where("deps is not null")
+    found, depth = [], 0
+    while True:
+        opened = spark.sql("SELECT l.path, e.key AS package, e.value AS entry FROM {level} l, LATERAL variant_explode(l.deps) e", level=level)
+        get = lambda what, kind: F.try_variant_get("entry", f"$.{what}", kind)
+        opened = written(opened.select("path", "package", get("version", "string").alias("version"), F.lit(depth).alias("depth"), get("dependencies", "variant").alias("deps")))
+        found.append(opened.drop("deps"))
+        level, depth = opened.where("deps is not null").select("path", "deps"), depth + 1
+        if level.isEmpty():
+            return reduce(lambda a, b: a.unionByName(b), found)
 
 
 def yarn_packages(text: Column) -> Column:
@@ -60,8 +75,10 @@ def locked(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     repo, kind = F.substring_index(name, "__", 1), F.substring_index(name, "__", -1)
     packages = F.coalesce(*[F.when(kind == k, f(F.col("value"))) for k, f in LOCKS.items()])
-    each = files.select(repo.alias("repo"), F.explode(packages).alias("p"))
-    return each.select("repo", "p.package", "p.version").where("package <> ''")
+    each = files.select(repo.alias("repo"), F.explode(packages).alias("p")).select("repo", "p.package", "p.version").where("package <> ''")
+    older = files.where((kind == "package-lock.json") & F.get_json_object("value", "$.packages").isNull())
+    nested = nested_packages(older.select(repo.alias("path"), "value")).select(F.col("path").alias("repo"), "package", "version")
+    return each.unionByName(nested)
 
 
 #: Kinds of lock file and tools that a scan of manifests tells: fixed values.

@@ -168,3 +168,22 @@ def test_gates_and_ids(spark):
     assert reconcile.with_ids(points, meta).first().metric_id == 7
     with pytest.raises(Exception, match="no id"):
         reconcile.with_ids(points, meta.where("name = 'q'")).collect()
+
+
+def test_ranges_that_overlap_and_nest(spark):
+    rnd = random.Random(12)
+    spans = [(k, rnd.randint(0, 2), lo := rnd.randint(-50, 3000), lo + rnd.choice([0, 1, 2, 3, 5, 64, 65, 1000, 5000])) for k in range(300)] + [(900, None, 0, 10), (901, 1, None, 5), (902, 1, 7, 3)]
+    points = [(k, rnd.randint(0, 2), rnd.randint(-60, 4000)) for k in range(400)] + [(900, None, 5), (901, 1, None)]
+    for finest in (1, 16):
+        found = asof.within_ranges(spark.createDataFrame(points, "p long, g int, at long"), spark.createDataFrame(spans, "r long, g int, lo long, hi long"), "at", "lo", "hi", ["g"], finest)
+        got = sorted((x.p, x.r) for x in found.collect())
+        want = sorted((p, r) for p, g, at in points for r, h, lo, hi in spans if None not in (g, at, lo) and g == h and lo <= at < hi)
+        assert got == want
+        assert "NestedLoop" not in found._jdf.queryExecution().toString() and "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+def test_a_value_from_too_long_before_is_none(spark):
+    left = spark.createDataFrame([(k, at) for k, at in enumerate([5, 10, 14, 15, 40, 41])], "k int, at long")
+    right = spark.createDataFrame([(10, 1), (35, 2)], "at long, v int")
+    got = {r.at: r.v for r in asof.asof_backward(left, right, "at", "v", slice_size=7, greatest_gap=5).collect()}
+    assert got == {5: None, 10: 1, 14: 1, 15: 1, 40: 2, 41: None}

@@ -8,14 +8,13 @@ from strataq.sources import scans
 
 def test_lockfiles(spark):
     new = json.dumps({"packages": {"": {"version": "0"}, "node_modules/a": {"version": "1.0.0"}, "node_modules/b/node_modules/@s/c": {"version": "2.0.0"}}})
-    old = '{"dependencies": {"a": {"version": "1.0.0", "dependencies": {"@s/c": {"version": "3.0.0"}}}}}'
     yarn = '"@s/c@^1", "@s/c@^2":\n  version "2.5.0"\n\na@^1:\n  version "1.1.0"\n'
     pnpm = "packages:\n  /a@1.2.3:\n    x: y\n  '@s/c@4.5.6':\n  /d/7.8.9:\n  e@1.0.0(react@18.2.0):\n  overrides:\n"
-    r = spark.createDataFrame([(new, old, yarn, pnpm)], "new string, old string, yarn string, pnpm string").select(
-        scans.npm_packages(F.col("new")), scans.npm_packages(F.col("old")), scans.yarn_packages(F.col("yarn")), scans.pnpm_packages(F.col("pnpm"))
+    r = spark.createDataFrame([(new, yarn, pnpm)], "new string, yarn string, pnpm string").select(
+        scans.npm_packages(F.col("new")), scans.yarn_packages(F.col("yarn")), scans.pnpm_packages(F.col("pnpm"))
     ).first()
     got = [sorted((p.package, p.version) for p in x if p.package) for x in r]
-    assert got == [[("@s/c", "2.0.0"), ("a", "1.0.0")], [("@s/c", "3.0.0"), ("a", "1.0.0")], [("@s/c", "2.5.0"), ("a", "1.1.0")], [("@s/c", "4.5.6"), ("a", "1.2.3"), ("d", "7.8.9"), ("e", "1.0.0")]]
+    assert got == [[("@s/c", "2.0.0"), ("a", "1.0.0")], [("@s/c", "2.5.0"), ("a", "1.1.0")], [("@s/c", "4.5.6"), ("a", "1.2.3"), ("d", "7.8.9"), ("e", "1.0.0")]]
 
 
 def test_heap_profile(spark, tmp_path):
@@ -38,3 +37,26 @@ def test_tsv_and_dot(spark, tmp_path):
     assert sorted(map(tuple, scans.read_tsv(spark, f"{tmp_path}/t", "k string, n int").collect())) == [("a", 1), ("b", 2)]
     assert '"a" -> "b";' in scans.to_dot([("a", "b")])
     assert scans.resolve({"x": "x_exp"}, "x") == "x_exp" and scans.resolve({}, "x") == "x"
+
+
+def test_older_lockfiles_nest_with_fields_in_any_order(spark, tmp_path):
+    old = {"lockfileVersion": 1, "dependencies": {
+        "keyv": {"resolved": "https://r.org/keyv", "version": "4.5.4", "requires": {"json-buffer": "3.0.1"}},
+        "flat-cache": {"version": "3.2.0", "dependencies": {"@s/c": {"dependencies": {"deep": {"dev": True, "version": "0.1.0", "dependencies": {}}}, "version": "3.0.0"}, "nameless": {}}},
+    }}
+    (tmp_path / "r1__package-lock.json").write_text(json.dumps(old))
+    (tmp_path / "r2__package-lock.json").write_text("not json")
+    (tmp_path / "r3__package-lock.json").write_text(json.dumps({"packages": {"node_modules/a": {"version": "1.0.0"}}, "dependencies": {"a": {"version": "1.0.0"}}}))
+    (tmp_path / "r4__yarn.lock").write_text('b@^1:\n  version "1.1.0"\n')
+    got = sorted(map(tuple, scans.locked(scans.whole_files(spark, f"{tmp_path}/*")).collect()), key=repr)
+    assert got == sorted([("r1", "keyv", "4.5.4"), ("r1", "flat-cache", "3.2.0"), ("r1", "@s/c", "3.0.0"), ("r1", "nameless", None), ("r1", "deep", "0.1.0"), ("r3", "a", "1.0.0"), ("r4", "b", "1.1.0")], key=repr)
+    bad = spark.createDataFrame([("keyv", "4.5.4"), ("@s/c", "9.9.9")], "package string, version string")
+    flags = {r.package: r.flag for r in scans.flagged(scans.locked(scans.whole_files(spark, f"{tmp_path}/*")), bad).collect()}
+    assert flags == {"keyv": scans.COMPROMISED, "@s/c": "OK"}
+
+
+def test_dependencies_outside_the_registry(spark):
+    outside = ["git+ssh://git@h.org:o/r.git#v1", "git://h.org/r", "https://h.org/x.tgz", "user/repo", "user/repo#semver:^5", "github:o/r", "gitlab:o/r", "gist:11081aaa281", "git@github.com:o/r.git"]
+    inside = ["^1.2.3", "1.x", "latest", "npm:@s/other@1.0.0", "file:../foo/bar", "workspace:*", "*", "", ">=1.0.2 <2.1.2", "~/x/y"]
+    df = spark.createDataFrame([(x, True) for x in outside] + [(x, False) for x in inside], "spec string, want boolean")
+    assert df.where(scans.not_registry(F.col("spec")) != F.col("want")).collect() == []
