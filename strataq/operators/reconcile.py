@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -107,6 +109,30 @@ def allowed_writes(planned: set[str], allowed: set[str]) -> None:
         raise ValueError(f"not allowed to write: {', '.join(sorted(planned - allowed))}")
 
 
+def touched(spark: SparkSession, statement: str) -> tuple[set[str], set[str]]:
+    """(tables read, tables written) of a SQL statement, by its analysed plan; nothing is run. Names of the session's own catalogue stand without it."""
+    told = spark.sql(f"EXPLAIN EXTENDED {statement}").first()[0]
+    plan = told.split("== Analyzed Logical Plan ==", 1)[1].split("== Optimized Logical Plan ==", 1)[0]
+    name = r"spark_catalog\.([\w.]+)"
+    bare = lambda n: n.removeprefix("default.")
+    writes, reads = set(), set()
+    for line in plan.splitlines():
+        if re.search(r"\b(InsertInto|CreateDataSourceTableAsSelect|OverwriteBy|AppendData|ReplaceTable|CreateTable|DeleteFrom|UpdateTable|MergeInto|TruncateTable|DropTable)\w*", line):
+            writes |= {bare(n.replace("`", "")) for n in re.findall(name, line.replace("`", ""))}
+        elif "SubqueryAlias" in line or "Relation" in line:
+            reads |= {bare(n) for n in re.findall(name, line.replace("`", ""))}
+    return reads - writes, writes
+
+
+def gated(spark: SparkSession, statement: str, may_read: set[str], may_write: set[str]) -> DataFrame:
+    """Run a statement that reads and writes allowed tables alone; one that doesn't is refused before it runs."""
+    reads, writes = touched(spark, statement)
+    if reads - may_read:
+        raise ValueError(f"not allowed to read: {', '.join(sorted(reads - may_read))}")
+    allowed_writes(writes, may_write)
+    return spark.sql(statement)
+
+
 def with_ids(points: DataFrame, metadata: DataFrame) -> DataFrame:
     """``points`` (name, ..) with metric_id from ``metadata`` (name, metric_id); a name without an id is an error when it is read."""
     j = points.join(metadata, "name", "left")
