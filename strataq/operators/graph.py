@@ -62,3 +62,34 @@ def levels(edges: DataFrame) -> DataFrame:
         left -= n
         placed = written(placed.unionByName(new))
     return placed
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``edges`` (a, b), whose order means nothing; a component is named by its least node.
+
+    Stars are contracted in turn: around each node the greater neighbours are tied to the least one, then the lesser ones are, until nothing
+    moves. A round is two aggregations and joins on nodes, rounds grow with the logarithm of a component's size, and edges never become more.
+    Edges with a null end say nothing; a node tied to itself is a component.
+    """
+    ends = edges.select("a", "b").where("a is not null and b is not null")
+    alone = ends.where("a = b").select(F.col("a").alias("node")).distinct()
+    pairs = written(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = mark(pairs)
+    while True:
+        both = pairs.union(pairs.select("v", "u"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = written(large)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        pairs = written(small.select("x.u", "x.v").where("u <> v").distinct())
+        now = mark(pairs)
+        if now == before:
+            break
+        before = now
+    named = pairs.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    tops = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+    known = named.unionByName(tops)
+    single = alone.join(known.select("node"), "node", "left_anti")
+    return known.unionByName(single.select("node", F.col("node").alias("component")))

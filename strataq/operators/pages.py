@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strataq.operators.graph import components
+
 
 def canonical_url(url: Column) -> Column:
     """Lower-case scheme and host without ``www.`` and ``m.``, without tracking and paging parameters, fragment or trailing slash."""
@@ -51,3 +53,22 @@ STAGES = ("rejected", "short", "duplicate", "accepted")
 
 def stage(short: Column, toxic: Column, copy: Column) -> Column:
     return F.when(toxic, "rejected").when(short, "short").when(copy, "duplicate").otherwise("accepted")
+
+
+def stories(texts: DataFrame, words: int = 8, most: int | None = None) -> DataFrame:
+    """(page_id, story) of ``texts`` (page_id, text): pages that share a passage of so many words tell one story, which is named by its least page.
+
+    Passages are compared without case. A passage is a star of the pages that hold it, around the least, so links grow with the passages and not with
+    pairs of pages. One that more than ``most`` pages hold (a menu, a notice) links nothing; None: each does. Pages that share nothing, and those without a
+    text, are stories of their own; rows without a page_id give none.
+    """
+    pages = texts.where("page_id is not null")
+    w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
+    starts = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - words + 1)).otherwise(F.array().cast("array<int>"))
+    held = pages.select("page_id", w.alias("w")).select("page_id", F.explode(F.transform(starts, lambda k: F.md5(F.array_join(F.slice("w", k, words), " ")))).alias("passage")).distinct()
+    stars = held.groupBy("passage").agg(F.min("page_id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    if most is not None:
+        stars = stars.where(F.col("n") <= most)
+    links = held.join(stars, "passage").select(F.col("page_id").alias("a"), "b").distinct()
+    named = components(links)
+    return pages.select("page_id").distinct().join(named, F.col("page_id") == F.col("node"), "left").select("page_id", F.coalesce("component", "page_id").alias("story"))

@@ -42,6 +42,20 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
 
 
+@query(
+    "page_stories",
+    rf"""WITH RECURSIVE t AS (SELECT page_id, trim(regexp_replace({_TEXT}, '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text FROM pages), w AS (SELECT page_id, list_filter(string_split(lower(text), ' '), lambda x: x <> '') AS w FROM t),
+    h AS (SELECT DISTINCT page_id, array_to_string(w[k : k + 4], ' ') AS passage FROM (SELECT page_id, w, unnest(range(1, len(w) - 3)) AS k FROM w)),
+    e AS (SELECT DISTINCT a.page_id AS a, b.page_id AS b FROM h a JOIN h b USING (passage)),
+    r(root, node) AS (SELECT page_id, page_id FROM pages UNION SELECT r.root, e.b FROM r JOIN e ON r.node = e.a)
+    SELECT node AS page_id, min(root) AS story FROM r GROUP BY node""",
+)
+def page_stories(spark, sf_dir):
+    """Stories, as components of pages that share five words running."""
+    p = table(spark, sf_dir, "pages").select("page_id", pages.html_text(F.col("html")).alias("text"))
+    return pages.stories(p, 5)
+
+
 @query("retry_queue", "SELECT page_id FROM pages WHERE page_id % 7 <> 0 AND page_id % 5 < 3")
 def retry_queue(spark, sf_dir):
     """Pages that are tried again; every seventh is fetched, and ids modulo five stand for attempts."""
