@@ -1,9 +1,13 @@
 import random
+import time
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from strataq.operators import fold
-from strataq.streaming import blocks
+from strataq.streaming import blocklog, blocks
 from strataq.streaming import fold as streams
 
 SCHEMA = "address long, event_id long, t long, amount long"
@@ -36,7 +40,8 @@ def test_stream_dedup_and_windows(spark, tmp_path):
     assert sorted((r.total, r.n) for r in spark.table("sums").collect()) == [(45, 10), (145, 10)]
 
 
-def test_blocks_in_any_order_equal_the_batch_fold(spark, tmp_path):
+@pytest.mark.parametrize("form", [blocks.lifo_blocks, blocks.lifo_grouped_blocks])
+def test_blocks_in_any_order_equal_the_batch_fold(spark, tmp_path, form):
     rnd = random.Random(8)
     data = [(k, 10 * b + i, b, rnd.randint(-3, 3)) for b in range(1, 9) for i, k in enumerate(rnd.choices(range(1, 5), k=6))]
     schema = "address long, event_id long, block long, amount long"
@@ -48,7 +53,7 @@ def test_blocks_in_any_order_equal_the_batch_fold(spark, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", blocks.ROCKSDB)
     try:
         files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-        q = blocks.sorted_blocks(blocks.lifo_blocks(files), f"{tmp_path}/out", f"{tmp_path}/check").trigger(availableNow=True).start()
+        q = blocks.sorted_blocks(form(files), f"{tmp_path}/out", f"{tmp_path}/check").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
@@ -58,6 +63,79 @@ def test_blocks_in_any_order_equal_the_batch_fold(spark, tmp_path):
     assert sum(o["numRowsDroppedByWatermark"] for p in q.recentProgress for o in p["stateOperators"]) >= 1  # late, and told
 
 
+class Counted(dict):
+    """A map state that counts what is asked of it."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.calls = 0
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        self.pop(key, None)
+
+
+def test_only_the_top_of_a_stack_is_touched():
+    rnd, state, stack, nonce = random.Random(2), Counted(), [], 1
+    for k in range(600):
+        amount = rnd.randint(-6, 9)
+        top, calls = blocks.TopStack(state, len(stack)), state.calls
+        want = fold.fold_one(stack, nonce, k + 1, amount)
+        assert fold.fold_one(top, nonce, k + 1, amount) == want
+        top.put()
+        nonce = want[0]
+        assert [state[(i,)] for i in range(len(state))] == stack
+        assert state.calls - calls <= 2 * len(want[1])
+    assert len(stack) > 100
+
+
+def test_a_log_is_read_from_a_block_on(spark, tmp_path):
+    schema, rnd = "block long, event_id long, amount long", random.Random(5)
+    rows, names = {0: [], 1: []}, schema.split()[::2]
+    for p in rows:
+        block = 0
+        for i in range(500):
+            block += rnd.choice([0, 0, 1, 3])
+            rows[p].append((block, 1000 * p + i, rnd.randint(-5, 5)))
+        at = 0
+        (tmp_path / "log" / f"partition={p}").mkdir(parents=True)
+        while at < 500:
+            part = rows[p][at : at + rnd.randint(20, 90)]
+            pq.write_table(pa.table(dict(zip(names, zip(*part)))), tmp_path / "log" / f"partition={p}" / f"{at:020d}.parquet", row_group_size=16)
+            at += len(part)
+    log = blocklog.Log(f"{tmp_path}/log", "block")
+    for p, each in rows.items():
+        for block in (-1, 0, 1, 100, each[250][0], each[-1][0], each[-1][0] + 1):
+            assert log.begin(p, block) == sum(r[0] < block for r in each)
+    blocklog.register(spark)
+    begin = rows[0][200][0]
+
+    def run(limit):
+        stream = spark.readStream.format("blocklog").schema(schema).options(path=f"{tmp_path}/log", startingBlock=str(begin), rows="60", progress=f"{tmp_path}/progress").load()
+        q = streams.write_batches(stream, f"{tmp_path}/out", f"{tmp_path}/check").start()
+        while q.isActive and (q.lastProgress is None or q.lastProgress["batchId"] < limit):
+            q.processAllAvailable() if limit > 50 else time.sleep(0.05)
+            if limit > 50:
+                break
+        q.stop()
+        return q
+
+    run(2)  # stopped on the way
+    run(99)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*names).collect())
+    assert got == sorted(r for each in rows.values() for r in each if r[0] >= begin)
+    sizes = [r["count"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("batch").count().collect()]
+    assert max(sizes) <= 240 and len(sizes) >= 4  # two partitions of 60 rows a batch, twice that at most behind a stop
+
+
 def test_pregrouped(spark):
     rows = [(1, 2, 5, 7), (1, 1, 5, 3), (2, 3, 5, 1)]
     got = blocks.pregrouped(spark.createDataFrame(rows, "address long, event_id long, block long, amount long")).collect()
