@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from strataq.plans import checks, composites, documents, ledgers, metrics  # noqa: F401
+from strataq.plans import checks, composites, documents, ledgers, metrics, streams  # noqa: F401
 
 FLAGSHIP = "fold_lifo_ledger"

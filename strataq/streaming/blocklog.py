@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import json
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from strataq.functions.session import by_key
+
 
 class Log:
     """Segments of the partitions under a folder."""
@@ -139,5 +142,46 @@ class BlockLog(DataSource):
         return Reader(self.options, schema)
 
 
+def write_log(rows: DataFrame, folder: str, block: str, order: Sequence[str], partitions: int, segment: int = 50_000, key: str | None = None) -> DataFrame:
+    """Write ``rows`` as a log, dealt by ``key`` (all to partition 0 without one) and in ``order`` within a partition, which begins with the block.
+
+    Gives (partition, offset, rows) of the segments. A task writes one partition at a time and holds one segment; a segment that another attempt has
+    written is written again, with the same rows.
+    """
+    names, dealt = rows.columns, F.pmod(F.xxhash64(key), F.lit(partitions)) if key else F.lit(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, path = fs.FileSystem.from_uri(folder)
+        at, offset, held = None, 0, []
+
+        def put() -> pa.RecordBatch:
+            nonlocal offset, held
+            table = pa.Table.from_batches(held)
+            where.create_dir(f"{path}/partition={at}", recursive=True)
+            pq.write_table(table, f"{path}/partition={at}/{offset:020d}.parquet", filesystem=where, row_group_size=4096)
+            told = pa.RecordBatch.from_pydict({"partition": pa.array([at], pa.int64()), "offset": pa.array([offset], pa.int64()), "rows": pa.array([len(table)], pa.int64())})
+            offset, held = offset + len(table), []
+            return told
+
+        for b in batches:
+            cuts = [0, *(k for k in range(1, b.num_rows) if b.column(0)[k] != b.column(0)[k - 1]), b.num_rows] if b.num_rows else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if (p := b.column(0)[lo].as_py()) != at:
+                    if held:
+                        yield put()
+                    at, offset, held = p, 0, []
+                while lo < hi:
+                    part = b.slice(lo, min(hi - lo, segment - sum(x.num_rows for x in held)))
+                    held.append(pa.RecordBatch.from_arrays(part.columns[1:], names))
+                    lo += part.num_rows
+                    if sum(x.num_rows for x in held) == segment:
+                        yield put()
+        if held:
+            yield put()
+
+    parts = rows.select(dealt.cast("long").alias("__partition"), *names)
+    return by_key(parts, "__partition").sortWithinPartitions("__partition", *order).mapInArrow(run, "partition long, offset long, rows long")
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(BlockLog)
