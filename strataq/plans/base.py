@@ -62,6 +62,11 @@ def days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.explode(F.sequence("lo", "hi")).alias("day"))
 
 
+def contract_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(contract, day): every day for every contract."""
+    return small_changes(spark, sf_dir).select("contract").distinct().crossJoin(F.broadcast(days(spark, sf_dir)))  # days are few
+
+
 def contract_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(contract, t, price): mean cents of a contract's clicks of each five minutes."""
     e = table(spark, sf_dir, "events").where("event_type = 'click'")
@@ -75,10 +80,12 @@ def priced_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contract_seam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(contract, t, odt, measure, acq): the seam of each contract with its own price at origin, null where it has none yet."""
-    p = contract_prices(spark, sf_dir).select("contract", F.col("t").alias("at"), F.col("price").alias("acq"))
+    """(contract, t, odt, measure, acq, now): the seam of each contract with its own price at origin and at the time, null where it has none yet."""
+    p = contract_prices(spark, sf_dir)
     s = fold.seam(fold.lifo_ledger(small_changes(spark, sf_dir), ("contract", "address")), ["contract"])
-    return asof.asof_backward(s.withColumn("at", floor_to("odt", FIVE_MINUTES)), p, "at", "acq", by=["contract"]).drop("at")
+    for name, of in (("acq", "odt"), ("now", "t")):
+        s = asof.asof_backward(s.withColumn("at", floor_to(of, FIVE_MINUTES)), p.select("contract", F.col("t").alias("at"), F.col("price").alias(name)), "at", name, by=["contract"]).drop("at")
+    return s
 
 
 #: Source of a query -> DataFrame of it.
@@ -95,6 +102,7 @@ SOURCES = {
     "psurvivors": priced_survivors,
     "cprice": contract_prices,
     "days": days,
+    "cdays": contract_days,
     "live": lambda s, d: fold.net_cohorts(fold.lifo_ledger(changes(s, d))),
 }
 
@@ -157,9 +165,24 @@ CPRICE = """cprice AS (
   SELECT contract, t - t % 300000000 AS t, floor(sum(c) / count(*))::BIGINT AS price FROM (SELECT event_id % 3 AS contract, epoch_us(ts) AS t, round(value * 100)::BIGINT AS c FROM events WHERE event_type = 'click') GROUP BY 1, 2
 )"""
 CSEAM = """cseam AS (
-  SELECT s.contract, s.t, s.odt, s.measure, p.price AS acq
-  FROM (SELECT address % 10 AS contract, t, odt, odt - odt % 300000000 AS oat, sum(sign * amount)::BIGINT AS measure FROM ledger GROUP BY 1, 2, 3, 4 HAVING sum(sign * amount) <> 0) s
-  ASOF LEFT JOIN cprice p ON s.contract = p.contract AND s.oat >= p.t
+  SELECT s.contract, s.t, s.odt, s.measure, p.price AS acq, n.price AS now
+  FROM (SELECT address % 10 AS contract, t, odt, odt - odt % 300000000 AS oat, t - t % 300000000 AS tat, sum(sign * amount)::BIGINT AS measure FROM ledger GROUP BY 1, 2, 3, 4, 5 HAVING sum(sign * amount) <> 0) s
+  ASOF LEFT JOIN cprice p ON s.contract = p.contract AND s.oat >= p.t ASOF LEFT JOIN cprice n ON s.contract = n.contract AND s.tat >= n.t
+)"""
+#: ``eaten`` and ``held_days`` by contract, with its own prices.
+CEATEN = """ceaten AS (
+  SELECT e.*, a.price AS acq, n.price AS now, e.t // 86400000000 AS day
+  FROM (SELECT address % 10 AS contract, t, odt, prem - rem AS amount, odt - odt % 300000000 AS oat, t - t % 300000000 AS tat FROM touch WHERE prem > rem) e
+  ASOF LEFT JOIN cprice a ON e.contract = a.contract AND e.oat >= a.t ASOF LEFT JOIN cprice n ON e.contract = n.contract AND e.tat >= n.t
+)"""
+CHELD_DAYS = """by_day AS (
+  SELECT address, coin, odt, t // 86400000000 AS day, min(rem) AS rem FROM held GROUP BY 1, 2, 3, 4
+), coin_days AS (
+  SELECT c.*, g.day FROM (SELECT DISTINCT address, coin, odt FROM held) c JOIN days g ON g.day >= c.odt // 86400000000
+), cheld_days AS (
+  SELECT c.contract, c.day, c.odt, h.rem, p.price AS acq
+  FROM (SELECT c.*, c.address % 10 AS contract, odt - odt % 300000000 AS oat FROM coin_days c) c ASOF JOIN by_day h ON c.address = h.address AND c.coin = h.coin AND c.day >= h.day
+  ASOF LEFT JOIN cprice p ON c.contract = p.contract AND c.oat >= p.t
 )"""
 LIVE = "live AS (SELECT address, odt, sum(sign * amount)::BIGINT AS amount FROM ledger GROUP BY address, odt HAVING sum(sign * amount) <> 0)"
 SURVIVORS = """survivors AS (
@@ -197,6 +220,9 @@ PRELUDES = {
     "hot ledger": [CH_HOT, BALANCE, PAIRS],
     "cseam": [CH_SMALL, BALANCE, PAIRS, CPRICE, CSEAM],
     "cprice": [CPRICE],
+    "cdays": [CH_SMALL, DAYS, "cdays AS (SELECT DISTINCT contract, day FROM days, (SELECT DISTINCT address % 10 AS contract FROM ch) c)"],
+    "ceaten": [CH_SMALL, BALANCE, PAIRS, CPRICE, CEATEN],
+    "cheld days": [CH_SMALL, BALANCE, PAIRS, CPRICE, DAYS, CHELD_DAYS],
     "days": [CH, DAYS],
     "psurvivors": [CH, BALANCE, SURVIVORS, PRICE, PSURVIVORS],
     "pledger": [*_LEDGER, PRICE, PLEDGER],

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import functions as F
 
-from strataq.functions.session import table, written
+from strataq.functions.session import scratch_folder, table, written
 from strataq.functions.time import DAY, micros
 from strataq.operators import graph, pages
 from strataq.operators.asof import asof_backward, within_ranges
@@ -453,3 +454,29 @@ def nearest_below(spark, sf_dir):
     """The nearest start at or below a point, unless it is more than twelve hours off."""
     views, clicks = _spans(spark, sf_dir)
     return asof_backward(clicks, views.select("user_id", F.col("lo").alias("at"), "range_id"), "at", "range_id", ["user_id"], greatest_gap=43_200_000_000).select("event_id", "range_id")
+
+
+@query(
+    "heap_profiles",
+    """SELECT 'p' || (user_id % 20) AS profile, event_type || '>' || (user_id % 7) AS stack, count(*) AS n, sum(round(value * 1000)::BIGINT)::BIGINT AS bytes FROM events GROUP BY 1, 2 HAVING sum(round(value * 1000)::BIGINT) > 0""",
+)
+def heap_profiles(spark, sf_dir):
+    """Heap profiles as texts, read back to stacks and what they hold; events are samples, a kind and a user's place the stack."""
+    e = table(spark, sf_dir, "events").select(F.concat(F.lit("p"), F.col("user_id") % 20).alias("profile"), F.concat(F.col("event_type"), F.lit(">"), F.col("user_id") % 7).alias("stack"), F.round(F.col("value") * 1000).cast("long").alias("size"))
+    kept = e.groupBy("profile", "stack").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    frames = F.array_join(F.transform(F.split("stack", ">"), lambda f: F.concat(F.lit("0x"), F.lower(F.hex(F.encode(f, "UTF-8"))))), " ")
+    entry = F.concat(F.lit("@ "), frames, F.lit("\n  t*: "), "n", F.lit(": "), "bytes", F.lit(" [0: 0]\n  t0: 1: 1 [0: 0]"))
+    texts = kept.groupBy("profile").agg(F.array_join(F.sort_array(F.collect_list(entry)), "\n").alias("body"))  # a profile has few stacks
+    files = texts.select(F.col("profile").alias("path"), F.concat(F.lit("heap_v2/2097152\n  t*: 9: 9 [0: 0]\n"), "body", F.lit("\nMAPPED_LIBRARIES:\n00400000-0040b000 r-xp 00000000 08:01 17 /bin/a\n")).alias("value"))
+    back = F.array_join(F.transform("stack", lambda f: F.decode(F.unhex(F.substring(f, 3, 1000)), "UTF-8")), ">")
+    return scans.heap_stacks(files).select(F.col("path").alias("profile"), back.alias("stack"), "n", "bytes")
+
+
+@query("tsv_round_trip", "SELECT n_nationkey AS key, n_name AS name, c.n AS customers FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) c ON c_nationkey = n_nationkey")
+def tsv_round_trip(spark, sf_dir):
+    """A table written with tabs between its columns and read again under the name that stands in for it."""
+    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
+    rows = n.join(c, n["n_nationkey"] == c["c_nationkey"], "left").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"), "customers")
+    with scratch_folder(spark, f"tsv-{uuid.uuid4().hex}") as at:
+        scans.write_tsv(rows, f"{at}/nations_experimental")
+        return written(scans.read_tsv(spark, f"{at}/{scans.resolve({'nations': 'nations_experimental'}, 'nations')}", "key long, name string, customers long"))

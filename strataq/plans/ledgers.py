@@ -224,19 +224,27 @@ def two_leg(spark, sf_dir):
 
 @query(
     "named_predicates",
-    """WITH l AS (SELECT o_custkey AS a, (o_custkey * 7 + 3) % 1000 AS b, round(o_totalprice * 100)::BIGINT AS v, o_custkey % 3 = 0 AS fx, ((o_custkey * 7 + 3) % 1000) % 3 = 0 AS tx FROM orders)
-    SELECT 'exchanges_only' AS name, count(*) AS n, sum(v)::BIGINT AS volume FROM l WHERE fx OR tx
-    UNION ALL SELECT 'without_exchange_to_exchange', count(*), sum(v)::BIGINT FROM l WHERE NOT (fx AND tx)
-    UNION ALL SELECT 'whales', count(*), sum(v)::BIGINT FROM l WHERE v >= 30000000
-    UNION ALL SELECT 'in_and_out', count(*), sum(v)::BIGINT FROM l WHERE a <> b""",
+    """WITH l AS (SELECT o_custkey AS a, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN o_custkey ELSE (o_custkey * 7 + 3) % 1000 END AS b, round(o_totalprice * 100)::BIGINT AS v, o_orderpriority = '5-LOW' AS fee,
+      o_custkey % 3 = 0 AS fx, coalesce(CASE WHEN o_orderkey % 5 = 0 THEN o_custkey ELSE (o_custkey * 7 + 3) % 1000 END % 3 = 0 AND o_orderkey % 7 <> 0, false) AS tx, o_orderstatus = 'F' AND o_orderkey % 2 = 0 AS stake FROM orders), x AS (SELECT *, tx AND NOT stake AS te FROM l)
+    SELECT 'only_in' AS name, count(*) AS n, coalesce(sum(v), 0)::BIGINT AS volume FROM x WHERE v > 0 AND a <> b
+    UNION ALL SELECT 'in_and_out', count(*), coalesce(sum(v), 0)::BIGINT FROM x WHERE a <> b
+    UNION ALL SELECT 'without_fees', count(*), coalesce(sum(v), 0)::BIGINT FROM x WHERE NOT fee
+    UNION ALL SELECT 'burnt_fees', count(*), coalesce(sum(v), 0)::BIGINT FROM x WHERE fee AND b IS NULL
+    UNION ALL SELECT 'exchanges_only', count(*), coalesce(sum(v), 0)::BIGINT FROM x WHERE fx OR te
+    UNION ALL SELECT 'without_exchange_to_exchange', count(*), coalesce(sum(v), 0)::BIGINT FROM x WHERE NOT (fx AND te)
+    UNION ALL SELECT 'whales', count(*), coalesce(sum(v), 0)::BIGINT FROM x WHERE v >= 30000000
+    UNION ALL SELECT 'stakers', count(*), coalesce(sum(v), 0)::BIGINT FROM x WHERE stake""",
 )
 def named_predicates(spark, sf_dir):
-    """Variants of a source by the names of their predicates."""
-    label = lambda c: F.when(F.col(c) % 3 == 0, "exchange")
-    t = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sender"), ((F.col("o_custkey") * 7 + 3) % 1000).alias("receiver"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
-    t = t.withColumns({"kind": F.lit("TRANSFER"), "from_label": label("sender"), "to_label": label("receiver")})
-    each = [predicates.rows_of("transfers.as_they_are", t, p).select(F.lit(p).alias("name"), "cents") for p in ("exchanges_only", "without_exchange_to_exchange", "whales", "in_and_out")]
-    return reduce(lambda a, b: a.unionByName(b), each).groupBy("name").agg(F.count("*").alias("n"), F.sum("cents").alias("volume"))
+    """Variants of a source by the names of their predicates, all of them."""
+    key, own = F.col("o_orderkey"), F.col("o_custkey")
+    to = F.when(key % 7 == 0, F.lit(None)).when(key % 5 == 0, own).otherwise((own * 7 + 3) % 1000)
+    t = table(spark, sf_dir, "orders").select(own.alias("sender"), to.alias("receiver"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), F.when(F.col("o_orderpriority") == "5-LOW", "fee").otherwise("TRANSFER").alias("kind"), ((F.col("o_orderstatus") == "F") & (key % 2 == 0)).alias("stake"))
+    t = t.withColumns({"from_label": F.when(F.col("sender") % 3 == 0, "exchange"), "to_label": F.when(F.col("stake"), "staking").when(F.col("receiver") % 3 == 0, "exchange")})
+    each = [predicates.rows_of("transfers.as_they_are", t, p).select(F.lit(p).alias("name"), "cents") for p in predicates.PREDICATES]
+    names = spark.createDataFrame([(p,) for p in predicates.PREDICATES], "name string")
+    sums = reduce(lambda a, b: a.unionByName(b), each).groupBy("name").agg(F.count("*").alias("n"), F.sum("cents").alias("volume"))
+    return names.join(sums, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("volume", F.lit(0)).alias("volume"))
 
 
 @query("seam_deltas", with_prelude("SELECT t, odt, measure FROM seam", "seam"))

@@ -113,13 +113,35 @@ _HELD_TWIN = lambda what, name: ("held days", f"SELECT w.window_days, g.day, coa
 metric("circulation_delta_T", "pseam days", f"SELECT d.window_days, d.day, d.delta FROM ({_windowed()}) d JOIN days n ON d.day = n.day", "M7, M8: changes by day; the infinite window has no cancels. What grows too old after the last day of the data is not told.")
 metric("circulation_T", "pseam days", f"SELECT window_days, day, delta AS circulation FROM ({_so_far('delta')}) d", "M9: on every day of every window.", _HELD_TWIN("h.rem", "circulation"))
 metric("circulation_infinite", "pseam days", f"SELECT day, delta AS circulation FROM ({_so_far('delta', windows=(INFINITE,))}) d", "M8.")
-_BY_ASSET = f"""SELECT contract, window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost FROM (
+_ASSET_DELTAS = f"""SELECT contract, window_days, day, {I('sum(m)')} AS delta, {I('sum(c)')} AS cost FROM (
       SELECT s.contract, w.window_days, CASE WHEN w.cancel = 0 THEN {{day(s.t)}} ELSE {{day(s.odt + w.us)}} END AS day, CASE WHEN w.cancel = 0 THEN s.measure ELSE -s.measure END AS m,
              CASE WHEN w.cancel = 0 THEN coalesce(s.measure * s.acq, 0) ELSE -coalesce(s.measure * s.acq, 0) END AS c
-      FROM cseam s CROSS JOIN (VALUES {", ".join(str((w, k, w * DAY_US)) for w in WINDOWS for k in (0, 1))}) AS w(window_days, cancel, us)
-      WHERE s.odt <> 0 AND s.t - s.odt < w.us) x GROUP BY contract, window_days, day"""
-_ASSET_DAYS = "OVER (PARTITION BY contract, window_days ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-metric("circulation_by_asset", "cseam", f"SELECT contract, window_days, day, {I('sum(delta) ' + _ASSET_DAYS)} AS circulation, {I('sum(cost) ' + _ASSET_DAYS)} AS realized_cap FROM ({_BY_ASSET}) d", "M7-M10 by asset, each with its own prices.")
+      FROM cseam s CROSS JOIN (VALUES {", ".join(str((w, k, w * DAY_US if w < INFINITE else 0)) for w in (*WINDOWS, INFINITE) for k in (0, 1) if w < INFINITE or k == 0)}) AS w(window_days, cancel, us)
+      WHERE s.odt <> 0 AND (w.window_days >= {INFINITE} OR s.t - s.odt < w.us)) x GROUP BY contract, window_days, day"""
+_ASSET_DAYS = "OVER (PARTITION BY g.contract, g.window_days ORDER BY g.day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+_ALL_WINDOWS = ", ".join(f"({w})" for w in (*WINDOWS, INFINITE))
+_BY_ASSET = f"""SELECT g.contract, g.window_days, g.day, {I('sum(coalesce(d.delta, 0)) ' + _ASSET_DAYS)} AS circulation, {I('sum(coalesce(d.cost, 0)) ' + _ASSET_DAYS)} AS cap
+      FROM (SELECT n.contract, n.day, w.window_days FROM cdays n CROSS JOIN (VALUES {_ALL_WINDOWS}) AS w(window_days)) g
+      LEFT JOIN ({_ASSET_DELTAS}) d ON d.contract = g.contract AND d.window_days = g.window_days AND d.day = g.day"""
+_ASSET_CLOSE = "SELECT contract, {day(t)} AS day, max_by(price, t) AS price FROM cprice GROUP BY contract, {day(t)}"
+_ASSET_HELD = f"SELECT g.contract, w.window_days, g.day, coalesce(sum(CASE WHEN {_YOUNG} THEN h.rem END), 0)::BIGINT AS circulation, coalesce(sum(CASE WHEN {_YOUNG} THEN h.rem * h.acq END), 0)::BIGINT AS cap FROM cdays g CROSS JOIN (VALUES {_ALL_WINDOWS}) AS w(window_days) LEFT JOIN cheld_days h ON h.contract = g.contract AND h.day = g.day GROUP BY 1, 2, 3"
+metric("circulation_by_asset", "cseam cdays", f"SELECT contract, window_days, day, circulation, cap AS realized_cap FROM ({_BY_ASSET}) d", "M7-M10 by asset, each with its own prices.",
+       ("cheld days, cdays", f"SELECT contract, window_days, day, circulation, cap AS realized_cap FROM ({_ASSET_HELD}) k"))
+metric("mvrv_by_asset", "cseam cdays cprice", f"SELECT k.contract, k.window_days, k.day, round(CAST(k.cap AS DOUBLE) / nullif(k.circulation, 0), 6) AS mean_price, round(CAST(p.price AS DOUBLE) * k.circulation / nullif(k.cap, 0), 6) AS mvrv FROM ({_BY_ASSET}) k JOIN ({_ASSET_CLOSE}) p ON k.contract = p.contract AND k.day = p.day", "M11, M12 by asset.",
+       ("cheld days, cdays", f"SELECT k.contract, k.window_days, k.day, round(k.cap::DOUBLE / nullif(k.circulation, 0), 6) AS mean_price, round(p.price::DOUBLE * k.circulation / nullif(k.cap, 0), 6) AS mvrv FROM ({_ASSET_HELD}) k JOIN (SELECT contract, t // 86400000000 AS day, arg_max(price, t) AS price FROM cprice GROUP BY 1, 2) p ON k.contract = p.contract AND k.day = p.day"))
+metric(
+    "hodl_waves_by_asset", "cseam cdays",
+    f"""SELECT contract, day, window_days, {I('cap - coalesce(younger, 0)')} AS band_cap, round(CAST(cap - coalesce(younger, 0) AS DOUBLE) / nullif(whole, 0), 6) AS share FROM (
+      SELECT contract, day, window_days, cap, lag(cap) OVER (PARTITION BY contract, day ORDER BY window_days) AS younger, max(CASE WHEN window_days = {INFINITE} THEN cap END) OVER (PARTITION BY contract, day) AS whole FROM ({_BY_ASSET}) k) w""",
+    "M13 by asset.",
+)
+metric("profit_loss_by_asset", "cseam", f"SELECT contract, {{day(t)}} AS day, {I('coalesce(sum((now - acq) * -measure), 0)')} AS npl, {I('sum(CASE WHEN now > acq AND t <> odt THEN -measure ELSE 0 END)')} AS profit, {I('sum(CASE WHEN now < acq AND t <> odt THEN -measure ELSE 0 END)')} AS loss FROM cseam GROUP BY contract, {{day(t)}}", "M5, M6 by asset.",
+       ("ceaten", "SELECT d.contract, d.day, coalesce(any_value(e.npl), 0)::BIGINT AS npl, coalesce(any_value(e.profit), 0)::BIGINT AS profit, coalesce(any_value(e.loss), 0)::BIGINT AS loss FROM (SELECT DISTINCT contract, day FROM (SELECT address % 10 AS contract, t // 86400000000 AS day FROM ledger GROUP BY 1, 2, odt HAVING sum(sign * amount) <> 0)) d LEFT JOIN (SELECT contract, day, sum(amount * (now - acq)) AS npl, sum(amount) FILTER (WHERE now > acq AND t <> odt) AS profit, sum(amount) FILTER (WHERE now < acq AND t <> odt) AS loss FROM ceaten GROUP BY 1, 2) e ON e.contract = d.contract AND e.day = d.day GROUP BY 1, 2"))
+metric(
+    "dormant_by_asset", "cseam", f"SELECT s.contract, w.window_days, {{day(s.t)}} AS day, {I('sum(-s.measure)')} AS moved, {I('sum(-s.measure * s.now)')} AS moved_value FROM cseam s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.odt <> 0 AND s.t - s.odt >= w.us GROUP BY s.contract, w.window_days, {{day(s.t)}}",
+    "M14 by asset.",
+    ("ceaten", f"SELECT e.contract, w.window_days, e.day, sum(e.amount)::BIGINT AS moved, sum(e.amount * e.now)::BIGINT AS moved_value FROM ceaten e CROSS JOIN (VALUES {', '.join(f'({w})' for w in WINDOWS)}) AS w(window_days) WHERE e.t - e.odt >= w.window_days * {DAY_US} GROUP BY 1, 2, 3"),
+)
 metric("age_consumed_by_asset", "cseam", f"SELECT contract, {{day(t)}} AS day, {I('sum(-measure * {day(t - odt)})')} AS coin_days FROM cseam WHERE odt <> 0 AND odt <> t GROUP BY contract, {{day(t)}}", "M3 by asset.")
 metric(
     "creation_T", "pseam days",
