@@ -144,30 +144,36 @@ def survivors(changes: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     return b.where("amount >= 0").withColumn("held", held).select(*key, "event_id", "t", "amount", "held")
 
 
-def balances_sliced(changes: DataFrame, slice_size: int) -> DataFrame:
+def _by_slice(rows: DataFrame, other: DataFrame, key: Sequence[str], value: str) -> DataFrame:
+    """``rows`` with ``value`` of their key's slice; nulls are a key."""
+    r, o = rows.alias("__r"), other.alias("__o")
+    return r.join(o, [F.col(f"__r.{c}").eqNullSafe(F.col(f"__o.{c}")) for c in (*key, "slice")]).select("__r.*", f"__o.{value}")
+
+
+def balances_sliced(changes: DataFrame, slice_size: int, key: Sequence[str] = KEY) -> DataFrame:
     """``balances`` for keys with very many changes: running sums within (key, slice of time), begun at the sum of the slices before.
 
     The windows over a key's slices meet one row per slice, so no task holds a key's whole history.
     """
     cut = changes.withColumn("slice", F.col("t") - F.pmod(F.col("t"), F.lit(slice_size)))
-    totals = cut.groupBy("address", "slice").agg(F.sum("amount").alias("total"))
-    before = W.partitionBy("address").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    begun = totals.select("address", "slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("begun"))
-    inner = W.partitionBy("address", "slice").orderBy("t", "event_id")
-    b = cut.join(begun, ["address", "slice"]).withColumn("balance", F.col("begun") + F.sum("amount").over(inner))
+    totals = cut.groupBy(*key, "slice").agg(F.sum("amount").alias("total"))
+    before = W.partitionBy(*key).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
+    begun = totals.select(*key, "slice", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("begun"))
+    inner = W.partitionBy(*key, "slice").orderBy("t", "event_id")
+    b = _by_slice(cut, begun, key, "begun").withColumn("balance", F.col("begun") + F.sum("amount").over(inner))
     return b.withColumn("old_balance", F.col("balance") - F.col("amount")).drop("begun")
 
 
-def survivors_sliced(changes: DataFrame, slice_size: int) -> DataFrame:
+def survivors_sliced(changes: DataFrame, slice_size: int, key: Sequence[str] = KEY) -> DataFrame:
     """``survivors`` for keys with very many changes: the lowest balance within a slice, then that of the slices behind."""
-    b = balances_sliced(changes, slice_size)
-    lows = b.groupBy("address", "slice").agg(F.min("balance").alias("low"))
-    after = W.partitionBy("address").orderBy("slice").rowsBetween(1, W.unboundedFollowing)
-    later = lows.select("address", "slice", F.min("low").over(after).alias("later"))
-    inner = W.partitionBy("address", "slice").orderBy("t", "event_id").rowsBetween(0, W.unboundedFollowing)
-    b = b.join(later, ["address", "slice"]).withColumn("low", F.least(F.min("balance").over(inner), F.col("later")))
+    b = balances_sliced(changes, slice_size, key)
+    lows = b.groupBy(*key, "slice").agg(F.min("balance").alias("low"))
+    after = W.partitionBy(*key).orderBy("slice").rowsBetween(1, W.unboundedFollowing)
+    later = lows.select(*key, "slice", F.min("low").over(after).alias("later"))
+    inner = W.partitionBy(*key, "slice").orderBy("t", "event_id").rowsBetween(0, W.unboundedFollowing)
+    b = _by_slice(b, later, key, "later").withColumn("low", F.least(F.min("balance").over(inner), F.col("later")))
     held = F.greatest(F.least(F.col("low"), F.col("balance")) - F.col("old_balance"), F.lit(0))
-    return b.where("amount >= 0").select("address", "event_id", "t", "amount", held.alias("held"))
+    return b.where("amount >= 0").select(*key, "event_id", "t", "amount", held.alias("held"))
 
 
 def net_cohorts(ledger: DataFrame, key: Sequence[str] = KEY) -> DataFrame:

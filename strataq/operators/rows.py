@@ -45,3 +45,16 @@ def change_over_days(points: DataFrame, key: str, day: str, value: str, days: tu
     """
     at = lambda n: W.partitionBy(key).orderBy(day).rangeBetween(-n, -n)
     return points.select(key, day, *[(F.col(value) - F.first(value).over(at(n))).alias(f"d{n}") for n in days])
+
+
+def over_range(points: DataFrame, time: str, width: int, aggregates: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """``points`` with aggregates of the rows of (time - width, time] of their key, e.g. ``{"low": F.min("price")}``.
+
+    Time is cut into slices of ``width``; a row's range lies in its own slice and the one before, so each slice is given the rows of the one before
+    as well, and a window meets two slices at most, however long a series is and with or without a key. A null time has no range.
+    """
+    by = by or []
+    slice_ = (F.col(time) - F.pmod(F.col(time), F.lit(width))).cast("long")
+    both = points.where(F.col(time).isNotNull()).withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("__slice", F.when(F.col("__own"), slice_).otherwise(slice_ + width))
+    order = W.partitionBy(*by, "__slice").orderBy(time).rangeBetween(1 - width, 0)
+    return both.select("*", *[a.over(order).alias(n) for n, a in aggregates.items()]).where("__own").drop("__own", "__slice")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.session import table
 from strataq.functions.time import micros
+from strataq.operators import rows
 from strataq.plans.base import SOURCES, with_prelude
 from strataq.plans.registry import query
 
@@ -271,7 +272,6 @@ metric("labelled_composite", "tx holder", f"SELECT day, {I('sum(CASE WHEN label
 metric("dex_by_token", "ev", f"SELECT kind, address % 5 AS token, {{day(t)}} AS day, {I('sum(cents)')} AS volume, count(*) AS amount, round(CAST(sum(cents) AS DOUBLE) / count(*), 4) AS price FROM ev GROUP BY kind, address % 5, {{day(t)}}", "M37: volume, number and mean price by venue and token; keys modulo five stand for tokens.")
 metric("gas_used", "tx", f"SELECT day, gas, {I('sum(gas) ' + PREFIX)} AS total_gas FROM (SELECT {{day(t)}} AS day, {I('sum(21000 + tx % 1000)')} AS gas FROM tx GROUP BY {{day(t)}}) d", "M38: by day and in total; an order's gas is ours.")
 metric("staking_withdrawals", "ev", f"SELECT {{day(t)}} AS day, {I('sum(CASE WHEN kind = ' + chr(39) + 'signup' + chr(39) + ' THEN cents ELSE 0 END)')} AS deposits, {I('sum(CASE WHEN kind = ' + chr(39) + 'purchase' + chr(39) + ' THEN cents ELSE 0 END)')} AS withdrawals FROM ev GROUP BY {{day(t)}}", "M39: two kinds of events stand for deposits and withdrawals.")
-metric("rate_over_range", "ev", f"SELECT {{five(t)}} AS bucket, {I('sum(cents)')} AS d, round(CAST(sum(sum(cents)) OVER (ORDER BY {{five(t)}} RANGE BETWEEN 71 PRECEDING AND CURRENT ROW) AS DOUBLE) / 21600, 6) AS rate FROM ev GROUP BY {{five(t)}}", "A21: the increase of a counter over six hours by second.")
 metric("valid_points", "price", f"SELECT t, price FROM price WHERE price < 1000000 AND t % 600000000 = 0", "P8: points of one source (every other five minutes) below a bound.")
 metric("finite_only", "ch", f"SELECT day, round(x, 6) AS x FROM (SELECT day, CASE WHEN day % 5 = 0 THEN CAST('NaN' AS DOUBLE) WHEN day % 7 = 0 THEN CAST('Infinity' AS DOUBLE) ELSE CAST(v AS DOUBLE) / n END AS x FROM (SELECT {{day(t)}} AS day, sum(amount) AS v, count(*) AS n FROM ch GROUP BY {{day(t)}}) d) y WHERE NOT isnan(x) AND abs(x) < 1e300", "P9: rows of a composite that are no finite number drop out.")
 metric("daily_market", "price tx balance", f"SELECT p.day, p.price AS close, {I('s.supply * p.price')} AS marketcap, {I('coalesce(v.volume, 0)')} AS volume FROM ({_LAST}) p JOIN ({_SUPPLY}) s ON s.day = p.day LEFT JOIN (SELECT {{day(t)}} AS day, sum(cents) AS volume FROM tx GROUP BY {{day(t)}}) v ON v.day = p.day", "M34: market value and volume beside the day's price.")
@@ -294,6 +294,24 @@ metric("price_in_other", "cprice", "SELECT a.contract, a.day, round(CAST(a.price
 
 metric("composite_formula", "ch", f"SELECT day, round(CAST(inflow AS DOUBLE) / nullif(active, 0), 6) AS per_head FROM (SELECT day, max(CASE WHEN name = 'inflow' THEN v END) AS inflow, max(CASE WHEN name = 'active' THEN v END) AS active FROM (SELECT {{day(t)}} AS day, 'inflow' AS name, {I('sum(CASE WHEN amount > 0 THEN amount ELSE 0 END)')} AS v FROM ch GROUP BY {{day(t)}} UNION ALL SELECT {{day(t)}}, 'active', count(DISTINCT address) FROM ch GROUP BY {{day(t)}}) p GROUP BY day) w WHERE active <> 0", "M35, P9: a formula over metrics aligned by day.")
 metric("cumulative_sequenced", "ch", f"SELECT day, {I('seed + sum(d) ' + PREFIX)} AS total FROM (SELECT day, d, (SELECT sum(amount) FROM ch WHERE {{day(t)}} < 19730) AS seed FROM (SELECT {{day(t)}} AS day, sum(amount) AS d FROM ch GROUP BY {{day(t)}}) a WHERE day >= 19730) x", "M36: resumed from what is stored before a cursor.")
-metric("min_over_range", "price", "SELECT t, min(price) OVER (ORDER BY t RANGE BETWEEN 21600000000 PRECEDING AND CURRENT ROW) AS low FROM price", "A21: lowest of the last six hours.")
 metric("age_predicate", "seam", f"SELECT count(*) AS n, {I('sum(measure)')} AS measure FROM seam WHERE odt <> 0 AND t - odt < {7 * DAY_US}", "P4.")
 metric("bucket_alignment", "seam", "SELECT count(*) AS n, sum(CASE WHEN odt <> 0 AND odt % 3600000000 <> 0 THEN 1 ELSE 0 END) AS off_grid FROM seam".replace("sum(CASE", "CAST(sum(CASE").replace("END) AS off", "END) AS BIGINT) AS off"), "P10, R8: origins off the hourly grid, the sentinel exempt.")
+
+
+@query("rate_over_range", f"WITH ev AS ({RAW_SQL['ev']}) SELECT bucket, d, round((sum(d) OVER (ORDER BY bucket RANGE BETWEEN 71 PRECEDING AND CURRENT ROW))::DOUBLE / 21600, 6) AS rate FROM (SELECT t // 300000000 AS bucket, sum(cents)::BIGINT AS d FROM ev GROUP BY 1) x")
+def rate_over_range(spark, sf_dir):
+    """The increase of a counter over six hours by second, by slices of six hours."""
+    ev = RAW["ev"](spark, sf_dir).groupBy(F.expr("t div 300000000").alias("bucket")).agg(F.sum("cents").alias("d"))
+    return rows.over_range(ev, "bucket", 72, {"sum": F.sum("d")}).select("bucket", "d", F.round(F.col("sum").cast("double") / 21600, 6).alias("rate"))
+
+
+@query("min_over_range", with_prelude("SELECT t, min(price) OVER (ORDER BY t RANGE BETWEEN 21599999999 PRECEDING AND CURRENT ROW) AS low FROM price", "price"))
+def min_over_range(spark, sf_dir):
+    """Lowest of the last six hours, by slices of six hours."""
+    return rows.over_range(SOURCES["price"](spark, sf_dir), "t", 21_600_000_000, {"low": F.min("price")}).select("t", "low")
+
+
+@query("range_by_asset", with_prelude("SELECT contract, t, min(price) OVER w AS low, max(price) OVER w AS high, count(*) OVER w AS n FROM cprice WINDOW w AS (PARTITION BY contract ORDER BY t RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW)", "cprice"))
+def range_by_asset(spark, sf_dir):
+    """Lowest and highest price of the last day by asset."""
+    return rows.over_range(SOURCES["cprice"](spark, sf_dir), "t", DAY_US, {"low": F.min("price"), "high": F.max("price"), "n": F.count("*")}, ["contract"]).select("contract", "t", "low", "high", "n")

@@ -187,3 +187,21 @@ def test_a_value_from_too_long_before_is_none(spark):
     right = spark.createDataFrame([(10, 1), (35, 2)], "at long, v int")
     got = {r.at: r.v for r in asof.asof_backward(left, right, "at", "v", slice_size=7, greatest_gap=5).collect()}
     assert got == {5: None, 10: 1, 14: 1, 15: 1, 40: 2, 41: None}
+
+
+def test_slices_of_several_keys_and_nulls(spark):
+    rnd = random.Random(15)
+    data = [(c, f"a{a}" if a else None, 1000 * (c or 0) + 50 * a + i, 10 + i // 2, rnd.randint(-4, 5)) for c in (1, None) for a in range(3) for i in range(30)]
+    ch, key = spark.createDataFrame(data, "contract int, address string, event_id long, t long, amount long"), ("contract", "address")
+    told = lambda d, *c: sorted(map(tuple, d.select(*key, "event_id", *c).collect()), key=repr)
+    assert told(fold.survivors_sliced(ch, 4, key), "held") == told(fold.survivors(ch, key), "held")
+    assert told(fold.balances_sliced(ch, 4, key), "balance") == told(fold.balances(ch, key), "balance")
+
+
+def test_ranges_of_time_meet_two_slices(spark):
+    rnd = random.Random(16)
+    data = [(rnd.choice(["a", None]), rnd.randint(-40, 200), rnd.randint(0, 99)) for _ in range(300)] + [("a", None, 5)]
+    df = spark.createDataFrame(data, "k string, t long, v long")
+    got = sorted(map(tuple, rows.over_range(df, "t", 13, {"low": F.min("v"), "n": F.count("*")}, ["k"]).collect()), key=repr)
+    near = lambda k, t: [v for x, s, v in data if x == k and s is not None and t - 13 < s <= t]
+    assert got == sorted(((k, t, v, min(near(k, t)), len(near(k, t))) for k, t, v in data if t is not None), key=repr)
