@@ -71,8 +71,8 @@ def assemble(parts: list, encode, first_id: int) -> tuple[np.ndarray, np.ndarray
 def format_turns(turns: DataFrame, tokenizer: str, vocabulary: int) -> DataFrame:
     """(conv_id, turn, seq, ids, loss_mask, chars, token_start, char_start) for each row of ``turns``.
 
-    Turns of a conversation stand in the order of turn, then role, then text, nulls first; seq numbers them
-    from 0. A null text or role is empty; a null conv_id is a conversation of its own; repeated rows are
+    Turns of a conversation stand in the order of turn, nulls first; of one turn by a digest of role and text, which repeated rows
+    share; seq numbers them from 0. A null text or role is empty, and told no otherwise than an empty one; a null conv_id is a conversation of its own; repeated rows are
     repeated turns; an empty table gives none; further columns are not read.
     """
 

@@ -235,6 +235,7 @@ class Scorer:
         score: the summed log-probability; mean_score: its mean by word; mean_apart: the same mean with the document's own
         words left out of the counts, so that only what other documents hold makes a rare word likely; n_alone: words that no other document holds.
         Null and empty texts have no words, score 0 and null means; a null doc_id stays null; repeated rows come out as often as they came in.
+        A text of any length is scored whole, in steps of bounded size; an empty table gives none.
         """
         spark = table.sparkSession
         shared = spark.sparkContext.broadcast(self)  # the counts of NUMBERS numbers, and the parameters: a fixed size

@@ -39,6 +39,7 @@ def sizes(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: st
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("h"),
+        F.md5(F.col(text_col)).alias("tie"),  # rows of one id and size, so that a rerun takes the same texts
     ]
 
 
@@ -113,7 +114,7 @@ class Mix:
 
     def _placed(self, sized: DataFrame) -> DataFrame:
         """Adds a document's place in its shard's stream, its first and last block, and how often each is taken."""
-        order = W.partitionBy("src", "shard").orderBy("h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+        order = W.partitionBy("src", "shard").orderBy("h", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0)
         d = self._dealt(sized).join(self.quotas, ["src", "shard"]).withColumn("stop", F.sum("size").over(order))
         d = d.withColumn("start", F.col("stop") - F.col("size"))
         first = F.expr("((start + 1) * blocks - 1) div length")

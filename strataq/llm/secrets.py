@@ -178,7 +178,7 @@ def redact_text(text: str, spans: list[Span], mark: str) -> str:
 def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars", mark: str = "<secret>") -> DataFrame:
     """``docs`` with each secret replaced by ``mark`` and ``length_col``, if present, brought up to date.
 
-    Rows without secrets are unchanged, a null text included.
+    Rows without secrets are unchanged, a null text included; repeated rows come out as often as they came in; an empty table gives none.
     """
     names, at = docs.columns, docs.columns.index(text_col)
 
