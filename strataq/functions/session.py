@@ -45,6 +45,18 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def scratch_tables(spark: SparkSession, **frames: DataFrame) -> Iterator[None]:
+    """``frames`` written once and known to SQL by their names for a while, as tables of this session alone."""
+    for name, df in frames.items():
+        written(df).createTempView(name)
+    try:
+        yield
+    finally:
+        for name in frames:
+            spark.catalog.dropTempView(name)
+
+
 def small_batches(spark: SparkSession, rows: int) -> None:
     """Let Arrow batches hold ``rows`` rows at most, for rows that hold arrays; Spark reads the setting when a query runs, so it stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataq.functions.session import table
+from strataq.functions.session import scratch_tables, table
 from strataq.functions.time import HOUR, day_number, floor_to, micros
 from strataq.operators import fold, reconcile, rows
 from strataq.plans import base
@@ -299,3 +301,19 @@ def block_digest(spark, sf_dir):
     h = F.conv(F.substring(F.md5(F.concat_ws(":", "address", "event_id", "t", "amount")), 1, 15), 16, 10).cast("long")
     total = F.sum(h.cast("decimal(38,0)")).cast("string")
     return base.changes(spark, sf_dir).groupBy(day_number("t").alias("day")).agg(F.count("*").alias("n"), F.bit_xor(h).alias("xor"), total.alias("total"))
+
+
+@query(
+    "scratch_tables",
+    """WITH busy AS (SELECT o_custkey AS k, count(*) AS n, sum(round(o_totalprice * 100)::BIGINT) AS v FROM orders GROUP BY 1), mean AS (SELECT c_nationkey, avg(n) AS mean FROM busy JOIN customer ON k = c_custkey GROUP BY 1)
+    SELECT c_nationkey AS nation, count(*) AS above, sum(v)::BIGINT AS volume FROM busy JOIN customer ON k = c_custkey JOIN mean USING (c_nationkey) WHERE n > mean GROUP BY 1""",
+)
+def tables_of_a_session(spark, sf_dir):
+    """Results kept as the session's own tables while later statements use them."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    busy = o.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("v"))
+    tag = uuid.uuid4().hex
+    with scratch_tables(spark, **{f"busy_{tag}": busy, f"customer_{tag}": c.select("c_custkey", "c_nationkey")}):
+        mean = spark.sql(f"SELECT c_nationkey, avg(n) AS mean FROM busy_{tag} JOIN customer_{tag} ON k = c_custkey GROUP BY 1")
+        with scratch_tables(spark, **{f"mean_{tag}": mean}):
+            return spark.sql(f"SELECT c_nationkey AS nation, count(*) AS above, sum(v) AS volume FROM busy_{tag} JOIN customer_{tag} ON k = c_custkey JOIN mean_{tag} USING (c_nationkey) WHERE n > mean GROUP BY 1")

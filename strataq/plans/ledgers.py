@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strataq.functions.session import scratch_folder, table, written
 from strataq.functions.time import FIVE_MINUTES, HOUR, day_number, floor_to, micros
-from strataq.operators import asof, fold, fold_table, hot_fold, kept, predicates, rows
+from strataq.operators import asof, fold, fold_table, hot_fold, kept, predicates, rows, stack
 from strataq.plans import base
 from strataq.plans.base import with_prelude
 from strataq.plans.registry import query
@@ -86,6 +86,37 @@ def kept_batches(spark, sf_dir):
             state.drop()
 
 
+_OPEN = "SELECT address, nonce, arg_max(odt, (t, event_id)) FILTER (WHERE sign = 1) AS odt, arg_max(amount, (t, event_id)) FILTER (WHERE sign = 1) AS amount FROM ledger{where} GROUP BY address, nonce HAVING sum(sign) > 0"
+
+
+@query("fold_as_expression", with_prelude(f"SELECT address, row_number() OVER (PARTITION BY address ORDER BY nonce) AS position, odt, amount FROM ({_OPEN.format(where='')}) o", "ledger"))
+def as_expression(spark, sf_dir):
+    """The live stack of every key by one expression over its ordered changes."""
+    s = stack.stack_by_expression(base.changes(spark, sf_dir))
+    return s.select("address", F.posexplode("stack").alias("k", "s")).select("address", (F.col("k") + 1).cast("long").alias("position"), "s.odt", "s.amount")
+
+
+_DAY_BEFORE = 1705276800000000
+
+
+@query(
+    "pop_boundary",
+    with_prelude(
+        f""", o AS ({_OPEN.format(where=f' WHERE t < {_DAY_BEFORE}')}), c AS (SELECT *, row_number() OVER w AS place, sum(amount) OVER w AS covered FROM o WINDOW w AS (PARTITION BY address ORDER BY nonce DESC)),
+        x AS (SELECT address, -sum(amount)::BIGINT AS owed FROM ch WHERE t >= {_DAY_BEFORE} AND amount < 0 GROUP BY address)
+        SELECT x.address, x.owed, min(place) FILTER (WHERE covered >= owed)::INT AS depth, arg_min(covered, place) FILTER (WHERE covered >= owed)::BIGINT AS covered, arg_min(odt, place) FILTER (WHERE covered >= owed) AS odt
+        FROM x LEFT JOIN c ON c.address = x.address GROUP BY x.address, x.owed""",
+        "ledger",
+    ),
+)
+def boundary(spark, sf_dir):
+    """How deep into each stack all outflows of the second half would reach, sums from the top."""
+    ch = base.changes(spark, sf_dir)
+    live = fold.open_segments(fold.lifo_ledger(ch.where(f"t < {_DAY_BEFORE}")))
+    owed = ch.where(f"t >= {_DAY_BEFORE} and amount < 0").groupBy("address").agg((-F.sum("amount")).alias("owed"))
+    return stack.pop_boundary(live, owed)
+
+
 @query("lifo_consumption", with_prelude("SELECT address, event_id, t, odt, (prem - rem)::BIGINT AS eaten FROM touch WHERE prem > rem", "ledger"))
 def lifo_consumption(spark, sf_dir):
     """what each outflow takes of each origin."""

@@ -177,7 +177,10 @@ def write_tsv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, sep="\t", header=True)
 
 
-def to_dot(edges: list[tuple[str, str]], name: str = "metrics") -> str:
-    """A small graph in the DOT language."""
-    body = "".join(f'  "{a}" -> "{b}";\n' for a, b in sorted(edges))
-    return f"digraph {name} {{\n{body}}}\n"
+def to_dot(edges: list[tuple[str, str]], name: str = "metrics", colours: dict[str, str] | None = None) -> str:
+    """A small graph in the DOT language, nodes filled by ``colours``; several joined by commas are stripes."""
+    quoted = lambda x: '"' + x.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    styles = {n: ("wedged" if "," in c else "filled", c.replace(",", ":")) for n, c in (colours or {}).items()}
+    nodes = "".join(f"  {quoted(n)} [style={s}, fillcolor={quoted(c)}];\n" for n, (s, c) in sorted(styles.items()))
+    body = "".join(f"  {quoted(a)} -> {quoted(b)};\n" for a, b in sorted(edges))
+    return f"digraph {name} {{\n{nodes}{body}}}\n"

@@ -205,3 +205,22 @@ def test_ranges_of_time_meet_two_slices(spark):
     got = sorted(map(tuple, rows.over_range(df, "t", 13, {"low": F.min("v"), "n": F.count("*")}, ["k"]).collect()), key=repr)
     near = lambda k, t: [v for x, s, v in data if x == k and s is not None and t - 13 < s <= t]
     assert got == sorted(((k, t, v, min(near(k, t)), len(near(k, t))) for k, t, v in data if t is not None), key=repr)
+
+
+def test_the_fold_as_an_expression(spark):
+    from strataq.operators import stack
+
+    rnd = random.Random(21)
+    by_key = {k: [rnd.randint(*[(-9, 9), (-3, 9), (-9, 3), (0, 0), (-2, 2)][k % 5]) for _ in range(rnd.randint(1, 40))] for k in range(40)}
+    got = {r.address: [tuple(s) for s in r.stack] for r in stack.stack_by_expression(frame(spark, by_key)).collect()}
+    assert got == {k: [s[1:] for s in fold.fold_key([(10 + i, a) for i, a in enumerate(v)])[1]] for k, v in by_key.items()}
+
+
+def test_how_deep_an_outflow_reaches(spark):
+    from strataq.operators import stack
+
+    segments = spark.createDataFrame([(1, 1, 0, -5), (1, 2, 11, 4), (1, 3, 12, 3), (None, 1, 9, 2)], "address long, nonce long, odt long, amount long")
+    owed = lambda *x: spark.createDataFrame(list(x), "address long, owed long")
+    told = lambda o: [tuple(r) for r in stack.pop_boundary(segments, o).collect()]
+    assert told(owed((1, 3))) == [(1, 3, 1, 3, 12)] and told(owed((1, 4))) == [(1, 4, 2, 7, 11)] and told(owed((1, 8))) == [(1, 8, None, None, None)]
+    assert told(owed((None, 1))) == [(None, 1, 1, 2, 9)] and told(owed((2, 1))) == [(2, 1, None, None, None)]

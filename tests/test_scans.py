@@ -36,6 +36,7 @@ def test_tsv_and_dot(spark, tmp_path):
     scans.write_tsv(df, f"{tmp_path}/t")
     assert sorted(map(tuple, scans.read_tsv(spark, f"{tmp_path}/t", "k string, n int").collect())) == [("a", 1), ("b", 2)]
     assert '"a" -> "b";' in scans.to_dot([("a", "b")])
+    assert scans.to_dot([("a", 'b"')], "g", {"a": "red", 'b"': "red,blue"}) == 'digraph g {\n  "a" [style=filled, fillcolor="red"];\n  "b\\"" [style=wedged, fillcolor="red:blue"];\n  "a" -> "b\\"";\n}\n'
     assert scans.resolve({"x": "x_exp"}, "x") == "x_exp" and scans.resolve({}, "x") == "x"
 
 
