@@ -33,8 +33,8 @@ from strataq.llm.common import by_key, cut, join_by_share, small_batches
 
 #: Entries of a page.
 PAGE = 128
-#: Relative margin of all bounds for rounding.
-MARGIN = 1e-9
+#: Relative margin of all bounds for rounding, and that of squared distances against the squared norms that they are differences of.
+MARGIN, BLUR = 1e-9, 1e-15
 
 
 def whole(vectors: DataFrame, scale: float, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -77,6 +77,10 @@ class Facts:
         x = x.astype(np.float64)
         return np.column_stack((x, np.sqrt(np.maximum(self.norm - (x * x).sum(1), 0))))
 
+    def blur(self, own):
+        """What rounding may do to a few distances of a query of squared norm ``own``: it shows where they are small beside the norms."""
+        return 4 * np.sqrt(BLUR * (np.asarray(own, np.float64) + self.norm))
+
     def apart(self, own: float, product):
         """Distance of a query of squared norm ``own`` to what has this product with it."""
         return np.sqrt(np.maximum(own + self.norm - 2.0 * np.asarray(product, np.float64), 0))
@@ -202,7 +206,7 @@ class Asked:
     def reach(self, at: np.ndarray) -> None:
         """Distances within which something as good as the k-th best may lie."""
         some = self.floor[at] > -np.inf
-        self.limit[at] = np.where(some, self.facts.apart(self.own[at], np.where(some, self.floor[at], 0)) * (1 + MARGIN) + MARGIN, np.inf)
+        self.limit[at] = np.where(some, self.facts.apart(self.own[at], np.where(some, self.floor[at], 0)) * (1 + MARGIN) + MARGIN + self.facts.blur(self.own[at]), np.inf)
 
     def meet(self, at: int, products: np.ndarray, entries: np.ndarray, page: Page) -> None:
         best = self.best[at]
@@ -338,7 +342,7 @@ class Groups:
     def reached(self, q: np.ndarray, dim: int, floor: float | None) -> list[int]:
         """All trees that may hold a vector of a product of ``floor`` or more."""
         own = float(q @ q)
-        limit = math.inf if floor is None else float(self.facts.apart(own, floor)) * (1 + MARGIN) + MARGIN
+        limit = math.inf if floor is None else float(self.facts.apart(own, floor) * (1 + MARGIN) + MARGIN + self.facts.blur(own))
         out = []
         d = between(self.points[dim], np.append(q, 0.0)) if dim in self.points else None
         for (of, p), (g, m, far) in self.of.items():

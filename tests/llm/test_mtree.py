@@ -51,6 +51,9 @@ def test_odd_rows(spark):
 def test_products_of_any_size(spark):
     rows = [(i, [float(10**7 + i), -float(i), 3.0]) for i in range(60)]
     assert searched(spark, rows, 4) == brute(rows, 4, 20)
+    r = np.random.default_rng(8)
+    rows = [(i, (1e6 + r.integers(-3, 4, 5) / 64).tolist()) for i in range(600)]  # nearly equal: distances are small beside the norms
+    assert searched(spark, rows, 4, pivots=3, tree_size=150) == brute(rows, 4, 20)
     with pytest.raises(ValueError):
         searched(spark, [(0, [1e30, 1.0]), (1, [1e30, 2.0])], 4)
 
