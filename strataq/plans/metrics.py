@@ -75,8 +75,8 @@ metric("age_consumed_daily", "seam", f"SELECT {{day(t)}} AS day, round(sum(CAST(
 metric("age_consumed_intraday", "seam", f"SELECT {{five(t)}} AS bucket, {I('sum(-measure * {day(t - odt)})')} AS coin_days FROM seam WHERE odt <> 0 AND odt <> t GROUP BY {{five(t)}}", "M3: whole days of age by five minutes.",
        ("eaten", "SELECT {five(t)} AS bucket, sum(amount * ((t - odt) // 86400000000))::BIGINT AS coin_days FROM eaten WHERE odt <> t GROUP BY 1"))
 metric("price_consumed_daily", "pseam", f"SELECT {{day(t)}} AS day, {I('sum(-measure * acq * {day(t - odt)})')} AS value FROM pseam WHERE odt <> 0 GROUP BY {{day(t)}}", "M4: rows without an acquisition price are skipped.")
-metric("network_profit_loss", "pseam", f"SELECT {{day(t)}} AS day, {I('sum((now - acq) * -measure)')} AS npl FROM pseam GROUP BY {{day(t)}}", "M5: both prices are on the five-minute grid, so fresh inflows cancel.",
-       ("eaten", "SELECT d.day, CASE WHEN d.day >= (SELECT min({day(t)}) FROM price) THEN coalesce(sum(e.amount * (e.now - e.acq)), 0)::BIGINT END AS npl FROM (SELECT DISTINCT {day(t)} AS day FROM ch) d LEFT JOIN eaten e ON e.day = d.day GROUP BY d.day"))
+metric("network_profit_loss", "pseam", f"SELECT {{day(t)}} AS day, {I('coalesce(sum((now - acq) * -measure), 0)')} AS npl FROM pseam GROUP BY {{day(t)}}", "M5: both prices are on the five-minute grid, so fresh inflows cancel; what lacks a price has no profit.",
+       ("eaten", "SELECT d.day, coalesce(sum(e.amount * (e.now - e.acq)), 0)::BIGINT AS npl FROM (SELECT DISTINCT {day(t)} AS day FROM ch) d LEFT JOIN eaten e ON e.day = d.day GROUP BY d.day"))
 metric(
     "volume_profit_loss", "pseam",
     f"""SELECT {{day(t)}} AS day, {I('sum(CASE WHEN now > acq THEN -measure ELSE 0 END)')} AS profit, {I('sum(CASE WHEN now < acq THEN -measure ELSE 0 END)')} AS loss,
@@ -237,9 +237,9 @@ metric(
     "M24: composites of supply, price and transaction volume; the formulas are ours. One row of the greatest supply meets all days.",
 )
 metric("market_dominance", "ev price", f"SELECT c.day, c.kind, round(CAST(c.held AS DOUBLE) / nullif(sum(c.held) OVER (PARTITION BY c.day), 0), 6) AS dominance FROM (SELECT kind, day, sum(d) OVER (PARTITION BY kind ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS held FROM (SELECT kind, {{day(t)}} AS day, sum(cents) AS d FROM ev GROUP BY kind, {{day(t)}}) k) c JOIN ({_LAST}) p ON c.day = p.day", "M24: one asset's value in that of all; kinds of events stand for assets.")
-metric("address_profit_cumulative", "pledger", f"SELECT address, day, {I('sum(profit) OVER (PARTITION BY address ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS profit FROM (SELECT address, {{day(t)}} AS day, sum(-sign * amount * (now - acq)) AS profit FROM pledger WHERE odt <> 0 GROUP BY address, {{day(t)}}) d", "M40: the running profit of each key.",
-       ("eaten", "SELECT d.address, d.day, (CASE WHEN d.day >= (SELECT min({day(t)}) FROM price) THEN coalesce(sum(sum(e.amount * (e.now - e.acq))) OVER (PARTITION BY d.address ORDER BY d.day), 0) END)::BIGINT AS profit FROM (SELECT DISTINCT address, {day(t)} AS day FROM ledger WHERE odt <> 0) d LEFT JOIN eaten e ON e.address = d.address AND e.day = d.day GROUP BY d.address, d.day"))
-metric("address_realized_profit", "pledger", f"SELECT address, {I('sum(-sign * amount * (now - acq))')} AS profit FROM pledger WHERE odt <> 0 GROUP BY address", "M40: by key; over all keys the sum is that of the network's profits.",
+metric("address_profit_cumulative", "pledger", f"SELECT address, day, {I('sum(profit) OVER (PARTITION BY address ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS profit FROM (SELECT address, {{day(t)}} AS day, coalesce(sum(-sign * amount * (now - acq)), 0) AS profit FROM pledger WHERE odt <> 0 GROUP BY address, {{day(t)}}) d", "M40: the running profit of each key.",
+       ("eaten", "SELECT d.address, d.day, coalesce(sum(sum(e.amount * (e.now - e.acq))) OVER (PARTITION BY d.address ORDER BY d.day), 0)::BIGINT AS profit FROM (SELECT DISTINCT address, {day(t)} AS day FROM ledger WHERE odt <> 0) d LEFT JOIN eaten e ON e.address = d.address AND e.day = d.day GROUP BY d.address, d.day"))
+metric("address_realized_profit", "pledger", f"SELECT address, {I('coalesce(sum(-sign * amount * (now - acq)), 0)')} AS profit FROM pledger WHERE odt <> 0 GROUP BY address", "M40: by key; over all keys the sum is that of the network's profits.",
        ("eaten", "SELECT a.address, coalesce(sum(e.amount * (e.now - e.acq)), 0)::BIGINT AS profit FROM (SELECT DISTINCT address FROM ledger WHERE odt <> 0) a LEFT JOIN eaten e ON e.address = a.address GROUP BY a.address"))
 
 metric("survivor_circulation_T", "survivors", f"SELECT w.window_days, count(*) AS coins, {I('sum(s.held)')} AS circulation FROM survivors s CROSS JOIN (VALUES {', '.join(str((w, w * DAY_US)) for w in WINDOWS)}) AS w(window_days, us) WHERE s.held > 0 AND s.t >= 1706572800000000 - w.us GROUP BY w.window_days", "K9: what younger inflows still hold on 2024-01-30.")
