@@ -91,3 +91,9 @@ def test_gaps_are_no_change(spark):
     df = spark.createDataFrame([("a", 1, 5), ("a", 2, 7), ("a", 8, 20), ("a", 9, 1)], "name string, day long, value long")
     got = {r.day: (r.d1, r.d7) for r in rows.change_over_days(df, "name", "day", "value", (1, 7)).collect()}
     assert got == {1: (None, None), 2: (2, None), 8: (None, 15), 9: (-19, -6)}
+
+
+def test_all_that_enters_a_window_leaves_it(spark, years):
+    total = {r.window_days: r.total for r in QUERIES["circulation_delta_T"](spark, years[0]).groupBy("window_days").agg(F.sum("delta").alias("total")).collect()}
+    assert set(total) == {*metrics.WINDOWS, metrics.INFINITE} and total[metrics.INFINITE] > 0
+    assert all(total[w] == 0 for w in metrics.WINDOWS)  # cancels after the last day of the data are told
