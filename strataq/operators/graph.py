@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
     moves. A round is two aggregations and joins on nodes, rounds grow with the logarithm of a component's size, and edges never become more.
     Edges with a null end say nothing; a node tied to itself is a component.
     """
-    ends = edges.select("a", "b").where("a is not null and b is not null")
+    ends = written(edges.select("a", "b").where("a is not null and b is not null").distinct())  # read more than once below
     alone = ends.where("a = b").select(F.col("a").alias("node")).distinct()
     pairs = written(ends.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

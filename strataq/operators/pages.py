@@ -65,10 +65,12 @@ def stories(texts: DataFrame, words: int = 8, most: int | None = None) -> DataFr
     pages = texts.where("page_id is not null")
     w = F.filter(F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
     starts = F.when(F.size("w") >= words, F.sequence(F.lit(1), F.size("w") - words + 1)).otherwise(F.array().cast("array<int>"))
-    held = pages.select("page_id", w.alias("w")).select("page_id", F.explode(F.transform(starts, lambda k: F.md5(F.array_join(F.slice("w", k, words), " ")))).alias("passage")).distinct()
+    passages = F.array_distinct(F.transform(starts, lambda k: F.md5(F.array_join(F.slice("w", k, words), " "))))
+    # dealt by passage once: the distinct rows, the stars and the join need no other exchange, and texts are read once
+    held = pages.select("page_id", w.alias("w")).select("page_id", F.explode(passages).alias("passage")).select("page_id", F.unhex("passage").alias("passage")).repartition("passage").distinct()
     stars = held.groupBy("passage").agg(F.min("page_id").alias("b"), F.count("*").alias("n")).where("n > 1")
     if most is not None:
         stars = stars.where(F.col("n") <= most)
-    links = held.join(stars, "passage").select(F.col("page_id").alias("a"), "b").distinct()
+    links = held.join(stars.hint("merge"), "passage").select(F.col("page_id").alias("a"), "b").where("a <> b").distinct()
     named = components(links)
     return pages.select("page_id").distinct().join(named, F.col("page_id") == F.col("node"), "left").select("page_id", F.coalesce("component", "page_id").alias("story"))

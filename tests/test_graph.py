@@ -40,3 +40,16 @@ def test_stories(spark):
     stories = lambda **k: {r.page_id: r.story for r in pages.stories(df, 4, **k).collect()}
     assert stories() == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 8, 10: 8, 11: 11}
     assert stories(most=2) == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6, 7: 6, 8: 8, 9: 9, 10: 10, 11: 11}
+
+
+def test_edges_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(frames):
+        for pdf in frames:
+            seen.add(len(pdf))
+            yield pdf
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (5, 5), (7, 8)], "a long, b long").mapInPandas(told, "a long, b long")
+    got = {r.node: r.component for r in graph.components(edges).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 5: 5, 7: 7, 8: 7} and seen.value == 4
