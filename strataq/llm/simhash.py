@@ -14,8 +14,9 @@ Every task reduces what it finds to a spanning forest, so a dense cluster of M f
 fewer than M links. Components come from alternating large-star and small-star steps on the
 distributed links, with the lineage cut after each round.
 
-Three of 64 bits is close to equality. For a given Jaccard similarity of shingle sets, ``similar_documents``
-finds candidates by min-hash buckets and decides every pair of a group of candidates by the sets themselves.
+Three of 64 bits is close to equality. For a given Jaccard similarity of shingle sets, ``similar_documents`` walks
+the tries of several fingerprints of a set with a larger budget, and decides every pair of a group of candidates
+by the sets themselves.
 """
 
 from __future__ import annotations
@@ -165,19 +166,20 @@ def walk(v: np.ndarray, alo, ahi, blo, bhi, depth: int, spent, budget: int, bits
 
 @dataclass(frozen=True)
 class Rule:
-    """``lead`` bits agree, and of the first ``bits`` at most ``budget`` differ."""
+    """``lead`` bits agree, of the first ``bits`` at most ``budget`` differ, and of these and all checks at most ``total``, if given."""
 
     lead: int
     bits: int
     budget: int
+    total: int | None = None
 
 
 class Trie:
-    """Entries of one band sorted by their rotated bits: what is walked, and the nodes they stand for."""
+    """Entries of one band sorted by their rotated bits: what is walked, and the nodes they stand for; ``checks``: further fingerprints, one a row."""
 
-    def __init__(self, rot: np.ndarray, node: np.ndarray) -> None:
+    def __init__(self, rot: np.ndarray, node: np.ndarray, checks: np.ndarray) -> None:
         order = np.argsort(rot, kind="stable")
-        self.v, self.node = rot[order], node[order]
+        self.v, self.node, self.checks = rot[order], node[order], checks[:, order].view(np.uint64)
 
     def ranges(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
         head = self.v >> np.uint64(BITS - depth)
@@ -187,6 +189,9 @@ class Trie:
     def links(self, alo, ahi, blo, bhi, depth: int, spent, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
         forest = Forest(len(self.v))
         for i, j in walk(self.v, alo, ahi, blo, bhi, depth, spent, rule.budget, rule.bits):
+            if rule.total is not None:
+                near = sum(np.bitwise_count(c[i] ^ c[j]).astype(np.int64) for c in (self.v, *self.checks)) <= rule.total
+                i, j = i[near], j[near]
             forest.join(i, j)
         i = np.arange(len(self.v))
         r = forest.roots(i)
@@ -204,7 +209,7 @@ def _walk_bands(rule: Rule):
         band, held = None, []
 
         def out(rows: np.ndarray) -> pa.RecordBatch:
-            t = Trie(_unsigned(rows[0]), rows[1])
+            t = Trie(_unsigned(rows[0]), rows[1], rows[2:])
             lo, hi = t.ranges(rule.lead)
             many = hi - lo > 1
             lo, hi = lo[many], hi[many]
@@ -233,12 +238,12 @@ def _walk_bands(rule: Rule):
     return run
 
 
-def _walk_pair(rule: Rule):
+def _walk_pair(rule: Rule, checks: list[str]):
     def run(key, pdf):
         """One pair of trie nodes that Spark has expanded from a large trie."""
         depth, spent = int(pdf["depth"].iloc[0]), int(pdf["spent"].iloc[0])
         node = pdf["node"].to_numpy(np.int64)
-        t = Trie(_unsigned(pdf["rot"].to_numpy(np.int64)), node)
+        t = Trie(_unsigned(pdf["rot"].to_numpy(np.int64)), node, pdf[checks].to_numpy(np.int64).T)
         lo, hi = t.ranges(depth)
         b = 0 if key[1] == key[2] else 1
         if b < len(lo):
@@ -250,13 +255,16 @@ def _walk_pair(rule: Rule):
     return run
 
 
-def trie_links(rotated: DataFrame, rule: Rule, max_node: int) -> DataFrame:
-    """(u, v) among the rows (band, rot, node) of ``rotated``; rot: rotated bits from the top, the sign bit flipped,
-    so that Spark's signed order is the unsigned one."""
+def trie_links(rotated: DataFrame, rule: Rule, max_node: int, in_band: int | None = None) -> DataFrame:
+    """(u, v) among the rows (band, rot, node, checks..) of ``rotated``; rot: rotated bits from the top, the sign bit flipped,
+    so that Spark's signed order is the unsigned one. ``in_band``: rows of a band, where known; no trie has more."""
     data = [c for c in rotated.columns if c != "band"]
+    checks = data[2:]
     head = lambda depth: F.shiftrightunsigned(F.col("rot"), BITS - depth)
-    large = cut(rotated.groupBy("band", head(rule.lead).alias("top")).count().where(F.col("count") > max_node).select("band", "top"))
-    some_large = not large.isEmpty()
+    some_large = in_band is None or in_band > max_node
+    if some_large:
+        large = cut(rotated.groupBy("band", head(rule.lead).alias("top")).count().where(F.col("count") > max_node).select("band", "top"))
+        some_large = not large.isEmpty()
     common = rotated.withColumn("top", head(rule.lead))
     if some_large:
         common = common.join(large, ["band", "top"], "left_anti")
@@ -274,7 +282,7 @@ def trie_links(rotated: DataFrame, rule: Rule, max_node: int) -> DataFrame:
         ready = sized.where(small).select("band", "na", "nb", "spent").withColumn("depth", F.lit(depth))
         sides = ready.select("*", F.explode(F.array_distinct(F.array("na", "nb"))).alias("at"))
         routed = sides.join(inside.withColumn("at", head(depth)), ["band", "at"]).select("band", "na", "nb", "spent", "depth", *data)
-        found = found.unionByName(routed.groupBy("band", "na", "nb").applyInPandas(_walk_pair(rule), "u long, v long"))
+        found = found.unionByName(routed.groupBy("band", "na", "nb").applyInPandas(_walk_pair(rule, checks), "u long, v long"))
         wide = cut(sized.where(~small).select("band", "na", "nb", "spent"))
         if depth >= rule.bits or wide.isEmpty():
             break
@@ -364,15 +372,18 @@ def near_duplicates(
 # ---------------------------------------------------------------- by similarity
 
 
-#: Min-hash bands of ``similar_documents`` and the functions in each. A pair of similarity s meets with a chance of
-#: 1 - (1 - s ** HASHES) ** SKETCHES: all but 5 in a million at 0.8.
-SKETCHES, HASHES = 40, 6
+#: Fingerprints of ``similar_documents``. Each leads five tries, turned by 12 bits from one to the next. A bit differs with a chance of
+#: 0.15 in a pair of similarity 0.8, so 12 leading bits agree in one trie of seven, and in none of all 85 for 3 pairs in a million.
+WORDS, TURNS = 17, 5
+#: Of a trie's 64 bits at most 18 may differ, and of these and the next two fingerprints' together at most 43: 1 pair in 1,000 at 0.8 has
+#: more, in each trie with other bits. Of unrelated pairs fewer than 1 in 10 ** 14 have so few.
+SIMILAR = Rule(12, BITS, 18, 43)
+CHECKS = 2
 #: Shingles of a candidate group that are compared in one block.
 BLOCK = 400_000
 _RND = np.random.default_rng(42)
-_XOR = _RND.integers(0, 1 << 64, SKETCHES * HASHES, np.uint64)
-_TIMES = _RND.integers(0, 1 << 64, SKETCHES * HASHES, np.uint64) | np.uint64(1)
-_MIX = _RND.integers(0, 1 << 64, (SKETCHES, HASHES), np.uint64) | np.uint64(1)
+_XOR = _RND.integers(0, 1 << 64, WORDS, np.uint64)
+_TIMES, _MIX = (_RND.integers(0, 1 << 64, WORDS, np.uint64) | np.uint64(1) for _ in range(2))
 
 
 def shingles_of(words: list[bytes], n: int = 5) -> np.ndarray:
@@ -386,16 +397,17 @@ def shingles_of(words: list[bytes], n: int = 5) -> np.ndarray:
     return np.unique(np.fromiter([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts.tolist(), stops.tolist())], np.uint64, len(stops)))
 
 
-def buckets_of(shingles: np.ndarray) -> np.ndarray:
-    """SKETCHES signed bucket numbers of a shingle set; an empty set has none."""
+def fingerprints_of(shingles: np.ndarray) -> np.ndarray:
+    """WORDS signed fingerprints of a shingle set: the majority bits of as many digests of each shingle; an empty set has none."""
     if not len(shingles):
         return np.zeros(0, np.int64)
-    low = np.full(SKETCHES * HASHES, (1 << 64) - 1, np.uint64)
-    for i in range(0, len(shingles), 512):
-        g = (shingles[i : i + 512, None] ^ _XOR) * _TIMES
-        g ^= g >> np.uint64(32)
-        np.minimum(low, g.min(0), out=low)
-    return (low.reshape(SKETCHES, HASHES) * _MIX).sum(1, dtype=np.uint64).view(np.int64)
+    bits = np.zeros(WORDS * BITS, np.int64)
+    for i in range(0, len(shingles), 255):
+        g = (shingles[i : i + 255, None] ^ _XOR) * _TIMES
+        g = (g ^ (g >> np.uint64(32))) * _MIX
+        g ^= g >> np.uint64(29)
+        bits += np.unpackbits(g.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(bits * 2 > len(shingles), bitorder="little").view(np.int64)
 
 
 def similar_pairs(sets: list[np.ndarray], block: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -454,6 +466,17 @@ def _decide(shingle: int, least: float):
     return run
 
 
+def similar_links(sets: DataFrame, max_node: int = 200_000, in_band: int | None = None) -> DataFrame:
+    """(u, v): candidates among the rows (node, fps) of distinct shingle sets, by the walk over the tries of their fingerprints."""
+    width = SIMILAR.lead
+    turn = lambda b: F.shiftleft("x", width * b).bitwiseOR(F.shiftrightunsigned("x", BITS - width * b)) if b else F.col("x")
+    each = sets.select("node", "fps", F.posexplode("fps").alias("w", "x"))
+    checks = [F.get("fps", (F.col("w") + k) % WORDS).alias(f"c{k}") for k in range(1, CHECKS + 1)]
+    turned = F.array(*[F.struct((F.col("w") * TURNS + b).alias("band"), turn(b).bitwiseXOR(F.lit(FLIP)).alias("rot")) for b in range(TURNS)])
+    rotated = each.select("node", *checks, F.explode(turned).alias("t")).select("t.band", "t.rot", "node", *[f"c{k}" for k in range(1, CHECKS + 1)])
+    return trie_links(rotated, SIMILAR, max_node, in_band)
+
+
 def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, node, root, component_id) for every row; key: ``row_key`` of id and text, node: a digest of the shingle set."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_key(id_col, text_col).alias("key"))
@@ -461,14 +484,12 @@ def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: i
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingles_of(t.lower().split(), shingle) for t in utf8(b.column(1))]
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-        buckets = pa.array([buckets_of(s) for s in sets], pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array(list(map(len, sets)), pa.int64()), buckets], ["doc_id", "key", "node", "size", "buckets"])
-
-    made = cut(arrow_map(slim, run, "doc_id long, key long, node long, size long, buckets array<long>"))
-    least = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("buckets").alias("buckets")))
-    each = least.select("node", F.explode("buckets").alias("bucket"))
-    lead = cut(each.groupBy("bucket").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1"))
-    met = join_by_share(each, lead, ["bucket"], "n").select(F.col("node").alias("u"), "v").where("u <> v").distinct()
+        fps = pa.array([fingerprints_of(s) for s in sets], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(node), pa.array(list(map(len, sets)), pa.int64()), fps], ["doc_id", "key", "node", "size", "fps"])
+
+    made = cut(arrow_map(slim, run, "doc_id long, key long, node long, size long, fps array<long>"))
+    least = cut(made.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("key").alias("key"), F.first("size").alias("size"), F.first("fps").alias("fps")))
+    met = similar_links(least.select("node", "fps").where("size > 0"), in_band=least.count())
     least = least.select("node", "least", "key", "size")
     group = components(met)
     group = cut(group.unionByName(group.select(F.col("root").alias("node"), "root").distinct()).distinct().join(least.drop("least"), "node"))
@@ -486,8 +507,8 @@ def _similar(docs: DataFrame, shingle: int, least_similarity: float, max_node: i
 def similar_documents(docs: DataFrame, shingle: int = 5, least_similarity: float = 0.8, max_node: int = 50_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, component_id) for every row: components of documents whose shingle sets have ``least_similarity`` or more in common.
 
-    Sets that share a min-hash bucket are candidates; within a group of candidates all pairs are decided by the exact Jaccard
-    similarity of their sets. Of more than ``BLOCK`` shingles or ``max_node`` sets a group is cut into blocks and each pair of blocks is a
+    The self-join of the tries of the sets' fingerprints finds candidates; within a group of candidates all pairs are decided by the exact
+    Jaccard similarity of their sets. Of more than ``BLOCK`` shingles or ``max_node`` sets a group is cut into blocks and each pair of blocks is a
     unit of its own. Nulls, empty texts and repeated rows are as in ``near_duplicates``.
     """
     return _similar(docs, shingle, least_similarity, max_node, id_col, text_col).select("doc_id", "component_id")

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strataq.llm import simhash
 
 
@@ -194,3 +195,27 @@ def test_keep_one_by_row(docs_of):
     rows = [(1, one, "s"), (2, one, "s"), (2, other, "s"), (2, other, "t"), (None, other, "s"), (None, "no id", "s"), (None, "no id", "s")]
     kept = simhash.keep_one(docs_of(rows)).select("doc_id", "text").collect()
     assert Counter(map(tuple, kept)) == Counter([(1, one), (2, other), (None, "no id")])
+
+
+def test_pipeline_walks_the_tries(docs_of, monkeypatch):
+    """The pipeline's candidates come from the self-join of the tries, its result from the exact check of them."""
+    walked, own = [], simhash.trie_links
+    monkeypatch.setattr(simhash, "trie_links", lambda *a, **k: walked.append(a[1]) or own(*a, **k))
+    a = [f"a{i}" for i in range(60)]
+    rows = [(1, " ".join(a), "s"), (2, " ".join([*a[:-1], "z"]), "s"), (3, " ".join(f"b{i}" for i in range(60)), "s")]
+    kept = corpus_pipeline.near_dedup(None, docs_of(rows), "")
+    assert {r.doc_id for r in kept.collect()} == {1, 3} and walked == [simhash.SIMILAR]
+
+
+@pytest.mark.parametrize("max_node", [200_000, 64])
+def test_walk_finds_pairs_at_the_limit(spark, max_node):
+    """Of 400 pairs of 0.8 all are candidates, whether tries are walked whole or by pairs of nodes; sets that have nothing in common are none."""
+    rnd, sets = np.random.default_rng(5), []
+    for _ in range(400):
+        x = rnd.integers(0, 1 << 64, 110, np.uint64)
+        sets += [x[:99], np.concatenate([x[:88], x[99:]])]  # 88 of 110 in common
+    rows = [(k, simhash.fingerprints_of(s).tolist()) for k, s in enumerate(sets)]
+    same = [(900 + k, [simhash.fingerprints_of(sets[0])[0].item(), *rnd.integers(-(1 << 63), 1 << 63, simhash.WORDS - 1).tolist()]) for k in range(70)]  # one trie of many
+    df = spark.createDataFrame(rows + same, "node long, fps array<long>")
+    found = {tuple(sorted(r)) for r in simhash.similar_links(df, max_node).collect()}
+    assert found == {(2 * k, 2 * k + 1) for k in range(400)}
