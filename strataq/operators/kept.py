@@ -104,7 +104,8 @@ class Kept:
         return self.spark.read.parquet(f"{self.root}/output").where(F.col("part").isin(parts)).drop("part")
 
     def _put(self, table: str, part: int, rows: DataFrame) -> None:
-        dealt = written(rows).repartition(self.buckets, *self.key)  # a file a bucket; Spark doesn't overwrite what a plan reads
+        """``rows`` as a part of a table; rows that come from the same table have to be ``written`` first, as Spark doesn't overwrite what a plan reads."""
+        dealt = rows.repartition(self.buckets, *self.key)  # a file a bucket
         self.spark.sql(f"INSERT OVERWRITE TABLE {self.tables[table]} PARTITION (part = {part}) SELECT * FROM {{rows}}", rows=dealt)
 
     def write(self, number: int, changes: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ class Kept:
         both = e.join(h, [F.col(f"e.{k}").eqNullSafe(F.col(f"h.{k}")) for k in self.key], "left")
         n = F.coalesce("h.n", F.lit(0)) + F.col("e.more")
         following = F.when(n == 0, 1).otherwise(F.coalesce(F.col("e.pushed") + 1, F.col("h.next_nonce")))
-        self._put("heads", part, both.select(*[F.col(f"e.{k}") for k in self.key], following.cast("long").alias("next_nonce"), "e.last_t", "e.last_event", n.alias("n")))
+        self._put("heads", part, written(both.select(*[F.col(f"e.{k}") for k in self.key], following.cast("long").alias("next_nonce"), "e.last_t", "e.last_event", n.alias("n"))))
         return out
 
     def apply(self, number: int, changes: DataFrame) -> DataFrame:
@@ -146,8 +147,8 @@ class Kept:
         """Sum up the batches so far; reads then take the sum and what comes later."""
         last = max((p for p in self.committed() if p % 2), default=None)
         if last is not None:
-            self._put("segments", last + 1, self._live(self._of("segments", None)).where("n > 0"))
-            self._put("heads", last + 1, self.heads())
+            self._put("segments", last + 1, written(self._live(self._of("segments", None)).where("n > 0")))
+            self._put("heads", last + 1, written(self.heads()))
             self.commit(last + 1)
 
 

@@ -224,3 +224,16 @@ def test_how_deep_an_outflow_reaches(spark):
     told = lambda o: [tuple(r) for r in stack.pop_boundary(segments, o).collect()]
     assert told(owed((1, 3))) == [(1, 3, 1, 3, 12)] and told(owed((1, 4))) == [(1, 4, 2, 7, 11)] and told(owed((1, 8))) == [(1, 8, None, None, None)]
     assert told(owed((None, 1))) == [(None, 1, 1, 2, 9)] and told(owed((2, 1))) == [(2, 1, None, None, None)]
+
+
+def test_stacks_within_reach_are_folded_once(spark, monkeypatch):
+    """No key reaches below the tops of its stack: one pass over state and changes; the ledger is that of all changes at once."""
+    folds, own = [], fold._resumed
+    monkeypatch.setattr(fold, "_resumed", lambda *a: folds.append(1) or own(*a))
+    data = [(k % 3, k, 10 + k, 5 if k % 4 else -12) for k in range(60)]
+    ch = spark.createDataFrame(data, "address long, event_id long, t long, amount long")
+    state = fold.fold_state(fold.lifo_ledger(ch.where("t < 40")))
+    for top, passes in ((64, 1), (1, 2)):
+        folds.clear()
+        got = fold.resume(state, ch.where("t >= 40"), top)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, fold.lifo_ledger(ch).where("t >= 40").collect())) and len(folds) == passes
