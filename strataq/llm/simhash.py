@@ -11,8 +11,8 @@ the pairs of its child nodes (four levels at a time, same pruning), until both n
 small enough; each node pair is then walked by itself.
 
 Every task reduces what it finds to a spanning forest, so a dense cluster of M fingerprints yields
-fewer than M links. Components come from alternating large-star and small-star steps on the
-distributed links, with the lineage cut after each round.
+fewer than M links. Components come from the forests of the tasks' links, then from alternating large-star
+and small-star steps on them, distributed, with the lineage cut after each round.
 
 Three of 64 bits is close to equality. For a given Jaccard similarity of shingle sets, ``similar_documents`` walks
 the tries of several fingerprints of a set with a larger budget, and decides every pair of a group of candidates
@@ -38,8 +38,10 @@ BITS, BANDS = 64, 4
 STEP, CHUNK = 4, 1 << 16
 #: Below this many comparisons a node pair is compared outright.
 LEAF = 64
-#: Comparisons expanded at once.
+#: Comparisons expanded at once, and edges joined at once.
 MOST = 1 << 18
+#: Edges of components that are worth a task.
+SHARE = 50_000
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -318,35 +320,52 @@ def links(fps: DataFrame, budget: int = 3, max_node: int = 50_000) -> DataFrame:
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) to stars (node, its root) of the same components, for at most ``MOST`` of a task's edges at once."""
+    held, n = [], 0
+
+    def out() -> pa.RecordBatch:
+        node, at = np.unique(np.concatenate(held, 1), return_inverse=True)
+        forest = Forest(len(node))
+        forest.join(*at.reshape(2, -1))
+        r = forest.roots(np.arange(len(node)))
+        own = node[r] != node
+        return pa.RecordBatch.from_arrays([pa.array(node[own]), pa.array(node[r[own]])], ["u", "v"])
+
+    for b in batches:
+        held.append(np.stack([c.to_numpy() for c in b.columns]))
+        n += b.num_rows
+        if n >= MOST:
+            yield out()
+            held, n = [], 0
+    if n:
+        yield out()
+
+
+def components(edges: DataFrame, max_rounds: int = 60, share: int = SHARE) -> DataFrame:
     """(node, root) for every node of the undirected ``edges`` (u, v); root: the smallest node reachable.
 
-    Alternates large-star and small-star until nothing changes; no adjacency list is ever gathered.
+    Each task joins what its edges connect, first where they are found, then ``share`` of them at a time. Then large-star and small-star
+    alternate until all that is left are stars; no adjacency list is ever gathered.
     """
 
-    def signature(e: DataFrame) -> tuple:
-        r = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        return r["n"], r["s"]
+    def stars(e: DataFrame) -> bool:
+        """Whether each node has either one edge to a root, or is a root and has none."""
+        ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("x"))
+        return ends.groupBy("x.node").agg(F.sum("x.up").alias("up"), F.min("x.up").alias("low")).where("up > 1 or up > low").isEmpty()
 
-    e = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    mark = signature(e)
+    e = cut(edges.select("u", "v").mapInArrow(_forests, "u long, v long").distinct())
+    parts = max(1, -(-e.count() // share))
+    e = cut(e.coalesce(parts).mapInArrow(_forests, "u long, v long"))
     for _ in range(max_rounds):
-        if not mark[0]:
+        if stars(e):
             break
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("x")).select("x.*")
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = (
-            large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-            .unionByName(least.select("u", F.col("m").alias("v")))
-            .where("u <> v")
-            .distinct()
-        )
-        e, before = cut(small), mark
-        mark = signature(e)
-        if mark == before:
-            break
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
+        e = cut(small.select("x.*").where("u <> v").distinct()).coalesce(parts)
     else:
         raise RuntimeError("components did not settle")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -90,6 +90,27 @@ def test_chain_of_links_is_one_component(spark):
     assert c.agg(F.countDistinct("root")).first()[0] == 1 and c.count() == len(fps) - 1
 
 
+@pytest.mark.parametrize("share", [10_000, 40])
+def test_components_by_forests_of_tasks(spark, monkeypatch, share):
+    """What a task's edges connect is joined there: edges of one task need no rounds, those of more tasks fewer, and both give the same."""
+    cuts, own = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda df: cuts.append(1) or own(df))
+    rnd = random.Random(6)
+    edges = [(k, k + 1) for k in range(100, 260)] + [(9, 9), (7, 5), (5, 7), (-3, 400)] + [(1000 + rnd.randrange(150), 1000 + rnd.randrange(150)) for _ in range(60)]
+    up = {x: x for e in edges for x in e}
+    for a, b in edges:
+        x, y = sorted((up[a], up[b]))
+        up = {n: x if r == y else r for n, r in up.items()}
+    df = spark.createDataFrame(edges, "u long, v long")
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(name, "false")  # else so few edges come to one task
+    got = simhash.components(df, share=share).collect()
+    spark.conf.unset(name)
+    assert len(got) == len({r.node for r in got}) and {r.node: r.root for r in got} == {n: r for n, r in up.items() if n != r}
+    assert len(cuts) == 2 if share > len(edges) else len(cuts) > 2
+    assert simhash.components(df.where("u = v")).collect() == []
+
+
 @pytest.mark.parametrize("max_node", [50_000, 40])
 def test_similar_documents(docs_of, max_node):
     rnd = random.Random(8)
