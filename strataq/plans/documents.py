@@ -328,7 +328,7 @@ def nested_lockfiles(spark, sf_dir):
         return F.concat(name, F.lit(": {"), fields, F.lit("}"))
 
     part, line = F.col("l_partkey"), F.col("l_linenumber")
-    lines = l.select("l_orderkey", "l_linenumber", "l_partkey").distinct().groupBy("l_orderkey").agg(nested(F.concat(quoted(F.lit("l"), line, F.lit("x"), part), F.lit(': {"integrity": "y", "version": '), quoted(F.lit("3."), line, F.lit("."), part), F.lit("}"))).alias("inner"))
+    lines = l.select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").distinct().groupBy("l_orderkey").agg(nested(F.concat(quoted(F.lit("l"), line, F.lit("x"), part), F.lit(': {"integrity": "y", "version": '), quoted(F.lit("3."), line, F.lit("."), part), F.lit("}"))).alias("inner"))
     none = F.coalesce("inner", F.lit("{}"))
     key = F.col("o_orderkey")
     orders = o.join(lines, key == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(nested(entry(quoted(F.lit("@o/p"), key), quoted(F.lit("2.0."), key), none, key % 2 == 0)).alias("inner"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataq.functions.session import written
-
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, value): one row per file."""
@@ -23,23 +24,61 @@ def npm_packages(text: Column) -> Column:
     )
 
 
+#: Packages in a batch that leaves a task; it bounds what one large file takes at a time.
+BATCH = 50_000
+
+
+def _texts(column: list[str | None]) -> pa.Array:
+    """Texts as Arrow has them; half a surrogate pair, which JSON may escape, becomes a question mark."""
+    try:
+        return pa.array(column, pa.string())
+    except UnicodeEncodeError:
+        return pa.array([None if x is None else x.encode("utf-8", "replace").decode() for x in column], pa.string())
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, package, version, depth) of batches of (path, value)."""
+
+    def no_json(name: str) -> None:
+        raise ValueError(name)
+
+    reader, rows = json.JSONDecoder(parse_constant=no_json), []
+
+    def batch() -> pa.RecordBatch:
+        path, package, version, depth = zip(*rows) if rows else ((),) * 4
+        rows.clear()
+        return pa.RecordBatch.from_arrays([*map(_texts, (path, package, version)), pa.array(depth, pa.int32())], ["path", "package", "version", "depth"])
+
+    for b in batches:
+        for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            try:
+                whole, _ = reader.raw_decode((text or "").lstrip(" \t\r\n"))
+            except (ValueError, RecursionError):
+                continue
+            below = [(whole["dependencies"], 0)] if isinstance(whole, dict) and "dependencies" in whole else []
+            while below:
+                deps, depth = below.pop()
+                for package, entry in deps.items() if isinstance(deps, dict) else [(None, e) for e in deps] if isinstance(deps, list) else ():
+                    version = None
+                    if isinstance(entry, dict):
+                        version = entry.get("version")
+                        if not (version is None or isinstance(version, str)):
+                            version = json.dumps(version, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+                        if "dependencies" in entry:
+                            below.append((entry["dependencies"], depth + 1))
+                    rows.append((path, package, version, depth))
+                    if len(rows) == BATCH:
+                        yield batch()
+    yield batch()
+
+
 def nested_packages(files: DataFrame) -> DataFrame:
     """(path, package, version, depth) of lock files (path, value) whose ``dependencies`` nest.
 
-    Texts are parsed once, to variants; each round opens one level of all files, until there is none below. What is no JSON, or has no
-    dependencies, gives nothing; a package without a version has a null one.
+    A text is read once, by the task that has it, and opened down to its last level; nothing is written between levels. What is no JSON, nests
+    deeper than Python reads (some thousand levels), or has no dependencies, gives nothing; a package without a version has a null one.
     """
-    spark = files.sparkSession
-    level = files.select("path", F.try_variant_get(F.try_parse_json("value"), "$.dependencies", "variant").alias("deps")).where("deps is not null")
-    found, depth = [], 0
-    while True:
-        opened = spark.sql("SELECT l.path, e.key AS package, e.value AS entry FROM {level} l, LATERAL variant_explode(l.deps) e", level=level)
-        get = lambda what, kind: F.try_variant_get("entry", f"$.{what}", kind)
-        opened = written(opened.select("path", "package", get("version", "string").alias("version"), F.lit(depth).alias("depth"), get("dependencies", "variant").alias("deps")))
-        found.append(opened.drop("deps"))
-        level, depth = opened.where("deps is not null").select("path", "deps"), depth + 1
-        if level.isEmpty():
-            return reduce(lambda a, b: a.unionByName(b), found)
+    return files.select("path", "value").mapInArrow(_opened, "path string, package string, version string, depth int")
 
 
 def yarn_packages(text: Column) -> Column:

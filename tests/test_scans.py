@@ -61,3 +61,24 @@ def test_dependencies_outside_the_registry(spark):
     inside = ["^1.2.3", "1.x", "latest", "npm:@s/other@1.0.0", "file:../foo/bar", "workspace:*", "*", "", ">=1.0.2 <2.1.2", "~/x/y"]
     df = spark.createDataFrame([(x, True) for x in outside] + [(x, False) for x in inside], "spec string, want boolean")
     assert df.where(scans.not_registry(F.col("spec")) != F.col("want")).collect() == []
+
+
+def test_nested_packages_are_opened_in_one_pass(spark, monkeypatch):
+    """No level is written for the next one; deep files, large ones, repeated keys and odd entries keep their packages."""
+
+    def written(*_, **__):
+        raise AssertionError("a level was written")
+
+    monkeypatch.setattr(type(spark.range(1)), "checkpoint", written)
+    flat = json.dumps({"dependencies": {f"p{i}": {"version": str(i)} for i in range(60_000)}})
+    odd = '\n{"dependencies": {"a": {"version": "1"}, "a": {"version": "2"}, "b": "1.0.0", "c": {"version": 5}, "e": {"version": {"z": 1, "a": "é"}}, "s\\ud800": {"dependencies": [{"dependencies": {"f": {"version": null}}}]}, "g": {"dependencies": "h"}}} <<<'
+    deep = '{"version": "1", "dependencies": {"d": ' * 600 + '{"version": "0"}' + "}}" * 600
+    nothing = [None, "", "{", "5", "[1]", "null", "{}", '{"dependencies": null}', '{"dependencies": "x"}', '{"dependencies": {"a": {"version": NaN}}}', '{"dependencies": {"a\tb": {}}}']
+    texts = {"deep": deep, "flat": flat, "odd": odd} | {f"none{i}": v for i, v in enumerate(nothing)}
+    files = spark.createDataFrame(list(texts.items()), "path string, value string")
+    opened = scans.nested_packages(files)
+    assert opened.dtypes == [("path", "string"), ("package", "string"), ("version", "string"), ("depth", "int")]
+    got = sorted(map(tuple, opened.collect()), key=repr)
+    want = [("deep", "d", "0" if i == 599 else "1", i) for i in range(600)] + [("flat", f"p{i}", str(i), 0) for i in range(60_000)]
+    want += [("odd", p, v, n) for p, v, n in (("a", "2", 0), ("b", None, 0), ("c", "5", 0), ("e", '{"a":"é","z":1}', 0), ("s?", None, 0), (None, None, 1), ("f", None, 2), ("g", None, 0))]
+    assert got == sorted(want, key=repr)
