@@ -331,7 +331,8 @@ def nested_lockfiles(spark, sf_dir):
     lines = l.select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey").distinct().groupBy("l_orderkey").agg(nested(F.concat(quoted(F.lit("l"), line, F.lit("x"), part), F.lit(': {"integrity": "y", "version": '), quoted(F.lit("3."), line, F.lit("."), part), F.lit("}"))).alias("inner"))
     none = F.coalesce("inner", F.lit("{}"))
     key = F.col("o_orderkey")
-    orders = o.join(lines, key == F.col("l_orderkey"), "left").groupBy("o_custkey").agg(nested(entry(quoted(F.lit("@o/p"), key), quoted(F.lit("2.0."), key), none, key % 2 == 0)).alias("inner"))
+    orders = o.join(lines, key == F.col("l_orderkey"), "left").select("o_custkey", entry(quoted(F.lit("@o/p"), key), quoted(F.lit("2.0."), key), none, key % 2 == 0).alias("e"))
+    orders = orders.repartition("o_custkey").groupBy("o_custkey").agg(nested("e").alias("inner"))
     key = F.col("c_custkey")
     files = c.join(orders, key == F.col("o_custkey"), "left").select(F.concat(F.lit("repo"), "c_nationkey").alias("path"), entry(quoted(F.lit("c"), key), quoted(F.lit("1.0."), key), none, key % 3 == 0).alias("e"))
     files = files.select("path", F.concat(F.lit('{"lockfileVersion": 1, "dependencies": {'), "e", F.lit("}}")).alias("value"))
